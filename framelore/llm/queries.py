@@ -37,10 +37,14 @@ def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").where("page_id is not null")
     record = warc.warc_record(F.col("url"), F.col("html"), warc.record_uuid(F.col("page_id")), F.lit("2024-01-01T00:00:00Z"))
     name = F.format_string("pages-%06d.warc", F.floor(F.col("page_id") / PAGES))
-    laid = warc.lay_out(pages, name, "page_id", record)
-    bad = remainder("page_id", DAMAGED) == 7
+    records = pages.select("page_id", name.alias("archive"), record.alias("record"))
     flipped = F.encode(F.translate(F.decode("record", "UTF-8"), "e", "3"), "UTF-8")
-    both = laid.select("archive", "offset", "length", F.sha2("record", 256).alias("sha256"), F.when(bad, F.sha2(flipped, 256)).alias("other"))
+    bad = remainder("page_id", DAMAGED) == 7
+    hashed = records.select(
+        "page_id", "archive", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("sha256"),
+        F.when(bad, F.sha2(flipped, 256)).alias("other"),
+    )
+    both = warc.lay_out(hashed, "page_id")
     left = both.select("archive", "offset", "length", "sha256")
     return warc.audit(left, both.select("archive", "offset", "length", F.coalesce("other", "sha256").alias("sha256")))
 

@@ -35,11 +35,13 @@ def warc_record(target: Column, payload: Column, record_id: Column, date: Column
     return F.concat(F.encode(head, "UTF-8"), body, F.encode(F.lit("\r\n\r\n"), "UTF-8"))
 
 
-def lay_out(rows: DataFrame, archive: Column, order: str, record: Column) -> DataFrame:
-    """Rows with archive, offset, length, record: records laid one after the other.  An archive has a bounded number of rows."""
-    laid = rows.select("*", archive.alias("archive"), record.alias("record")).withColumn("length", F.octet_length("record").cast("long"))
+def lay_out(rows: DataFrame, order: str) -> DataFrame:
+    """Rows (archive, length, ...) with the offset of each record, laid one after the other in an archive by ``order``.
+
+    An archive has a bounded number of rows; rows should be narrow, with hashes in place of the records.
+    """
     upto = W.partitionBy("archive").orderBy(order, "length").rowsBetween(W.unboundedPreceding, 0)
-    return laid.withColumn("offset", F.sum("length").over(upto) - F.col("length"))
+    return rows.withColumn("offset", F.sum("length").over(upto) - F.col("length"))
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
