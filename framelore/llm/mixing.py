@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from framelore.llm.common import SPACE, save, word_count
 
-BLOCK, SHARD, CAP, BUCKETS = 128, 4096, 3, 512
+BLOCK, SHARD, CAP, BUCKETS = 128, 4096, 3, 4096
 WEIGHTS = (1, 2, 3)
 
 
@@ -53,7 +53,7 @@ def plan_documents(docs: DataFrame, id_col: str, source_col: str, text_col: str,
     Places are prefix sums in two steps: over buckets of a source, then in a bucket, so a hot source is no single task.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    base = base.withColumn("bucket", F.pmod(_pseudorandom(seed, F.col("id")), F.lit(BUCKETS * 64)))
+    base = base.withColumn("bucket", F.pmod(_pseudorandom(seed, F.col("id")), F.lit(BUCKETS)))
     base = save(base, "mix")
     sums = base.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
