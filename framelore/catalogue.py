@@ -1,15 +1,514 @@
-"""The registered queries."""
+"""The registered queries of the library and the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framelore.functions import na, scalars
+from framelore.operators import classification as clf
+from framelore.operators import events, examples, labels, manifest, selftest, tracks, windows
+from framelore.plans import views
+from framelore.sources import manifests
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+LANGS, SOURCES, VAULT, FROZEN = ("en", "de", "fr"), ("src0", "src1", "src2", "src3", "src4"), ("src1", "src2"), ("src3", "src4")
+WINDOW = {"length": 16, "stride": 8, "gap_tolerance": 2, "min_area": 5000.0, "min_side": 32.0, "max_windows": 8}
+
+
+def _query(sql: str | None = None, plain: bool = False, recursive: bool = False):
+    """Register a query; its SQL goes after the views (a leading + means that more views follow)."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            more = sql.lstrip()
+            views_sql = ("with recursive " if recursive else "with ") + views.SQL.strip() + (", " if more[0] == "+" else " ")
+            _SQL[f.__name__] = sql if plain else views_sql + more.lstrip("+")
+        return f
+
+    return add
+
+
+def _quoted(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def _r(c, digits: int = 6):
+    """Rounded for comparison; no negative zero."""
+    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
+
+
+# --- manifests ---------------------------------------------------------------------------------------------------------
+
+
+@_query(f"""select clip_id, case when dataset not in ({_quoted(SOURCES)}) then 'dataset' else 'lighting' end as field from clips
+  where dataset not in ({_quoted(SOURCES)}) union all select clip_id, 'lighting' from clips where lighting not in ({_quoted(LANGS)})""")
+def manifest_domain_check(spark, d):
+    c = views.clips(spark, d)
+    return manifest.outside_domain(c, "dataset", SOURCES).select("clip_id", F.lit("dataset").alias("field")).unionAll(
+        manifest.outside_domain(c, "lighting", LANGS, nulls_pass=True).select("clip_id", F.lit("lighting"))
+    )
+
+
+@_query("select sequence, frame_number, count(*) n from frames group by all having count(*) > 1")
+def duplicate_keys(spark, d):
+    return manifest.duplicate_keys(views.frames(spark, d), "sequence", "frame_number")
+
+
+@_query("select source_path from clips where role = 'train' intersect select source_path from clips where role = 'validate'")
+def leak_source_path(spark, d):
+    return manifest.role_conflicts(views.clips(spark, d), "source_path")
+
+
+@_query("select subject_id from clips where role = 'train' and subject_id is not null intersect select subject_id from clips where role = 'validate'")
+def leak_subject(spark, d):
+    return manifest.role_conflicts(views.clips(spark, d), "subject_id")
+
+
+@_query("select source_path from clips group by 1 having bool_or(role = 'train') and bool_or(role = 'debug')")
+def role_conflict(spark, d):
+    return manifest.role_conflicts(views.clips(spark, d), "source_path", "train", "debug")
+
+
+def _with_vault(c: DataFrame) -> DataFrame:
+    return c.withColumn("role", F.when(F.col("dataset").isin(*FROZEN), "frozen_unseen_test").otherwise(F.col("role")))
+
+
+@_query(f"select clip_id, dataset, role from clips where dataset not in ({_quoted(FROZEN)})")
+def frozen_filter(spark, d):
+    return manifest.visible(_with_vault(views.clips(spark, d)), "training").select("clip_id", "dataset", "role")
+
+
+@_query(f"select clip_id, dataset from clips where (dataset in ({_quoted(VAULT)})) <> (dataset in ({_quoted(FROZEN)}))")
+def vault_biconditional(spark, d):
+    return manifest.vault_breaches(_with_vault(views.clips(spark, d)), VAULT).select("clip_id", "dataset")
+
+
+@_query(f"select dataset, min_by(clip_id, pos) clip_id from clips where dataset not in ({_quoted(SOURCES)}) group by 1")
+def known_dataset_anti(spark, d):
+    known = spark.createDataFrame([(s,) for s in SOURCES], "dataset string")
+    return manifest.unknown_datasets(views.clips(spark, d), known)
+
+
+@_query()
+def manifest_validation(spark, d):
+    """All checks at once: violations by rule."""
+    c = _with_vault(views.clips(spark, d)).withColumns({"label": F.when(F.col("y") == 1, "fall").otherwise("no_fall"), "occlusion": F.lit(None).cast("string"), "action_confuser": F.lit("none")})
+    return manifest.validate(c).groupBy("severity", "rule").agg(F.count("*").alias("n"))
+
+
+# --- label series ------------------------------------------------------------------------------------------------------
+
+_SERIES = """select sequence, count(*) frame_count, min(frame_number)::int first_frame, max(frame_number)::int last_frame,
+  min(frame_number) = 1 and max(frame_number) = count(*) and count(distinct frame_number) = count(*) contiguous from frames group by 1"""
+
+
+@_query(f"+ s as ({_SERIES}) select sequence, frame_count, first_frame, last_frame from s")
+def seq_range(spark, d):
+    return labels.series_stats(views.frames(spark, d)).drop("contiguous")
+
+
+@_query(f"+ s as ({_SERIES}) select sequence, contiguous from s")
+def seq_contiguous(spark, d):
+    return labels.series_stats(views.frames(spark, d)).select("sequence", "contiguous")
+
+
+@_query("""+ f as (select sequence, frame_number, max(label) as lab from frames group by all),
+  w as (select sequence, case when sequence % 2 = 0 then 'fall' else 'adl' end kind, k window_index from (select distinct sequence from frames), (select unnest(range(0, 3)) k)),
+  m as (select w.*, f.lab from w cross join (select unnest(range(0, 3)) o) left join f on f.sequence = w.sequence and f.frame_number = w.window_index * 3 + o + 1)
+  select sequence, cast(window_index as int) window_index, case when kind = 'adl' then 'no_fall' when bool_or(lab in (0, 1)) then 'fall' when count(lab) = 0 then 'unlabeled' else 'no_fall' end as label,
+  kind = 'adl' and coalesce(bool_or(lab = 1), false) is_confuser from m group by sequence, kind, window_index""")
+def window_labels(spark, d):
+    f = views.frames(spark, d).groupBy("sequence", "frame_number").agg(F.max("label").alias("label"))
+    kind = F.when(F.col("sequence") % 2 == 0, "fall").otherwise("adl")
+    w = f.select("sequence").distinct().withColumn("window_index", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    three = F.sequence(F.col("window_index") * 3, F.col("window_index") * 3 + 2)
+    return labels.label_windows(w.select("sequence", kind.alias("clip_type"), "window_index", three.alias("frame_indices")), f, offset=1)
+
+
+# --- tracks ------------------------------------------------------------------------------------------------------------
+
+_ONE = "one as (select clip_id, track_id, frame_index, max(ord) ord from det group by all)"
+_SEG = f"""{_ONE}, sg as (select *, frame_index - row_number() over (partition by clip_id, track_id order by frame_index) g from one),
+  seg as (select clip_id, track_id, min(frame_index) "start", max(frame_index) "end", count(*) frames from sg group by clip_id, track_id, g)"""
+
+
+def _one_box(spark, d):
+    """One detection per track and frame, in the order of frames."""
+    return windows.last_box_wins(views.detections(spark, d), ("clip_id", "track_id")).drop("ord").withColumn("ord", F.col("frame_index"))
+
+
+@_query(f'+ {_SEG} select clip_id, track_id, "start", "end", frames from seg')
+def frame_segments(spark, d):
+    return tracks.segments(_one_box(spark, d)).drop("segment")
+
+
+@_query(f"+ {_SEG} select clip_id, track_id, count(*) segments, sum(frames)::bigint total_frames, max(frames) longest_segment from seg group by all")
+def fragmentation(spark, d):
+    return tracks.fragmentation(tracks.segments(_one_box(spark, d)))
+
+
+_DOM = """n as (select clip_id, frame_index, track_id, count(*) n, min(ord) first from det group by all),
+  best as (select * from n qualify row_number() over (partition by clip_id, frame_index order by n desc, first) = 1),
+  tl as (select clip_id, unnest(range(0, max(frame_index) + 1)) frame_index from det group by clip_id),
+  dom as (select tl.clip_id, tl.frame_index, best.track_id dominant from tl left join best using (clip_id, frame_index))"""
+
+
+@_query(f"+ {_DOM} select clip_id, frame_index, dominant from dom")
+def dominant_track(spark, d):
+    return tracks.dominant_tracks(views.detections(spark, d))
+
+
+@_query(f"""+ {_DOM}, l as (select *, lag(dominant) over (partition by clip_id order by frame_index) b from dom where dominant is not null)
+  select clip_id, count(*) filter (where dominant <> b) switches from l group by 1""")
+def id_switches(spark, d):
+    return tracks.switches(tracks.dominant_tracks(views.detections(spark, d)))
+
+
+@_query(f"""+ {_DOM}, c as (select clip_id, dominant, count(*) n, min(frame_index) f from dom where dominant is not null group by all)
+  select clip_id, dominant primary_track from c qualify row_number() over (partition by clip_id order by n desc, f) = 1""")
+def primary_track(spark, d):
+    return tracks.primary_track(tracks.dominant_tracks(views.detections(spark, d)))
+
+
+@_query("""+ n as (select clip_id, track_id, count(*) length from det group by all)
+  select clip_id, track_id, length from n qualify row_number() over (partition by clip_id order by length desc, track_id) = 1""")
+def longest_track(spark, d):
+    return tracks.longest_track(views.detections(spark, d))
+
+
+@_query("""+ k as (select distinct clip_id from det), b as (select unnest(range(0, 61)) frame_index), n as (select clip_id, frame_index, count(*) n from det group by all)
+  select clip_id, frame_index, coalesce(n, 0) n from k cross join b left join n using (clip_id, frame_index)""")
+def densify(spark, d):
+    return tracks.densify(views.detections(spark, d), "clip_id", "frame_index", 60)
+
+
+@_query()
+def track_report(spark, d):
+    det = views.detections(spark, d)
+    runs = det.groupBy("clip_id").agg((F.max("frame_index") + 1).alias("frames")).withColumn("elapsed_sec", F.col("frames") / 20.0)
+    return tracks.continuity_report(det, runs)
+
+
+@_query("""select cast(event_id as bigint) ord, round(greatest(0, least(640, x0 - h)), 6) x_min, round(greatest(0, least(480, y0 - h)), 6) y_min,
+  round(greatest(w, v), 6) size, round((greatest(w, v) - w) / 2, 6) offset_x, round((greatest(w, v) - v) / 2, 6) offset_y, round(w, 6) clipped_width, round(v, 6) clipped_height
+  from (select *, greatest(0, least(640, x0 + h)) - greatest(0, least(640, x0 - h)) w, greatest(0, least(480, y0 + h)) - greatest(0, least(480, y0 - h)) v
+  from (select ord event_id, (x_min + x_max) / 2 x0, (y_min + y_max) / 2 y0, greatest(x_max - x_min, y_max - y_min, 1) * 1.2 / 2 h from det))""")
+def geometry(spark, d):
+    g = views.detections(spark, d).select("ord", scalars.crop_geometry(*(F.col(c) for c in windows.BOX), 0.2, 640, 480).alias("g")).select("ord", "g.*")
+    return g.select("ord", *(_r(c).alias(c) for c in g.columns[1:]))
+
+
+# --- windows -----------------------------------------------------------------------------------------------------------
+
+_WIN = """b as (select d.* from det d join (select clip_id, track_id, frame_index, max(ord) ord from det group by all) using (clip_id, track_id, frame_index, ord)),
+  e as (select clip_id, track_id, min(frame_index) f0, max(frame_index) f1 from b group by all),
+  c as (select clip_id, track_id, f0, unnest(range(0, (f1 - f0) // 8 + 1)) k from e),
+  o as (select c.clip_id, c.track_id, c.k, c.f0 + c.k * 8 start_frame, b.frame_index - c.f0 - c.k * 8 o, (x_max - x_min) * (y_max - y_min) a, least(x_max - x_min, y_max - y_min) s
+    from c left join b on b.clip_id = c.clip_id and b.track_id = c.track_id and b.frame_index >= c.f0 + c.k * 8 and b.frame_index < c.f0 + c.k * 8 + 16),
+  gp as (select *, o - coalesce(lag(o) over (partition by clip_id, track_id, k order by o), -1) - 1 g from o),
+  ag as (select clip_id, track_id, k, start_frame, count(o) n, greatest(coalesce(max(g), 16), coalesce(15 - max(o), 16)) run, avg(a) a, quantile_cont(s, 0.5) s,
+    list_sort(list_filter(range(0, 16), lambda x: not list_contains(coalesce(list(o), []), x))) missing from gp group by all),
+  rs as (select *, case when run > 2 then 'too_many_gaps' when n = 0 or a < 5000 or s < 32 then 'insufficient_coverage' end as reason from ag),
+  em as (select *, coalesce(sum((reason is null)::int) over (partition by clip_id, track_id order by k rows between unbounded preceding and 1 preceding), 0)::bigint done from rs),
+  win as (select clip_id, track_id, k candidate, start_frame, reason, case when reason is null then done end window_index, case when reason is null then missing end missing_offsets,
+    case when reason is null then n / 16.0 end coverage from em where done < 8)"""
+
+
+@_query(f"+ {_WIN} select clip_id, track_id, candidate, start_frame, reason, window_index from win")
+def track_windows(spark, d):
+    return windows.candidates(views.detections(spark, d), **WINDOW).drop("missing_offsets", "coverage")
+
+
+@_query(f"+ {_WIN} select coalesce(reason, 'emitted') reason, count(*) n from win group by 1")
+def window_skip_histogram(spark, d):
+    return windows.skip_histogram(windows.candidates(views.detections(spark, d), **WINDOW))
+
+
+@_query(f"+ {_WIN} select clip_id, track_id, window_index, array_to_string(missing_offsets, ',') missing, round(coverage, 6) coverage from win where reason is null")
+def window_coverage(spark, d):
+    w = windows.candidates(views.detections(spark, d), **WINDOW).where("reason is null")
+    return w.select("clip_id", "track_id", "window_index", F.array_join(F.col("missing_offsets").cast("array<string>"), ",").alias("missing"), _r("coverage").alias("coverage"))
+
+
+@_query(f"""+ {_WIN}, sl as (select clip_id, track_id, window_index, start_frame, unnest(range(0, 16)) o from win where reason is null),
+  j as (select sl.*, b.x_min, b.x_max from sl left join b on b.clip_id = sl.clip_id and b.track_id = sl.track_id and b.frame_index = sl.start_frame + o)
+  select clip_id, track_id, window_index, cast(o as int) frame_offset, x_min is null missing_frame,
+  round(coalesce(last_value(x_min ignore nulls) over w, 0), 6) x_min, round(coalesce(last_value(x_max ignore nulls) over w, 0), 6) x_max from j
+  window w as (partition by clip_id, track_id, window_index order by o rows between unbounded preceding and current row)""")
+def carry_forward(spark, d):
+    det = views.detections(spark, d)
+    out = windows.dense_boxes(det, windows.candidates(det, **WINDOW), length=16)
+    return out.select("clip_id", "track_id", "window_index", "frame_offset", "missing_frame", _r("x_min").alias("x_min"), _r("x_max").alias("x_max"))
+
+
+@_query(f"""+ {_WIN} select count(distinct clip_id) clips, count(distinct track_id) tracks, count(*) filter (where reason is null) emitted, count(*) filter (where reason is not null) skipped from win""")
+def run_summary(spark, d):
+    return windows.run_summary(windows.candidates(views.detections(spark, d), **WINDOW))
+
+
+# --- alerts and events -------------------------------------------------------------------------------------------------
+
+_AL = """h as (select *, score >= 0.2 and not isnan(score) hit from stream),
+  hb as (select *, sum((not hit)::int) over (partition by clip_id order by pos) g from h),
+  hr as (select *, row_number() over (partition by clip_id, g order by pos) r from hb where hit), al as (select clip_id, pos alert from hr where r % 3 = 0),
+  ma as (select gt.clip_id, gt.ord, gt.start_frame, min(alert) alert from gt join al on al.clip_id = gt.clip_id and alert between start_frame and end_frame group by all),
+  fa as (select * from al where not exists (select 1 from gt where gt.clip_id = al.clip_id and alert between start_frame and end_frame)),
+  ids as (select distinct clip_id from stream), cnt as (select clip_id, clip_id % 5 dataset, 30.0::double fps,
+    (select count(*) from stream s where s.clip_id = i.clip_id) total_frames, (select count(*) from gt where gt.clip_id = i.clip_id) total_events,
+    (select count(*) from al where al.clip_id = i.clip_id) total_alerts, (select count(*) from ma where ma.clip_id = i.clip_id) matched_events,
+    (select count(*) from fa where fa.clip_id = i.clip_id) false_alarms, (select avg(alert - start_frame) from ma where ma.clip_id = i.clip_id) dm,
+    (select quantile_cont(alert - start_frame, 0.95) from ma where ma.clip_id = i.clip_id) dp from ids i),
+  rt as (select *, matched_events / nullif(total_events, 0) rc, matched_events / nullif(matched_events + false_alarms, 0) pr from cnt)"""
+
+
+def _alerts(s: DataFrame) -> DataFrame:
+    return events.alerts(s, 0.2, 3)
+
+
+@_query(f"+ {_AL} select clip_id, alert from al")
+def alerts(spark, d):
+    return _alerts(views.stream(spark, d))
+
+
+@_query(f"+ {_AL} select clip_id, ord, start_frame, alert, alert - start_frame delay from ma")
+def alert_match(spark, d):
+    s = views.stream(spark, d)
+    return events.match_disjoint(_alerts(s), views.intervals(s).withColumn("ord", F.col("ord").cast("long")))
+
+
+@_query(f"+ {_AL} select clip_id, alert from fa")
+def false_alarms(spark, d):
+    s = views.stream(spark, d)
+    return events.false_alarms(_alerts(s), views.intervals(s))
+
+
+@_query(f"""+ {_AL}, arr as (select clip_id, list_sort(list(distinct alert)) a from al group by 1),
+  ev as (select clip_id, list({{'o': ord, 's': start_frame, 'e': end_frame}} order by ord) e from gt group by 1), j as (select * from arr join ev using (clip_id)),
+  rec as (select clip_id, 0::bigint i, []::bigint[] used, []::struct(x bigint, o bigint, s bigint)[] m from j union all
+    select rec.clip_id, i + 1, case when f is null then used else list_append(used, f.o) end, case when f is null then m else list_append(m, {{'x': a[i + 1], 'o': f.o, 's': f.s}}) end
+    from rec join j using (clip_id), lateral (select list_filter(j.e, lambda v: v.s - 2 <= j.a[rec.i + 1] and j.a[rec.i + 1] <= v.e + 2 and not list_contains(rec.used, v.o))[1] f) where i < len(a)),
+  fin as (select rec.clip_id, unnest(m) x from rec join j using (clip_id) where i = len(a))
+  select clip_id, x.o ord, x.s start_frame, x.x alert, x.x - x.s delay from fin""", recursive=True)
+def alert_match_overlap(spark, d):
+    s = views.stream(spark, d)
+    return events.match(_alerts(s), views.intervals(s), tolerance=2)
+
+
+def _counts(spark, d):
+    s = views.stream(spark, d)
+    clips = s.groupBy("clip_id").agg(F.count("*").alias("total_frames")).withColumns({"dataset": F.col("clip_id") % 5, "fps": F.lit(30.0)})
+    return events.clip_counts(clips, _alerts(s), views.intervals(s), disjoint=True)
+
+
+_EV = """select clip_id, dataset, name, round(value, 6) as value, na_reason from (
+  select clip_id, dataset, unnest([
+   {'name': 'event_recall', 'value': rc, 'na_reason': case when rc is null then 'no event GT available' end},
+   {'name': 'event_precision', 'value': pr, 'na_reason': case when pr is null then 'no alerts fired' end},
+   {'name': 'event_f1', 'value': 2 * rc * pr / nullif(rc + pr, 0), 'na_reason': case when rc is null or pr is null then 'precision or recall undefined' when rc + pr = 0 then 'precision and recall both zero' end},
+   {'name': 'false_alarms', 'value': false_alarms::double, 'na_reason': null}, {'name': 'false_alarms_per_hour', 'value': false_alarms / (total_frames / fps / 3600), 'na_reason': null},
+   {'name': 'detection_delay_mean_frames', 'value': dm, 'na_reason': case when dm is null then 'no event GT available' end},
+   {'name': 'detection_delay_p95_frames', 'value': dp, 'na_reason': case when dm is null then 'no event GT available' end},
+   {'name': 'detection_delay_mean_seconds', 'value': dm / fps, 'na_reason': case when dm is null then 'no event GT available' end},
+   {'name': 'detection_delay_p95_seconds', 'value': dp / fps, 'na_reason': case when dm is null then 'no event GT available' end},
+   {'name': 'total_events', 'value': total_events::double, 'na_reason': null}, {'name': 'matched_events', 'value': matched_events::double, 'na_reason': null},
+   {'name': 'matched_alerts', 'value': matched_events::double, 'na_reason': null}, {'name': 'total_alerts', 'value': total_alerts::double, 'na_reason': null}], recursive := true) from rt)"""
+
+
+@_query(f"+ {_AL} {_EV}")
+def event_metrics_by_clip(spark, d):
+    rows = events.metric_rows(_counts(spark, d))
+    return rows.select("clip_id", "dataset", "name", _r("value").alias("value"), "na_reason")
+
+
+@_query(f"""+ {_AL}, p as (select dataset, sum(total_events) te, sum(total_alerts) ta, sum(matched_events) me, sum(false_alarms) f from cnt group by 1)
+  select dataset, te::bigint total_events, ta::bigint total_alerts, me::bigint matched_events, f::bigint false_alarms, round(me / te, 6) event_recall, round(me / (me + f), 6) event_precision,
+  round(2 * (me / te) * (me / (me + f)) / ((me / te) + (me / (me + f))), 6) event_f1 from p""")
+def event_metrics_pooled(spark, d):
+    p = events.pooled(_counts(spark, d))
+    return p.select("dataset", "total_events", "total_alerts", "matched_events", "false_alarms", *(_r(c).alias(c) for c in ("event_recall", "event_precision", "event_f1")))
+
+
+@_query("""select * from (values ('map_50', null::double, 'no detection ground truth'), ('map_50_95', null, 'no detection ground truth'), ('idf1', null, 'component metric integration pending'),
+  ('mota', null, 'component metric integration pending'), ('hota', null, 'component metric integration pending'), ('pck', null, 'no pose ground truth')) t(name, "value", na_reason)""", plain=True)
+def component_metrics(spark, d):
+    return events.component_rows(spark, tracking=True)
+
+
+# --- classification ----------------------------------------------------------------------------------------------------
+
+
+def _pairs(spark, d):
+    c = views.clips(spark, d).where("y is not null")
+    return c.select("clip_id", "score", "y", scalars.slice_tags(lighting=F.col("lighting"), dataset=F.col("dataset")).alias("tags"))
+
+
+_SL = """lc as (select * from clips where y is not null), sl as (select clip_id, score, y, null tag, null tag_value from lc union all
+  select clip_id, score, y, 'lighting', lighting from lc union all select clip_id, score, y, 'dataset', dataset from lc),
+  cf as (select tag, tag_value, count(*) filter (where y = 1 and score >= 0.5) tp, count(*) filter (where y = 0 and score >= 0.5) fp, count(*) filter (where y = 1 and score < 0.5) fn,
+    count(*) filter (where y = 0 and score < 0.5) tn, count(*) filter (where y = 1) n_positive, count(*) filter (where y = 0) n_negative from sl group by all),
+  rk as (select *, rank() over (partition by tag, tag_value order by score) + (count(*) over (partition by tag, tag_value, score) - 1) / 2.0 r from sl),
+  auc as (select tag, tag_value, (sum(r) filter (where y = 1) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * (count(*) - sum(y)), 0) auc_roc from rk group by all),
+  sc as (select tag, tag_value, score, sum(y) p, count(*) n from sl group by all),
+  cu as (select *, sum(p) over w cp, sum(n) over w cn, sum(p) over (partition by tag, tag_value) ap, sum(n) over (partition by tag, tag_value) an from sc window w as (partition by tag, tag_value order by score desc)),
+  apr as (select tag, tag_value, case when max(ap) > 0 and max(an) > max(ap) then sum(p / ap * (cp / cn)) end auprc from cu group by all)"""
+
+
+@_query("""+ p as (select clip_id from clips where role <> 'debug'), l as (select clip_id from clips where y is not null)
+  select 'unlabeled_prediction' "error", clip_id from p anti join l using (clip_id) union all select 'unpredicted_label', clip_id from l anti join p using (clip_id)""")
+def pair_guard(spark, d):
+    c = views.clips(spark, d)
+    return clf.pairing_errors(c.where("role <> 'debug'"), c.where("y is not null"))
+
+
+@_query(f"+ {_SL} select * from cf")
+def confusion_by_slice(spark, d):
+    return clf.confusion(clf.by_slice(_pairs(spark, d)))
+
+
+@_query(f"""+ {_SL} select tag, tag_value, round((tp + tn) / (tp + fp + fn + tn), 6) accuracy, round(tp / nullif(tp + fp, 0), 6) "precision", round(tp / nullif(n_positive, 0), 6) recall,
+  round(tn / nullif(n_negative, 0), 6) specificity, round(case when tp + fp > 0 and n_positive > 0 then coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) end, 6) f1 from cf""")
+def clf_metrics_by_slice(spark, d):
+    m = clf.metrics(clf.by_slice(_pairs(spark, d)))
+    return m.select("tag", "tag_value", *(_r(c).alias(c) for c in ("accuracy", "precision", "recall", "specificity", "f1")))
+
+
+@_query(f"+ {_SL} select tag, tag_value, round(auc_roc, 6) auc_roc from auc where auc_roc is not null")
+def auc_by_slice(spark, d):
+    return clf.ranking(clf.by_slice(_pairs(spark, d))).select("tag", "tag_value", _r("auc_roc").alias("auc_roc"))
+
+
+@_query(f"+ {_SL} select tag, tag_value, round(auprc, 6) auprc from apr where auprc is not null")
+def auprc_by_slice(spark, d):
+    return clf.ranking(clf.by_slice(_pairs(spark, d))).select("tag", "tag_value", _r("auprc").alias("auprc"))
+
+
+@_query(f"""+ {_SL}, t as (select cf.*, auc_roc, auprc, tp / nullif(tp + fp, 0) pr, tp / nullif(n_positive, 0) rc, tn / nullif(n_negative, 0) sp from cf
+    join auc on cf.tag is not distinct from auc.tag and cf.tag_value is not distinct from auc.tag_value join apr on cf.tag is not distinct from apr.tag and cf.tag_value is not distinct from apr.tag_value),
+  u as (select tag, tag_value, unnest([
+   {{'name': 'accuracy', 'value': (tp + tn) / (n_positive + n_negative), 'na_reason': null}}, {{'name': 'precision', 'value': pr, 'na_reason': case when pr is null then 'no predicted positives in slice' end}},
+   {{'name': 'recall', 'value': rc, 'na_reason': case when rc is null then 'no actual positives in slice' end}}, {{'name': 'specificity', 'value': sp, 'na_reason': case when sp is null then 'no negatives in slice' end}},
+   {{'name': 'f1', 'value': case when pr is not null and rc is not null then coalesce(2 * pr * rc / nullif(pr + rc, 0), 0) end, 'na_reason': case when pr is null or rc is null then 'precision or recall undefined' end}},
+   {{'name': 'auc_roc', 'value': auc_roc, 'na_reason': case when auc_roc is null then 'only one class present in slice' end}}, {{'name': 'auprc', 'value': auprc, 'na_reason': case when auprc is null then 'only one class present in slice' end}},
+   {{'name': 'tn', 'value': tn::double, 'na_reason': null}}, {{'name': 'fp', 'value': fp::double, 'na_reason': null}}, {{'name': 'fn', 'value': fn::double, 'na_reason': null}}, {{'name': 'tp', 'value': tp::double, 'na_reason': null}},
+   {{'name': 'n_positive', 'value': n_positive::double, 'na_reason': null}}, {{'name': 'n_negative', 'value': n_negative::double, 'na_reason': null}}, {{'name': 'total', 'value': (n_positive + n_negative)::double, 'na_reason': null}}], recursive := true) from t)
+  select tag, tag_value, name, round(value, 6) as value, na_reason from u""")
+def metrics_eav(spark, d):
+    rows = clf.metric_rows(clf.metrics(clf.by_slice(_pairs(spark, d))))
+    return rows.select("tag", "tag_value", "name", _r("value").alias("value"), "na_reason")
+
+
+@_query("select clip_id, round(score, 6) score, pos from stream qualify row_number() over (partition by clip_id order by score desc, pos) = 1")
+def maxpool(spark, d):
+    m = clf.max_pool(views.stream(spark, d))
+    return m.select("clip_id", _r("score").alias("score"), "pos")
+
+
+@_query("""+ n as (select count(*) a, count(*) filter (where y = 0) n0, count(*) filter (where y = 1) n1 from clips where y is not null)
+  select 0 as label, n0 n, round(a / (2.0 * greatest(n0, 1)), 6) weight from n union all select 1, n1, round(a / (2.0 * greatest(n1, 1)), 6) from n""")
+def class_weights(spark, d):
+    return clf.class_weights(views.clips(spark, d), F.col("y")).select("label", "n", _r("weight").alias("weight"))
+
+
+# --- examples ----------------------------------------------------------------------------------------------------------
+
+
+@_query("""+ s as (select clip_id, dataset, count(*) over (partition by dataset) n, row_number() over (partition by dataset order by md5('42:' || clip_id), clip_id) r from clips)
+  select clip_id, dataset, case when r <= round_even(n * 0.15, 0) then 'validate' when r <= round_even(n * 0.15, 0) + round_even(n * 0.15, 0) then 'test' else 'train' end as split from s""")
+def stratified_split(spark, d):
+    return examples.stratified_split(views.clips(spark, d), "clip_id", "dataset")
+
+
+@_query("""+ a as (select track_id, list(ord order by ord) l from det group by 1 having count(*) >= 16)
+  select track_id, array_to_string(case when len(l) % 16 = 0 then list_transform(range(0, 16), lambda i: l[i * (len(l) // 16) + 1])
+  else list_transform(range(0, 16), lambda i: l[(round_even(i * (len(l) - 1) / 15, 0) + 1)::bigint]) end, ',') picked from a""")
+def subsample(spark, d):
+    a = views.detections(spark, d).groupBy("track_id").agg(F.sort_array(F.collect_list("ord")).alias("l")).where(F.size("l") >= 16)
+    return a.select("track_id", F.array_join(scalars.subsample(F.col("l"), 16).cast("array<string>"), ",").alias("picked"))
+
+
+_FOLDER = "case p_partkey % 5 when 0 then 'Fall-' when 1 then 'adl-' when 2 then ' fall-' when 3 then 'walk-' else 'ADL-' end || lpad((p_partkey % 97)::varchar, 2, '0') || '-cam' || (p_partkey % 3)::varchar || case when p_partkey % 2 = 0 then '-rgb' else '' end || case when p_partkey % 7 = 0 then ' (1)' else '' end"
+
+
+@_query(f"""select p_partkey, case when n like 'fall-%' then 'fall' else 'no_fall' end as label, string_split(n, '-')[2] as sequence, regexp_extract(n, '-(cam[0-9]+)', 1) camera
+  from (select p_partkey, regexp_replace(lower(trim({_FOLDER})), '\\s+\\(\\d+\\)\\s*$', '') n from part) where n like 'fall-%' or n like 'adl-%'""", plain=True)
+def folder_parse(spark, d):
+    k = F.col("p_partkey")
+    head = F.when(k % 5 == 0, "Fall-").when(k % 5 == 1, "adl-").when(k % 5 == 2, " fall-").when(k % 5 == 3, "walk-").otherwise("ADL-")
+    name = F.concat(head, F.lpad((k % 97).cast("string"), 2, "0"), F.lit("-cam"), (k % 3).cast("string"), F.when(k % 2 == 0, "-rgb").otherwise(""), F.when(k % 7 == 0, " (1)").otherwise(""))
+    p = views.table(spark, d, "part").select("p_partkey", scalars.clip_folder(name).alias("f")).where("f is not null")
+    return p.select("p_partkey", "f.label", "f.sequence", "f.camera")
+
+
+@_query(r"""select folder, name, row_number() over (partition by folder order by num < 0, num, name) - 1 frame_index from (select *,
+  coalesce(try_cast(nullif(regexp_extract(regexp_replace(name, '\.[^.]*$', ''), '([0-9]+)\s*$', 1), '') as bigint), -1) num from (select o_custkey folder,
+  case when o_orderkey % 11 = 0 then 'still.png' else 'frame_' || lpad((o_orderkey % 1000)::varchar, 4, '0') || '.png' end as name from orders))""", plain=True)
+def frame_order(spark, d):
+    o = views.table(spark, d, "orders")
+    name = F.when(F.col("o_orderkey") % 11 == 0, "still.png").otherwise(F.concat(F.lit("frame_"), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 4, "0"), F.lit(".png")))
+    return manifests.order_frames(o.select(F.col("o_custkey").alias("folder"), name.alias("name"))).select("folder", "name", F.col("frame_index").cast("long").alias("frame_index"))
+
+
+@_query("select cast(json_extract(props, '$.k') as bigint) k, count(*) n, round(sum(value), 4) total from events group by 1", plain=True)
+def json_extract(spark, d):
+    e = views.table(spark, d, "events").select(F.from_json("props", "k long")["k"].alias("k"), "value")
+    return e.groupBy("k").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@_query()
+def na_codec(spark, d):
+    """Metric values to JSON and back: rows whose round trip differs (none) and counts."""
+    rows = clf.metric_rows(clf.metrics(clf.by_slice(_pairs(spark, d))))
+    back = rows.withColumn("b", na.decode(na.encode(F.col("value"), F.col("na_reason"), F.col("name"))))
+    same = F.col("value").eqNullSafe(F.col("b.value")) & F.col("na_reason").eqNullSafe(F.col("b.na_reason"))
+    return back.groupBy("name").agg(F.count("*").alias("n"), F.count_if(~same).alias("differ"), F.count("na_reason").alias("not_available"))
+
+
+@_query("""+ g as (select l_orderkey, count(*) n, count(distinct l_linenumber) u, min(l_linenumber) lo, max(l_linenumber) hi, list(distinct l_linenumber) s from lineitem group by 1)
+  select l_orderkey, case when u < n then 'duplicate' when n < 4 then 'missing' when n > 4 then 'length' else 'sequence' end as "error",
+  array_to_string(list_sort(list_filter(range(0, 4), lambda x: not list_contains(s, x))), ',') missing from g where not (u = n and n = 4 and lo = 0 and hi = 3)""")
+def offset_validation(spark, d):
+    e = examples.offset_errors(views.table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", F.lit(4))
+    return e.select("l_orderkey", "error", F.array_join(F.col("missing").cast("array<string>"), ",").alias("missing"))
+
+
+@_query("select conv_id, array_to_string(list_filter([case when count(distinct coalesce(role, '')) > 1 then 'role' end], lambda x: x is not null), ',') \"columns\" from conversations group by 1 having count(distinct coalesce(role, '')) > 1", plain=True)
+def provenance_consistency(spark, d):
+    i = examples.inconsistent(views.table(spark, d, "conversations"), "conv_id", ("role",))
+    return i.select("conv_id", F.array_join("columns", ",").alias("columns"))
+
+
+@_query("""+ r as (select *, row_number() over (partition by y order by clip_id) k from clips where y is not null) select clip_id, y from r where k <= 3""")
+def first_per_class(spark, d):
+    return examples.first_per_class(views.clips(spark, d).where("y is not null"), "y", "clip_id").select("clip_id", "y")
+
+
+@_query("""+ n as (select count(*) c, count(distinct dataset) s from clips) select 'clips' as name, c n, 100 low, 100000000 high, c between 100 and 100000000 ok from n
+  union all select 'datasets', s, 1, 10, s between 1 and 10 from n""")
+def count_guard(spark, d):
+    return examples.count_guard(views.clips(spark, d), {"clips": (F.count("*"), 100, 100_000_000), "datasets": (F.count_distinct("dataset"), 1, 10)})
+
+
+@_query()
+def selftest_auc(spark, d):
+    return selftest.run(selftest.synthetic(spark))
+
+
+@_query("""+ r as (select * from clips where y is not null), s as (select clip_id, y, 'true' tag, score from r)
+  select count(*) n, round(avg(score), 6) mean_score, round(quantile_cont(score, 0.5), 6) median_score, round(quantile_cont(score, 0.95), 6) p95_score from r""")
+def score_percentiles(spark, d):
+    c = views.clips(spark, d).where("y is not null")
+    return c.agg(F.count("*").alias("n"), _r(F.avg("score")).alias("mean_score"), _r(F.percentile("score", F.lit(0.5))).alias("median_score"), _r(F.percentile("score", F.lit(0.95))).alias("p95_score"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
