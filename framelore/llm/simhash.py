@@ -193,17 +193,42 @@ def _meet(bits: int, radius: int, prefix: int, chain: bool):
             pair = pair[np.bitwise_count(fps[pair[:, 0]] ^ fps[pair[:, 1]]) <= radius]
             found.append(np.unique(np.sort(ids[pair], axis=1), axis=0))
         pairs = np.unique(np.concatenate(found), axis=0)
+        if chain and len(pairs):
+            pairs = _closest(pairs, ids, fps, low, key[1], half)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
 
+def _closest(pairs: np.ndarray, ids: np.ndarray, fps: np.ndarray, low: np.uint64, prefix: int, half: int, most: int = 2) -> np.ndarray:
+    """Of the pairs of each record those with the smallest id and with the ``most`` nearest fingerprints.
+
+    A dense group of n records meets at very many variants, each time around another centre.  This leaves a few pairs
+    for each record and table.  A record chooses where the variants have its own prefix: two that differ in at most
+    half the radius of the prefix's bits meet there too, since the other one can flip those; pairs that differ in more
+    are left in any task.
+    """
+    a, b = pairs.T
+    at = np.argsort(ids, kind="stable")
+    fa, fb = (fps[at[np.searchsorted(ids[at], x)]] for x in (a, b))
+    far, split = np.bitwise_count(fa ^ fb), np.bitwise_count((fa ^ fb) & low) > half
+    x, y, far = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((far, far))
+    mine = np.concatenate(((fa & low) == np.uint64(prefix), (fb & low) == np.uint64(prefix))) | np.concatenate((split, split))
+    x, y, far = x[mine], y[mine], far[mine]
+    keep = np.zeros(len(x), bool)
+    for order, count in ((np.lexsort((y, x)), 1), (np.lexsort((y, far, x)), most)):
+        begin = np.flatnonzero(np.r_[True, x[order][1:] != x[order][:-1]]) if len(x) else np.zeros(0, np.int64)
+        rank = np.arange(len(x)) - np.repeat(begin, np.diff(np.r_[begin, len(x)]))
+        keep[order[rank < count]] = True
+    return np.unique(np.sort(np.stack([x[keep], y[keep]], 1), axis=1), axis=0)
+
+
 def ball_pairs(fps: DataFrame, bits: int = 64, radius: int = 4, prefix: int = 9, chain: bool = False) -> DataFrame:
     """Pairs (a, b), a < b, of ids whose fingerprints are within ``radius`` bits in any table, enough to connect all.
 
     fps: rows (id long, fps array<long>) with distinct ids.  Records that meet at one variant are all within the radius
-    of one another, so each such group gives a star around its smallest id (with ``chain`` also the path through it),
-    never all its pairs.  ``radius`` is even.  ``prefix``: bits to deal variants by; raise it with the number of
+    of one another, so each such group gives a star around its smallest id (with ``chain`` also the path through it, of
+    all of which each record keeps a few, see _closest), never all its pairs.  ``radius`` is even.  ``prefix``: bits to deal variants by; raise it with the number of
     fingerprints, for a task holds about that number over 2^prefix / ball(prefix, radius / 2).
     """
     dealt = fps.mapInPandas(_scatter(bits, radius // 2, prefix), "tbl int, prefix long, records binary")
