@@ -29,9 +29,9 @@ BLOCK_BYTES = 4 << 20
 class Index:
     """One block of the benchmark: vocabulary, shingles, and for each item size the Hamming index."""
 
-    def __init__(self, items: list[tuple[int, str | None]], shingle: int, radius: int, blocks: int) -> None:
+    def __init__(self, items: list[tuple[str, str | None]], shingle: int, radius: int, blocks: int) -> None:
         self.n, self.radius = shingle, radius
-        texts: dict[tuple[bytes, ...], list[int]] = defaultdict(list)
+        texts: dict[tuple[bytes, ...], list[str]] = defaultdict(list)
         for item, text in items:
             if words := tuple(words_of(text)):
                 texts[words].append(item)
@@ -94,7 +94,7 @@ class Index:
             if len(hit):
                 yield i, hit
 
-    def search(self, text: str | None, similarity: float) -> list[tuple[int, int, int, float]]:
+    def search(self, text: str | None, similarity: float) -> list[tuple[str, int, int, float]]:
         """(item id, first word, words, similarity) of the best window for each item that the text holds."""
         words, n = words_of(text), self.n
         best: dict[int, tuple[float, int, int]] = {}
@@ -161,7 +161,7 @@ def contaminated(
     one window.  Items that repeat are all reported; so are repeated document rows.  Ids of any type are cast to long.
     """
     spark = docs.sparkSession
-    items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("t"))
+    items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("t"))
     bytes_ = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     count = 1 + bytes_ // block_bytes
     found = []
@@ -179,11 +179,12 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, sent, shingle: int, simil
         index = Index(sent.value, shingle, radius, blocks)
         for pdf in batches:
             out = [(d, *x) for d, t in zip(pdf["id"], pdf["t"]) for x in index.search(t, similarity)]
-            frame = pd.DataFrame(out, columns=["doc_id", "item_id", "start_word", "n_words", "similarity"])
-            yield frame.astype({"doc_id": "Int64", "item_id": "Int64", "start_word": "int64", "n_words": "int64", "similarity": "float64"})
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "start_word", "n_words", "similarity"])
 
-    part = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return part.mapInPandas(run, "doc_id long, item_id long, start_word long, n_words long, similarity double")
+    # ids go as text: pandas would make floating point numbers of them beside a null
+    part = docs.select(docs[f"`{id_col}`"].cast("string").alias("id"), docs[f"`{text_col}`"].alias("t"))
+    out = part.mapInPandas(run, "doc_id string, item_id string, start_word long, n_words long, similarity double")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("doc_id", "item_id")})
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:

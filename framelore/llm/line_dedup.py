@@ -55,5 +55,5 @@ def drop_boilerplate_lines(
     text = F.when(F.col("__bad").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
     left = F.when(F.col("__bad").isNull(), n).otherwise(F.size(kept)).cast("long")
-    columns = [text.alias(text_col) if c == text_col else out[c] for c in out.columns if not c.startswith("__")]
+    columns = [text.alias(text_col) if c == text_col else out[c] for c in out.columns if c not in ("__i", "__h", "__bad")]
     return out.select(*columns, n.alias("n_lines"), (n - left).alias("n_dropped"))

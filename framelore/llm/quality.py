@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelore.llm.common import drop, save
@@ -101,32 +101,26 @@ def train(
     return FTRL(z, n).weights()
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (id_col, *keep, score) for every row of docs: a sparse dot product through the logistic function.
+def scored(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> Column:
+    """The score of a text, as a column: a sparse dot product through the logistic function.
 
-    Null and empty texts get the score of "no text"; ids may be null or repeat.
+    Null and empty texts get the score of "no text".
     """
     sent, bits = docs.sparkSession.sparkContext.broadcast(weights), (len(weights) - 1).bit_length() - 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
         w = sent.value
-        for pdf in batches:
-            out = [w[i] @ v + w[-1] for i, v in (features(t, bits) for t in pdf[text_col])]
-            yield pdf[[id_col, *keep]].assign(score=sigmoid(np.array(out, float)))
+        return pd.Series(sigmoid(np.array([w[i] @ v + w[-1] for i, v in (features(t, bits) for t in texts)], float)))
 
-    types = dict(docs.dtypes)
-    columns = list(dict.fromkeys([id_col, *keep]))
-    schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", score double"
-    return docs.select(*(f"`{c}`" for c in dict.fromkeys([*columns, text_col]))).mapInPandas(run, schema)
+    return run(docs[f"`{text_col}`"])
 
 
-def keep_good(docs: DataFrame, weights: np.ndarray, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is ``least`` or more, columns as they are."""
-    sent, bits = docs.sparkSession.sparkContext.broadcast(weights), (len(weights) - 1).bit_length() - 1
+def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id_col, score) for every row of docs; ids may be null or repeat."""
+    return docs.select(docs[f"`{id_col}`"], scored(docs, weights, text_col).alias("score"))
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        w = sent.value
-        return pd.Series(sigmoid(np.array([w[i] @ v + w[-1] for i, v in (features(t, bits) for t in texts)], float)))
 
-    return docs.where(scored(F.col(text_col)) >= least)
+def keep_good(docs: DataFrame, weights: np.ndarray, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is ``least`` or more, columns as they are."""
+    return docs.where(scored(docs, weights, text_col) >= least)
