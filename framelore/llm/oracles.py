@@ -1,7 +1,38 @@
-"""DuckDB SQL for those queries that SQL can express."""
+"""DuckDB SQL for those queries that SQL can express on whole tables."""
 
 from __future__ import annotations
 
+FIXITY = r"""
+with p as (select page_id, 'pages-' || lpad((page_id // 1000)::varchar, 6, '0') || '.warc' archive, md5(page_id::varchar) h, coalesce(url, '') url, coalesce(html, '') html from pages where page_id is not null),
+r as (select page_id, archive, h, concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Target-URI: ', regexp_replace(url, '[\r\n]', '%0A', 'g'), chr(13), chr(10),
+  'WARC-Date: 2024-01-01T00:00:00Z', chr(13), chr(10), 'WARC-Record-ID: <urn:uuid:', substr(h, 1, 8), '-', substr(h, 9, 4), '-', substr(h, 13, 4), '-', substr(h, 17, 4), '-', substr(h, 21, 12), '>', chr(13), chr(10),
+  'Content-Type: text/html; charset=utf-8', chr(13), chr(10), 'Content-Length: ', strlen(html)::varchar, chr(13), chr(10), chr(13), chr(10), html, chr(13), chr(10), chr(13), chr(10)) rec from p),
+o as (select *, strlen(rec) as length, sum(strlen(rec)) over (partition by archive order by page_id) - strlen(rec) as "offset" from r)
+select archive, "offset"::bigint "offset", length::bigint as length, 'corrupt' kind, sha256(rec) left_sha256, sha256(replace(rec, 'e', '3')) right_sha256
+from o where substr(h, 1, 2) in ('07', '17', '27', '37', '47') and contains(rec, 'e')
+"""
+
+LINES = r"""
+with l as (select doc_id, source, unnest(string_split(text, chr(10))) line, unnest(range(1, len(string_split(text, chr(10))) + 1)) pos from documents where text is not null),
+k as (select *, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) plain from l),
+h as (select source, count(*) n from documents group by 1),
+c as (select source, plain, count(distinct doc_id) pages from k where plain <> '' group by all),
+bad as (select c.source, plain from c join h on c.source is not distinct from h.source where pages >= 5 and pages > 0.1 * n),
+o as (select k.doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (where bad.plain is null), '') as text, count(*) n_lines, count(bad.plain) n_dropped
+  from k left join bad on k.source is not distinct from bad.source and k.plain = bad.plain group by 1)
+select d.doc_id, d.source, o.text, coalesce(n_lines, 0) n_lines, coalesce(n_dropped, 0) n_dropped from documents d left join o on d.doc_id = o.doc_id
+"""
+
+CHAT = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all
+  select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e as (select *, length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|im_start|><|im_sep|><|im_end|>') + 1 n from t)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) loss_sha256, sum(n)::bigint formatted_chars
+from e group by 1
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc_fixity": FIXITY, "op6_line_dedup": LINES, "op10_chat": CHAT}

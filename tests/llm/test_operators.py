@@ -482,3 +482,19 @@ def test_chat_query(spark, data):
         said = "".join(f"{a}\n{b or ''}\n" for a, b in zip(g.role, g.text))
         assert got[conv].turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[conv].n_turns == len(g)
     assert got[-1].loss_chars == len("<|im_end|><|im_start|>assistant ok")
+
+
+# --- SQL ---------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_as_sql(name, spark, data):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
+    got, want = queries.queries()[name](spark, data).toPandas(), con.sql(queries.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    as_rows = lambda f: sorted(tuple(map(str, r)) for r in f[sorted(f.columns)].itertuples(index=False))
+    assert as_rows(got) == as_rows(want)
