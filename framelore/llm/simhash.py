@@ -73,14 +73,32 @@ def simhash_column(shingle: int):
     return simhash
 
 
-def sketch_column(shingle: int, tables: int, bits: int):
-    """A pandas UDF from text to (digest of its words, array of ``tables`` independent fingerprints of ``bits`` bits)."""
+def parity_sketch(unique: np.ndarray, width: int) -> np.ndarray:
+    """Size of a set of hashes, then ``width`` bits: whether the number of hashes in each of as many buckets is odd.
+
+    Two sets differ in at least as many elements as their bits differ (odd sketch, Mitzenmacher et al. 2014).
+    """
+    odd = np.bincount((unique & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.r_[np.uint64(len(unique)), np.packbits(odd.astype(bool), bitorder="little").view("<u8")]
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether pairs of parity sketches can have a Jaccard similarity so high; False proves that the sets have less.
+
+    Sets of similarity s differ in (|A| + |B|) (1 - s) / (1 + s) elements.
+    """
+    least = np.bitwise_count(a[:, 1:] ^ b[:, 1:]).sum(1, dtype=np.int64)
+    return least * (1 + similarity) <= (a[:, 0] + b[:, 0]).astype(np.float64) * (1 - similarity) + 1e-6
+
+
+def sketch_column(shingle: int, tables: int, bits: int, parity: int):
+    """A pandas UDF from text to (digest of its words, ``tables`` independent fingerprints of ``bits`` bits, parity sketch)."""
     need = -(-tables * bits // 64)
     keys = [np.uint64(int.from_bytes(hashlib.sha256(b"table %d" % t).digest()[:8], "little") | 1) for t in range(need)]
 
-    @F.pandas_udf("digest binary, fps array<long>")
+    @F.pandas_udf("digest binary, fps array<long>, odd array<long>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        digests, fps = [], []
+        digests, fps, odd = [], [], []
         for t in texts:
             words = words_of(t)
             h = shingle_hashes(words, shingle)
@@ -88,8 +106,9 @@ def sketch_column(shingle: int, tables: int, bits: int):
             wide = np.zeros((tables, 64), bool)
             wide[:, :bits] = flat
             fps.append(np.packbits(wide, axis=1, bitorder="little").view("<i8").ravel().tolist())
+            odd.append(parity_sketch(np.unique(h), parity).view(np.int64).tolist())
             digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
-        return pd.DataFrame({"digest": digests, "fps": fps})
+        return pd.DataFrame({"digest": digests, "fps": fps, "odd": odd})
 
     return sketch
 
@@ -162,52 +181,61 @@ def _scatter(bits: int, half: int, prefix: int):
             if not len(pdf):
                 continue
             ids, fps = pdf["id"].to_numpy(np.int64), np.array(pdf["fps"].tolist(), np.int64).reshape(len(pdf), -1)
+            more = [np.array(pdf["odd"].tolist(), np.int64).view(np.uint64)] if "odd" in pdf else []
             for t in range(fps.shape[1]):
-                fp = fps[:, t].view(np.uint64) if fps.shape[1] == 1 else np.ascontiguousarray(fps[:, t]).view(np.uint64)
+                fp = np.ascontiguousarray(fps[:, t]).view(np.uint64)
                 m = masks(prefix, half)
                 to = ((fp & low)[:, None] ^ m).ravel().astype(np.int64)
                 order = np.argsort(to, kind="stable")
-                rec = np.stack([ids.view(np.uint64), fp], axis=1)[np.repeat(np.arange(len(fp)), len(m))[order]]
+                rec = np.column_stack([ids.view(np.uint64), fp, *more])[np.repeat(np.arange(len(fp)), len(m))[order]]
                 keys, first = np.unique(to[order], return_index=True)
                 yield pd.DataFrame({"tbl": t, "prefix": keys, "records": [x.tobytes() for x in np.split(rec, first[1:])]})
 
     return run
 
 
-def _meet(bits: int, radius: int, prefix: int, chain: bool):
+def _meet(bits: int, radius: int, prefix: int, chain: bool, parity: int, similarity: float):
     half, low = radius // 2, np.uint64((1 << prefix) - 1)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rec = np.unique(np.frombuffer(b"".join(pdf["records"]), np.uint64).reshape(-1, 2), axis=0)
-        ids, fps = np.ascontiguousarray(rec[:, 0]).view(np.int64), np.ascontiguousarray(rec[:, 1])
+        rec = np.frombuffer(b"".join(pdf["records"]), np.uint64).reshape(-1, 2 + (1 + parity // 64 if parity else 0))
+        rec = rec[np.lexsort((rec[:, 1], rec[:, 0].view(np.int64)))]
+        ids, fps, n = np.ascontiguousarray(rec[:, 0]).view(np.int64), np.ascontiguousarray(rec[:, 1]), np.int64(len(rec))
         left = half - np.bitwise_count((fps & low) ^ np.uint64(key[1])).astype(np.int64)
-        found = [np.zeros((0, 2), np.int64)]
+        found = [np.zeros(0, np.int64)]
         for rows, group in collisions(ids, fps >> np.uint64(prefix), left, bits - prefix):
             begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             size = np.diff(np.r_[begin, len(group)])
-            ends = [np.stack([np.repeat(rows[begin], size), rows], 1)]
+            ends = [np.repeat(rows[begin], size) * n + rows]
             if chain:
-                ends.append(np.stack([rows[:-1], rows[1:]], 1)[group[1:] == group[:-1]])
-            pair = np.concatenate(ends)
-            pair = pair[ids[pair[:, 0]] != ids[pair[:, 1]]]
-            pair = pair[np.bitwise_count(fps[pair[:, 0]] ^ fps[pair[:, 1]]) <= radius]
-            found.append(np.unique(np.sort(ids[pair], axis=1), axis=0))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                ends.append((rows[:-1] * n + rows[1:])[group[1:] == group[:-1]])
+            pair = np.unique(np.concatenate(ends))
+            for i in range(0, len(pair), STEP):
+                a, b = np.divmod(pair[i : i + STEP], n)
+                keep = (ids[a] != ids[b]) & (np.bitwise_count(fps[a] ^ fps[b]) <= radius)
+                if parity:
+                    keep[keep] = may_be_similar(rec[a[keep], 2:], rec[b[keep], 2:], similarity)
+                found.append(pair[i : i + STEP][keep])
+        a, b = np.divmod(np.unique(np.concatenate(found)), n)
+        return pd.DataFrame({"a": ids[a], "b": ids[b]})
 
     return run
 
 
-def ball_pairs(fps: DataFrame, bits: int = 64, radius: int = 4, prefix: int = 9, chain: bool = False) -> DataFrame:
+def ball_pairs(
+    fps: DataFrame, bits: int = 64, radius: int = 4, prefix: int = 9, chain: bool = False, parity: int = 0, similarity: float = 0.0
+) -> DataFrame:
     """Pairs (a, b), a < b, of ids whose fingerprints are within ``radius`` bits in any table, enough to connect all.
 
     fps: rows (id long, fps array<long>) with distinct ids.  Records that meet at one variant are all within the radius
     of one another, so each such group gives a star around its smallest id (with ``chain`` also the path through it),
     never all its pairs.  ``radius`` is even.  ``prefix``: bits to deal variants by; raise it with the number of
-    fingerprints, for a task holds about that number over 2^prefix / ball(prefix, radius / 2).
+    fingerprints, for a task holds about that number over 2^prefix / ball(prefix, radius / 2).  Where fps has a column odd
+    of parity sketches (``parity`` bits each), pairs that they prove to be below ``similarity`` are left out.
     """
+    fps = fps.select("id", "fps", *(["odd"] if parity else []))
     dealt = fps.mapInPandas(_scatter(bits, radius // 2, prefix), "tbl int, prefix long, records binary")
-    return dealt.groupBy("tbl", "prefix").applyInPandas(_meet(bits, radius, prefix, chain), "a long, b long").distinct()
+    return dealt.groupBy("tbl", "prefix").applyInPandas(_meet(bits, radius, prefix, chain, parity, similarity), "a long, b long").distinct()
 
 
 def simhash_components(
@@ -251,23 +279,24 @@ def _jaccard(shingle: int):
 
 def near_duplicate_ids(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-    bits: int = 40, tables: int = 10, radius: int = 4, prefix: int = 5,
+    bits: int = 40, tables: int = 10, radius: int = 4, prefix: int = 5, parity: int = 512,
 ) -> DataFrame:
     """Rows (id_col, component_id, copies) for every distinct id of docs: its near-duplicate group and how often it occurs.
 
     One 64-bit fingerprint of radius 4 misses most pairs at a Jaccard similarity of 0.8, so ``tables`` independent
     fingerprints of ``bits`` bits are hashed the same way; a pair that meets in any of them is verified exactly on
-    the sets of its ``shingle``-word shingles.  Texts of equal words are one class and are never paired.  Null text is
+    the sets of its ``shingle``-word shingles, unless its parity sketches (``parity`` bits, a power of two of at least 64)
+    already prove it less similar: in a dense group most pairs that meet are.  Texts of equal words are one class and are never paired.  Null text is
     empty; empty texts are copies of each other.  Rows with null id are left out.
     """
     base = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), sketch_column(shingle, tables, bits)(F.col(text_col)).alias("s")
+        F.col(id_col).cast("long").alias("id"), sketch_column(shingle, tables, bits, parity)(F.col(text_col)).alias("s")
     )
-    base = save(base.select("id", "s.digest", "s.fps"), "sketch")
+    base = save(base.select("id", "s.digest", "s.fps", "s.odd"), "sketch")
     classes = base.groupBy("digest").agg(F.min("id").alias("rep"))
     mine = base.join(classes, "digest").select("id", "rep")
-    reps = base.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"]).select("id", "fps").dropDuplicates(["id"])
-    pairs = save(ball_pairs(reps, bits, radius, prefix, chain=True), "pairs")
+    reps = base.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"]).select("id", "fps", "odd").dropDuplicates(["id"])
+    pairs = save(ball_pairs(reps, bits, radius, prefix, True, parity, similarity), "pairs")
     shingles, jaccard = _jaccard(shingle)
     ends = pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(ends, id_col, "left_semi").dropDuplicates([id_col])
