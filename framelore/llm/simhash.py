@@ -73,13 +73,21 @@ def simhash_column(shingle: int):
     return simhash
 
 
+#: The lowest bits of a parity sketch hold the size of its set; a size that does not fit them rules nothing out.
+SIZE_BITS = 24
+MOST = (1 << SIZE_BITS) - 1
+
+
 def parity_sketch(unique: np.ndarray, width: int) -> np.ndarray:
-    """Size of a set of hashes, then ``width`` bits: whether the number of hashes in each of as many buckets is odd.
+    """``width`` bits as words: a set's size, then for each of the other bits whether an odd number of hashes falls on it.
 
-    Two sets differ in at least as many elements as their bits differ (odd sketch, Mitzenmacher et al. 2014).
+    Two sets differ in at least as many elements as their odd bits differ (odd sketch, Mitzenmacher et al. 2014).
     """
-    odd = np.bincount((unique & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-    return np.r_[np.uint64(len(unique)), np.packbits(odd.astype(bool), bitorder="little").view("<u8")]
+    at = (unique % np.uint64(width - SIZE_BITS)).astype(np.int64)
+    odd = np.r_[np.zeros(SIZE_BITS, bool), (np.bincount(at, minlength=width - SIZE_BITS) & 1).astype(bool)]
+    out = np.packbits(odd, bitorder="little").view("<u8").copy()
+    out[0] |= np.uint64(min(len(unique), MOST))
+    return out
 
 
 def may_be_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
@@ -87,8 +95,11 @@ def may_be_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarra
 
     Sets of similarity s differ in (|A| + |B|) (1 - s) / (1 + s) elements.
     """
-    least = np.bitwise_count(a[:, 1:] ^ b[:, 1:]).sum(1, dtype=np.int64)
-    return least * (1 + similarity) <= (a[:, 0] + b[:, 0]).astype(np.float64) * (1 - similarity) + 1e-6
+    differ, n, m = a ^ b, a[:, 0] & np.uint64(MOST), b[:, 0] & np.uint64(MOST)
+    differ[:, 0] >>= np.uint64(SIZE_BITS)
+    least = np.bitwise_count(differ).sum(1, dtype=np.int64)
+    maybe = least * (1 + similarity) <= (n + m).astype(np.float64) * (1 - similarity) + 1e-6
+    return maybe | (np.maximum(n, m) == MOST)
 
 
 def sketch_column(shingle: int, tables: int, bits: int, parity: int):
@@ -198,7 +209,7 @@ def _meet(bits: int, radius: int, prefix: int, chain: bool, parity: int, similar
     half, low = radius // 2, np.uint64((1 << prefix) - 1)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rec = np.frombuffer(b"".join(pdf["records"]), np.uint64).reshape(-1, 2 + (1 + parity // 64 if parity else 0))
+        rec = np.frombuffer(b"".join(pdf["records"]), np.uint64).reshape(-1, 2 + parity // 64)
         rec = rec[np.lexsort((rec[:, 1], rec[:, 0].view(np.int64)))]
         ids, fps, n = np.ascontiguousarray(rec[:, 0]).view(np.int64), np.ascontiguousarray(rec[:, 1]), np.int64(len(rec))
         left = half - np.bitwise_count((fps & low) ^ np.uint64(key[1])).astype(np.int64)
@@ -279,13 +290,13 @@ def _jaccard(shingle: int):
 
 def near_duplicate_ids(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-    bits: int = 40, tables: int = 10, radius: int = 4, prefix: int = 5, parity: int = 512,
+    bits: int = 40, tables: int = 10, radius: int = 4, prefix: int = 4, parity: int = 384,
 ) -> DataFrame:
     """Rows (id_col, component_id, copies) for every distinct id of docs: its near-duplicate group and how often it occurs.
 
     One 64-bit fingerprint of radius 4 misses most pairs at a Jaccard similarity of 0.8, so ``tables`` independent
     fingerprints of ``bits`` bits are hashed the same way; a pair that meets in any of them is verified exactly on
-    the sets of its ``shingle``-word shingles, unless its parity sketches (``parity`` bits, a power of two of at least 64)
+    the sets of its ``shingle``-word shingles, unless its parity sketches (``parity`` bits, a multiple of 64)
     already prove it less similar: in a dense group most pairs that meet are.  Texts of equal words are one class and are never paired.  Null text is
     empty; empty texts are copies of each other.  Rows with null id are left out.
     """
