@@ -249,6 +249,142 @@ def ball_pairs(
     return dealt.groupBy("tbl", "prefix").applyInPandas(_meet(bits, radius, prefix, chain, parity, similarity), "a long, b long").distinct()
 
 
+def _forest(fps: np.ndarray, odd: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the components of the records within ``radius`` whose parity sketches don't rule the pair out."""
+    ends, queue, todo = [np.zeros((2, 0), np.int64)], [], np.arange(len(fps))
+    while queue or len(todo):
+        if not queue:
+            queue, todo = [todo[0]], todo[1:]
+        x = queue.pop()
+        hit = np.bitwise_count(fps[todo] ^ fps[x]) <= radius
+        hit[hit] = may_be_similar(odd[todo[hit]], odd[x][None], similarity)
+        ends.append(np.stack((np.full(hit.sum(), x), todo[hit])))
+        queue.extend(todo[hit].tolist())
+        todo = todo[~hit]
+    return tuple(np.concatenate(ends, axis=1))
+
+
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of 0..n-1 that each of them is connected with by edges (a, b)."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, label[a], least)
+        np.minimum.at(after, label[b], least)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
+
+
+#: A variant where so many records meet is dense: its pairs are tested by blocks, not listed.
+DENSE = 4
+
+
+def _candidates(bits: int, radius: int, prefix: int, parity: int, similarity: float):
+    half, low = radius // 2, np.uint64((1 << prefix) - 1)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rec = np.frombuffer(b"".join(pdf["records"]), np.uint64).reshape(-1, 2 + parity // 64)
+        rec = rec[np.lexsort((rec[:, 1], rec[:, 0].view(np.int64)))]
+        ids, fps, n = np.ascontiguousarray(rec[:, 0]).view(np.int64), np.ascontiguousarray(rec[:, 1]), np.int64(len(rec))
+        left = half - np.bitwise_count((fps & low) ^ np.uint64(key[1])).astype(np.int64)
+        few, star = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for rows, group in collisions(ids, fps >> np.uint64(prefix), left, bits - prefix):
+            begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            size = np.diff(np.r_[begin, len(group)])
+            first, dense = np.repeat(rows[begin], size) * n + rows, np.repeat(size >= DENSE, size)
+            path = (group[1:] == group[:-1]) & ~dense[1:]
+            star.append(np.unique(first[dense]))
+            # below four records the star and the path are all pairs
+            few.append(np.unique(np.concatenate((first[~dense], rows[:-1][path] * n + rows[1:][path]))))
+        group = _labels(int(n), *np.divmod(np.unique(np.concatenate(star)), n))
+        order = np.argsort(group, kind="stable")
+        order = order[np.bincount(group)[group[order]] > 1]
+        spans = []
+        for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            if len(own):
+                spans.append(own[np.stack(_forest(fps[own], rec[own, 2:], radius, similarity))])
+        a, b = np.concatenate([np.zeros((2, 0), np.int64), *spans], axis=1)
+        label = _labels(int(n), a, b)
+        x, y = np.divmod(np.unique(np.concatenate(few)), n)
+        keep = label[x] != label[y]
+        keep[keep] = may_be_similar(rec[x[keep], 2:], rec[y[keep], 2:], similarity)
+        a, b, dense = np.r_[a, x[keep]], np.r_[b, y[keep]], np.r_[np.ones(len(a), bool), np.zeros(keep.sum(), bool)]
+        return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "dense": dense})
+
+    return run
+
+
+def candidate_edges(fps: DataFrame, bits: int, radius: int, prefix: int, parity: int, similarity: float) -> DataFrame:
+    """Edges (a, b, dense), a < b, that cover each pair which meets in a table and may reach the similarity.
+
+    Such a pair is an edge itself, or its records are connected by dense edges: where four or more records meet at one
+    variant, a task gives only a spanning forest of those that may be similar, so edges grow with the records.  Not all
+    pairs that dense edges connect are edges: dense_links() tests them.  fps: rows (id, fps, odd) as for ball_pairs().
+    """
+    dealt = fps.select("id", "fps", "odd").mapInPandas(_scatter(bits, radius // 2, prefix), "tbl int, prefix long, records binary")
+    edges = dealt.groupBy("tbl", "prefix").applyInPandas(_candidates(bits, radius, prefix, parity, similarity), "a long, b long, dense boolean")
+    return edges.groupBy("a", "b").agg(F.max("dense").alias("dense"))
+
+
+#: Most records and bytes of shingle sets in a block of a dense cluster, columns of a block's matrix: they bound memory, not results.
+BLOCK, BLOCK_BYTES, COLUMNS = 512, 1 << 22, 4096
+
+
+def _shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets a with sets b, exactly: a row for each of a, a column for each of b."""
+    values, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    column = np.cumsum(count > 1) - 1
+    row, at = row[count[at] > 1], column[at[count[at] > 1]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    total = np.zeros((len(a), len(b)), np.int64)
+    for c in range(0, int((count > 1).sum()), COLUMNS):
+        i, j = np.searchsorted(at, (c, c + COLUMNS))
+        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[row[i:j], at[i:j] - c] = 1
+        total += (x[a] @ x[b].T).astype(np.int64)
+    return total
+
+
+def _test_tile(similarity: float):
+    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        roots, root = np.unique(pdf["root"].to_numpy(np.int64), return_inverse=True)
+        if len(roots) < 2:
+            return none
+        sets, block = [np.frombuffer(x, np.uint64) for x in pdf["set"]], pdf["block"].to_numpy()
+        a, b = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
+        size = np.array([len(s) for s in sets])
+        both = _shared(sets, a, b)
+        linked = both / np.maximum(1, size[a][:, None] + size[b] - both) >= similarity
+        i, j = np.nonzero(linked & (root[a][:, None] != root[b]))
+        label = _labels(len(roots), root[a][i], root[b][j])
+        own = np.flatnonzero(label != np.arange(len(roots)))
+        return pd.DataFrame({"a": roots[label[own]], "b": roots[own]})
+
+    return run
+
+
+def dense_links(members: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) of roots that connect all roots of a cluster which hold records of so high a Jaccard similarity.
+
+    members: rows (cluster, id, root, set).  Every two records of a cluster with different roots are compared exactly, in
+    tiles of two blocks; a tile gives a spanning forest, never its pairs.  Clusters with one root have nothing to test.
+    """
+    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("set")) / BLOCK_BYTES))
+    open_ = members.groupBy("cluster").agg(size.alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    rows = members.join(open_.select("cluster", "n"), "cluster").withColumn("block", F.expr("pmod(xxhash64(id), n)"))
+    tiles = rows.select("cluster", "root", "set", "block", F.explode(F.expr("sequence(0L, n - 1)")).alias("with")).select(
+        "cluster", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "root", "set", "block"
+    )
+    return tiles.groupBy("cluster", "p", "q").applyInPandas(_test_tile(similarity), "a long, b long").distinct()
+
+
 def simhash_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, prefix: int = 9
 ) -> DataFrame:
@@ -307,7 +443,8 @@ def near_duplicate_ids(
     classes = base.groupBy("digest").agg(F.min("id").alias("rep"))
     mine = base.join(classes, "digest").select("id", "rep")
     reps = base.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"]).select("id", "fps", "odd").dropDuplicates(["id"])
-    pairs = save(ball_pairs(reps, bits, radius, prefix, True, parity, similarity), "pairs")
+    edges = save(candidate_edges(reps, bits, radius, prefix, parity, similarity), "pairs")
+    pairs = edges.select("a", "b")
     shingles, jaccard = _jaccard(shingle)
     ends = pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(ends, id_col, "left_semi").dropDuplicates([id_col])
@@ -316,7 +453,12 @@ def near_duplicate_ids(
         pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where(jaccard("x", "y") >= similarity).select("a", "b")
     )
     own = mine.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    roots = connected_components(links.union(own))
+    roots = save(connected_components(links.union(own)), "roots")
+    clusters = connected_components(edges.where("dense").select("a", "b")).toDF("id", "cluster")
+    members = clusters.join(sets, "id").join(roots.toDF("id", "root"), "id", "left").select("cluster", "id", F.coalesce("root", "id").alias("root"), "set")
+    more = connected_components(dense_links(save(members, "members"), similarity)).toDF("root", "top")
+    alone = more.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select("root", "top")
+    roots = roots.join(more, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(alone)
     counts = base.groupBy("id").agg(F.count("*").alias("copies"))
     return counts.join(roots, counts["id"] == roots["node"], "left").select(
         F.col("id").alias(id_col), F.coalesce("root", "id").alias("component_id"), "copies"

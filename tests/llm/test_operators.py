@@ -208,6 +208,40 @@ def test_parity_sketches_lose_no_near_duplicate_of_a_dense_group(spark):
     assert len(some) < 0.7 * len(every) and links(some) == links(every)
 
 
+def test_dense_family_below_the_similarity_loses_no_link(spark):
+    rng = random.Random(4)
+    base, rows = [f"g{i}" for i in range(300)], []
+
+    def change(words, n):
+        words = list(words)
+        for at in rng.sample(range(0, 300, 5), n):
+            words[at] = f"x{rng.randrange(10**9)}"
+        return words
+
+    family = [change(base, 4) for _ in range(2000)]
+    family += [change(rng.choice(family), 5) for _ in range(200)]
+    rng.shuffle(family)
+    rows = [(i, " ".join(words)) for i, words in enumerate(family)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    n, sketch = len(rows), simhash.sketch_column(5, 10, 40, 384)("text")
+    fps = np.array([r.fps for r in d.select("doc_id", sketch.alias("s")).orderBy("doc_id").select("s.fps").collect()], np.int64).view(np.uint64)
+    meet = np.zeros((n, n), bool)
+    for t in range(10):
+        meet |= np.bitwise_count(fps[:, t, None] ^ fps[None, :, t]) <= 4
+    sets = [np.unique(simhash.shingle_hashes(simhash.words_of(t), 5)) for _, t in rows]
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    matrix = np.zeros((n, at.max() + 1), np.float32)
+    matrix[np.repeat(np.arange(n), [len(s) for s in sets]), at] = 1
+    both = matrix @ matrix.T
+    size = np.array([len(s) for s in sets])
+    near = np.triu(both >= 0.8 * (size[:, None] + size - both), 1)
+    assert near.sum() < 0.02 * n * n and (near & meet).sum() > 150
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_ids(d).collect()}
+    assert not [(i, j) for i, j in np.argwhere(near & meet).tolist() if got[i] != got[j]]
+    true = components(range(n), np.argwhere(near).tolist())
+    assert all(true[i] == true[c] for i, c in got.items())
+
+
 def test_deduplicate_keeps_one_of_each_group(spark, hard, empty):
     got = simhash.deduplicate(hard)
     assert got.columns == hard.columns
