@@ -103,7 +103,10 @@ def may_be_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarra
 
 
 def sketch_column(shingle: int, tables: int, bits: int, parity: int):
-    """A pandas UDF from text to (digest of its words, ``tables`` independent fingerprints of ``bits`` bits, parity sketch)."""
+    """A pandas UDF from text to (digest of its words, ``tables`` independent fingerprints of ``bits`` bits, parity sketch).
+
+    Fingerprints and sketch are of the set of shingles, which similarity is measured on: repeats count once.
+    """
     need = -(-tables * bits // 64)
     keys = [np.uint64(int.from_bytes(hashlib.sha256(b"table %d" % t).digest()[:8], "little") | 1) for t in range(need)]
 
@@ -112,12 +115,12 @@ def sketch_column(shingle: int, tables: int, bits: int, parity: int):
         digests, fps, odd = [], [], []
         for t in texts:
             words = words_of(t)
-            h = shingle_hashes(words, shingle)
+            h = np.unique(shingle_hashes(words, shingle))
             flat = np.concatenate([2 * bit_counts(_mix(h, k)) > len(h) for k in keys])[: tables * bits].reshape(tables, bits)
             wide = np.zeros((tables, 64), bool)
             wide[:, :bits] = flat
             fps.append(np.packbits(wide, axis=1, bitorder="little").view("<i8").ravel().tolist())
-            odd.append(parity_sketch(np.unique(h), parity).view(np.int64).tolist())
+            odd.append(parity_sketch(h, parity).view(np.int64).tolist())
             digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
         return pd.DataFrame({"digest": digests, "fps": fps, "odd": odd})
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -242,6 +243,20 @@ def test_dense_family_below_the_similarity_loses_no_link(spark):
     assert all(true[i] == true[c] for i, c in got.items())
 
 
+@pytest.mark.parametrize("repeats", [2, 5, 10])
+def test_repeated_passages_do_not_move_fingerprints(spark, repeats):
+    rng = random.Random(repeats)
+    texts = []
+    for k in range(40):
+        words = [f"w{k}_{i}" for i in range(204)]
+        at = rng.randrange(180)
+        texts += [" ".join(words), " ".join(words[:at] + words[at : at + 20] * (1 + repeats) + words[at + 20 :])]
+    a, b = (set(simhash.shingle_hashes(simhash.words_of(t), 5).tolist()) for t in texts[:2])
+    assert len(a & b) >= 0.95 * len(a | b)
+    fps = np.array(simhash.sketch_column(5, 10, 40, 384).func(pd.Series(texts))["fps"].tolist(), np.int64).view(np.uint64)
+    assert (np.bitwise_count(fps[::2] ^ fps[1::2]) <= 4).any(1).sum() >= 39
+
+
 def test_deduplicate_keeps_one_of_each_group(spark, hard, empty):
     got = simhash.deduplicate(hard)
     assert got.columns == hard.columns
