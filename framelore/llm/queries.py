@@ -33,20 +33,27 @@ PAGES, DAMAGED = 1000, ("07", "17", "27", "37", "47")
 
 
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages laid out as WARC archives against a replica in which records were damaged in place; where they differ."""
-    pages = table(spark, sf_dir, "pages").where("page_id is not null")
+    """Pages laid out as WARC archives against a replica in which records were damaged in place; where they differ.
+
+    Every record of either side is hashed from its own bytes.  Pages with null id lie in archives of their own.
+    """
+    pages = table(spark, sf_dir, "pages")
     record = warc.warc_record(F.col("url"), F.col("html"), warc.record_uuid(F.col("page_id")), F.lit("2024-01-01T00:00:00Z"))
-    name = F.format_string("pages-%06d.warc", F.floor(F.col("page_id") / PAGES))
-    records = pages.select("page_id", name.alias("archive"), record.alias("record"))
+    content = F.xxhash64("url", "html")
+    name = F.when(F.col("page_id").isNull(), F.format_string("pages-null-%04d.warc", F.pmod(content, F.lit(4096)))).otherwise(
+        F.format_string("pages-%06d.warc", F.floor(F.col("page_id") / PAGES))
+    )
+    records = pages.select("page_id", F.coalesce("page_id", content).alias("place"), name.alias("archive"), record.alias("record"))
     flipped = F.encode(F.translate(F.decode("record", "UTF-8"), "e", "3"), "UTF-8")
     bad = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2).isin(*DAMAGED)
+    replica = F.when(bad, flipped).otherwise(F.col("record"))
     hashed = records.select(
-        "page_id", "archive", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("sha256"),
-        F.when(bad, F.sha2(flipped, 256)).alias("other"),
+        "place", "archive", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("sha256"),
+        F.octet_length(replica).cast("long").alias("replica_length"), F.sha2(replica, 256).alias("replica_sha256"),
     )
-    both = warc.lay_out(hashed, "page_id")
-    left = both.select("archive", "offset", "length", "sha256")
-    return warc.audit(left, both.select("archive", "offset", "length", F.coalesce("other", "sha256").alias("sha256")))
+    both = warc.lay_out(hashed, "place")
+    right = both.select("archive", "offset", F.col("replica_length").alias("length"), F.col("replica_sha256").alias("sha256"))
+    return warc.audit(both.select("archive", "offset", "length", "sha256"), right)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

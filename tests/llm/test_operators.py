@@ -286,6 +286,19 @@ def test_warc_round_trip_and_audit(spark, tmp_path):
     assert warc.audit(one.limit(0), one.limit(0)).count() == 0
 
 
+def test_fixity_audits_every_record_of_both_sides(spark, tmp_path, monkeypatch):
+    rows = [(i, f"http://h/{i}", f"<p>e{i}</p>") for i in range(120)] + [(None, f"http://n/{i}", "<p>e</p>") for i in range(9)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    sides = []
+    audit = warc.audit
+    monkeypatch.setattr(warc, "audit", lambda left, right: sides.extend((left, right)) or audit(left, right))
+    bad = [i for i in range(120) if hashlib.md5(str(i).encode()).hexdigest()[:2] in queries.DAMAGED]
+    assert queries.op3_warc_fixity(spark, str(tmp_path)).count() == len(bad)
+    left, right = sides
+    assert left.count() == right.count() == 129 and left.where("archive like 'pages-null-%'").count() == 9
+    assert right.where("sha256 is null").count() == 0
+
+
 def test_broken_archives():
     good = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert [(o, n) for o, n, _, _ in warc.parse_warc(good * 2 + b"WARC/1.1\r\nrubbish")] == [(0, len(good)), (len(good), len(good)), (2 * len(good), 17)]
