@@ -79,7 +79,7 @@ def parse_annotation(text: Column) -> tuple[Column, Column]:
         return F.struct(*(g(i).alias(n) for i, n in enumerate(names)), present.alias("present"), wrong.alias("error"))
 
     event = F.struct(F.when(good, a).alias("start"), F.when(good, b).alias("end"), error.alias("error"))
-    return event, F.transform(F.slice(lines, 3, 1 << 20), detection)
+    return event, F.transform(F.slice(lines, 3, 1 << 30), detection)
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

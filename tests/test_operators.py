@@ -178,6 +178,12 @@ def test_annotations(spark, text, event, errors):
         assert [x.present for x in got.d] == [True, False]
 
 
+def test_long_annotations_are_not_cut(spark):
+    n = (1 << 20) + 5
+    text = F.concat(F.lit("0\n0\n"), F.repeat(F.lit("1,1,0,0,0,0\n"), n))
+    assert spark.range(1).select(text.alias("t")).select(F.size(manifests.parse_annotation(F.col("t"))[1]).alias("n")).first().n == n
+
+
 def test_label_lines(spark, tmp_path):
     (tmp_path / "l.csv").write_text("fall-01,1,-1\nfall-01,2,0\nfall-01,2,1\nx\n,3,0\nfall-01,z,0\nfall-01,0,0\nfall-01,4,7\n\n")
     lines = manifests.read_label_lines(spark, str(tmp_path))
