@@ -52,11 +52,16 @@ GOOD_NAME = re.compile(
     r"story|story-?body|maincontent|body-?text|text)(?:$|[-_ ])",
     re.I,
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Where a tag, an end tag, a comment or a declaration begins.
+OPENING = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+UNQUOTED = re.compile(r"[^>\"']*")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-#: A paragraph tag is closed by these; so is a list item by the next one, and so on.
+#: A paragraph tag is closed by these; so is a list item by the next one, and so on, up to the elements they are parts of.
 CLOSES_P = BLOCK - frozenset("body html head option optgroup".split())
+HOLDS_P = "article main section div td table blockquote aside body".split()
 SAME = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
+HOLDS_SAME = "ul ol dl table select".split()
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 GOOD, BAD, UNSURE = 1, -1, 0
 
@@ -84,91 +89,190 @@ def _kind(tag: str, attrs: dict[str, str], inside: bool) -> int:
 
 
 class _Blocks:
-    """Collects the blocks of one page: (text, characters in links, standing, heading)."""
+    """Collects the blocks of one page: [text, characters in links, standing, heading].
+
+    The stack of open elements is kept with counts and with the places of each tag, so that no step walks through it.
+    """
 
     def __init__(self) -> None:
-        self.done: list[tuple[str, int, int, bool]] = []
-        self.open: list[tuple[str, int]] = []  # tag, kind
+        self.done: list[list] = []
+        self.open: list[tuple] = []  # tag, kind, then for inline elements where they begin
+        self.places: dict[str, list[int]] = {}
+        self.block_places: list[int] = []
+        self.bad = self.good = self.heading = 0
         self.parts: list[str] = []
-        self.linked = self.link = 0
-
-    def standing(self) -> int:
-        kinds = [k for _, k in self.open]
-        return BAD if BAD in kinds else GOOD if GOOD in kinds else UNSURE
+        self.linked = 0
+        self.pending: list[tuple[int, int]] = []  # block and characters in the open link, counted once it is closed
+        self.dropped: list[tuple[int, int]] = []  # ranges of blocks in inline boilerplate
 
     def cut(self) -> None:
         text = " ".join(unescape("".join(self.parts)).split())
         if text:
-            heading = any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _ in self.open)
-            self.done.append((text, self.linked, self.standing(), heading))
+            self.done.append([text, self.linked, BAD if self.bad else GOOD if self.good else UNSURE, self.heading > 0])
         self.parts, self.linked = [], 0
 
     def text(self, raw: str) -> None:
         self.parts.append(raw)
-        if self.link:
-            self.linked += len(raw.strip())
+        if self.places.get("a"):
+            self.pending.append((len(self.done), len(raw.strip())))
+
+    def push(self, tag: str, kind: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCK:
+            self.block_places.append(len(self.open))
+            self.bad += kind == BAD
+            self.good += kind == GOOD
+            self.heading += tag in HEADING
+            self.open.append((tag, kind))
+        else:
+            first = len(self.done) + any(p.strip() for p in self.parts) if kind == BAD else 0
+            self.open.append((tag, kind, first, len(self.done), len(self.parts), self.linked, len(self.pending)))
+
+    def pop_to(self, place: int) -> None:
+        while len(self.open) > place:
+            tag, kind, *_ = self.open.pop()
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.block_places.pop()
+                self.bad -= kind == BAD
+                self.good -= kind == GOOD
+                self.heading -= tag in HEADING
+            elif tag == "a" and not self.places["a"]:
+                self.pending = []
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def close(self, tag: str, stops=()) -> None:
+        place = self.last((tag,))
+        if place >= 0 and place > self.last(stops):
+            self.pop_to(place)
 
     def start(self, tag: str, raw: str) -> None:
         if tag in BLOCK:
             self.cut()
             if tag in CLOSES_P:
-                self.close("p", ("article", "main", "section", "div", "td", "table", "blockquote", "aside", "body"))
+                self.close("p", HOLDS_P)
             if tag in SAME:
                 for other in SAME[tag].split():
-                    self.close(other, ("ul", "ol", "dl", "table", "select"))
+                    self.close(other, HOLDS_SAME)
         elif tag == "br":
             self.parts.append(" ")
-        if tag == "a":
-            self.link = 1
+        elif tag == "a":
+            self.close("a", ())
         if tag in VOID or raw.endswith("/") and tag not in BLOCK:
             return
-        if tag in BLOCK or tag in ("span", "a", "button", "label"):
-            self.open.append((tag, _kind(tag, _attributes(raw), any(k == GOOD for _, k in self.open))))
-
-    def close(self, tag: str, stop: tuple[str, ...] = ()) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-            if self.open[i][0] in stop:
-                return
+        self.push(tag, _kind(tag, _attributes(raw), self.good > 0))
 
     def end(self, tag: str) -> None:
         if tag in BLOCK:
             self.cut()
-        if tag == "a":
-            self.link = 0
-        if tag in BLOCK or tag in ("span", "a", "button", "label"):
             self.close(tag, ("body",) if tag not in ("body", "html") else ())
+        elif self.last((tag,)) > (self.block_places[-1] if self.block_places else -1):
+            self.end_inline(self.last((tag,)))
+
+    def end_inline(self, place: int) -> None:
+        """An inline element is closed by its own end tag: only now its characters are a link's or boilerplate.
+
+        One that is never closed says nothing, so that no paragraph is lost with it.
+        """
+        tag, kind, first, block, part, linked, pending = self.open[place]
+        if tag == "a":
+            for at, n in self.pending:
+                if at < len(self.done):
+                    self.done[at][1] += n
+                else:
+                    self.linked += n
+            self.pending = []
+        if kind == BAD:
+            del self.pending[pending:]
+            if block == len(self.done) and part <= len(self.parts):
+                self.linked = linked
+                del self.parts[part:]
+            else:
+                self.dropped.append((first, len(self.done)))
+                self.parts, self.linked = [], 0
+        self.pop_to(place)
+
+    def result(self) -> list[tuple[str, int, int, bool]]:
+        self.cut()
+        depth = [0] * (len(self.done) + 1)
+        for first, end in self.dropped:
+            if first < end:
+                depth[first] += 1
+                depth[end] -= 1
+        out, inside = [], 0
+        for (text, linked, standing, heading), change in zip(self.done, depth):
+            inside += change
+            out.append((text, linked, BAD if inside else standing, heading))
+        return out
+
+
+def _tag_end(html: str, at: int) -> int:
+    """Where the tag whose name ends at ``at`` ends: at the first > that no quoted value holds; -1: nowhere."""
+    end = html.find(">", at)
+    if end < 0 or '"' not in html[at:end] and "'" not in html[at:end]:
+        return end
+    i = at
+    while True:
+        i = UNQUOTED.match(html, i).end()
+        if i >= len(html):
+            return -1
+        if html[i] == ">":
+            return i
+        before = i - 1
+        while html[before].isspace():
+            before -= 1
+        if html[before] == "=":
+            i = html.find(html[i], i + 1)
+            if i < 0:
+                return -1
+        i += 1
 
 
 def blocks(html: str) -> list[tuple[str, int, int, bool]]:
-    out, at = _Blocks(), 0
-    lower = None
-    while m := TOKEN.search(html, at):
-        if m.start() > at:
-            out.text(html[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    """The blocks of a page in page order, in time that grows with its length whatever is broken in it.
+
+    A quoted value that is never closed ends the search for quotes: from there on tags end at the first >.
+    """
+    out, at, read = _Blocks(), 0, 0
+    lower, absent, quotes = None, set(), True
+    while m := OPENING.search(html, at):
+        comment, data, other, slash, name = m.groups()
+        if comment or data or other:
+            ending = "-->" if comment else "]]>" if data else ">"
+            end = html.find(ending, m.end())
+            end = len(html) if end < 0 else end + len(ending)
+            tag = raw = ""
+        else:
+            close = _tag_end(html, m.end()) if quotes else html.find(">", m.end())
+            if close < 0 and quotes:
+                quotes, close = False, html.find(">", m.end())
+            if close < 0:
+                break
+            tag, raw, end = name.lower(), html[m.end() : close], close + 1
+        if m.start() > read:
+            out.text(html[read : m.start()])
+        at = read = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if slash:
             out.end(tag)
-        elif tag in RAW and not m[3].endswith("/"):
+        elif tag in RAW and not raw.endswith("/"):
             if tag == "head":
                 out.cut()
                 continue
             lower = lower if lower is not None else _ascii_lower(html)
-            end = lower.find(f"</{tag}", at)
+            end = -1 if tag in absent else lower.find(f"</{tag}", at)
+            if end < 0:
+                absent.add(tag)
             if tag in ("title", "textarea", "script", "style") or end >= 0:
-                out.cut() if tag in BLOCK else None
                 close = html.find(">", end) if end >= 0 else -1
-                at = close + 1 if close >= 0 else len(html)
+                at = read = close + 1 if close >= 0 else len(html)
         else:
-            out.start(tag, m[3])
-    out.text(html[at:])
-    out.cut()
-    return out.done
+            out.start(tag, raw)
+    out.text(html[read:])
+    return out.result()
 
 
 def _ascii_lower(text: str) -> str:
@@ -181,7 +285,7 @@ def stop_density(text: str) -> float:
 
 
 def label(block: tuple[str, int, int, bool], long: int, links: float, stops: float) -> int:
-    """Pass one."""
+    """Pass one.  ``stops`` of zero: the page's language is not known, and stop words decide nothing."""
     text, linked, standing, heading = block
     if standing == BAD:
         return BAD
@@ -196,24 +300,38 @@ def label(block: tuple[str, int, int, bool], long: int, links: float, stops: flo
     return GOOD if density >= stops else BAD if density < stops / 3 else UNSURE
 
 
+def _nearest(found: list[tuple[str, int, int, bool]], labels: list[int], order) -> list[tuple[int, int] | None]:
+    """For each block the place and label of the decided block of its standing that comes before it in this order."""
+    out, seen = [None] * len(found), {}
+    for i in order:
+        out[i] = seen.get(found[i][2])
+        if labels[i] != UNSURE:
+            seen[found[i][2]] = (i, labels[i])
+    return out
+
+
 def main_text(html: str | None, long: int = 70, links: float = 0.33, stops: float = 0.12) -> str:
     """Main text of a page: its article's blocks in page order, white space in a block as one space, joined by blank lines.
 
     Where a page marks its article (article, main, or a content class), only blocks in it can be main text, and an
-    ambiguous block is boilerplate only if its nearest decided neighbours there are.  Null and empty pages: empty.
+    ambiguous block is boilerplate only if its nearest decided neighbours there are.  Stop words are known of English,
+    French, German and Spanish; on a page where fewer than one word in fifty outside boilerplate is one, they decide
+    nothing.  Null and empty pages: empty.
     """
     found = blocks(html or "")
     if any(b[2] == GOOD for b in found):
         found = [b for b in found if b[2] != UNSURE]
+    words = [(len(b[0].split()), stop_density(b[0])) for b in found if b[2] != BAD and len(b[0]) >= long]
+    if sum(n * share for n, share in words) < 0.02 * sum(n for n, _ in words):
+        stops = 0.0
     labels = [label(b, long, links, stops) for b in found]
+    before, after = _nearest(found, labels, range(len(found))), _nearest(found, labels, range(len(found) - 1, -1, -1))
     kept = []
     for i, b in enumerate(found):
         if labels[i] == UNSURE:
-            before = next(((i - j, labels[j]) for j in range(i - 1, -1, -1) if labels[j] and found[j][2] == b[2]), None)
-            after = next(((j - i, labels[j]) for j in range(i + 1, len(found)) if labels[j] and found[j][2] == b[2]), None)
-            near = sorted(x for x in (before, after) if x)
-            if b[3] and after:  # a heading goes with what it heads
-                keep = after[1] == GOOD
+            near = sorted((abs(i - x[0]), x[1]) for x in (before[i], after[i]) if x)
+            if b[3] and after[i]:  # a heading goes with what it heads
+                keep = after[i][1] == GOOD
             elif near:
                 keep = any(x[1] == GOOD for x in near if x[0] == near[0][0])
             else:

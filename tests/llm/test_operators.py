@@ -87,6 +87,141 @@ def test_pages_without_an_article():
     assert html_extract.main_text(page) == f"{LONG}\n\nYes.\n\n{LONG}"
 
 
+def tree(rng, depth=0):
+    """A random element: (tag, attributes, children), children being elements or texts."""
+    inline = depth > 1 and rng.random() < 0.3
+    tag = rng.choice(["b", "i", "span", "a"]) if inline else rng.choice(["div", "section", "p", "h2", "blockquote"] if depth else ["div", "article", "section", "nav", "footer"])
+    attrs = rng.choice(["", "", "", "", ' class="ad"', ' style="display: none"', ' class="post-content"', ' id="sidebar"', ' href="x"'])
+    children = []
+    for _ in range(rng.randrange(1, 4)):
+        if (rng.random() < 0.5 or depth > 3) and not (children and isinstance(children[-1], str)):
+            n = rng.choice([2, 3, 8, 25])
+            children.append(" ".join(rng.choice("the of and to in zorp quix blee tanno wub".split()) for _ in range(n)) + " ")
+        elif tag not in ("p", "h2", "b", "i", "span", "a") and depth < 6:
+            children.append(tree(rng, depth + 1))
+        else:
+            children.append((rng.choice(["b", "span"]), rng.choice(["", ' class="ad"']), [" ".join(rng.choice("of zorp".split()) for _ in range(rng.randrange(1, 9))) + " "]))
+    return tag, attrs, children
+
+
+def as_html(node):
+    return node if isinstance(node, str) else f"<{node[0]}{node[1]}>{''.join(map(as_html, node[2]))}</{node[0]}>"
+
+
+def plain_blocks(nodes):
+    """Blocks of element trees by walking through them: what a node is in is passed down, boilerplate inline elements are left out."""
+    out, now = [], []
+    block = lambda t: t in html_extract.BLOCK
+
+    def cut(stand, heading):
+        text = " ".join("".join(t for t, _ in now).split())
+        if text:
+            out.append((text, sum(len(t.strip()) for t, link in now if link), stand, heading))
+        now.clear()
+
+    def walk(node, stand, heading, link):
+        if isinstance(node, str):
+            now.append((node, link))
+            return
+        tag, attrs, children = node
+        named = {"class": "class", "id": "id", "style": "style", "href": "href"}
+        attrs = {k: attrs.split('"')[1] for k in named if f" {k}=" in attrs}
+        kind = html_extract._kind(tag, attrs, stand == 1)
+        if not block(tag):
+            if kind != -1:
+                for c in children:
+                    walk(c, stand, heading, link or tag == "a")
+            return
+        cut(stand, heading)
+        inner = -1 if -1 in (kind, stand) else max(kind, stand)
+        for c in children:
+            walk(c, inner, heading or tag == "h2", False)
+        cut(inner, heading or tag == "h2")
+
+    for n in nodes:
+        walk(n, 0, False, False)
+    cut(0, False)
+    return out
+
+
+def plain_main_text(found, long=70, links=0.33, stops=0.12):
+    density = lambda t: sum(w in html_extract.STOP for w in t.split()) / max(1, len(t.split()))
+    if any(b[2] == 1 for b in found):
+        found = [b for b in found if b[2] != 0]
+    body = " ".join(b[0] for b in found if b[2] != -1 and len(b[0]) >= long)
+    if density(body) < 0.02:
+        stops = 0
+    labels = []
+    for text, linked, stand, heading in found:
+        dense, short = linked > links * len(text), len(text) < long
+        if stand == -1 or dense and (stand == 0 or short and not heading):
+            labels.append(-1)
+        elif short:
+            labels.append(0)
+        else:
+            labels.append(1 if density(text) >= stops else -1 if stand == 0 and density(text) < stops / 3 else 0)
+    kept = []
+    for i, b in enumerate(found):
+        ahead = [j for j in range(len(found)) if labels[j] and found[j][2] == b[2]]
+        gap = min((abs(i - j) for j in ahead), default=None)
+        after = next((j for j in ahead if j > i), None)
+        if labels[i]:
+            keep = labels[i] == 1
+        elif b[3] and after is not None:
+            keep = labels[after] == 1
+        elif gap:
+            keep = any(labels[j] == 1 for j in ahead if abs(i - j) == gap)
+        else:
+            keep = b[2] == 1
+        if keep or not labels[i] and b[2] == 1 and 1 not in labels:
+            kept.append(b[0])
+    return "\n\n".join(kept)
+
+
+def test_main_text_against_a_plain_version():
+    rng, some = random.Random(11), 0
+    for _ in range(1500):
+        nodes = [tree(rng) for _ in range(rng.randrange(1, 6))]
+        html = "<html><body>" + "".join(map(as_html, nodes)) + "</body></html>"
+        want = plain_blocks(nodes)
+        assert html_extract.blocks(html) == want, html
+        assert html_extract.main_text(html) == plain_main_text(want), html
+        some += bool(html_extract.main_text(html))
+    assert some > 500
+
+
+def test_inline_boilerplate_and_unclosed_tags():
+    assert html_extract.main_text(f'<p>{LONG} <span class="ad">BUY NOW</span>and <i style="display:none">hidden</i>more</p>') == f"{LONG} and more"
+    assert html_extract.main_text(f'<p>{LONG}<a class="share" href=x>y</p><p>{LONG}') == f"{LONG}y\n\n{LONG}"
+    assert html_extract.main_text(f"<article><p>Hi <a href=x>{LONG}<p>{LONG}</article>") == f"Hi {LONG}\n\n{LONG}"
+    assert html_extract.main_text(f'<p>{LONG}</p><span class="ad"><div>{LONG}</div></span>') == LONG
+    assert html_extract.main_text(f"<p title='it is {LONG}>x'>{LONG}</p><p title=it's>{LONG}</p>") == f"{LONG}\n\n{LONG}"
+
+
+@pytest.mark.parametrize("text", ["Быстрая коричневая лиса прыгает через ленивую собаку и бежит дальше по полю к своему дому, где её ждут.", "敏捷的棕色狐狸跳过了懒狗。" * 9])
+def test_languages_without_known_stop_words(text):
+    page = f"<div class=menu><a href=1>a</a></div><div><p>{text}</p><p>{text}</p></div><div><a href=x>{text}</a></div>"
+    assert html_extract.main_text(page) == f"{text}\n\n{text}"
+
+
+LONG_PAGES = [
+    "<p>a b</p>", "<div>", "<a '", '<a b="x>" ', "<a x='>", "<li><ul><div></div></li>", "<span class=ad><p>x</p>", "<svg>", "<a href=x>text ", "<", "<p><span><ul><li>", "<!-- ", "</p>", "&amp",
+]
+
+
+@pytest.mark.parametrize("piece", LONG_PAGES)
+def test_long_pages_take_time_by_their_length(piece):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        html_extract.main_text(piece * (n // len(piece)) + "</li>" * 1000)
+        return time.process_time() - began
+
+    seconds(10_000)
+    assert seconds(2_000_000) < 8
+
+
 def test_deep_nesting_and_long_pages():
     assert html_extract.main_text("<div>" * 3000 + "<article>" + f"<p>{LONG}</p>" * 2000).count(LONG) == 2000
 
