@@ -13,9 +13,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests).
+
+    On a cluster a local folder would lose rows without notice, so there the setting has to be there.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = spark.conf.get("framelore.scratch.dir", None)
         if not folder:
             folder = "file://" + tempfile.mkdtemp(prefix="framelore-")
@@ -29,16 +34,56 @@ def save(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    _live.append(path)
     return out
 
 
 def drop(df: DataFrame | None) -> None:
     """Delete a table that save() wrote and that nothing reads any more."""
     path = getattr(df, "_scratch_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _live:
+        _live.remove(path)
+        _delete(df.sparkSession, path)
+
+
+class Scratch:
+    """Tables that are written on the way to a result, deleted when the block ends; what is returned must not read them."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(save(df, name))
+        return self.tables[-1]
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for table in self.tables:
+            drop(table)
+
+
+#: Paths of the tables that save() has written and drop() has not deleted, in order.
+_live: list[str] = []
+
+
+def mark() -> int:
+    """A place in the order of saved tables, for drop_since()."""
+    return len(_live)
+
+
+def drop_since(spark: SparkSession, place: int, keep: DataFrame | None = None) -> None:
+    """Delete the tables saved since mark(), but for one to keep: nothing else may read them any more."""
+    for path in _live[place:]:
+        if path != getattr(keep, "_scratch_path", None):
+            _delete(spark, path)
+    _live[place:] = [p for p in _live[place:] if p == getattr(keep, "_scratch_path", None)]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -52,12 +97,13 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE))).cast("long")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int = 60) -> DataFrame:
     """Components of the undirected graph of edges (a, b), as rows (node, root) with root the smallest node reachable.
 
     Large-star and small-star rounds (Kiveris et al. 2014): each halves path lengths, works on edges only, and its
-    groups are reduced to a minimum before they are shuffled, so a node with very many neighbours is no hot key.
-    Every round is written to the shared folder.  Nulls and loops are left out; no edges give no rows.
+    groups are reduced to a minimum before they are shuffled.  The edges of a node with very many neighbours meet in the
+    joins with these minima, which adaptive execution splits.  Every round is written to the shared folder, and the last
+    goes with ``scratch``, if given.  Nulls and loops are left out; no edges give no rows; edges that repeat count once.
     """
     now = save(
         edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("p")).distinct(), "cc"
@@ -79,6 +125,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    if scratch:
+        scratch.tables.append(now)
     return now.select(F.col("v").alias("node"), F.col("p").alias("root")).union(
         now.select("p", "p").distinct().toDF("node", "root")
     )

@@ -4,7 +4,8 @@ Two fingerprints at most ``radius`` bits apart have a fingerprint between them,
 So every fingerprint emits all variants within half the radius, and two that link meet at a variant.  The shuffle is on
 a prefix of the variant (its lowest bits): a fingerprint goes once to each prefix that its ball touches, and the task
 that owns the prefix expands the variants lying there, slice by slice, so that neither the shuffle nor a task ever holds
-all of them.  Colliding pairs are deduplicated and verified.
+all of them.  The prefix grows with the number of fingerprints, so that a task holds a bounded number of them; equal
+fingerprints go as one.  Colliding pairs are deduplicated and verified.
 """
 
 from __future__ import annotations
@@ -13,15 +14,15 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import acos, ceil, comb, log, pi
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelore.llm.common import connected_components, save
+from framelore.llm.common import Scratch, connected_components, save
 
 SEED = 42
 #: Shingles per step of the bit counts, and variants that a task expands at once: they bound memory, not results.
@@ -90,16 +91,17 @@ def parity_sketch(unique: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def may_be_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether pairs of parity sketches can have a Jaccard similarity so high; False proves that the sets have less.
+def may_be_similar(a: Column, b: Column, width: int, similarity: float) -> Column:
+    """Whether two parity sketches (arrays of longs) can have a Jaccard similarity so high; false proves that the sets have less.
 
     Sets of similarity s differ in (|A| + |B|) (1 - s) / (1 + s) elements.
     """
-    differ, n, m = a ^ b, a[:, 0] & np.uint64(MOST), b[:, 0] & np.uint64(MOST)
-    differ[:, 0] >>= np.uint64(SIZE_BITS)
-    least = np.bitwise_count(differ).sum(1, dtype=np.int64)
-    maybe = least * (1 + similarity) <= (n + m).astype(np.float64) * (1 - similarity) + 1e-6
-    return maybe | (np.maximum(n, m) == MOST)
+    size = lambda x: F.get(x, F.lit(0)).bitwiseAND(F.lit(MOST))
+    differ = [F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))) for i in range(width // 64)]
+    differ[0] = F.shiftrightunsigned(differ[0], SIZE_BITS)
+    least = sum((F.bit_count(x) for x in differ[1:]), F.bit_count(differ[0]))
+    maybe = least * (1 + similarity) <= (size(a) + size(b)) * (1 - similarity) + 1e-6
+    return maybe | (F.greatest(size(a), size(b)) == MOST)
 
 
 def sketch_column(shingle: int, tables: int, bits: int, parity: int):
@@ -121,7 +123,7 @@ def sketch_column(shingle: int, tables: int, bits: int, parity: int):
             wide[:, :bits] = flat
             fps.append(np.packbits(wide, axis=1, bitorder="little").view("<i8").ravel().tolist())
             odd.append(parity_sketch(h, parity).view(np.int64).tolist())
-            digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+            digests.append(_digest(words))
         return pd.DataFrame({"digest": digests, "fps": fps, "odd": odd})
 
     return sketch
@@ -186,90 +188,56 @@ def collisions(ids: np.ndarray, fps: np.ndarray, left: np.ndarray, bits: int) ->
     yield rows[order], group[order]
 
 
-def _scatter(bits: int, half: int, prefix: int):
-    """Fingerprints to the prefixes that their balls touch: one row with packed records for each batch and prefix."""
-    low = np.uint64((1 << prefix) - 1)
+#: A task gets about so many fingerprints at most, and there are at least so many tasks.
+MOST_RECORDS, LEAST_TASKS = 4 << 20, 256
+
+
+def plan_prefix(count: int, bits: int, tables: int, radius: int) -> int:
+    """Bits of the variant to deal ``count`` fingerprints of each table by: a task holds count * ball / 2^prefix of them."""
+    prefix = 1
+    while prefix < bits and (tables << prefix < LEAST_TASKS or count * _ball(prefix, radius // 2) > MOST_RECORDS << prefix):
+        prefix += 1
+    return prefix
+
+
+def plan_tables(count: int, radius: int, similarity: float, recall: float = 0.99) -> tuple[int, int]:
+    """(bits, tables) for ``count`` texts: few chance meetings at a variant, and pairs of this similarity found so often.
+
+    A bit of two sets' SimHashes differs with probability acos(c) / pi, c the cosine of the sets.
+    """
+    bits = 40
+    while bits < 60 and count * _ball(bits, radius // 2) > 0.1 * 2**bits:
+        bits += 4
+    flip = acos(2 * similarity / (1 + similarity)) / pi
+    hit = sum(comb(bits, k) * flip**k * (1 - flip) ** (bits - k) for k in range(radius + 1))
+    return bits, ceil(log(1 - recall) / log(1 - hit))
+
+
+#: The highest bit of a record's fingerprint says that several records have it: the record stands for all of them.
+SEVERAL = np.uint64(1 << 63)
+
+
+def _scatter(half: int, prefix: int):
+    """Fingerprints to the prefixes that their balls touch: one row with packed records for each batch, table and prefix."""
+    low, m = np.uint64((1 << prefix) - 1), masks(prefix, half)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            ids, fps = pdf["id"].to_numpy(np.int64), np.array(pdf["fps"].tolist(), np.int64).reshape(len(pdf), -1)
-            more = [np.array(pdf["odd"].tolist(), np.int64).view(np.uint64)] if "odd" in pdf else []
-            for t in range(fps.shape[1]):
-                fp = np.ascontiguousarray(fps[:, t]).view(np.uint64)
-                m = masks(prefix, half)
+            for t, own in pdf.groupby("tbl"):
+                fp = own["fp"].to_numpy(np.int64).view(np.uint64)
                 to = ((fp & low)[:, None] ^ m).ravel().astype(np.int64)
                 order = np.argsort(to, kind="stable")
-                rec = np.column_stack([ids.view(np.uint64), fp, *more])[np.repeat(np.arange(len(fp)), len(m))[order]]
+                fp = np.where(own["several"].to_numpy(bool), fp | SEVERAL, fp) if "several" in own else fp
+                rec = np.column_stack([own["id"].to_numpy(np.int64).view(np.uint64), fp])[np.repeat(np.arange(len(fp)), len(m))[order]]
                 keys, first = np.unique(to[order], return_index=True)
-                yield pd.DataFrame({"tbl": t, "prefix": keys, "records": [x.tobytes() for x in np.split(rec, first[1:])]})
-
-    return run
-
-
-def _meet(bits: int, radius: int, prefix: int, chain: bool, parity: int, similarity: float):
-    half, low = radius // 2, np.uint64((1 << prefix) - 1)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rec = np.frombuffer(b"".join(pdf["records"]), np.uint64).reshape(-1, 2 + parity // 64)
-        rec = rec[np.lexsort((rec[:, 1], rec[:, 0].view(np.int64)))]
-        ids, fps, n = np.ascontiguousarray(rec[:, 0]).view(np.int64), np.ascontiguousarray(rec[:, 1]), np.int64(len(rec))
-        left = half - np.bitwise_count((fps & low) ^ np.uint64(key[1])).astype(np.int64)
-        found = [np.zeros(0, np.int64)]
-        for rows, group in collisions(ids, fps >> np.uint64(prefix), left, bits - prefix):
-            begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            size = np.diff(np.r_[begin, len(group)])
-            ends = [np.repeat(rows[begin], size) * n + rows]
-            if chain:
-                ends.append((rows[:-1] * n + rows[1:])[group[1:] == group[:-1]])
-            pair = np.unique(np.concatenate(ends))
-            for i in range(0, len(pair), STEP):
-                a, b = np.divmod(pair[i : i + STEP], n)
-                keep = (ids[a] != ids[b]) & (np.bitwise_count(fps[a] ^ fps[b]) <= radius)
-                if parity:
-                    keep[keep] = may_be_similar(rec[a[keep], 2:], rec[b[keep], 2:], similarity)
-                found.append(pair[i : i + STEP][keep])
-        a, b = np.divmod(np.unique(np.concatenate(found)), n)
-        return pd.DataFrame({"a": ids[a], "b": ids[b]})
+                yield pd.DataFrame({"tbl": int(t), "prefix": keys, "records": [x.tobytes() for x in np.split(rec, first[1:])]})
 
     return run
 
 
-def ball_pairs(
-    fps: DataFrame, bits: int = 64, radius: int = 4, prefix: int = 9, chain: bool = False, parity: int = 0, similarity: float = 0.0
-) -> DataFrame:
-    """Pairs (a, b), a < b, of ids whose fingerprints are within ``radius`` bits in any table, enough to connect all.
-
-    fps: rows (id long, fps array<long>) with distinct ids.  Records that meet at one variant are all within the radius
-    of one another, so each such group gives a star around its smallest id (with ``chain`` also the path through it),
-    never all its pairs.  ``radius`` is even.  ``prefix``: bits to deal variants by; raise it with the number of
-    fingerprints, for a task holds about that number over 2^prefix / ball(prefix, radius / 2).  Where fps has a column odd
-    of parity sketches (``parity`` bits each), pairs that they prove to be below ``similarity`` are left out.
-    """
-    fps = fps.select("id", "fps", *(["odd"] if parity else []))
-    dealt = fps.mapInPandas(_scatter(bits, radius // 2, prefix), "tbl int, prefix long, records binary")
-    return dealt.groupBy("tbl", "prefix").applyInPandas(_meet(bits, radius, prefix, chain, parity, similarity), "a long, b long").distinct()
-
-
-def _forest(fps: np.ndarray, odd: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that span the components of the records within ``radius`` whose parity sketches don't rule the pair out."""
-    ends, queue, todo = [np.zeros((2, 0), np.int64)], [], np.arange(len(fps))
-    while queue or len(todo):
-        if not queue:
-            queue, todo = [todo[0]], todo[1:]
-        x = queue.pop()
-        hit = np.bitwise_count(fps[todo] ^ fps[x]) <= radius
-        hit[hit] = may_be_similar(odd[todo[hit]], odd[x][None], similarity)
-        ends.append(np.stack((np.full(hit.sum(), x), todo[hit])))
-        queue.extend(todo[hit].tolist())
-        todo = todo[~hit]
-    return tuple(np.concatenate(ends, axis=1))
-
-
-def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest of 0..n-1 that each of them is connected with by edges (a, b)."""
-    label = np.arange(n)
+def _labels(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """The smallest of 0..n-1 that each of them is connected with by edges (a, b) and by the labels so far."""
+    label = np.arange(n) if label is None else label
     while True:
         least = np.minimum(label[a], label[b])
         after = label.copy()
@@ -281,55 +249,84 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = after
 
 
-#: A variant where so many records meet is dense: its pairs are tested by blocks, not listed.
+def _middle(x: np.ndarray, y: np.ndarray, half: int) -> np.ndarray:
+    """One fingerprint half way from x to y, always the same: the lowest half of the bits that differ is y's."""
+    differ, middle = x ^ y, x.copy()
+    rest, count = differ, np.bitwise_count(differ)
+    for k in range(half):
+        lowest = rest & (~rest + np.uint64(1))
+        middle ^= np.where(count > 2 * k, lowest, np.uint64(0))
+        rest = rest ^ lowest
+    return middle
+
+
+#: A variant where so many records meet is dense: it says that they belong together, not which pairs to look at.
 DENSE = 4
 
 
-def _candidates(bits: int, radius: int, prefix: int, parity: int, similarity: float):
-    half, low = radius // 2, np.uint64((1 << prefix) - 1)
+def _meet(bits: int, radius: int, prefix: int, listed: bool):
+    half, low, signed = radius // 2, np.uint64((1 << prefix) - 1), ~SEVERAL if listed else ~np.uint64(0)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rec = np.frombuffer(b"".join(pdf["records"]), np.uint64).reshape(-1, 2 + parity // 64)
-        rec = rec[np.lexsort((rec[:, 1], rec[:, 0].view(np.int64)))]
-        ids, fps, n = np.ascontiguousarray(rec[:, 0]).view(np.int64), np.ascontiguousarray(rec[:, 1]), np.int64(len(rec))
+        rec = np.frombuffer(b"".join(pdf["records"]), np.uint64).reshape(-1, 2)
+        rec = rec[np.argsort(rec[:, 0].view(np.int64), kind="stable")]
+        ids, fps, n = np.ascontiguousarray(rec[:, 0]).view(np.int64), rec[:, 1] & signed, np.int64(len(rec))
+        several = rec[:, 1] != fps
         left = half - np.bitwise_count((fps & low) ^ np.uint64(key[1])).astype(np.int64)
-        few, star = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        label, few, star, waiting = np.arange(n), [np.zeros(0, np.int64)], [], 0
         for rows, group in collisions(ids, fps >> np.uint64(prefix), left, bits - prefix):
             begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             size = np.diff(np.r_[begin, len(group)])
-            first, dense = np.repeat(rows[begin], size) * n + rows, np.repeat(size >= DENSE, size)
-            path = (group[1:] == group[:-1]) & ~dense[1:]
+            dense = np.repeat((size >= DENSE) | np.logical_or.reduceat(several[rows], begin), size) if listed else np.ones(len(rows), bool)
+            first = np.repeat(rows[begin], size) * n + rows
             star.append(np.unique(first[dense]))
+            waiting += len(star[-1])
+            if waiting > VARIANTS:
+                label, star, waiting = _labels(int(n), *np.divmod(np.unique(np.concatenate(star)), n), label), [], 0
             # below four records the star and the path are all pairs
-            few.append(np.unique(np.concatenate((first[~dense], rows[:-1][path] * n + rows[1:][path]))))
-        group = _labels(int(n), *np.divmod(np.unique(np.concatenate(star)), n))
-        order = np.argsort(group, kind="stable")
-        order = order[np.bincount(group)[group[order]] > 1]
-        spans = []
-        for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-            if len(own):
-                spans.append(own[np.stack(_forest(fps[own], rec[own, 2:], radius, similarity))])
-        a, b = np.concatenate([np.zeros((2, 0), np.int64), *spans], axis=1)
-        label = _labels(int(n), a, b)
+            path = (group[1:] == group[:-1]) & ~dense[1:]
+            pair = np.unique(np.concatenate((first[~dense], rows[:-1][path] * n + rows[1:][path])))
+            x, y = np.divmod(pair, n)
+            # a pair is named where its middle lies, and only there
+            keep = (x != y) & (np.bitwise_count(fps[x] ^ fps[y]) <= radius)
+            keep[keep] = (_middle(fps[x[keep]], fps[y[keep]], half) & low) == np.uint64(key[1])
+            few.append(pair[keep])
+        if star:
+            label = _labels(int(n), *np.divmod(np.unique(np.concatenate(star)), n), label)
         x, y = np.divmod(np.unique(np.concatenate(few)), n)
-        keep = label[x] != label[y]
-        keep[keep] = may_be_similar(rec[x[keep], 2:], rec[y[keep], 2:], similarity)
-        a, b, dense = np.r_[a, x[keep]], np.r_[b, y[keep]], np.r_[np.ones(len(a), bool), np.zeros(keep.sum(), bool)]
-        return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "dense": dense})
+        apart = label[x] != label[y]
+        own = np.flatnonzero(label != np.arange(n))
+        return pd.DataFrame({"a": np.r_[ids[label[own]], ids[x[apart]]], "b": np.r_[ids[own], ids[y[apart]]], "dense": np.r_[np.ones(len(own), bool), np.zeros(apart.sum(), bool)]})
 
     return run
 
 
-def candidate_edges(fps: DataFrame, bits: int, radius: int, prefix: int, parity: int, similarity: float) -> DataFrame:
-    """Edges (a, b, dense), a < b, that cover each pair which meets in a table and may reach the similarity.
+def ball_edges(fps: DataFrame, count: int, bits: int = 64, tables: int = 1, radius: int = 4, listed: bool = False) -> DataFrame:
+    """Edges (a, b, dense), a < b, that connect all ids whose fingerprints are within ``radius`` bits in any table.
+
+    fps: rows (tbl int, fp long, id long), a fingerprint once in a table; count: about how many a table has.  ``radius`` is
+    even.  A task gives each record's edge to the smallest id that it is connected with there (dense), never the pairs.
+    With ``listed``, pairs that meet where fewer than four do are edges themselves (not dense), named by one task only,
+    unless a record is marked ``several``; bits are 62 at most then.
+    """
+    prefix = plan_prefix(count, bits, tables, radius)
+    dealt = fps.select("tbl", "fp", "id", *(["several"] if listed else [])).mapInPandas(_scatter(radius // 2, prefix), "tbl int, prefix long, records binary")
+    met = dealt.groupBy("tbl", "prefix").applyInPandas(_meet(bits, radius, prefix, listed), "a long, b long, dense boolean")
+    return met.groupBy("a", "b").agg(F.max("dense").alias("dense"))
+
+
+def candidate_edges(classes: DataFrame, count: int, bits: int, tables: int, radius: int, scratch: Scratch) -> DataFrame:
+    """Edges (a, b, dense), a < b, that cover each pair of classes (id, fps) which meets in a table.
 
-    Such a pair is an edge itself, or its records are connected by dense edges: where four or more records meet at one
-    variant, a task gives only a spanning forest of those that may be similar, so edges grow with the records.  Not all
-    pairs that dense edges connect are edges: dense_links() tests them.  fps: rows (id, fps, odd) as for ball_pairs().
+    Such a pair is an edge itself, or its ends are connected by dense edges: where four or more meet at one variant, or
+    three have one fingerprint, each only gets an edge to the smallest, so edges grow with the records.  Not all pairs
+    that dense edges connect are edges: dense_links() tests them.
     """
-    dealt = fps.select("id", "fps", "odd").mapInPandas(_scatter(bits, radius // 2, prefix), "tbl int, prefix long, records binary")
-    edges = dealt.groupBy("tbl", "prefix").applyInPandas(_candidates(bits, radius, prefix, parity, similarity), "a long, b long, dense boolean")
-    return edges.groupBy("a", "b").agg(F.max("dense").alias("dense"))
+    each = classes.select("id", F.posexplode("fps").alias("tbl", "fp"))
+    same = scratch.save(each.groupBy("tbl", "fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "fingerprints")
+    equal = each.join(same.where("n > 1"), ["tbl", "fp"]).where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"), (F.col("n") > 2).alias("dense"))
+    near = ball_edges(same.select("tbl", "fp", F.col("least").alias("id"), (F.col("n") > 1).alias("several")), count, bits, tables, radius, True)
+    return equal.unionAll(near).groupBy("a", "b").agg(F.max("dense").alias("dense"))
 
 
 #: Most records and bytes of shingle sets in a block of a dense cluster, columns of a block's matrix: they bound memory, not results.
@@ -377,43 +374,65 @@ def dense_links(members: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) of roots that connect all roots of a cluster which hold records of so high a Jaccard similarity.
 
     members: rows (cluster, id, root, set).  Every two records of a cluster with different roots are compared exactly, in
-    tiles of two blocks; a tile gives a spanning forest, never its pairs.  Clusters with one root have nothing to test.
+    tiles of two blocks; a tile gives a spanning forest, never its pairs.  Records of a cluster's most frequent root are
+    not compared with one another.  Clusters with one root have nothing to test.
     """
-    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("set")) / BLOCK_BYTES))
-    open_ = members.groupBy("cluster").agg(size.alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-    rows = members.join(open_.select("cluster", "n"), "cluster").withColumn("block", F.expr("pmod(xxhash64(id), n)"))
-    tiles = rows.select("cluster", "root", "set", "block", F.explode(F.expr("sequence(0L, n - 1)")).alias("with")).select(
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES))
+    roots = members.groupBy("cluster", "root").agg(F.count("*").alias("n"), F.sum(F.octet_length("set")).alias("size"))
+    most = F.max(F.struct("n", "size", "root"))
+    open_ = roots.groupBy("cluster").agg(most.alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("roots")).where("roots > 1")
+    open_ = open_.select(
+        "cluster", F.col("most.root").alias("major"), blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("minor_blocks"),
+        blocks(F.col("most.n"), F.col("most.size")).alias("major_blocks"),
+    )
+    rows = members.join(open_, "cluster").withColumn("is_major", F.col("root") == F.col("major"))
+    block = F.expr("if(is_major, minor_blocks + pmod(xxhash64(id), major_blocks), pmod(xxhash64(id), minor_blocks))")
+    with_ = F.expr("sequence(0L, if(is_major, minor_blocks, minor_blocks + major_blocks) - 1)")
+    tiles = rows.withColumn("block", block).select("cluster", "root", "set", "block", F.explode(with_).alias("with")).select(
         "cluster", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "root", "set", "block"
     )
     return tiles.groupBy("cluster", "p", "q").applyInPandas(_test_tile(similarity), "a long, b long").distinct()
 
 
-def simhash_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, prefix: int = 9
-) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """One row per row of docs: id_col, fingerprint (16 hex digits) and component_id, the smallest id reachable by links.
 
     Fingerprints link at ``radius`` or fewer differing bits.  Null text counts as empty (fingerprint zero, linked like
     any other); repeated rows and equal texts share a fingerprint; rows with null id get their component's smallest
-    id, null only if it has none.  Only id_col and text_col are read.  An empty table gives an empty result.
+    id, null only if it has none.  Very long texts are read whole.  Only id_col and text_col are read, so other columns
+    may have any names.  An empty table gives an empty result.
     """
-    base = docs.select(F.col(id_col).alias("id"), simhash_column(shingle)(F.col(text_col)).alias("fp"))
+    base = docs.select(docs[f"`{id_col}`"].alias("id"), simhash_column(shingle)(docs[f"`{text_col}`"]).alias("fp"))
     base = save(base, "simhash")
-    classes = base.groupBy("fp").agg(F.min("id").alias("least"))
-    pairs = ball_pairs(classes.select(F.col("fp").alias("id"), F.array("fp").alias("fps")), 64, radius, prefix)
-    roots = connected_components(pairs)
-    named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = save(named.join(least, "root").select("fp", "component_id"), "simhash")
+    with Scratch() as scratch:
+        classes = scratch.save(base.groupBy("fp").agg(F.min("id").alias("least")), "classes")
+        edges = ball_edges(classes.select(F.lit(0).alias("tbl"), "fp", F.col("fp").alias("id")), classes.count(), 64, 1, radius)
+        roots = connected_components(edges.select("a", "b"), scratch)
+        named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+        of = save(named.join(least, "root").select("fp", "component_id"), "components")
     return base.join(of, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def _jaccard(shingle: int):
-    @F.pandas_udf("binary")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(words_of(t), shingle)).tobytes() for t in texts])
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _sets(shingle: int):
+    """A pandas UDF from text to (digest of its words, sorted hashes of its set of shingles)."""
+
+    @F.pandas_udf("digest binary, set binary")
+    def sets(texts: pd.Series) -> pd.DataFrame:
+        words = [words_of(t) for t in texts]
+        return pd.DataFrame({"digest": [_digest(w) for w in words], "set": [np.unique(shingle_hashes(w, shingle)).tobytes() for w in words]})
+
+    return sets
+
+
+def _jaccard():
+    """A pandas UDF from two sets of hashes to their Jaccard similarity."""
 
     @F.pandas_udf("double")
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -424,58 +443,85 @@ def _jaccard(shingle: int):
 
         return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    return shingles, jaccard
+    return jaccard
 
 
-def near_duplicate_ids(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-    bits: int = 40, tables: int = 10, radius: int = 4, prefix: int = 4, parity: int = 384,
-) -> DataFrame:
-    """Rows (id_col, component_id, copies) for every distinct id of docs: its near-duplicate group and how often it occurs.
+def _groups(
+    docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, shingle: int = 5, similarity: float = 0.8, radius: int = 4, bits: int | None = None,
+    tables: int | None = None, parity: int = 384,
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): (id, digest) of each row of docs that has an id, and (digest, least, root) of each distinct text.
 
-    One 64-bit fingerprint of radius 4 misses most pairs at a Jaccard similarity of 0.8, so ``tables`` independent
-    fingerprints of ``bits`` bits are hashed the same way; a pair that meets in any of them is verified exactly on
-    the sets of its ``shingle``-word shingles, unless its parity sketches (``parity`` bits, a multiple of 64)
-    already prove it less similar: in a dense group most pairs that meet are.  Texts of equal words are one class and are never paired.  Null text is
-    empty; empty texts are copies of each other.  Rows with null id are left out.
+    least: the smallest id with the text; root: a number that all texts of a group share.
     """
-    base = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), sketch_column(shingle, tables, bits, parity)(F.col(text_col)).alias("s")
-    )
-    base = save(base.select("id", "s.digest", "s.fps", "s.odd"), "sketch")
-    classes = base.groupBy("digest").agg(F.min("id").alias("rep"))
-    mine = base.join(classes, "digest").select("id", "rep")
-    reps = base.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"]).select("id", "fps", "odd").dropDuplicates(["id"])
-    edges = save(candidate_edges(reps, bits, radius, prefix, parity, similarity), "pairs")
-    pairs = edges.select("a", "b")
-    shingles, jaccard = _jaccard(shingle)
-    ends = pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(ends, id_col, "left_semi").dropDuplicates([id_col])
-    sets = save(texts.select(F.col(id_col).alias("id"), shingles(F.col(text_col)).alias("set")), "sets")
-    links = (
-        pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where(jaccard("x", "y") >= similarity).select("a", "b")
-    )
-    own = mine.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    roots = save(connected_components(links.union(own)), "roots")
-    clusters = connected_components(edges.where("dense").select("a", "b")).toDF("id", "cluster")
-    members = clusters.join(sets, "id").join(roots.toDF("id", "root"), "id", "left").select("cluster", "id", F.coalesce("root", "id").alias("root"), "set")
-    more = connected_components(dense_links(save(members, "members"), similarity)).toDF("root", "top")
-    alone = more.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select("root", "top")
-    roots = roots.join(more, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(alone)
-    counts = base.groupBy("id").agg(F.count("*").alias("copies"))
-    return counts.join(roots, counts["id"] == roots["node"], "left").select(
-        F.col("id").alias(id_col), F.coalesce("root", "id").alias("component_id"), "copies"
-    )
+    text = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    if not (bits and tables):
+        bits, tables = plan_tables(docs.count(), radius, similarity)
+    base = text.select("id", sketch_column(shingle, tables, bits, parity)("text").alias("s"))
+    base = scratch.save(base.select("id", "s.digest", "s.fps", "s.odd"), "sketch")
+    classes = base.groupBy("digest").agg(F.min("id").alias("least"), F.any_value("fps").alias("fps"), F.any_value("odd").alias("odd"))
+    classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("id"), "*"), "classes")
+    edges = scratch.save(candidate_edges(classes, classes.count(), bits, tables, radius, scratch), "pairs")
+    names = classes.select("id", "digest", "least")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """Shingle sets of the classes wanted (id), from the rows that have the class's smallest id."""
+        own = names.join(wanted, "id", "left_semi")
+        rows = text.join(own.select(F.col("least").alias("__least")).distinct(), F.col("id") == F.col("__least"), "left_semi").select(_sets(shingle)("text").alias("s"))
+        return scratch.save(rows.select("s.digest", "s.set").join(own.select("id", "digest"), "digest").dropDuplicates(["id"]).select("id", "set"), "sets")
+
+    odd = lambda end: classes.select(F.col("id").alias(end), F.col("odd").alias(f"odd_{end}"))
+    maybe = edges.select("a", "b").join(odd("a"), "a").join(odd("b"), "b").where(may_be_similar(F.col("odd_a"), F.col("odd_b"), parity, similarity))
+    maybe = scratch.save(maybe.select("a", "b"), "maybe")
+    sets = sets_of(maybe.select(F.col("a").alias("id")).union(maybe.select("b")).distinct())
+    links = maybe.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where(_jaccard()("x", "y") >= similarity).select("a", "b")
+    roots = scratch.save(connected_components(links, scratch).toDF("id", "root"), "roots")
+    # clusters of dense meetings that verified pairs have not made one group: the rest of their pairs is tested in tiles
+    clusters = connected_components(edges.where("dense").select("a", "b"), scratch).toDF("id", "cluster")
+    members = scratch.save(clusters.join(roots, "id", "left").select("cluster", "id", F.coalesce("root", "id").alias("root")), "members")
+    open_ = members.groupBy("cluster").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("cluster")
+    members = members.join(open_, "cluster", "left_semi")
+    more = scratch.save(dense_links(members.join(sets_of(members.select("id")), "id"), similarity), "more")
+    merged = scratch.save(connected_components(more, scratch).toDF("root", "top"), "merged")
+    of = classes.select("id", "digest", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return base.select("id", "digest"), of.join(merged, "root", "left").select("digest", "least", F.coalesce("top", "root").alias("root"))
+
+
+def near_duplicate_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """Rows (id_col, digest, component_id, copies), one for each distinct id and text of docs: the smallest id of its group, its rows.
+
+    One 64-bit fingerprint of radius 4 misses most pairs at a Jaccard ``similarity`` of 0.8, so ``tables`` independent
+    fingerprints of ``bits`` bits are hashed the same way (by default as many as find a pair at that similarity 99 times
+    in 100, see plan_tables()); a pair that meets in any of them is verified exactly on the sets of its ``shingle``-word
+    shingles, unless its parity sketches (``parity`` bits, a multiple of 64) already prove it less similar.  Texts of
+    equal words are one class and are never paired.  Null text is empty; empty texts are copies of each other; texts of
+    fewer words than a shingle are one shingle; very long texts are read whole.  Ids may be of any type that orders, and
+    may have several texts.  Rows with null id are left out.  An empty table gives an empty result.
+    """
+    with Scratch() as scratch:
+        rows, classes = _groups(docs, id_col, text_col, scratch, **how)
+        least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = classes.join(least, "root").select("digest", "component_id")
+        out = rows.groupBy("id", "digest").agg(F.count("*").alias("copies")).join(named, "digest")
+        return save(out.select(F.col("id").alias(id_col), "digest", "component_id", "copies"), "near")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs without near copies: of each group the row with the smallest id stays, once.
+    """The rows of docs without near copies: of each group (see near_duplicate_ids()) the row with the smallest id stays, once.
 
-    Columns stay as they are, whatever their names.  Rows with null id cannot be named and stay.
+    Columns stay as they are, whatever their names.  Where rows of different texts share an id, each text is a document
+    of its own; of a group in which several have the smallest id, the one with the smallest digest stays.  Repeated rows
+    stay once.  Rows with null id cannot be named and stay.  An empty table gives an empty result.
     """
-    groups = near_duplicate_ids(docs, id_col, text_col, **how).where(F.col(id_col) == F.col("component_id"))
-    keep = save(groups.select(F.col(id_col).alias("__id"), F.col("copies").alias("__copies")), "keep")
-    kept = docs.join(keep, docs[id_col] == keep["__id"])
-    once = kept.where("__copies = 1").drop("__id", "__copies")
-    more = kept.where("__copies > 1").dropDuplicates(["__id"]).drop("__id", "__copies")
-    return once.unionAll(more).unionAll(docs.where(docs[id_col].isNull()))
+    shingle = how.get("shingle", 5)
+    with Scratch() as scratch:
+        rows, classes = _groups(docs, id_col, text_col, scratch, **how)
+        keep = classes.groupBy("root").agg(F.min(F.struct("least", "digest")).alias("k")).select(F.col("k.least").alias("k"), F.col("k.digest").alias("digest"))
+        counts = rows.groupBy(F.col("id").alias("k")).agg(F.count("*").alias("n"))
+        keep = save(keep.join(counts, "k"), "keep")
+    packed = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"))
+    once = packed.join(keep.where("n = 1"), F.col("i") == F.col("k"))
+    again = packed.join(keep.where("n > 1").select("k").distinct(), F.col("i") == F.col("k"), "left_semi").select("row", "i", _sets(shingle)("t")["digest"].alias("d"))
+    again = again.join(keep.where("n > 1"), (F.col("i") == F.col("k")) & (F.col("d") == F.col("digest"))).dropDuplicates(["i", "d"])
+    none = packed.where("i is null")
+    return once.select("row").unionAll(again.select("row")).unionAll(none.select("row")).select("row.*")

@@ -267,8 +267,8 @@ def test_ball_pairs_find_everything_within_the_radius(spark):
             values.append(x ^ sum(1 << i for i in rng.sample(range(64), flips)))
     values = sorted(set(values))
     rows = [(v - (1 << 64) if v >= 1 << 63 else v,) for v in values]
-    d = spark.createDataFrame(rows, "id long").select("id", F.array("id").alias("fps"))
-    got = components(range(len(values)), [(i, j) for i, j in _index(simhash.ball_pairs(d).collect(), rows)])
+    d = spark.createDataFrame(rows, "id long").select("id", F.lit(0).alias("tbl"), F.col("id").alias("fp"))
+    got = components(range(len(values)), [(i, j) for i, j in _index(simhash.ball_edges(d, len(rows)).collect(), rows)])
     v = np.array(values, np.uint64)
     a, b = np.nonzero(np.triu(np.bitwise_count(v[:, None] ^ v[None, :]) <= 4, 1))
     assert got == components(range(len(values)), zip(a.tolist(), b.tolist()))
@@ -312,36 +312,52 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id: r.component_id for r in simhash.near_duplicate_ids(d).collect()} == want
 
 
+def test_listed_edges_name_every_pair_or_connect_it(spark):
+    """Below four at a variant each pair is an edge, named once; dense edges connect the rest."""
+    rng = random.Random(10)
+    values = set()
+    for k in range(120):
+        x = rng.getrandbits(40)
+        for _ in range(rng.choice([1, 2, 2, 3, 9])):
+            values.add(x ^ sum(1 << i for i in rng.sample(range(40), rng.randrange(3))))
+    values = sorted(values)
+    d = spark.createDataFrame([(0, v, 7 * i) for i, v in enumerate(values)], "tbl int, fp long, id long").withColumn("several", F.lit(False))
+    met = simhash.ball_edges(d, len(values), 40, 1, 4, True).collect()
+    sparse, dense = {(e.a // 7, e.b // 7) for e in met if not e.dense}, [(e.a // 7, e.b // 7) for e in met if e.dense]
+    v = np.array(values, np.uint64)
+    near = set(zip(*(x.tolist() for x in np.nonzero(np.triu(np.bitwise_count(v[:, None] ^ v[None, :]) <= 4, 1)))))
+    joined = components(range(len(values)), dense)
+    assert sparse <= near and all((a, b) in sparse or joined[a] == joined[b] for a, b in near) and sparse and dense
+    several = simhash.ball_edges(d.withColumn("several", F.lit(True)), len(values), 40, 1, 4, True)
+    assert several.where("not dense").count() == 0
+    assert components(range(len(values)), [(e.a // 7, e.b // 7) for e in several.collect()]) == components(range(len(values)), near)
+
+
+def test_prefixes_bound_tasks_and_tables_find_pairs():
+    for count in (0, 1000, 10**7, 10**10):
+        bits, tables = simhash.plan_tables(count, 4, 0.8)
+        prefix = simhash.plan_prefix(count, bits, tables, 4)
+        assert count * simhash._ball(prefix, 2) / 2**prefix <= simhash.MOST_RECORDS and tables << prefix >= simhash.LEAST_TASKS and bits <= 62
+    flips = np.random.default_rng(1).random((20_000, 40)) < np.arccos(1.6 / 1.8) / np.pi
+    found = 1 - (1 - (flips.sum(1) <= 4).mean()) ** simhash.plan_tables(1000, 4, 0.8)[1]
+    assert found >= 0.985
+
+
 @pytest.mark.parametrize("width", [64, 384])
-def test_parity_sketches_rule_out_no_similar_pair(width):
-    rng = np.random.default_rng(width)
-    ruled_out = 0
+def test_parity_sketches_rule_out_no_similar_pair(spark, width):
+    rng, rows, similar = np.random.default_rng(width), [], []
     for size in (0, 1, 4, 9, 80, 900):
         base = rng.integers(0, 1 << 63, size, np.uint64)
         for changed in sorted({0, 1, size // 9, size // 8, size // 4, size}):
             other = np.unique(np.r_[base[min(changed, size) :], rng.integers(0, 1 << 63, changed, np.uint64)])
             both = len(np.intersect1d(base, other))
-            similar = both >= 0.8 * (len(base) + len(other) - both)
-            a, b = (simhash.parity_sketch(np.unique(x), width)[None] for x in (base, other))
-            maybe = bool(simhash.may_be_similar(a, b, 0.8)[0])
-            assert maybe or not similar
-            ruled_out += not maybe
-            a[0, 0] |= np.uint64(simhash.MOST)
-            assert simhash.may_be_similar(a, b, 0.8)[0]
-    assert ruled_out > 3
-
-
-def test_parity_sketches_lose_no_near_duplicate_of_a_dense_group(spark):
-    rng = random.Random(3)
-    base = [f"g{i}" for i in range(150)]
-    rows = [(i, " ".join(f"x{i}" if rng.random() < 0.03 else w for w in base)) for i in range(300)]
-    d = spark.createDataFrame(rows, "id long, text string").select("id", simhash.sketch_column(5, 10, 40, 384)("text").alias("s"))
-    fps = d.select("id", "s.fps", "s.odd")
-    sets = {i: set(simhash.shingle_hashes(simhash.words_of(t), 5).tolist()) for i, t in rows}
-    links = lambda pairs: {(p.a, p.b) for p in pairs if len(sets[p.a] & sets[p.b]) >= 0.8 * len(sets[p.a] | sets[p.b])}
-    every = simhash.ball_pairs(fps, 40, 4, 5, True).collect()
-    some = simhash.ball_pairs(fps, 40, 4, 5, True, 384, 0.8).collect()
-    assert len(some) < 0.7 * len(every) and links(some) == links(every)
+            similar.append(both >= 0.8 * (len(base) + len(other) - both))
+            a, b = (simhash.parity_sketch(np.unique(x), width).view(np.int64) for x in (base, other))
+            rows.append((len(rows), a.tolist(), b.tolist(), [int(a[0]) | simhash.MOST, *a.tolist()[1:]]))
+    d = spark.createDataFrame(rows, "k int, a array<long>, b array<long>, c array<long>")
+    maybe = lambda a, b: simhash.may_be_similar(F.col(a), F.col(b), width, 0.8)
+    got = d.select("k", maybe("a", "b").alias("m"), maybe("c", "b").alias("n")).orderBy("k").collect()
+    assert all(r.m or not s for r, s in zip(got, similar)) and sum(not r.m for r in got) > 3 and all(r.n for r in got)
 
 
 def test_dense_family_below_the_similarity_loses_no_link(spark):
@@ -359,10 +375,11 @@ def test_dense_family_below_the_similarity_loses_no_link(spark):
     rng.shuffle(family)
     rows = [(i, " ".join(words)) for i, words in enumerate(family)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    n, sketch = len(rows), simhash.sketch_column(5, 10, 40, 384)("text")
+    n, tables = len(rows), simhash.plan_tables(len(rows), 4, 0.8)[1]
+    sketch = simhash.sketch_column(5, tables, 40, 384)("text")
     fps = np.array([r.fps for r in d.select("doc_id", sketch.alias("s")).orderBy("doc_id").select("s.fps").collect()], np.int64).view(np.uint64)
     meet = np.zeros((n, n), bool)
-    for t in range(10):
+    for t in range(tables):
         meet |= np.bitwise_count(fps[:, t, None] ^ fps[None, :, t]) <= 4
     sets = [np.unique(simhash.shingle_hashes(simhash.words_of(t), 5)) for _, t in rows]
     _, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -399,6 +416,19 @@ def test_deduplicate_keeps_one_of_each_group(spark, hard, empty):
     assert simhash.deduplicate(empty).count() == 0 and simhash.simhash_components(empty).count() == 0
 
 
+def test_deduplicate_with_clashing_ids_and_names(spark):
+    rng = random.Random(6)
+    one, two = prose(rng, 80), prose(rng, 80)
+    rows = [("d1", one), ("d1", two), ("d0", one + " more"), ("d2", two.upper()), ("d1", two), ("d3", None), ("d4", " "), (None, one), ("d5", "a b")]
+    d = spark.createDataFrame(rows, "doc_id string, text string").withColumns({c: F.lit(c) for c in ("__id", "__copies", "row", "i", "k", "n", "digest", "`a b`", "x.y")})
+    got = simhash.deduplicate(d)
+    assert got.columns == d.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect() if r.doc_id) == sorted([("d0", one + " more"), ("d1", two), ("d3", None), ("d5", "a b")])
+    assert got.where("doc_id is null").count() == 1
+    groups = simhash.near_duplicate_ids(d).collect()
+    assert sorted((r.doc_id, r.component_id, r.copies) for r in groups) == [("d0", "d0", 1), ("d1", "d0", 1), ("d1", "d1", 2), ("d2", "d1", 1), ("d3", "d3", 1), ("d4", "d3", 1), ("d5", "d5", 1)]
+
+
 # --- 3: WARC -----------------------------------------------------------------------------------------------------------
 
 

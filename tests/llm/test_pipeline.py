@@ -41,17 +41,24 @@ def test_lines(stages):
 
 
 def test_near_duplicates(stages):
+    """One document of each group stays; of the pairs in each band of similarity nearly all are found, and no other is."""
     before, after = stages["near duplicates"]
     sets = {r.doc_id: set(simhash.shingle_hashes(simhash.words_of(r.text), 5).tolist()) for r in before.select("doc_id", "text").collect()}
     by_shingle = {}
     for d, s in sets.items():
         for h in s:
             by_shingle.setdefault(h, []).append(d)
-    near = {(a, b) for v in by_shingle.values() for a in v for b in v if a < b}
-    root = components(list(sets), [(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    near = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in {(a, b) for v in by_shingle.values() for a in v for b in v if a < b}}
+    near = {p: s for p, s in near.items() if s >= 0.8}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_ids(before).collect()}
+    for low, high, least in ((0.8, 0.85, 0.9), (0.85, 0.9, 0.97), (0.9, 1.1, 0.99)):
+        band = [p for p, s in near.items() if low <= s < high]
+        assert sum(got[a] == got[b] for a, b in band) >= least * len(band)
+    true = components(list(sets), near)
+    empty = min((d for d, s in sets.items() if not s), default=None)
+    assert all(true[d] == true[c] or not sets[d] and c == empty for d, c in got.items())
     kept = {r.doc_id for r in after.select("doc_id").collect()}
-    groups = set(root.values())
-    assert len(kept) == after.count() and len(kept ^ groups) <= 0.002 * len(groups)
+    assert len(kept) == after.count() and kept == set(got.values())
 
 
 def test_benchmark(spark, data, stages):
