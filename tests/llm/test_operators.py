@@ -473,12 +473,13 @@ def test_broken_archives():
 # --- 4: decontamination ------------------------------------------------------------------------------------------------
 
 
-def best_windows(docs, items, n=5, least=0.8):
+def best_windows(docs, items, shingle=5, least=0.8):
     out = {}
     for i, t in items:
         w = simhash.words_of(t)
-        if len(w) < n:
+        if not w:
             continue
+        n = min(shingle, len(w))
         want = Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
         for d, text in docs:
             u = simhash.words_of(text)
@@ -507,17 +508,69 @@ def test_decontamination_against_brute_force(spark):
             at = rng.randrange(len(words) + 1)
             words[at:at] = passage
         docs.append((d, " ".join(words)))
-    docs += [(100, "Two  WORDS"), (101, None), (102, ""), (None, items[0][1]), (103, items[3][1] * 2)]
+    docs += [(100, "Two  WORDS"), (101, None), (102, ""), (None, items[0][1]), (103, items[3][1] + " " + items[3][1]), (104, "here are two words and more"), (105, "two other words")]
+    items += [(93, items[3][1]), (94, items[3][1].upper())]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.start_word, r.similarity) for r in decontaminate.contaminated(d, b, block_bytes=1500).collect()}
     want = best_windows(docs, items)
-    assert got.pop((100, 90)) == (0, 1.0)
-    assert got.keys() == want.keys() and all(got[k][1] == pytest.approx(want[k][1]) for k in got)
+    assert got[100, 90] == (0, 1.0) and got[104, 90] == (2, 1.0) and got[103, 93] == got[103, 94] == (0, 1.0)
+    assert got.keys() == want.keys() and all(got[k] == (want[k][0], pytest.approx(want[k][1])) for k in got)
     kept = decontaminate.decontaminate(d, b)
-    assert {r.doc_id for r in kept.collect()} == {None} | {x for x, _ in docs} - {k for k, _ in want} - {100}
+    assert {r.doc_id for r in kept.collect()} == {None} | {x for x, _ in docs} - {k for k, _ in want}
     assert decontaminate.contaminated(d, b.limit(0)).count() == 0 and decontaminate.contaminated(d.limit(0), b).count() == 0
 
 
+def test_windows_and_overlaps_slide():
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 40, 5000, np.uint64)
+    for span in (1, 7, 3000):
+        got = np.concatenate([f for _, f in decontaminate.window_fingerprints(keys, span)])
+        want = keys[100 : 100 + span]
+        wanted, times = np.unique(want, return_counts=True)
+        both = decontaminate.overlaps(keys, span, wanted, times)
+        assert len(got) == len(both) == len(keys) - span + 1
+        for w in [0, 1, 100, *rng.integers(0, len(got), 20).tolist(), len(got) - 1]:
+            own = keys[w : w + span]
+            assert (got[w] == decontaminate.fingerprints(decontaminate.key_bits(own).sum(0, dtype=np.int64), span)[0]).all()
+            assert both[w] == sum((Counter(own.tolist()) & Counter(want.tolist())).values())
+
+
+def test_index_finds_all_within_the_radius_and_few_others():
+    rng = random.Random(5)
+    items = [(str(i), prose(rng, 40, [f"v{i}" for i in range(3000)])) for i in range(200)]
+    index = decontaminate.Index(items)
+    marks = [decontaminate.fingerprints(decontaminate.key_bits(decontaminate.shingle_keys(np.array([decontaminate.xxhash.xxh64_intdigest(w) for w in simhash.words_of(t)], np.uint64), 5)).sum(0), 36)[0] for _, t in items]
+    others = 0
+    for i, mark in enumerate(marks):
+        assert i in index.candidates(mark[None], 40)
+        flat = np.unpackbits(mark.view(np.uint8))
+        flat[rng.sample(range(len(flat)), decontaminate.RADIUS)] ^= 1
+        found = index.candidates(np.packbits(flat).view("<u2")[None], 40)
+        assert i in found and not len(index.candidates(mark[None], 41))
+        others += len(index.candidates(mark[None], 40)) - 1
+    assert others < 0.02 * 200 * 200
+
+
+def test_long_items_in_long_documents_take_time_by_their_length():
+    import time
+
+    w = [f"w{i % 9000}" for i in range(20_000)]
+    index = decontaminate.Index([("a", " ".join(w)), ("b", " ".join(w[:30]))])
+    began = time.process_time()
+    got = index.search(" ".join([f"x{i}" for i in range(20_000)] + w + [f"y{i}" for i in range(20_000)]))
+    assert sorted(got) == [("a", 20_000, 20_000, 1.0), ("b", 20_000, 30, 1.0)] and time.process_time() - began < 10
+
+
+def test_decontamination_with_ids_of_other_types(spark):
+    d = spark.createDataFrame([("d1", "one two three four five six seven"), (None, "one two three four five six seven"), ("d2", "no")], "doc_id string, text string")
+    b = spark.createDataFrame([("x", "One two three four five six")], "item_id string, text string")
+    d = d.withColumns({c: F.lit(1) for c in ("__bad", "name", "t", "id")})
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()} == {("d1", "x"), (None, "x")}
+    kept = decontaminate.decontaminate(d, b)
+    assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["None", "d2"]
+    assert decontaminate.contaminated(d, b.limit(0)).dtypes[0] == ("doc_id", "string")
+
+
 def test_decontamination_of_hard_rows(spark, hard):
     b = spark.createDataFrame([(1, hard.where("doc_id = 3").first().text)], "item_id long, text string")
     got = decontaminate.decontaminate(hard, b)
