@@ -17,7 +17,7 @@ with l as (select doc_id, source, unnest(string_split(text, chr(10))) line, unne
 k as (select *, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) plain from l),
 h as (select source, count(*) n from documents group by 1),
 c as (select source, plain, count(distinct doc_id) pages from k where plain <> '' group by all),
-bad as (select c.source, plain from c join h on c.source is not distinct from h.source where pages >= 5 and pages > 0.1 * n),
+bad as (select c.source, plain from c join h on c.source is not distinct from h.source where pages > 0.1 * n and pages > 1),
 o as (select k.doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (where bad.plain is null), '') as text, count(*) n_lines, count(bad.plain) n_dropped
   from k left join bad on k.source is not distinct from bad.source and k.plain = bad.plain group by 1)
 select d.doc_id, d.source, o.text, coalesce(n_lines, 0) n_lines, coalesce(n_dropped, 0) n_dropped from documents d left join o on d.doc_id = o.doc_id
@@ -33,6 +33,32 @@ select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || c
 from e group by 1
 """
 
+#: The permutation's eight rounds, one after the other.
+_TURN = """, p{k} as (select * replace (case when substr(md5(concat(key, ':', e, ':{r}:', greatest(x, ((t{r} - x) % m + m) % m))), 1, 1) >= '8' then ((t{r} - x) % m + m) % m else x end as x) from p{r})"""
+MIX = (
+    r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::bigint as size, substr(md5('17:' || coalesce(doc_id::varchar, '')), 1, 3) bucket from documents),
+o as (select *, coalesce(sum(size) over (partition by source order by bucket, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0)::bigint as start,
+  row_number() over (order by source, doc_id, size) as no from d),
+z as (select source, sum(size)::bigint source_size from d group by 1),
+r as (select *, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::bigint w, 3 * source_size cap from z),
+l as (select *, coalesce(sum(cap) over v, 0) cb, sum(w) over () - coalesce(sum(w) over v, 0) wl, sum(source_size) over () total from r window v as (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding)),
+c as (select *, cb * w + cap * wl <= total * w capped from l),
+t as (select source, source_size, case when capped then cap::double else (total - sum(case when capped then cap else 0 end) over ())::double * w / sum(case when capped then 0 else w end) over () end target from c),
+s as (select *, greatest(ceil(source_size / 128)::bigint - 1, 1) m, ceil(source_size / 128)::bigint blocks, coalesce(round(target)::bigint // nullif(source_size, 0), 0) e, coalesce(round(target)::bigint % nullif(source_size, 0), 0) rest,
+  md5('17:' || coalesce('s' || source, 'n')) as key from t),
+p0 as (select source, key, e, m, blocks, rest, k, k x, """
+    + ", ".join(f"('0x' || substr(md5(concat(key, ':', e, ':{r}')), 1, 13))::bigint % m t{r}" for r in range(8))
+    + " from (select *, unnest(range(0, ceil(rest / 128)::bigint)) k from s))"
+    + "".join(_TURN.format(k=r + 1, r=r) for r in range(8))
+    + r""",
+b as (select source, (case when k >= blocks - 1 then k else x end) as block, least(128, rest - k * 128) cut from p8),
+u as (select no, source, start, size, unnest(range(start // 128, (start + size - 1) // 128 + 1)) as block from o where size > 0),
+x as (select no, sum(greatest(least(u.start + u.size, u.block * 128 + cut) - greatest(u.start, u.block * 128), 0))::bigint more from u join b on u.source is not distinct from b.source and u.block = b.block group by 1)
+select o.doc_id, o.source, o.size, s.source_size, s.target, (s.e * o.size + coalesce(x.more, 0))::bigint taken from o join s on o.source is not distinct from s.source left join x on o.no = x.no
+"""
+)
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_fixity": FIXITY, "op6_line_dedup": LINES, "op10_chat": CHAT}
+    return {"op3_warc_fixity": FIXITY, "op6_line_dedup": LINES, "op8_mixing": MIX, "op10_chat": CHAT}
