@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelore.llm.simhash import words_of
+from framelore.llm.simhash import WORD, mixed, shingle_keys, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Blocks of a fingerprint and their bits, the bits in which a block's values are near, the radius that they guarantee.
@@ -31,28 +31,14 @@ RADIUS = BLOCKS * (NEAR + 1) - 1
 BLOCK_BYTES = 1 << 20
 #: Windows whose bits are counted at once: it bounds memory, not results.
 STEP = 2048
-#: Odd multipliers: of the words of a shingle, and of its key for each 64 bits of a fingerprint.
-_RNG = np.random.default_rng(7)
-WORD = _RNG.integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
-BITS = _RNG.integers(1, 1 << 63, BLOCKS * WIDTH // 64, np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _mixed(z: np.ndarray) -> np.ndarray:
-    z = (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return z ^ (z >> np.uint64(29))
-
-
-def shingle_keys(codes: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit key for each n-word shingle of hashed words."""
-    k = max(0, len(codes) - n + 1)
-    with np.errstate(over="ignore"):
-        return _mixed(sum(codes[i : i + k] * WORD[i] for i in range(n)))
+#: Odd multipliers of a shingle's key for each 64 bits of a fingerprint.
+BITS = np.random.default_rng(8).integers(1, 1 << 63, BLOCKS * WIDTH // 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def key_bits(keys: np.ndarray) -> np.ndarray:
     """The bits that each key adds to a fingerprint: one row for each key."""
     with np.errstate(over="ignore"):
-        wide = _mixed(keys[:, None] * BITS)
+        wide = mixed(keys[:, None] * BITS)
     return np.unpackbits(wide.astype("<u8").view(np.uint8).reshape(len(keys), BLOCKS * WIDTH // 8), axis=1, bitorder="little")
 
 
@@ -160,7 +146,7 @@ class Index:
 
         def keys_at(places: np.ndarray, k: int) -> np.ndarray:
             with np.errstate(over="ignore"):
-                return _mixed(sum((codes[places + i] * WORD[i] for i in range(k)), np.zeros(len(places), np.uint64)))
+                return mixed(sum((codes[places + i] * WORD[i] for i in range(k)), np.zeros(len(places), np.uint64)))
 
         for k, own in self.short.items():
             places = runs(k)

@@ -1,14 +1,16 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Every vector is described by the permutation of its nearest reference points: its ``prefix`` nearest pivots.  The
-inverted list of a pivot holds the vectors that have it in their prefix.  Vectors that share at least ``shared`` pivots
-are candidates, found where the list of their first shared pivot is worked through, and are verified by cosine.
+Every vector is described by the permutation of its nearest reference points: its ``prefix`` nearest pivots.  Vectors that
+share at least ``shared`` pivots are candidates.  The inverted lists are those of sets of ``shared`` pivots: a vector is in
+the list of each such set of its prefix, so that the vectors of a list share enough pivots, and lists are short.  A pair is
+verified by cosine in the list of the first pivots that both have, and only there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 from math import isqrt
 
 import numpy as np
@@ -16,11 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelore.llm.common import connected_components, drop, save
+from framelore.llm.common import Scratch, connected_components, save
 
 COSINE, PREFIX, SHARED, LEAST_PIVOTS, MOST_PIVOTS = 0.95, 6, 2, 512, 8192
-#: Vectors of a list that a task compares with as many others.
-BLOCK = 2048
+#: Vectors of a list that a task compares with as many others; about how many vectors of short lists a task's group has.
+BLOCK, GROUP = 2048, 16384
+#: Long lists are joined by sending them, up to so many.
+FEW_LISTS = 100_000
 
 
 def choose_pivots(sample: np.ndarray, count: int, spread: float = 0.7) -> np.ndarray:
@@ -40,16 +44,23 @@ def choose_pivots(sample: np.ndarray, count: int, spread: float = 0.7) -> np.nda
 
 
 def nearest(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """Row by row the ``prefix`` nearest pivots in order, ties by number, -1 where there are fewer."""
-    out = np.full((len(vectors), prefix), -1, np.int32)
+    """Row by row the numbers of the ``prefix`` nearest pivots, ascending; fewer columns where there are fewer pivots."""
+    out = np.zeros((len(vectors), min(prefix, len(pivots))), np.int32)
     for i in range(0, len(vectors), 4096):
         near = -(vectors[i : i + 4096] @ pivots.T)
-        out[i : i + 4096, : min(prefix, len(pivots))] = np.argsort(near, axis=1, kind="stable")[:, :prefix]
+        part = np.argpartition(near, out.shape[1] - 1, axis=1)[:, : out.shape[1]] if out.shape[1] < len(pivots) else np.tile(np.arange(len(pivots)), (len(near), 1))
+        out[i : i + 4096] = np.sort(part, axis=1)
     return out
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
-    v = np.array(rows.tolist(), float)
+def list_keys(near: np.ndarray, shared: int) -> np.ndarray:
+    """Keys of the lists that vectors are in: one for each set of ``shared`` pivots, 16 bits for each pivot."""
+    sets = [sum(near[:, p].astype(np.int64) << 16 * (shared - 1 - k) for k, p in enumerate(c)) for c in combinations(range(near.shape[1]), shared)]
+    return np.stack(sets, axis=1)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = v.astype(float)
     v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
@@ -65,107 +76,105 @@ def near_duplicates(
     or hold null or non-finite components link with nothing; nor do vectors of different lengths.  A null id is never a
     component's smallest unless there is no other, and such a row is not kept.  Links are counted where they are found and never
     written out as pairs.  ``pivots``: by default the square root of the number of distinct vectors, doubled,
-    512 to 8192.
+    512 to 8192, from a sample of four times as many vectors, the first by a hash; every vector is indexed.  Only these
+    columns are read, so others may have any names.  An empty table gives an empty result.
     """
-    v = F.col("v")
+    v, single = F.col("v"), dict(vectors.dtypes)[vector_col] == "array<float>"
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    base = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    base = vectors.select(vectors[f"`{id_col}`"].alias("id"), vectors[f"`{vector_col}`"].cast("array<float>" if single else "array<double>").alias("v"))
     rows = base.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    # equal vectors are one class, counted before they move
-    classes = rows.where("fine").groupBy("v").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
-    classes = save(classes.select(F.monotonically_increasing_id().alias("uid"), "v", "copies", "least"), "vectors")
-    found = []
-    for dim, count in classes.groupBy(F.size("v")).count().collect():
-        found.append(_search(classes.where(F.size("v") == dim), count, cosine, prefix, shared, pivots))
-    schema = "uid long, links long, root long"
-    links = save(reduce(DataFrame.unionAll, found), "links") if found else vectors.sparkSession.createDataFrame([], schema)
-    roots = connected_components(links.select(F.col("uid").alias("a"), F.col("root").alias("b")))
-    counts = links.groupBy("uid").agg(F.sum("links").alias("links"))
-    named = classes.join(roots, classes["uid"] == roots["node"], "left").select("uid", "v", "copies", "least", F.coalesce("root", "uid").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").join(counts, "uid", "left")
-    named = named.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    with Scratch() as scratch:
+        # equal vectors are one class, counted before they move
+        classes = rows.where("fine").groupBy("v").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
+        classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("uid"), "v", "copies", "least"), "vectors")
+        found = []
+        for dim, count in classes.groupBy(F.size("v")).count().collect():
+            found.append(_search(classes.where(F.size("v") == dim), count, cosine, prefix, shared, pivots, single, scratch))
+        schema = "uid long, links long, root long"
+        links = scratch.save(reduce(DataFrame.unionAll, found), "links") if found else vectors.sparkSession.createDataFrame([], schema)
+        roots = connected_components(links.select(F.col("uid").alias("a"), F.col("root").alias("b")), scratch)
+        counts = links.groupBy("uid").agg(F.sum("links").alias("links"))
+        named = classes.join(roots, classes["uid"] == roots["node"], "left").select("uid", "v", "copies", "least", F.coalesce("root", "uid").alias("root"))
+        least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = named.join(least, "root").join(counts, "uid", "left")
+        named = save(named.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "named")
     known = rows.where("fine").join(named, "v").select("id", "n_links", "component_id")
     lone = rows.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = known.unionAll(lone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _search(classes: DataFrame, count: int, cosine: float, prefix: int, shared: int, pivots: int | None) -> DataFrame:
+def _search(classes: DataFrame, count: int, cosine: float, prefix: int, shared: int, pivots: int | None, single: bool, scratch: Scratch) -> DataFrame:
     """Rows (uid, links, root) for vectors of one length: links found at a list, and the smallest uid that they reach there."""
-    spark = classes.sparkSession
+    spark, kind = classes.sparkSession, np.float32 if single else np.float64
     wanted = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, 2 * isqrt(count)))
     sample = classes.orderBy(F.xxhash64("v"), "v").limit(4 * wanted).select("v").toPandas()
-    points = choose_pivots(_unit(sample["v"]), wanted)
-    shared = min(shared, len(points))
+    points = choose_pivots(_unit(np.array(sample["v"].tolist())), wanted)
+    shared = min(shared, len(points), prefix)
     sent = spark.sparkContext.broadcast(points)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            unit = _unit(pdf["v"]) if len(pdf) else np.zeros((0, points.shape[1]))
-            near = nearest(unit, sent.value, prefix)
-            yield pd.DataFrame({"uid": pdf["uid"], "copies": pdf["copies"], "unit": [u.tobytes() for u in unit], "near": list(near)})
-
-    described = save(classes.select("uid", "copies", "v").mapInPandas(describe, "uid long, copies long, unit binary, near array<int>"), "prefixes")
-    sizes = dict(described.select(F.explode("near").alias("p")).where("p >= 0").groupBy("p").count().collect())
-    blocks = spark.sparkContext.broadcast({p: -(-n // BLOCK) for p, n in sizes.items() if n > BLOCK})
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A vector goes to the list of each of its pivots; a long list is cut into blocks, each pair of which is a task."""
-        for pdf in batches:
-            uid, out = pdf["uid"].to_numpy(np.int64), []
-            near = np.array(pdf["near"].tolist(), np.int32).reshape(len(pdf), -1)
-            for place in range(near.shape[1]):
-                for row, p in enumerate(near[:, place].tolist()):
-                    if p < 0:
-                        continue
-                    many = blocks.value.get(p, 1)
-                    mine = int(uid[row] * 0x9E3779B1 >> 7) % many
-                    out += [(p, min(mine, other), max(mine, other), mine, row) for other in range(many)]
-            at = np.array(out, np.int64).reshape(-1, 5)
-            for i in range(0, len(at), 20_000):
-                part = at[i : i + 20_000]
-                rest = pdf.iloc[part[:, 4]].reset_index(drop=True)
-                yield pd.DataFrame({"pivot": part[:, 0], "one": part[:, 1], "two": part[:, 2], "mine": part[:, 3]}).join(rest)
-
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pivot, one, two = key
-        pdf = pdf.sort_values("uid")
-        unit = np.frombuffer(b"".join(pdf["unit"]), float).reshape(len(pdf), -1)
-        near = np.sort(np.array(pdf["near"].tolist(), np.int32), axis=1)
-        uid, copies, mine = (pdf[c].to_numpy(np.int64) for c in ("uid", "copies", "mine"))
-        right = np.flatnonzero(mine == two)
-        links, root = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
-        pairs = []
-        left = np.flatnonzero(mine == one)
-        for i in range(0, len(left), 512):
-            part = left[i : i + 512]
-            a, b = np.nonzero(unit[part] @ unit[right].T >= cosine)
-            a, b = part[a], right[b]
-            if one == two:
-                a, b = a[a < b], b[a < b]
-            for j in range(0, len(a), 1 << 16):
-                x, y = a[j : j + (1 << 16)], b[j : j + (1 << 16)]
-                same = (near[x][:, :, None] == near[y][:, None, :]) & (near[x] >= 0)[:, :, None]
-                # counted at the first pivot that both have, and only there
-                first = np.where(same.any(2), near[x], np.iinfo(np.int32).max).min(1)
-                own = (same.sum((1, 2)) >= shared) & (first == pivot)
-                x, y = x[own], y[own]
-                np.add.at(links, x, copies[y])
-                np.add.at(links, y, copies[x])
-                pairs.append(np.stack([x, y]))
-        if pairs:
-            x, y = np.concatenate(pairs, axis=1)
-            while True:
-                low = np.minimum(root[x], root[y])
-                before = root.copy()
-                np.minimum.at(root, x, low)
-                np.minimum.at(root, y, low)
-                root = root[root]
-                if (root == before).all():
-                    break
+            if len(pdf):
+                v = np.array(pdf["v"].tolist(), kind)
+                near = nearest(_unit(v), sent.value, prefix)
+                yield pd.DataFrame({"uid": pdf["uid"], "copies": pdf["copies"], "vector": [x.tobytes() for x in v], "near": list(near), "keys": list(list_keys(near, shared))})
+
+    described = classes.select("uid", "copies", "v").mapInPandas(describe, "uid long, copies long, vector binary, near array<int>, keys array<long>")
+    described = scratch.save(described, "prefixes")
+    # a long list is cut into blocks, each pair of which is a group of its own; short lists go together
+    in_lists = described.select("uid", F.explode("keys").alias("key"))
+    long_ = scratch.save(in_lists.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("many")), "long")
+    n_long, mine = long_.count(), F.lit(None).cast("map<bigint,int>")
+    if n_long:
+        held = in_lists.join(F.broadcast(long_) if n_long <= FEW_LISTS else long_, "key").groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("key", "many"))).alias("lists"))
+        described, mine = described.join(held, "uid", "left"), F.col("lists")
+    many = F.coalesce(F.try_element_at(mine, F.col("key")), F.lit(1))
+    dealt = described.withColumn("lists", mine).select("uid", "copies", "vector", "near", F.explode("keys").alias("key"), "lists")
+    dealt = dealt.withColumn("many", many).withColumn("mine", F.pmod(F.xxhash64("uid"), F.col("many")).cast("int")).drop("lists")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    groups = max(64, count * 15 // GROUP)
+    group = F.when(F.col("many") > 1, F.col("key") + (1 << 62)).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups)))
+    dealt = dealt.select(group.alias("group"), F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "key", "mine", "uid", "copies", "vector", "near")
+
+    def compare(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, one, two = group
+        pdf = pdf.sort_values(["key", "uid"])
+        key, uid, copies, mine = (pdf[c].to_numpy(np.int64) for c in ("key", "uid", "copies", "mine"))
+        unit = _unit(np.frombuffer(b"".join(pdf["vector"]), kind).reshape(len(pdf), -1))
+        near = np.array(pdf["near"].tolist(), np.int64)
+        pairs = [np.zeros((2, 0), np.int64)]
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        end = np.r_[begin[1:], len(key)]
+        for lo, hi in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist()):
+            left, right = lo + np.flatnonzero(mine[lo:hi] == one), lo + np.flatnonzero(mine[lo:hi] == two)
+            for i in range(0, len(left), 512):
+                part = left[i : i + 512]
+                a, b = np.nonzero(unit[part] @ unit[right].T >= cosine)
+                a, b = part[a], right[b]
+                if one == two:
+                    a, b = a[a < b], b[a < b]
+                for j in range(0, len(a), 1 << 16):
+                    x, y = a[j : j + (1 << 16)], b[j : j + (1 << 16)]
+                    both = (near[x][:, :, None] == near[y][:, None, :]).any(2)
+                    # counted in the list of the first pivots that both have, and only there
+                    place = np.where(both, np.cumsum(both, axis=1), 0)
+                    first = sum(((near[x] * (place == k)).sum(1) << 16 * (shared - k)) for k in range(1, shared + 1))
+                    own = first == key[lo]
+                    pairs.append(np.stack([x[own], y[own]]))
+        x, y = np.concatenate(pairs, axis=1)
+        nodes, node = np.unique(uid, return_inverse=True)
+        links, root = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+        np.add.at(links, node[x], copies[y])
+        np.add.at(links, node[y], copies[x])
+        while True:
+            low, before = np.minimum(root[node[x]], root[node[y]]), root.copy()
+            np.minimum.at(root, before[node[x]], low)
+            np.minimum.at(root, before[node[y]], low)
+            root = root[root]
+            if (root == before).all():
+                break
         on = links > 0
-        return pd.DataFrame({"uid": uid[on], "links": links[on], "root": uid[root[on]]})
+        return pd.DataFrame({"uid": nodes[on], "links": links[on], "root": nodes[root[on]]})
 
-    dealt = described.mapInPandas(deal, "pivot long, one long, two long, mine long, uid long, copies long, unit binary, near array<int>")
-    return dealt.groupBy("pivot", "one", "two").applyInPandas(compare, "uid long, links long, root long")
+    return dealt.groupBy("group", "one", "two").applyInPandas(compare, "uid long, links long, root long")

@@ -46,6 +46,40 @@ def shingle_hashes(words: list[bytes], n: int, seed: int = SEED) -> np.ndarray:
     return np.fromiter((digest(line[i:j], seed) for i, j in zip(starts[:k].tolist(), last.tolist())), np.uint64, k)
 
 
+#: Odd multipliers of the words of a shingle.
+WORD = np.random.default_rng(7).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class WordHashes(dict):
+    """XXH64 of words, remembered; forgets all where they get too many, which bounds memory and changes no result."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 19:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mixed(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return z ^ (z >> np.uint64(29))
+
+
+def shingle_keys(codes: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit key for each n-word shingle of hashed words; for fewer words there is none."""
+    k = max(0, len(codes) - n + 1)
+    with np.errstate(over="ignore"):
+        return mixed(sum((codes[i : i + k] * WORD[i] for i in range(n)), np.zeros(k, np.uint64)))
+
+
+def shingle_set(codes: np.ndarray, n: int) -> np.ndarray:
+    """The sorted distinct keys of a text's n-word shingles; fewer words: of the whole sequence; none: empty."""
+    return np.unique(shingle_keys(codes, min(n, len(codes)))) if len(codes) else np.zeros(0, np.uint64)
+
+
 def bit_counts(h: np.ndarray) -> np.ndarray:
     """How many of the hashes have each of the 64 bits, lowest first."""
     total = np.zeros(64, np.int64)
@@ -104,21 +138,32 @@ def may_be_similar(a: Column, b: Column, width: int, similarity: float) -> Colum
     return maybe | (F.greatest(size(a), size(b)) == MOST)
 
 
+def many_bit_counts(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """bit_counts() of h hashed with each of the keys again: one row for each."""
+    total = np.zeros((len(keys), 64), np.int64)
+    for i in range(0, len(h), 255 * 8):
+        part = _mix(h[i : i + 255 * 8], keys[:, None])
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(len(keys), -1, 8), axis=2, bitorder="little").view(np.uint64)
+        for j in range(0, part.shape[1], 255):  # no byte of a lane can overflow
+            total += bits[:, j : j + 255].sum(1).view(np.uint8).reshape(-1, 64)
+    return total
+
+
 def sketch_column(shingle: int, tables: int, bits: int, parity: int):
     """A pandas UDF from text to (digest of its words, ``tables`` independent fingerprints of ``bits`` bits, parity sketch).
 
     Fingerprints and sketch are of the set of shingles, which similarity is measured on: repeats count once.
     """
     need = -(-tables * bits // 64)
-    keys = [np.uint64(int.from_bytes(hashlib.sha256(b"table %d" % t).digest()[:8], "little") | 1) for t in range(need)]
+    keys = np.array([int.from_bytes(hashlib.sha256(b"table %d" % t).digest()[:8], "little") | 1 for t in range(need)], np.uint64)
 
     @F.pandas_udf("digest binary, fps array<long>, odd array<long>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        digests, fps, odd = [], [], []
+        digests, fps, odd, hashes = [], [], [], WordHashes()
         for t in texts:
             words = words_of(t)
-            h = np.unique(shingle_hashes(words, shingle))
-            flat = np.concatenate([2 * bit_counts(_mix(h, k)) > len(h) for k in keys])[: tables * bits].reshape(tables, bits)
+            h = shingle_set(hashes.of(words), shingle)
+            flat = (2 * many_bit_counts(h, keys) > len(h)).ravel()[: tables * bits].reshape(tables, bits)
             wide = np.zeros((tables, 64), bool)
             wide[:, :bits] = flat
             fps.append(np.packbits(wide, axis=1, bitorder="little").view("<i8").ravel().tolist())
@@ -129,7 +174,7 @@ def sketch_column(shingle: int, tables: int, bits: int, parity: int):
     return sketch
 
 
-def _mix(h: np.ndarray, key: np.uint64) -> np.ndarray:
+def _mix(h: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Another hash of the same shingles (the finaliser of SplitMix64)."""
     with np.errstate(over="ignore"):
         z = h * key + np.uint64(0x9E3779B97F4A7C15)
@@ -425,10 +470,10 @@ def _sets(shingle: int):
 
     @F.pandas_udf("digest binary, set binary")
     def sets(texts: pd.Series) -> pd.DataFrame:
-        words = [words_of(t) for t in texts]
-        return pd.DataFrame({"digest": [_digest(w) for w in words], "set": [np.unique(shingle_hashes(w, shingle)).tobytes() for w in words]})
+        words, hashes = [words_of(t) for t in texts], WordHashes()
+        return pd.DataFrame({"digest": [_digest(w) for w in words], "set": [shingle_set(hashes.of(w), shingle).tobytes() for w in words]})
 
-    return sets
+    return sets.asNondeterministic()  # else a filter on the digest would be pushed down, and all texts hashed
 
 
 def _jaccard():

@@ -55,7 +55,9 @@ def empty(spark):
 # --- components --------------------------------------------------------------------------------------------------------
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, few, monkeypatch):
+    monkeypatch.setattr(common, "FEW_EDGES", few)
     rng = random.Random(1)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, x) for x in range(1001, 1100)] + [(2000 + i, 2001 + i) for i in range(40)]
     got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
@@ -539,7 +541,7 @@ def test_index_finds_all_within_the_radius_and_few_others():
     rng = random.Random(5)
     items = [(str(i), prose(rng, 40, [f"v{i}" for i in range(3000)])) for i in range(200)]
     index = decontaminate.Index(items)
-    marks = [decontaminate.fingerprints(decontaminate.key_bits(decontaminate.shingle_keys(np.array([decontaminate.xxhash.xxh64_intdigest(w) for w in simhash.words_of(t)], np.uint64), 5)).sum(0), 36)[0] for _, t in items]
+    marks = [decontaminate.fingerprints(decontaminate.key_bits(simhash.shingle_keys(np.array([xxhash.xxh64_intdigest(w) for w in simhash.words_of(t)], np.uint64), 5)).sum(0), 36)[0] for _, t in items]
     others = 0
     for i, mark in enumerate(marks):
         assert i in index.candidates(mark[None], 40)
@@ -618,7 +620,9 @@ def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
 # --- 6: lines ----------------------------------------------------------------------------------------------------------
 
 
-def test_lines_against_brute_force(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_lines_against_brute_force(spark, few, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FEW_LINES", few)
     rng = random.Random(8)
     rows = []
     for i in range(120):
@@ -629,12 +633,15 @@ def test_lines_against_brute_force(spark):
             lines += ["rare", "rare"]
         rows.append((i, f"h{i % 2}" if i % 7 else None, "\n".join(lines) if i % 11 else None))
     rows += [rows[3]] * 2
-    d = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({"host": F.lit(1), "key": F.lit(2), "pages": F.lit(3)})
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({c: F.lit(c) for c in ("host", "key", "pages", "__i", "__bad", "row", "t", "h", "x.y")})
+    rows += [(200, "small", "one\ntwo"), (201, "small", "one\nthree"), (202, "alone", "four")]
+    d = d.unionByName(spark.createDataFrame(rows[-3:], "doc_id long, source string, text string"), allowMissingColumns=True)
     plain = lambda x: " ".join(x.split())
     hosts, counts = Counter(r[1] for r in rows), Counter()
     for _, h, t in rows:
         counts.update({(h, plain(x)) for x in (t or "").split("\n") if plain(x)})
-    bad = {k for k, n in counts.items() if n >= 5 and n > 0.1 * hosts[k[0]]}
+    bad = {k for k, n in counts.items() if n >= 2 and n > 0.1 * hosts[k[0]]}
+    assert ("small", "one") in bad and ("alone", "four") not in bad
     want = sorted((i, str(None if t is None else "\n".join(x for x in t.split("\n") if (h, plain(x)) not in bad))) for i, h, t in rows)
     got = line_dedup.drop_boilerplate_lines(d)
     assert sorted((r.doc_id, str(r.text)) for r in got.collect()) == want and bad
