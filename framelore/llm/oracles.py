@@ -37,7 +37,7 @@ from e group by 1
 _TURN = """, p{k} as (select * replace (case when substr(md5(concat(key, ':', e, ':{r}:', greatest(x, ((t{r} - x) % m + m) % m))), 1, 1) >= '8' then ((t{r} - x) % m + m) % m else x end as x) from p{r})"""
 MIX = (
     r"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::bigint as size, substr(md5('17:' || coalesce(doc_id::varchar, '')), 1, 3) bucket from documents),
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, substr(md5('17:' || coalesce(doc_id::varchar, '')), 1, 3) bucket from documents),
 o as (select *, coalesce(sum(size) over (partition by source order by bucket, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0)::bigint as start,
   row_number() over (order by source, doc_id, size) as no from d),
 z as (select source, sum(size)::bigint source_size from d group by 1),
