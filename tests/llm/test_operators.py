@@ -55,6 +55,14 @@ def empty(spark):
 # --- components --------------------------------------------------------------------------------------------------------
 
 
+def test_a_task_contracts_its_edges_chunk_by_chunk(monkeypatch):
+    monkeypatch.setattr(common, "CHUNK", 3)
+    batches = [pd.DataFrame({"v": v, "p": p}, dtype="int64") for v, p in (([5, 6], [4, 5]), ([9], [8]), ([], []), ([7, 9], [6, 4]))]
+    out = [[tuple(map(int, e)) for e in part.to_numpy()] for part in common._forest(iter(batches))]
+    assert [sorted(x) for x in out] == [[(5, 4), (6, 4), (9, 8)], [(7, 6), (9, 4)]]
+    assert list(common._forest(iter([]))) == []
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, x) for x in range(1001, 1100)] + [(2000 + i, 2001 + i) for i in range(40)]
