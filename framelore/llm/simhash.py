@@ -262,6 +262,16 @@ def plan_tables(count: int, radius: int, similarity: float, recall: float = 0.99
 SEVERAL = np.uint64(1 << 63)
 
 
+def _planes(rec: np.ndarray) -> bytes:
+    """Records byte by byte: all their first bytes, then all their second ones; equal high bytes so shrink in the shuffle."""
+    return np.ascontiguousarray(rec.view(np.uint8).reshape(-1, 16).T).tobytes()
+
+
+def _records(planes: bytes) -> np.ndarray:
+    """The records (id, fingerprint) that _planes() packed."""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(16, -1).T).view(np.uint64)
+
+
 def _scatter(half: int, prefix: int):
     """Fingerprints to the prefixes that their balls touch: one row with packed records for each batch, table and prefix."""
     low, m = np.uint64((1 << prefix) - 1), masks(prefix, half)
@@ -275,7 +285,7 @@ def _scatter(half: int, prefix: int):
                 fp = np.where(own["several"].to_numpy(bool), fp | SEVERAL, fp) if "several" in own else fp
                 rec = np.column_stack([own["id"].to_numpy(np.int64).view(np.uint64), fp])[np.repeat(np.arange(len(fp)), len(m))[order]]
                 keys, first = np.unique(to[order], return_index=True)
-                yield pd.DataFrame({"tbl": int(t), "prefix": keys, "records": [x.tobytes() for x in np.split(rec, first[1:])]})
+                yield pd.DataFrame({"tbl": int(t), "prefix": keys, "records": [_planes(x) for x in np.split(rec, first[1:])]})
 
     return run
 
@@ -313,7 +323,7 @@ def _meet(bits: int, radius: int, prefix: int, listed: bool):
     half, low, signed = radius // 2, np.uint64((1 << prefix) - 1), ~SEVERAL if listed else ~np.uint64(0)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rec = np.frombuffer(b"".join(pdf["records"]), np.uint64).reshape(-1, 2)
+        rec = np.concatenate([_records(x) for x in pdf["records"]])
         rec = rec[np.argsort(rec[:, 0].view(np.int64), kind="stable")]
         ids, fps, n = np.ascontiguousarray(rec[:, 0]).view(np.int64), rec[:, 1] & signed, np.int64(len(rec))
         several = rec[:, 1] != fps
