@@ -89,6 +89,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: A table of ids is sent to all tasks up to so many rows and bytes; a larger one meets the texts in a shuffle.
+SENT_ROWS, SENT_BYTES = 1 << 19, 1 << 24
+
+
+def sent_if_small(table: DataFrame) -> DataFrame:
+    """A saved table, marked for broadcast if its counted rows and bytes are within SENT_ROWS and SENT_BYTES; else as it is."""
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in table.columns), F.lit(0))
+    rows, total = table.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(table) if rows <= SENT_ROWS and total <= SENT_BYTES else table
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

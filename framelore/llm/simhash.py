@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelore.llm.common import Scratch, connected_components, save
+from framelore.llm.common import Scratch, connected_components, save, sent_if_small
 
 SEED = 42
 #: Shingles per step of the bit counts, and variants that a task expands at once: they bound memory, not results.
@@ -521,9 +521,10 @@ def _groups(
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """Shingle sets of the classes wanted (id), from the rows that have the class's smallest id."""
-        own = names.join(wanted, "id", "left_semi")
-        rows = text.join(own.select(F.col("least").alias("__least")).distinct(), F.col("id") == F.col("__least"), "left_semi").select(_sets(shingle)("text").alias("s"))
-        return scratch.save(rows.select("s.digest", "s.set").join(own.select("id", "digest"), "digest").dropDuplicates(["id"]).select("id", "set"), "sets")
+        own = scratch.save(names.join(wanted, "id", "left_semi").select("id", "digest", F.col("least").alias("__least")), "wanted")
+        ids, digests = sent_if_small(own.select("__least")), sent_if_small(own.select("id", "digest"))
+        rows = text.join(ids, F.col("id") == F.col("__least"), "left_semi").select(_sets(shingle)("text").alias("s"))
+        return scratch.save(rows.select("s.digest", "s.set").join(digests, "digest").dropDuplicates(["id"]).select("id", "set"), "sets")
 
     odd = lambda end: classes.select(F.col("id").alias(end), F.col("odd").alias(f"odd_{end}"))
     maybe = edges.select("a", "b").join(odd("a"), "a").join(odd("b"), "b").where(may_be_similar(F.col("odd_a"), F.col("odd_b"), parity, similarity))
@@ -572,11 +573,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with Scratch() as scratch:
         rows, classes = _groups(docs, id_col, text_col, scratch, **how)
         keep = classes.groupBy("root").agg(F.min(F.struct("least", "digest")).alias("k")).select(F.col("k.least").alias("k"), F.col("k.digest").alias("digest"))
+        keep = scratch.save(keep, "keep")
         counts = rows.groupBy(F.col("id").alias("k")).agg(F.count("*").alias("n"))
-        keep = save(keep.join(counts, "k"), "keep")
+        several = save(keep.join(counts.where("n > 1"), "k").select("k", "digest"), "several")
+        # ids that leave some row out: far fewer, as a rule, than those that stay
+        touched = counts.join(keep.select("k", F.lit(True).alias("kept")).distinct(), "k", "left").where("kept is null or n > 1")
+        touched = save(touched.select("k"), "touched")
     packed = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"))
-    once = packed.join(keep.where("n = 1"), F.col("i") == F.col("k"))
-    again = packed.join(keep.where("n > 1").select("k").distinct(), F.col("i") == F.col("k"), "left_semi").select("row", "i", _sets(shingle)("t")["digest"].alias("d"))
-    again = again.join(keep.where("n > 1"), (F.col("i") == F.col("k")) & (F.col("d") == F.col("digest"))).dropDuplicates(["i", "d"])
-    none = packed.where("i is null")
-    return once.select("row").unionAll(again.select("row")).unionAll(none.select("row")).select("row.*")
+    rest = packed.join(sent_if_small(touched), F.col("i") == F.col("k"), "left_anti")
+    several = sent_if_small(several)
+    again = packed.join(several.select("k"), F.col("i") == F.col("k"), "left_semi").select("row", "i", _sets(shingle)("t")["digest"].alias("d"))
+    again = again.join(several, (F.col("i") == F.col("k")) & (F.col("d") == F.col("digest"))).dropDuplicates(["i", "d"])
+    return rest.select("row").unionAll(again.select("row")).select("row.*")
