@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,12 @@ def drop(df: DataFrame | None) -> None:
         _delete(df.sparkSession, path)
 
 
+def free(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished jobs only once the driver's heap has been collected; have that done now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Tables that are written on the way to a result, deleted when the block ends; what is returned must not read them."""
 
@@ -65,6 +72,8 @@ class Scratch:
     def __exit__(self, *_) -> None:
         for table in self.tables:
             drop(table)
+        if self.tables:
+            free(self.tables[0].sparkSession)
 
 
 #: Paths of the tables that save() has written and drop() has not deleted, in order.
@@ -82,6 +91,7 @@ def drop_since(spark: SparkSession, place: int, keep: DataFrame | None = None) -
         if path != getattr(keep, "_scratch_path", None):
             _delete(spark, path)
     _live[place:] = [p for p in _live[place:] if p == getattr(keep, "_scratch_path", None)]
+    free(spark)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelore.llm.common import Scratch, connected_components, save, sent_if_small
+from framelore.llm.common import Scratch, connected_components, free, save, sent_if_small
 
 SEED = 42
 #: Shingles per step of the bit counts, and variants that a task expands at once: they bound memory, not results.
@@ -517,6 +517,7 @@ def _groups(
     classes = base.groupBy("digest").agg(F.min("id").alias("least"), F.any_value("fps").alias("fps"), F.any_value("odd").alias("odd"))
     classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("id"), "*"), "classes")
     edges = scratch.save(candidate_edges(classes, classes.count(), bits, tables, radius, scratch), "pairs")
+    free(docs.sparkSession)
     names = classes.select("id", "digest", "least")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
@@ -532,6 +533,7 @@ def _groups(
     sets = sets_of(maybe.select(F.col("a").alias("id")).union(maybe.select("b")).distinct())
     links = maybe.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where(_jaccard()("x", "y") >= similarity).select("a", "b")
     roots = scratch.save(connected_components(links, scratch).toDF("id", "root"), "roots")
+    free(docs.sparkSession)
     # clusters of dense meetings that verified pairs have not made one group: the rest of their pairs is tested in tiles
     clusters = connected_components(edges.where("dense").select("a", "b"), scratch).toDF("id", "cluster")
     members = scratch.save(clusters.join(roots, "id", "left").select("cluster", "id", F.coalesce("root", "id").alias("root")), "members")
