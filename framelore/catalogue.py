@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelore.functions import fixed, na, scalars
+from framelore.functions import fixed, na, scalars, slices
 from framelore.operators import classification as clf
-from framelore.operators import events, examples, labels, manifest, selftest, tracks, windows
+from framelore.operators import datasets, events, examples, labels, manifest, selftest, tracks, windows
 from framelore.plans import views
-from framelore.sources import manifests
+from framelore.sources import artifacts, manifests, store
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -524,6 +524,200 @@ def score_percentiles(spark, d):
     return c.agg(F.count("*").alias("n"), _r(F.avg("score")).alias("mean_score"), _r(F.percentile("score", F.lit(0.5))).alias("median_score"), _r(F.percentile("score", F.lit(0.95))).alias("p95_score"))
 
 
+# --- registry, data set of windows, artefacts ---------------------------------------------------------------------------
+
+#: Views whose text Spark and DuckDB both read.
+_RAW = """select p_partkey as pos, case when p_partkey % 17 = 0 then '' else 'c' || cast(p_partkey as string) end as clip_id,
+  case p_partkey % 5 when 0 then ' URFD' when 1 then 'le2i' when 2 then null else 'up_fall' end as dataset,
+  case p_partkey % 6 when 0 then 'Train' when 1 then 'validate ' when 2 then 'debug' when 3 then 'test' else 'TRAIN' end as role,
+  case p_partkey % 4 when 0 then 'fall' when 1 then ' No_Fall' when 2 then 'unknown' else 'fall' end as label,
+  case when p_partkey % 13 = 0 then null else 'path' || cast(p_partkey as string) end as source_path, case p_partkey % 7 when 0 then 'abc' when 1 then '' else '1.5' end as duration_sec,
+  case p_partkey % 11 when 0 then 'x' else cast(p_size as string) end as frame_count, case p_partkey % 3 when 0 then 'Yes' when 1 then 'maybe' else null end as multi_person,
+  cast(null as string) as lighting, cast(null as string) as occlusion, cast(null as string) as action_confuser from part"""
+_WINDOWS = """select o_orderkey as clip_key, case when o_custkey % 9 = 0 then 'urfd-debug-' else 'urfd-' end || cast(o_custkey as string) as clip_id,
+  case when o_custkey % 2 = 0 then 'fall' else 'no_fall' end as source_label, case o_orderkey % 4 when 0 then 'fall' when 1 then 'unlabeled' when 2 then 'no_fall' else null end as label,
+  case o_orderkey % 3 when 0 then 16 when 1 then 32 else 20 end as n, case o_custkey % 5 when 0 then 'validate' when 1 then 'test' else 'train' end as split from orders"""
+
+
+def _spark_view(spark, d, text: str, table: str):
+    text = text.replace("{", "{{").replace("}", "}}").replace(f" from {table}", " from {t}")
+    return spark.sql(text, t=views.table(spark, d, table))
+
+
+def _windows(spark, d):
+    return _spark_view(spark, d, _WINDOWS, "orders").withColumn("frame_indices", F.sequence(F.lit(1), F.col("n")))
+
+
+@_query(f"""with raw as ({_RAW}), t as (select *, lower(trim(role)) r, lower(trim(label)) l, lower(trim(multi_person)) b from raw),
+  e as (select pos, case when coalesce(clip_id, '') = '' then 'clip_id:missing' when coalesce(dataset, '') = '' then 'dataset:missing' when r not in ({_quoted(fixed.ROLES)}) then 'role:unknown'
+  when l not in ({_quoted(fixed.LABELS)}) then 'label:unknown' when coalesce(source_path, '') = '' then 'source_path:missing' when duration_sec <> '' and try_cast(duration_sec as double) is null
+  then 'duration_sec:type' when frame_count <> '' and try_cast(frame_count as int) is null then 'frame_count:type' when b <> '' and b not in ('true', 'yes', '1', 'false', 'no', '0')
+  then 'multi_person:type' end as why from t) select pos, split_part(why, ':', 1) field, split_part(why, ':', 2) "error" from e where why is not null""", plain=True)
+def manifest_rejects(spark, d):
+    return manifest.parse_clips(_spark_view(spark, d, _RAW, "part"))[1]
+
+
+@_query(f"""with raw as ({_RAW}) select pos, clip_id, lower(trim(dataset)) dataset, lower(trim(role)) as role, lower(trim(label)) as label, try_cast(nullif(duration_sec, '') as double) duration_sec,
+  try_cast(frame_count as int) frame_count, (lower(trim(multi_person)) in ('yes'))::varchar multi_person from raw where clip_id <> '' and dataset is not null and lower(trim(role)) in ({_quoted(fixed.ROLES)})
+  and lower(trim(label)) in ({_quoted(fixed.LABELS)}) and source_path is not null and duration_sec <> 'abc' and frame_count <> 'x' and coalesce(multi_person, '') <> 'maybe'""", plain=True)
+def manifest_typed(spark, d):
+    good = manifest.parse_clips(_spark_view(spark, d, _RAW, "part"))[0]
+    return good.select("pos", "clip_id", "dataset", "role", "label", "duration_sec", "frame_count", F.col("multi_person").cast("string").alias("multi_person"))
+
+
+@_query(f"""select '{fixed.CLIP_ID_PREFIX}' || n as clip_id, case when n like 'fall-%' then 'fall' else 'no_fall' end as label, 'datasets/urfd/' || min(f) source_path from
+  (select f, regexp_replace(lower(trim(f)), '\\s+\\(\\d+\\)\\s*$', '') n from (select {_FOLDER} f from part)) where n like 'fall-%' or n like 'adl-%' group by n""", plain=True)
+def registry_from_folders(spark, d):
+    text = f"select {_FOLDER} as folder from part".replace("::varchar", "").replace("lpad((p_partkey % 97), 2", "lpad(cast(p_partkey % 97 as string), 2").replace("(p_partkey % 3) ||", "cast(p_partkey % 3 as string) ||")
+    return manifests.build_manifest(_spark_view(spark, d, text, "part")).select("clip_id", "label", "source_path")
+
+
+@_query("""select o_orderkey, case o_orderstatus when 'O' then 'fall' when 'F' then 'no_fall' else 'other' end as label, case o_orderstatus when 'O' then 1 when 'F' then 0 end as code,
+  case o_orderstatus when 'O' then 'fall' when 'F' then 'no_fall' end as back, case o_orderkey % 3 when 0 then 'training' when 1 then 'final_judgement' else 'unknown' end as context from orders""", plain=True)
+def label_codec(spark, d):
+    label = F.when(F.col("o_orderstatus") == "O", "fall").when(F.col("o_orderstatus") == "F", "no_fall").otherwise("other")
+    code = scalars.label_to_int(F.col("label"), strict=False)
+    context = F.when(F.col("o_orderkey") % 3 == 0, " Training").when(F.col("o_orderkey") % 3 == 1, "final_judgement").otherwise("root")
+    o = views.table(spark, d, "orders").select("o_orderkey", label.alias("label"), scalars.context(context).alias("context"))
+    return o.select("o_orderkey", "label", code.alias("code"), scalars.int_to_label(code, strict=False).alias("back"), "context")
+
+
+@_query(f"""select o_orderkey, case o_orderkey % 3 when 0 then 'fall-' || o_custkey when 1 then 'adl-' || o_custkey end as sequence, case o_orderkey % 3 when 0 then 'fall' when 1 then 'adl' end as clip_type,
+  'a_b' || o_custkey || '_t' || (o_orderkey % 40) || '_w' || case when o_orderkey < 1000 then lpad(o_orderkey::varchar, 3, '0') else o_orderkey::varchar end as member,
+  'fall-' || o_custkey || '-rgb' as folder from orders""", plain=True)
+def clip_names(spark, d):
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "fall-").when(F.col("o_orderkey") % 3 == 1, "adl-").otherwise("walk-")
+    sequence = scalars.sequence_of_clip(F.concat(F.lit(fixed.CLIP_ID_PREFIX), kind, F.col("o_custkey").cast("string"), F.lit(fixed.CLIP_ID_SUFFIX)))
+    url = F.concat(F.lit("http://host/data/fall-"), F.col("o_custkey").cast("string"), F.lit("-rgb.zip"))
+    member = scalars.member_key(F.concat(F.lit("a b"), F.col("o_custkey").cast("string")), F.col("o_orderkey") % 40, F.col("o_orderkey"))
+    return views.table(spark, d, "orders").select("o_orderkey", sequence.alias("sequence"), scalars.clip_type(sequence).alias("clip_type"), member.alias("member"), scalars.folder_of_url(url).alias("folder"))
+
+
+@_query("""+ w as (select o_orderkey sequence, 3 frame_number from orders) select w.sequence, w.frame_number, f.label from w left join frames f on w.sequence = f.sequence and w.frame_number = f.frame_number""")
+def label_lookup(spark, d):
+    wanted = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("sequence"), F.lit(3).alias("frame_number"))
+    return labels.lookup(wanted, views.frames(spark, d))
+
+
+@_query(f"""with w as ({_WINDOWS}) select l.label, count_if(coalesce(case when w.label in ('fall', 'no_fall', 'unlabeled') then w.label end, 'other') = l.label) n
+  from w, (select unnest(['fall', 'no_fall', 'unlabeled', 'other']) as label) l group by 1""", plain=True)
+def window_histogram(spark, d):
+    return datasets.label_histogram(_windows(spark, d))
+
+
+@_query(f"with w as ({_WINDOWS}) select clip_key, clip_id from w where source_label = 'no_fall' and label = 'fall'", plain=True)
+def daily_life_falls(spark, d):
+    return datasets.daily_life_falls(_windows(spark, d)).select("clip_key", "clip_id")
+
+
+@_query(f"""with w as ({_WINDOWS}) select clip_key, case when n in (16, 32) then n end as length, case when label is null or label = 'unlabeled' then 'unlabeled' when n not in (16, 32) then 'length' end as skipped from w""", plain=True)
+def usable_windows(spark, d):
+    return datasets.usable_windows(_windows(spark, d)).select("clip_key", "length", "skipped")
+
+
+@_query(f"""with w as ({_WINDOWS}) select split, count(*) windows, count(distinct clip_id) clips, count_if(coalesce(label, '') = 'fall') fall, count_if(coalesce(label, '') = 'no_fall') no_fall,
+  round(count_if(coalesce(label, '') = 'fall') / count(*), 6) positive_rate from w where not contains(clip_id, '-debug-') group by 1""", plain=True)
+def split_distribution(spark, d):
+    w = _windows(spark, d)
+    splits = w.select("clip_id", "split").distinct()
+    return datasets.split_distribution(datasets.outside_debug(datasets.with_split(w.drop("split"), splits))).withColumn("positive_rate", _r("positive_rate"))
+
+
+@_query(f"""with w as ({_WINDOWS}), k as (select o_orderkey pos, (o_orderkey * 7) % 60000 clip_key from orders) select k.pos, k.clip_key, w.clip_id from k join w using (clip_key)
+  union all select k.pos, k.clip_key, null from k anti join w using (clip_key)""", plain=True)
+def window_batch(spark, d):
+    """Windows asked for by key, in the order asked, and the keys that there are none for."""
+    w, o = _windows(spark, d), views.table(spark, d, "orders")
+    keys = o.select(F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") * 7 % 60000).alias("clip_key"))
+    missing = datasets.missing_keys(w, keys).select("pos", "clip_key", F.lit(None).cast("string").alias("clip_id"))
+    return datasets.batch(w, keys).select("pos", "clip_key", "clip_id").unionAll(missing)
+
+
+@_query("""select l_orderkey frame_index, case when l_orderkey % 10 = 0 then 0 else count_if(l_linenumber % 2 = 0) end boxes, l_orderkey % 10 <> 0 decoded_ok,
+  case when l_orderkey % 10 = 0 then 0 else round(sum(case when l_linenumber % 2 = 0 then l_quantity else 0 end), 2) end x_max from lineitem group by 1, l_orderkey % 10""", plain=True)
+def flatten_detections(spark, d):
+    """An order is a frame, its lines are boxes, every second one of a person; every tenth frame has no confidences."""
+    q, x = F.col("l_quantity").cast("double"), F.lit(0.0)
+    box = F.struct("l_linenumber", F.array(x, x, q, q).alias("b"), (F.col("l_linenumber") % 2).cast("int").alias("c"))
+    frames = views.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(box)).alias("r"))
+    conf = F.when(F.col("l_orderkey") % 10 != 0, F.transform("r", lambda _: F.lit(0.5)))
+    results = frames.select(
+        F.lit("c").alias("clip_id"), F.col("l_orderkey").alias("frame_index"), F.transform("r", lambda s: s["b"]).alias("xyxy"), conf.alias("conf"),
+        F.transform("r", lambda s: s["c"]).alias("cls"), F.array().cast("array<int>").alias("ids"),
+    )
+    g = artifacts.flatten_detections(results).groupBy("frame_index").agg(F.count("ord").alias("boxes"), F.bool_and("decoded_ok").alias("decoded_ok"), F.coalesce(F.sum("x_max"), F.lit(0.0)).alias("x_max"))
+    return g.withColumn("x_max", _r("x_max", 2))
+
+
+@_query("""+ s as (select unnest(['en', 'de', 'fr', 'xx', 'yy']) v), p as (select distinct lighting v from clips where y is not null),
+  m as (select unnest(['accuracy', 'precision', 'recall', 'specificity', 'f1', 'auc_roc', 'auprc', 'tn', 'fp', 'fn', 'tp', 'n_positive', 'n_negative', 'total']) "name", generate_subscripts([1,2,3,4,5,6,7,8,9,10,11,12,13,14], 1) i)
+  select 'lighting' tag, s.v tag_value, m.name, case when i > 7 then 0.0::double end as value, case when i <= 7 then 'empty slice' end na_reason, m.name not in ('fp', 'fn') higher_is_better from s anti join p using (v), m""")
+def empty_slices(spark, d):
+    wanted = spark.createDataFrame([("lighting", v) for v in ("en", "de", "fr", "xx", "yy")], "tag string, tag_value string")
+    present = clf.by_slice(_pairs(spark, d)).select("tag", "tag_value").distinct()
+    return clf.empty_slices(wanted, present)
+
+
+@_query("""+ r as (select y from clips where y is not null) select count_if(y = 1) n_positive, count_if(y = 0) n_negative, 0::bigint tp, count_if(y = 1) fn, round(count_if(y = 0) / count(*), 6) accuracy,
+  case when count_if(y = 1) * count_if(y = 0) > 0 then 0.5::double end as auc_roc, case when count_if(y = 1) * count_if(y = 0) > 0 then round(count_if(y = 1) / count(*), 6) end as auprc from r""")
+def majority_baseline(spark, d):
+    whole = clf.by_slice(clf.majority_baseline(_pairs(spark, d))).where("tag is null")
+    m = clf.metrics(whole)
+    return m.select("n_positive", "n_negative", "tp", "fn", *(_r(c).alias(c) for c in ("accuracy", "auc_roc", "auprc")))
+
+
+@_query("""with h as (select user_id epoch, round(max(value), 1) auprc from events group by 1) select epoch, auprc from h order by auprc desc, epoch limit 1""", plain=True)
+def best_epoch(spark, d):
+    return clf.best_epoch(views.table(spark, d, "events").groupBy(F.col("user_id").alias("epoch")).agg(F.round(F.max("value"), 1).alias("auprc")))
+
+
+@_query("""select doc_id, 'lighting=' || lang as label, '{"tag":"lighting","value":"' || lang || '"}' payload, 'lighting' tag, lang as value,
+  case when source = 'src0' then 'lighting' else 'lighting,occlusion' end as tags from documents where lang is not null""", plain=True)
+def slice_keys(spark, d):
+    x = views.table(spark, d, "documents").where("lang is not null")
+    tag, value = F.lit("lighting"), F.col("lang")
+    tags = F.create_map(F.lit("occlusion"), F.when(F.col("source") != "src0", F.col("source")), F.lit("lighting"), value)
+    x = x.select("doc_id", slices.slice_label(tag, value).alias("label"), slices.slice_json(tag, value).alias("payload"), F.array_join(slices.tag_names(tags), ",").alias("tags"))
+    return x.withColumn("k", slices.slice_from_json(F.col("payload"))).select("doc_id", "label", "payload", "k.tag", "k.value", "tags")
+
+
+_PAYLOAD = """select o_orderkey, case o_orderkey % 8 when 0 then 'x' when 1 then '{"metadata":{},"metrics":[]}' when 2 then '{"format_version":"9","metadata":{}}' when 3 then '{"format_version":"1.0","metadata":3}'
+  when 4 then '{"format_version":"1.0","metadata":{"run_id":"r"},"metrics":[{"name":"f1","value":true}]}' when 5 then '{"format_version":"1.0","metadata":{"run_id":"r"},"metrics":{}}'
+  else '{"format_version":"1.0","metadata":{"run_id":"r"},"metrics":[{"name":"f1","value":0.5,"higher_is_better":true},{"name":"auc","value":{"__not_available__":true,"reason":"one class"}}]}' end as payload from orders"""
+
+
+@_query("""select o_orderkey, case o_orderkey % 8 when 0 then 'not an object' when 1 then 'no format version' when 2 then 'unsupported format version' when 3 then 'metadata' when 4 then 'metric'
+  when 5 then 'metrics' end as "error" from orders""", plain=True)
+def payload_errors(spark, d):
+    return store.parse_payload(_spark_view(spark, d, _PAYLOAD, "orders")).select("o_orderkey", "error")
+
+
+@_query("""select 'r' run_id, m.* from orders, (values ('f1', 0.5::double, null), ('auc', null, 'one class')) m("name", "value", na_reason) where o_orderkey % 8 > 5""", plain=True)
+def payload_metrics(spark, d):
+    good = _spark_view(spark, d, _PAYLOAD, "orders").where("o_orderkey % 8 > 5")
+    return store.payload_metrics(good).select("run_id", "name", "value", "na_reason")
+
+
+@_query("""select 'v/clip' || p_partkey || '.avi' path, case when p_partkey % 3 = 0 then 'a/clip' || p_partkey || '.txt' when p_partkey % 3 = 1 then 'a/clip' || p_partkey || '/clip' || p_partkey || '.txt' end annotation,
+  case when p_partkey % 3 < 2 then 2 end as start, case when p_partkey % 3 < 2 then 2 + p_size end as "end", case when p_partkey % 3 < 2 then 'outside' end as box_error,
+  case when p_partkey % 4 <> 0 then 25.0::double end as fps from part""", plain=True)
+def annotation_pairs(spark, d):
+    """Videos with the annotation in either place, the event in it and the error of its one box; some have none."""
+    text = """select 'v/clip' || cast(p_partkey as string) || '.avi' as path, case when p_partkey % 4 <> 0 then 25.0D end as fps, p_partkey as k, p_size as s from part"""
+    v = _spark_view(spark, d, text, "part")
+    name = F.concat(F.lit("clip"), F.col("k").cast("string"))
+    nested = F.concat(F.lit("a/"), name, F.lit("/"), name, F.lit(".txt"))
+    at = F.when(F.col("k") % 3 == 0, F.array(F.concat(F.lit("a/"), name, F.lit(".txt")), nested)).when(F.col("k") % 3 == 1, F.array(nested)).otherwise(F.array(F.concat(F.lit("a/b/c/"), name, F.lit(".txt"))))
+    a = v.select(F.explode(at).alias("path"), F.concat(F.lit("2\n"), (F.col("s") + 2).cast("string"), F.lit("\n\n1,1,5,5,90,20\n")).alias("text"))
+    p = manifests.pair_annotations(v.select("path", "fps"), a, "a", frame_size=(64, 48))
+    return p.select("path", "annotation", "event.start", "event.end", F.get("detections", F.lit(0))["error"].alias("box_error"), "fps")
+
+
+@_query("select label, count(*) n from (select case when o_orderstatus = 'O' then 'fall' else 'no_fall' end as label from orders) group by 1", plain=True)
+def label_counts(spark, d):
+    return manifest.label_counts(views.table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "O", "fall").otherwise("no_fall").alias("label")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

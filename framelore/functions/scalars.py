@@ -84,6 +84,19 @@ def clip_type(sequence: Column) -> Column:
     return F.when(sequence.startswith("fall-"), "fall").when(sequence.startswith("adl-"), "adl")
 
 
+def folder_of_url(url: Column) -> Column:
+    """The last part of an address without .zip."""
+    return F.regexp_replace(basename(url), r"\.zip$", "")
+
+
+def sidecar(frame: dict[str, Column], crop: dict[str, Column]) -> Column:
+    """The JSON sidecar of a frame: fields that aren't known as null, how it was cropped as one object."""
+    names = ("clip_id", "dataset", "label", "source_path", "track_id", "frame_index", "frame_offset", "window_index", "missing_frame", "coverage")
+    cropped = F.struct(*(crop[n].alias(n) for n in ("output_size", "margin", "clip_length"))).alias("crop_config")
+    rest = (frame[n].alias(n) for n in ("margin_used", "shard_filename"))
+    return F.to_json(F.struct(*(frame[n].alias(n) for n in names), cropped, *rest), {"ignoreNullFields": "false"})
+
+
 def trailing_number(stem: Column) -> Column:
     """Digits at the end of a name, or -1."""
     return F.coalesce(F.regexp_extract(stem, r"(\d+)\s*$", 1).try_cast("bigint"), F.lit(-1).cast("bigint"))

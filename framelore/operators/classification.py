@@ -102,6 +102,14 @@ def metric_rows(table: DataFrame) -> DataFrame:
     return table.select("tag", "tag_value", F.inline(F.array(*rows)))
 
 
+def empty_slices(slices: DataFrame, present: DataFrame) -> DataFrame:
+    """Metric rows of slices (tag, tag_value) that no clip is in: metrics not available, counts zero."""
+    empty = [metric(n, F.lit(None), [(F.lit(True), "empty slice")]) for n in ("accuracy", "precision", "recall", "specificity", "f1", "auc_roc", "auprc")]
+    zero = [metric(n, F.lit(0), higher_is_better=n not in ("fp", "fn")) for n in ("tn", "fp", "fn", "tp", "n_positive", "n_negative", "total")]
+    same = [slices[c].eqNullSafe(present[c]) for c in ("tag", "tag_value")]
+    return slices.join(present, same, "left_anti").select("tag", "tag_value", F.inline(F.array(*empty, *zero)))
+
+
 def max_pool(windows: DataFrame) -> DataFrame:
     """Per clip the best window score and its position, ties to the first."""
     return windows.groupBy("clip_id").agg(F.max("score").alias("score"), F.max_by("pos", F.struct(F.col("score"), -F.col("pos"))).alias("pos"))

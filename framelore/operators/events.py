@@ -58,14 +58,26 @@ def match(found: DataFrame, events: DataFrame, tolerance: int = 0) -> DataFrame:
     return rows.select("clip_id", "ord", F.col("s").alias("start_frame"), "alert", (F.col("alert") - F.col("s")).alias("delay"))
 
 
+def match_any(found: DataFrame, events: DataFrame, tolerance: int = 0) -> DataFrame:
+    """match() of all clips: by the cheap form where a clip's tolerated windows are disjoint, by the fold elsewhere."""
+    plain = disjoint_clips(events, tolerance)
+    cheap = match_disjoint(found, events.join(plain, "clip_id", "left_semi"), tolerance)
+    rest = match(found.join(plain, "clip_id", "left_anti"), events.join(plain, "clip_id", "left_anti"), tolerance)
+    whole = lambda df: df.select("clip_id", *(F.col(c).cast("long").alias(c) for c in ("ord", "start_frame", "alert", "delay")))
+    return whole(cheap).unionAll(whole(rest))
+
+
 def false_alarms(found: DataFrame, events: DataFrame, tolerance: int = 0) -> DataFrame:
     """Alerts that no tolerated window holds."""
     return found.distinct().join(events.withColumnRenamed("clip_id", "__c"), _inside(tolerance), "left_anti")
 
 
-def clip_counts(clips: DataFrame, found: DataFrame, events: DataFrame, tolerance: int = 0, disjoint: bool = False) -> DataFrame:
-    """One row per clip of clips (clip_id, dataset, fps, total_frames): supports, false alarms, delays."""
-    matched = (match_disjoint if disjoint else match)(found, events, tolerance)
+def clip_counts(clips: DataFrame, found: DataFrame, events: DataFrame, tolerance: int = 0, disjoint: bool | None = None) -> DataFrame:
+    """One row per clip of clips (clip_id, dataset, fps, total_frames): supports, false alarms, delays.
+
+    ``disjoint`` says that no clip's tolerated windows touch, or that they may; by default each clip is looked at.
+    """
+    matched = {None: match_any, True: match_disjoint, False: match}[disjoint](found, events, tolerance)
     parts = [
         events.groupBy("clip_id").agg(F.count("*").alias("total_events")),
         found.groupBy("clip_id").agg(F.count_distinct("alert").alias("total_alerts")),

@@ -52,10 +52,18 @@ def window_members(members: DataFrame, window_key: str, name: str = "member") ->
 
 
 def stratified_split(rows: DataFrame, key: str, stratum: str, train: float = 0.7, validate: float = 0.15, seed: str = "42") -> DataFrame:
-    """(key, stratum, split): within a stratum, by a hash of the key: validate, test, then train, by half-even quotas."""
+    """(key, stratum, split): within a stratum, by a hash of the key: validate, test, then train, by half-even quotas.
+
+    Ranks come in two steps, over 4096 buckets of the hash and in a bucket, so no task sorts a whole stratum.
+    """
     order = F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string")).cast("binary"))
-    n, rank = F.count("*").over(W.partitionBy(stratum)), F.row_number().over(W.partitionBy(stratum).orderBy(order, key))
-    rows = rows.select(key, stratum, n.alias("n"), rank.alias("r"))
+    rows = rows.select(key, stratum, order.alias("__o"), F.substring(order, 1, 3).alias("__b"))
+    sizes = rows.groupBy(F.col(stratum).alias("__s"), F.col("__b").alias("__c")).agg(F.count("*").alias("m"))
+    before = F.sum("m").over(W.partitionBy("__s").orderBy("__c").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select("__s", "__c", F.coalesce(before, F.lit(0)).alias("before"), F.sum("m").over(W.partitionBy("__s")).alias("n"))
+    rank = F.row_number().over(W.partitionBy(stratum, "__b").orderBy("__o", key))
+    rows = rows.withColumn("__r", rank).join(sizes, F.col(stratum).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__c")))
+    rows = rows.select(key, stratum, "n", (F.col("before") + F.col("__r")).alias("r"))
     quota_v, quota_t = F.bround(F.col("n") * validate), F.bround(F.col("n") * (1 - train - validate + 1e-12))
     split = F.when(F.col("r") <= quota_v, "validate").when(F.col("r") <= quota_v + quota_t, "test").otherwise("train")
     return rows.select(key, stratum, split.alias("split"))

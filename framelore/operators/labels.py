@@ -26,6 +26,11 @@ def lookup_stats(wanted: DataFrame, frames: DataFrame) -> DataFrame:
     return wanted.join(stats, "sequence", "left").select("sequence", zero("frame_count"), zero("first_frame"), zero("last_frame"))
 
 
+def lookup(wanted: DataFrame, frames: DataFrame) -> DataFrame:
+    """wanted (sequence, frame_number) with the frame's label, null where there is none."""
+    return wanted.join(frames.select("sequence", "frame_number", "label"), ["sequence", "frame_number"], "left")
+
+
 def rejects(raw: DataFrame) -> DataFrame:
     """Rows of split label lines (line_number, fields array) with the first error of each bad one, duplicates included."""
     seq, num, label = F.trim(F.get("fields", F.lit(0))), F.trim(F.get("fields", F.lit(1))), F.trim(F.get("fields", F.lit(2)))

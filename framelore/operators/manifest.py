@@ -107,6 +107,31 @@ def by_role(clips: DataFrame, role: str) -> DataFrame:
     return clips.where(F.col("role") == role)
 
 
+def frozen_present(clips: DataFrame) -> bool:
+    return not clips.where(F.col("role") == fixed.FROZEN_ROLE).isEmpty()
+
+
+def label_counts(clips: DataFrame) -> DataFrame:
+    return clips.groupBy("label").agg(F.count("*").alias("n"))
+
+
+def parse_clips(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(typed clips, rejects (pos, field, error)) of raw clips: pos and text columns.  A clip's first error counts.
+
+    Required fields come in the order of the manifest; role and label have to be known; numbers and booleans have to read.
+    """
+    checks = []
+    for c in ("clip_id", "dataset", "role", "label", "source_path"):
+        checks.append(F.when(F.coalesce(F.col(c), F.lit("")) == "", F.struct(F.lit(c).alias("field"), F.lit("missing").alias("error"))))
+        domain = {"role": fixed.ROLES, "label": fixed.LABELS}.get(c)
+        if domain:
+            checks.append(F.when(~normalised(F.col(c)).isin(*domain), F.struct(F.lit(c).alias("field"), F.lit("unknown").alias("error"))))
+    typed = normalise(raw).withColumn("dataset", normalised(F.col("dataset")))
+    checks.append(F.when(F.size("errors") > 0, F.struct(F.get("errors", F.lit(0)).alias("field"), F.lit("type").alias("error"))))
+    rows = typed.withColumn("__why", F.coalesce(*checks))
+    return rows.where("__why is null").drop("__why", "errors"), rows.where("__why is not null").select("pos", "__why.field", "__why.error")
+
+
 def normalise(raw: DataFrame) -> DataFrame:
     """Raw text columns of a manifest as typed ones, with the errors of each row (array of column names)."""
     numbers = {"duration_sec": "double", "frame_count": "int"}

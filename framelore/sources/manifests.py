@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framelore.functions import fixed
 from framelore.functions.scalars import clip_folder, clip_id_of_folder, stem, trailing_number
+from framelore.operators.manifest import validate
 
 CLIP = (
     "clip_id string, dataset string, role string, label string, source_path string, subject_id string, duration_sec double, frame_count int, "
@@ -17,18 +23,25 @@ MANIFEST = f"schema_version string, clips array<struct<{CLIP.replace(' ', ':').r
 DETECTION = "clip_id string, ord long, frame_index int, track_id int, cls_id int, confidence double, x_min double, y_min double, x_max double, y_max double"
 
 
+def _yaml_to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each YAML document as JSON, read in the task that has the file."""
+    for pdf in batches:
+        found = [yaml.safe_load(text) for text in pdf["value"]]
+        wrong = [type(x).__name__ for x in found if not isinstance(x, dict)]
+        if wrong:
+            raise ValueError(f"a manifest is a mapping, not {wrong[0]}")
+        yield pd.DataFrame({"value": [json.dumps(x, default=str) for x in found]})
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Clips of a JSON or YAML manifest with schema_version and pos, the place in the list."""
     if path.endswith((".yaml", ".yml")):
-        import json
-
-        import yaml
-
-        text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
-        whole = spark.createDataFrame([(json.dumps(yaml.safe_load(text), default=str),)], "v string").select(F.from_json("v", MANIFEST).alias("m")).select("m.*")
+        texts = spark.read.text(path, wholetext=True).mapInPandas(_yaml_to_json, "value string")
+        whole = texts.select(F.from_json("value", MANIFEST).alias("m")).select("m.*")
     else:
         whole = spark.read.schema(MANIFEST).json(path, multiLine=True)
-    return whole.select("schema_version", F.posexplode("clips").alias("pos", "c")).select("schema_version", "pos", "c.*")
+    clips = F.coalesce("clips", F.raise_error(F.lit("a manifest needs a list of clips")).cast(whole.schema["clips"].dataType))
+    return whole.select("schema_version", F.posexplode(clips).alias("pos", "c")).select("schema_version", "pos", "c.*")
 
 
 def manifest_json(clips: DataFrame) -> DataFrame:
@@ -40,6 +53,31 @@ def manifest_json(clips: DataFrame) -> DataFrame:
     )
 
 
+def write_manifest(clips: DataFrame, path: str) -> str:
+    """Write the manifest of validated clips as text that is JSON and YAML both; clips in the order of pos."""
+    manifest_json(clips).coalesce(1).write.mode("overwrite").text(path)
+    return path
+
+
+def build_manifest(folders: DataFrame, version: str = "1.1", **how) -> DataFrame:
+    """The manifest's rows of clip folders, validated: no clip at all, or an error of validate(), raises."""
+    clips = clips_from_folders(folders, **how)
+    named = [c.split() for c in CLIP.split(", ")]
+    clips = clips.select(*((F.col(n) if n in clips.columns else F.lit(None)).cast(t).alias(n) for n, t in named))
+    clips = clips.withColumns({"schema_version": F.lit(version), "pos": F.col("clip_id")})
+    errors = validate(clips, version).where("severity = 'error'").limit(20).collect()
+    if errors or clips.isEmpty():
+        raise ValueError(f"not a valid manifest: {[(e.rule, e.key) for e in errors] or 'no clip folders'}")
+    return clips
+
+
+def expected_files(spark: SparkSession, root: str, labels: str, marker: str, label_files: tuple[str, ...]) -> DataFrame:
+    """(path): everything that a complete copy of the public data set's first camera has: marker, label files, clip folders."""
+    fixed_ones = [(f"{root.rstrip('/')}/{marker}",)] + [(f"{labels.rstrip('/')}/{f}",) for f in label_files]
+    folders = expected_archives(spark, "").select(F.concat(F.lit(root.rstrip("/") + "/"), "folder").alias("path"))
+    return spark.createDataFrame(fixed_ones, "path string").unionAll(folders)
+
+
 def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_number, fields) of label files without a header; blank lines are left out."""
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
@@ -53,10 +91,11 @@ def frame_labels(lines: DataFrame) -> DataFrame:
     return rows.where((F.col("sequence") != "") & (F.col("frame_number") >= 1) & F.col("label").isin(*fixed.FRAME_LABELS))
 
 
-def parse_annotation(text: Column) -> tuple[Column, Column]:
+def parse_annotation(text: Column, frame_size: tuple[int, int] | None = None) -> tuple[Column, Column]:
     """(event struct(start, end, error), detections array) of an annotation text.
 
     Lines 1 and 2 are the event (0 and 0: none), each other line frame, flag, x1, y1, x2, y2; blank lines don't count.
+    With frame_size (width, height), a box beyond it is an error.
     """
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
     number = lambda i: F.trim(F.get(lines, F.lit(i))).try_cast("int")
@@ -75,6 +114,8 @@ def parse_annotation(text: Column) -> tuple[Column, Column]:
             F.when(F.size(v) != 6, "columns").when(F.exists(v, lambda x: x.isNull()), "not an integer").when(g(0) < 1, "frame")
             .when(present & ((g(2) >= g(4)) | (g(3) >= g(5))), "box")
         )
+        if frame_size:
+            wrong = F.coalesce(wrong, F.when(present & ((g(4) > frame_size[0]) | (g(5) > frame_size[1])), "outside"))
         names = ("frame_index", "flag", "x1", "y1", "x2", "y2")
         return F.struct(*(g(i).alias(n) for i, n in enumerate(names)), present.alias("present"), wrong.alias("error"))
 
@@ -123,6 +164,25 @@ def pair_videos(videos: DataFrame, annotations: DataFrame, fallback_fps: float |
     return v.join(a.groupBy("stem").agg(F.min("annotation").alias("annotation")), "stem", "left").select("path", "annotation", fps.alias("fps"), reason.alias("fps_reason"))
 
 
+def pair_annotations(videos: DataFrame, annotations: DataFrame, root: str, fallback_fps: float | None = None, frame_size: tuple[int, int] | None = None) -> DataFrame:
+    """Videos (path, fps) with the annotation (path, text) at root/stem.txt or else root/stem/stem.txt, its event and its boxes.
+
+    A video without one has null there; fps comes from the file or the fallback, else a reason.
+    """
+    v = videos.where(F.lower(F.substring_index("path", ".", -1)).isin(*fixed.VIDEO_EXTENSIONS)).withColumn("stem", stem(F.col("path")))
+    a = annotations.withColumn("stem", stem(F.col("path")))
+    place = lambda *parts: F.concat(F.lit(root.rstrip("/")), *(x for p in parts for x in (F.lit("/"), p)), F.lit(".txt"))
+    rank = F.when(F.col("path") == place(F.col("stem")), 1).when(F.col("path") == place(F.col("stem"), F.col("stem")), 2)
+    a = a.withColumn("rank", rank).where("rank is not null").groupBy("stem").agg(F.min_by(F.struct("path", "text"), "rank").alias("a"))
+    event, boxes = parse_annotation(F.col("a.text"), frame_size)
+    fps = F.coalesce("fps", F.lit(fallback_fps).cast("double"))
+    found = F.col("a").isNotNull()
+    return v.join(a, "stem", "left").select(
+        "path", F.col("a.path").alias("annotation"), F.when(found, event).alias("event"), F.when(found, boxes).alias("detections"), fps.alias("fps"),
+        F.when(fps.isNull(), fixed.NO_FPS).alias("fps_reason"),
+    )
+
+
 def missing_files(expected: DataFrame, found: DataFrame) -> DataFrame:
     return expected.join(found.select("path"), "path", "left_anti")
 

@@ -1,13 +1,11 @@
-"""Tar shards of window frames: a Python data source that reads one partition per archive and writes one archive per task.
-
-Archives are read through Spark's own readers where a path needs them: read_shards() takes binaryFile rows.
-"""
+"""Tar shards of window frames: archives are read through Spark's binary file reader and written by the tasks that pack them."""
 
 from __future__ import annotations
 
 import io
 import json
 import tarfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -77,10 +75,41 @@ def pack_shards(members: DataFrame, width: int = 4) -> DataFrame:
                 add(f"{name}.jpg", row.data)
                 add(f"{name}.json", row.sidecar.encode())
             add(MANIFEST, json.dumps({"clip_keys": list(dict.fromkeys(pdf["clip_key"])), "members": len(pdf)}, sort_keys=True).encode())
-        return pd.DataFrame({"shard_index": [key[0]], "data": [out.getvalue()]})
+        keys = list(dict.fromkeys(pdf["clip_key"]))
+        return pd.DataFrame({"shard_index": [key[0]], "data": [out.getvalue()], "clip_keys": [keys], "members": [len(pdf)]})
+
+    packed = members.select(F.col("shard_index").cast("long"), "clip_key", F.col("frame_offset").cast("int"), "data", "sidecar").groupBy("shard_index").applyInPandas(pack, "shard_index long, data binary, clip_keys array<string>, members long")
+    return packed.select(shard_name(F.col("shard_index"), F.lit(width)).alias("shard"), "data", "clip_keys", "members")
+
+
+def write_shards(members: DataFrame, path: str, width: int = 4) -> DataFrame:
+    """Write pack_shards() as files below path, each by the task that packed it; the index (shard, clip_keys, members, bytes).
+
+    A file appears under its name only when it is whole, so a task that is run again does no harm.  The index is kept as JSON
+    in path/_index; only names and counts leave the tasks.
+    """
+    root = path.rstrip("/")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(root)
+        store.create_dir(folder, recursive=True)
+        for pdf in batches:
+            for name, data in zip(pdf["shard"], pdf["data"]):
+                part = f"{folder}/_{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(data)
+                store.move(part, f"{folder}/{name}")
+            yield pdf.assign(bytes=pdf["data"].map(len)).drop(columns="data")
+
+    index = pack_shards(members, width).mapInPandas(write, "shard string, clip_keys array<string>, members long, bytes long")
+    index.write.mode("overwrite").json(f"{root}/_index")
+    return read_index(members.sparkSession, path)
+
 
-    packed = members.select(F.col("shard_index").cast("long"), "clip_key", F.col("frame_offset").cast("int"), "data", "sidecar").groupBy("shard_index").applyInPandas(pack, "shard_index long, data binary")
-    return packed.select(shard_name(F.col("shard_index"), F.lit(width)).alias("shard"), "data")
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("shard string, clip_keys array<string>, members long, bytes long").json(f"{path.rstrip('/')}/_index")
 
 
 def missing_sidecars(members: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelore.functions.fixed import FORMAT_VERSION
-from framelore.functions.na import encode
+from framelore.functions.na import decode, encode, is_marker
+from framelore.functions.scalars import context as coerced
 
 METRIC = "name string, value double, na_reason string, higher_is_better boolean, tag string, tag_value string, level string"
 
@@ -36,6 +37,41 @@ def load_run(spark: SparkSession, root: str, run_id: str) -> DataFrame:
     return rows.where(F.when(F.col("format_version") == FORMAT_VERSION, True).otherwise(bad))
 
 
+PAYLOAD = (
+    "format_version string, metadata struct<run_id:string,model_id:string,created_at:string,context:string,notes:string>, "
+    "metrics array<struct<name:string,value:string,higher_is_better:boolean>>"
+)
+
+
+def run_metadata(run_id: Column, model_id: Column, context: Column, notes: Column) -> Column:
+    """struct of a run's metadata: the time in UTC, an unknown context as "unknown"."""
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    return F.struct(run_id.alias("run_id"), model_id.alias("model_id"), now.alias("created_at"), coerced(context).alias("context"), notes.alias("notes"))
+
+
+def parse_payload(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """Payloads with p, what they hold, and error: why one can't be read, else null.  Nothing is guessed."""
+    text, p = F.col(column), F.from_json(column, PAYLOAD)
+    part = lambda name: F.get_json_object(text, f"$.{name}")
+    good = lambda m: (F.coalesce(m["name"], F.lit("")) != "") & (decode(m["value"])["value"].isNotNull() | is_marker(m["value"]))
+    metrics = F.coalesce(p["metrics"], F.array().cast("array<struct<name:string,value:string,higher_is_better:boolean>>"))
+    error = (
+        F.when(~F.coalesce(F.trim(text).startswith("{"), F.lit(False)), "not an object").when(F.coalesce(part("format_version"), F.lit("")) == "", "no format version")
+        .when(part("format_version") != FORMAT_VERSION, "unsupported format version")
+        .when(~F.coalesce(part("metadata").startswith("{"), F.lit(False)), "metadata")
+        .when(part("metrics").isNotNull() & ~part("metrics").startswith("["), "metrics").when(~F.forall(metrics, lambda m: F.coalesce(good(m), F.lit(False))), "metric")
+    )
+    return payloads.select("*", p.alias("p"), error.alias("error"))
+
+
+def payload_metrics(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """Metric rows (run_id, model_id, name, value, na_reason, higher_is_better) of payloads; one that can't be read is an error."""
+    rows = parse_payload(payloads, column)
+    rows = rows.where(F.when(F.col("error").isNull(), True).otherwise(F.raise_error(F.concat(F.lit("metric payload: "), "error")).cast("boolean")))
+    rows = rows.select("p.metadata.run_id", "p.metadata.model_id", F.explode("p.metrics").alias("m"))
+    return rows.select("run_id", "model_id", "m.name", decode(F.col("m.value")).alias("v"), "m.higher_is_better").select("run_id", "model_id", "name", "v.*", "higher_is_better")
+
+
 def payload(rows: DataFrame) -> DataFrame:
     """One row: the metrics as JSON, values or markers, and a summary line."""
     item = F.struct("name", encode(F.col("value"), F.col("na_reason"), F.col("name")).alias("value"), "higher_is_better")

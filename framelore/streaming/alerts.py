@@ -17,13 +17,14 @@ def streaming_alerts(scores: DataFrame, threshold: float = 0.80, persistence: in
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run = state.get[0] if state.exists else 0
-        out = []
-        for row in pd.concat(list(batches)).sort_values("pos").itertuples():
-            run = run + 1 if row.score is not None and not np.isnan(row.score) and row.score >= threshold else 0
-            if run and run % persistence == 0:
-                out.append((key[0], row.pos))
-        state.update((run,))
-        yield pd.DataFrame(out, columns=["clip_id", "alert"]).astype("int64")
+        rows = pd.concat(list(batches)).sort_values("pos")
+        hit = (rows["score"].astype("float64") >= threshold).to_numpy()
+        n = np.arange(1, len(hit) + 1)
+        broken = np.maximum.accumulate(np.where(hit, 0, n))
+        length = n - broken + np.where(broken == 0, run, 0)
+        state.update((int(length[-1]),))
+        found = rows["pos"].to_numpy()[hit & (length % persistence == 0)]
+        yield pd.DataFrame({"clip_id": np.full(len(found), key[0]), "alert": found}).astype("int64")
 
     return scores.groupBy("clip_id").applyInPandasWithState(step, "clip_id long, alert long", "run long", "append", GroupStateTimeout.NoTimeout)
 

@@ -22,7 +22,7 @@ def alert_list(df):
 @pytest.mark.parametrize(
     "values, threshold, want",
     [
-        ([0.85] * 15 + [0.1], 0.8, [9]), ([0.9] * 25 + [0.1], 0.5, [9, 19]), ([0.9] * 8 + [0.1] + [0.9] * 8, 0.8, []),
+        ([0.95] * 13 + [0.2], 0.8, [9]), ([0.7] * 22 + [0.3], 0.5, [9, 19]), ([0.83] * 9 + [0.0] + [0.99] * 9, 0.8, []),
         ([float("nan")] * 30, 0.8, []), ([], 0.8, []),
     ],
 )
@@ -31,8 +31,8 @@ def test_alerts(spark, values, threshold, want):
 
 
 def test_alerts_from_a_start_frame(spark):
-    s = scores(spark, [0.9] * 10).withColumn("clip_start_frame", F.lit(1000))
-    assert alert_list(events.alerts(s)) == [1009]
+    s = scores(spark, [0.9] * 10).withColumn("clip_start_frame", F.lit(432))
+    assert alert_list(events.alerts(s)) == [441]
 
 
 def intervals(spark, *pairs):
@@ -46,13 +46,14 @@ def found(spark, *alerts):
 @pytest.mark.parametrize(
     "alerts, pairs, tolerance, delays, false",
     [
-        ((109, 119, 129), ((100, 130),), 0, [9], []), ((5, 25), ((10, 20),), 0, [], [5, 25]), ((8,), ((10, 20),), 3, [-2], []),
-        ((15, 35, 22), ((10, 20), (30, 40)), 0, [5, 5], [22]), ((5, 15, 25), ((0, 5), (5, 15), (15, 25)), 0, [5, 10, 10], []),
+        ((47, 58, 71), ((40, 75),), 0, [7], []), ((3, 31), ((12, 27),), 0, [], [3, 31]), ((9,), ((12, 27),), 4, [-3], []),
+        ((14, 52, 33), ((11, 20), (50, 60)), 0, [2, 3], [33]), ((4, 13, 30), ((0, 4), (4, 13), (13, 30)), 0, [4, 9, 17], []),
     ],
 )
 def test_matching(spark, alerts, pairs, tolerance, delays, false):
     a, e = found(spark, *alerts), intervals(spark, *pairs)
     assert sorted(r.delay for r in events.match(a, e, tolerance).collect()) == delays
+    assert sorted(r.delay for r in events.match_any(a, e, tolerance).collect()) == delays
     assert alert_list(events.false_alarms(a, e, tolerance)) == false
     if len(pairs) < 3:
         assert sorted(r.delay for r in events.match_disjoint(a, e, tolerance).collect()) == delays
@@ -70,16 +71,16 @@ def test_false_alarms_per_hour_and_missing_fps(spark):
     assert got["false_alarms_per_hour"].value is None and got["detection_delay_mean_seconds"].na_reason == "no fps / temporal metadata"
 
 
-TOY = [("a", 1, 0.9), ("b", 1, 0.7), ("c", 1, 0.6), ("d", 1, 0.4), ("e", 1, 0.2), ("f", 0, 0.3), ("g", 0, 0.4), ("h", 0, 0.6), ("i", 0, 0.8)]
+SCORED = [("p", 1, 0.95), ("q", 1, 0.55), ("r", 1, 0.35), ("s", 0, 0.75), ("t", 0, 0.55), ("u", 0, 0.15), ("v", 0, 0.05)]
 
 
-def test_classification_toy_set(spark):
-    p = spark.createDataFrame(TOY, "clip_id string, y int, score double").withColumn("tags", F.create_map(F.lit("y"), F.col("y").cast("string")))
+def test_classification_by_hand(spark):
+    p = spark.createDataFrame(SCORED, "clip_id string, y int, score double").withColumn("tags", F.create_map(F.lit("y"), F.col("y").cast("string")))
     m = clf.metrics(clf.by_slice(p))
     whole = m.where("tag is null").first()
-    assert (whole.tp, whole.fn, whole.tn, whole.fp) == (3, 2, 2, 2)
-    assert whole.accuracy == pytest.approx(5 / 9) and whole.f1 == pytest.approx(0.6) and whole.specificity == pytest.approx(0.5)
-    assert whole.auc_roc == pytest.approx(0.55) and whole.auprc == pytest.approx(0.678730, abs=1e-6)
+    assert (whole.tp, whole.fn, whole.tn, whole.fp) == (2, 1, 2, 2)
+    assert whole.accuracy == pytest.approx(4 / 7) and whole.f1 == pytest.approx(4 / 7) and whole.specificity == pytest.approx(0.5)
+    assert whole.auc_roc == pytest.approx(8.5 / 12) and whole.auprc == pytest.approx(0.7)
     rows = {(r.tag_value, r.name): r for r in clf.metric_rows(m).collect()}
     assert len(rows) == 3 * 14
     assert rows["0", "recall"].na_reason == "no actual positives in slice" and rows["1", "auc_roc"].na_reason == "only one class present in slice"
