@@ -50,6 +50,23 @@ def drop(df: DataFrame | None) -> None:
         _delete(df.sparkSession, path)
 
 
+def save_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """save() as a table bucketed by a key: tables of the same buckets meet on the key without a shuffle."""
+    spark, table = df.sparkSession, f"framelore_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._scratch_path, out._scratch_table = path, table
+    _live.append(path)
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that save_bucketed() wrote and that nothing reads any more."""
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._scratch_table}")
+    drop(df)
+
+
 def free(spark: SparkSession) -> None:
     """Spark deletes the shuffle files of finished jobs only once the driver's heap has been collected; have that done now."""
     gc.collect()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelore.llm import chat, decontaminate, embeddings, html_extract, line_dedup, lm, mixing, quality, simhash, warc
+from framelore.llm import centroids, chat, decontaminate, embeddings, html_extract, line_dedup, lm, mixing, quality, secrets, simhash, spelling, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +102,23 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some of whose runs have lost a letter by a hash, with the forms that they are variants of."""
+    words = spelling.count_words(table(spark, sf_dir, "documents"), altered=spelling.mangled(97))
+    return spelling.group_variants(words)
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(centroids.lloyd(table(spark, sf_dir, "embeddings")), spark)
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans, n = F.col("spans"), lambda kind: F.size(secrets.of_kind(F.col("spans"), kind)).cast("long").alias(f"n_{kind}")
+    base = secrets.listed(secrets.of_kind(spans, "assign", "access", "hex"))
+    return found.select("doc_id", *(n(k) for k in secrets.KINDS), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.listed(spans).alias("spans"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,7 +126,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_html_extraction, op2_simhash, op3_warc_fixity, op4_decontamination, op5_embedding_dedup, op6_line_dedup, op7_lm_scoring, op8_mixing, op9_quality, op10_chat, pipeline)
+    own = (op1_html_extraction, op2_simhash, op3_warc_fixity, op4_decontamination, op5_embedding_dedup, op6_line_dedup, op7_lm_scoring, op8_mixing, op9_quality, op10_chat, op11_spelling, op12_clusters, op13_secrets, pipeline)
     return {f.__name__: f for f in own}
 
 
