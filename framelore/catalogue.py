@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelore.functions import fixed, na, scalars, slices
 from framelore.operators import classification as clf
-from framelore.operators import datasets, events, examples, labels, manifest, selftest, tracks, windows
+from framelore.operators import datasets, events, examples, labels, manifest, quantiles, selftest, tensors, tracks, windows
 from framelore.plans import views
-from framelore.sources import artifacts, manifests, store
+from framelore.sources import artifacts, frames, manifests, store
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -129,18 +130,44 @@ def seq_contiguous(spark, d):
 
 
 @_query("""+ f as (select sequence, frame_number, max(label) as lab from frames group by all),
-  w as (select sequence, case when sequence % 2 = 0 then 'fall' else 'adl' end kind, k window_index from (select distinct sequence from frames), (select unnest(range(0, 3)) k)),
+  w as (select sequence, case when sequence % 2 = 0 then 'fall' else 'adl' end kind, k window_index from (select sequence, unnest(range(0, (max(frame_number) - 1) // 3 + 1)) k from frames group by sequence)),
   m as (select w.*, f.lab from w cross join (select unnest(range(0, 3)) o) left join f on f.sequence = w.sequence and f.frame_number = w.window_index * 3 + o + 1)
   select sequence, cast(window_index as int) window_index, case when kind = 'adl' then 'no_fall' when bool_or(lab in (0, 1)) then 'fall' when count(lab) = 0 then 'unlabeled' else 'no_fall' end as label,
   kind = 'adl' and coalesce(bool_or(lab = 1), false) is_confuser from m group by sequence, kind, window_index""")
 def window_labels(spark, d):
     f = views.frames(spark, d).groupBy("sequence", "frame_number").agg(F.max("label").alias("label"))
     kind = F.when(F.col("sequence") % 2 == 0, "fall").otherwise("adl")
-    w = f.select("sequence").distinct().withColumn("window_index", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    last = f.groupBy("sequence").agg(F.floor((F.max("frame_number") - 1) / 3).cast("int").alias("last"))
+    w = last.select("sequence", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("window_index"))
     three = F.sequence(F.col("window_index") * 3, F.col("window_index") * 3 + 2)
     return labels.label_windows(w.select("sequence", kind.alias("clip_type"), "window_index", three.alias("frame_indices")), f, offset=1)
 
 
+_RULE = """select sequence, cast(window_index as int) window_index, r.label, r.is_confuser from (
+  select sequence, window_index, my_window_rule(first(clip_type), collect_list(coalesce(cast(label as double), double('NaN')))) r
+  from (select w.*, f.label from (select sequence, clip_type, window_index, explode(transform(frame_indices, x -> x + 1)) frame_number from {w}) w left join {f} f on w.sequence = f.sequence and w.frame_number = f.frame_number)
+  group by sequence, window_index)"""
+
+
+def _lying_rule(kind: str, label: np.ndarray) -> tuple[str, bool]:
+    """A rule as a user writes one: the built-in one, in Python."""
+    known = label[~np.isnan(label)]
+    if kind == "fall":
+        return ("fall" if ((known == 0) | (known == 1)).any() else "no_fall" if len(known) else "unlabeled"), False
+    return "no_fall", bool((known == 1).any())
+
+
+@_query(_SQL["window_labels"], plain=True)
+def window_rule(spark, d):
+    """Windows labelled from SQL text by a rule in Python, over the labels of a window's frames."""
+    f = views.frames(spark, d).groupBy("sequence", "frame_number").agg(F.max("label").alias("label"))
+    last = f.groupBy("sequence").agg(F.floor((F.max("frame_number") - 1) / 3).cast("int").alias("last"))
+    w = last.select("sequence", F.when(F.col("sequence") % 2 == 0, "fall").otherwise("adl").alias("clip_type"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("window_index"))
+    w = w.withColumn("frame_indices", F.sequence(F.col("window_index") * 3, F.col("window_index") * 3 + 2))
+    labels.register_rule(spark, "my_window_rule", _lying_rule)
+    return spark.sql(_RULE, w=w, f=f)
+
+
 # --- tracks ------------------------------------------------------------------------------------------------------------
 
 _ONE = "one as (select clip_id, track_id, frame_index, max(ord) ord from det group by all)"
@@ -192,10 +219,10 @@ def longest_track(spark, d):
     return tracks.longest_track(views.detections(spark, d))
 
 
-@_query("""+ k as (select distinct clip_id from det), b as (select unnest(range(0, 61)) frame_index), n as (select clip_id, frame_index, count(*) n from det group by all)
-  select clip_id, frame_index, coalesce(n, 0) n from k cross join b left join n using (clip_id, frame_index)""")
+@_query("""+ b as (select clip_id, unnest(range(0, max(frame_index) + 1)) frame_index from det group by clip_id), n as (select clip_id, frame_index, count(*) n from det group by all)
+  select clip_id, frame_index, coalesce(n, 0) n from b left join n using (clip_id, frame_index)""")
 def densify(spark, d):
-    return tracks.densify(views.detections(spark, d), "clip_id", "frame_index", 60)
+    return tracks.densify(views.detections(spark, d), "clip_id", "frame_index")
 
 
 @_query(f"""+ {_DOM}, r as (select clip_id, max(frame_index) + 1 frames, (max(frame_index) + 1) / 20.0::double elapsed_sec, count(distinct track_id) n_tracks from det group by 1),
@@ -270,6 +297,45 @@ def run_summary(spark, d):
     return windows.run_summary(windows.candidates(views.detections(spark, d), **WINDOW))
 
 
+_COPIES = """l as (select distinct clip_id, frame_index from det where event_type in ('error', 'purchase')),
+  s as (select distinct clip_id, frame_index from det where event_type <> 'click'), f as (select distinct clip_id, unnest(range(start_frame, start_frame + 16)) frame_index from win where reason is null)"""
+
+
+@_query(f"""+ {_WIN}, {_COPIES} select f.clip_id, f.frame_index, case when l.clip_id is not null then 'local' when s.clip_id is not null then 'source' end as place
+  from f left join l using (clip_id, frame_index) left join s using (clip_id, frame_index)""")
+def needed_frames(spark, d):
+    """Frames that the emitted windows need, each with the copy that it is read from: the local one, else the source."""
+    det = views.detections(spark, d)
+    w = windows.candidates(det, **WINDOW).where("reason is null")
+    needed = frames.needed_frames(w.select("clip_id", F.sequence(F.col("start_frame"), F.col("start_frame") + WINDOW["length"] - 1).alias("frame_indices")))
+    name = lambda folder: F.concat(F.lit(folder), F.format_string("%d/frame_%05d.png", "clip_id", "frame_index")).alias("path")
+    copy = lambda rows, folder: rows.select("clip_id", "frame_index", name(folder), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("size")).distinct()
+    at = frames.locate(needed, copy(det.where(F.col("event_type").isin("error", "purchase")), "local/"), copy(det.where("event_type <> 'click'"), "source/"))
+    return at.select("clip_id", "frame_index", F.substring_index("path", "/", 1).alias("place"))
+
+
+_DENSE = f"""{_WIN}, sl as (select clip_id, track_id, window_index, start_frame, unnest(range(0, 16)) o from win where reason is null),
+  j as (select sl.*, b.x_min from sl left join b on b.clip_id = sl.clip_id and b.track_id = sl.track_id and b.frame_index = sl.start_frame + o)"""
+
+
+@_query(f"+ {_DENSE} select clip_id, track_id, window_index, count(*) length, count_if(x_min is null) missing, count_if(x_min is null) = 0 is_complete from j group by all")
+def window_completeness(spark, d):
+    det = views.detections(spark, d)
+    return windows.completeness(windows.dense_boxes(det, windows.candidates(det, **WINDOW), length=16))
+
+
+@_query(f"""+ {_SEG}, t as (select clip_id, track_id, count(*) segments, sum(frames)::bigint total_frames, max(frames) longest_segment from seg group by all)
+  select clip_id, count(*) tracks, min(track_id) "first", sum(segments)::bigint segments, sum(total_frames)::bigint total_frames from t group by 1""")
+def report_payload(spark, d):
+    """The report of each clip as JSON, read back."""
+    det = views.detections(spark, d)
+    runs = det.groupBy("clip_id").agg((F.max("frame_index") + 1).alias("frames")).withColumn("elapsed_sec", F.col("frames") / 20.0)
+    text = tracks.report_json(tracks.continuity_report(det, runs), tracks.fragmentation(tracks.segments(_one_box(spark, d))))
+    back = text.select("clip_id", F.from_json("value", "fragmentation array<struct<track_id:bigint,segments:bigint,total_frames:bigint>>")["fragmentation"].alias("f"))
+    total = lambda c: F.aggregate("f", F.lit(0).cast("long"), lambda a, x: a + x[c]).alias(c)
+    return back.select("clip_id", F.size("f").cast("long").alias("tracks"), F.get("f", F.lit(0))["track_id"].alias("first"), total("segments"), total("total_frames"))
+
+
 # --- alerts and events -------------------------------------------------------------------------------------------------
 
 _AL = """h as (select *, score >= 0.2 and not isnan(score) hit from stream),
@@ -297,7 +363,7 @@ def alerts(spark, d):
 @_query(f"+ {_AL} select clip_id, ord, start_frame, alert, alert - start_frame delay from ma")
 def alert_match(spark, d):
     s = views.stream(spark, d)
-    return events.match_disjoint(_alerts(s), views.intervals(s).withColumn("ord", F.col("ord").cast("long")))
+    return events.match(_alerts(s), views.intervals(s))
 
 
 @_query(f"+ {_AL} select clip_id, alert from fa")
@@ -318,10 +384,22 @@ def alert_match_overlap(spark, d):
     return events.match(_alerts(s), views.intervals(s), tolerance=2)
 
 
+@_query(f"""+ {_AL}, inside as (select distinct al.clip_id, alert from al join gt on gt.clip_id = al.clip_id and alert between start_frame and end_frame)
+  select clip_id, count(*) filter (where o = 'matched') matched, count(*) filter (where o = 'redundant') redundant, count(*) filter (where o = 'false_alarm') false_alarms, count(*) filter (where o = 'missed') missed from (
+    select clip_id, 'matched' o from ma union all select clip_id, 'redundant' from inside anti join ma using (clip_id, alert)
+    union all select clip_id, 'false_alarm' from fa union all select clip_id, 'missed' from gt anti join ma using (clip_id, ord)) group by 1""")
+def match_outcomes(spark, d):
+    """What became of each alert and event, counted by clip."""
+    s = views.stream(spark, d)
+    m = events.matching(_alerts(s), views.intervals(s))
+    n = lambda o: F.count_if(F.col("outcome") == o)
+    return m.groupBy("clip_id").agg(n("matched").alias("matched"), n("redundant").alias("redundant"), n("false_alarm").alias("false_alarms"), n("missed").alias("missed"))
+
+
 def _counts(spark, d):
     s = views.stream(spark, d)
     clips = s.groupBy("clip_id").agg(F.count("*").alias("total_frames")).withColumns({"dataset": F.col("clip_id") % 5, "fps": F.lit(30.0)})
-    return events.clip_counts(clips, _alerts(s), views.intervals(s), disjoint=True)
+    return events.clip_counts(clips, _alerts(s), views.intervals(s))
 
 
 _EV = """select clip_id, dataset, name, round(value, 6) as value, na_reason from (
@@ -352,6 +430,17 @@ def event_metrics_pooled(spark, d):
     return p.select("dataset", "total_events", "total_alerts", "matched_events", "false_alarms", *(_r(c).alias(c) for c in ("event_recall", "event_precision", "event_f1")))
 
 
+@_query(f"""+ {_AL}, p as (select dataset, sum(total_events) te, sum(matched_events) me, sum(false_alarms) f from cnt group by 1),
+  q as (select *, me / nullif(te, 0) rc, me / nullif(me + f, 0) pr from p), r as (select dataset, unnest([
+   {{'name': 'event_recall', 'value': rc, 'na_reason': case when rc is null then 'no event GT available' end}}, {{'name': 'event_precision', 'value': pr, 'na_reason': case when pr is null then 'no alerts fired' end}},
+   {{'name': 'event_f1', 'value': 2 * rc * pr / nullif(rc + pr, 0), 'na_reason': case when 2 * rc * pr / nullif(rc + pr, 0) is null then 'precision or recall undefined' end}},
+   {{'name': 'total_events', 'value': te::double, 'na_reason': null}}, {{'name': 'matched_events', 'value': me::double, 'na_reason': null}}, {{'name': 'matched_alerts', 'value': me::double, 'na_reason': null}},
+   {{'name': 'total_alerts', 'value': (me + f)::double, 'na_reason': null}}], recursive := true) from q) select dataset, name, round(value, 6) as value, na_reason from r""")
+def event_metrics_pooled_rows(spark, d):
+    rows = events.pooled_rows(_counts(spark, d))
+    return rows.select("dataset", "name", _r("value").alias("value"), "na_reason")
+
+
 @_query("""select * from (values ('map_50', null::double, 'no detection ground truth'), ('map_50_95', null, 'no detection ground truth'), ('idf1', null, 'component metric integration pending'),
   ('mota', null, 'component metric integration pending'), ('hota', null, 'component metric integration pending'), ('pck', null, 'no pose ground truth')) t(name, "value", na_reason)""", plain=True)
 def component_metrics(spark, d):
@@ -384,6 +473,18 @@ def pair_guard(spark, d):
     return clf.pairing_errors(c.where("role <> 'debug'"), c.where("y is not null"))
 
 
+@_query("""select d.doc_id clip_id, ((n_chars * 37) % 101) / 100.0 score, quality y, case when d.doc_id % 3 = 0 then lang else 'label' end lighting, source as camera from documents d join labels l on d.doc_id = l.doc_id where quality is not null""", plain=True)
+def paired(spark, d):
+    """Predictions and labels paired in one checked call; a prediction's tag wins over the label's."""
+    docs, known = views.table(spark, d, "documents"), views.table(spark, d, "labels").where("quality is not null")
+    score, none = F.pmod(F.col("n_chars") * 37, F.lit(101)) / 100.0, F.create_map().cast("map<string,string>")
+    tags = F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("lighting"), "lang")).otherwise(none)
+    p = docs.join(known.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("clip_id"), score.alias("score"), F.map_concat(tags, F.create_map(F.lit("camera"), F.col("source"))).alias("tags"))
+    t = known.select(F.col("doc_id").alias("clip_id"), F.col("quality").alias("y"), F.create_map(F.lit("lighting"), F.lit("label")).alias("tags"))
+    both = clf.pair(p, t)
+    return both.select("clip_id", "score", "y", F.col("tags")["lighting"].alias("lighting"), F.col("tags")["camera"].alias("camera"))
+
+
 @_query(f"+ {_SL} select * from cf")
 def confusion_by_slice(spark, d):
     return clf.confusion(clf.by_slice(_pairs(spark, d)))
@@ -517,11 +618,26 @@ def selftest_auc(spark, d):
     return selftest.run(selftest.synthetic(spark))
 
 
-@_query("""+ r as (select * from clips where y is not null), s as (select clip_id, y, 'true' tag, score from r)
-  select count(*) n, round(avg(score), 6) mean_score, round(quantile_cont(score, 0.5), 6) median_score, round(quantile_cont(score, 0.95), 6) p95_score from r""")
+@_query("""select count(*) n, round(avg(score), 6) mean_score, round(quantile_cont(score, 0.5), 6) median_score, round(quantile_cont(score, 0.95), 6) p95_score from (select value / 100 score from events)""", plain=True)
 def score_percentiles(spark, d):
-    c = views.clips(spark, d).where("y is not null")
-    return c.agg(F.count("*").alias("n"), _r(F.avg("score")).alias("mean_score"), _r(F.percentile("score", F.lit(0.5))).alias("median_score"), _r(F.percentile("score", F.lit(0.95))).alias("p95_score"))
+    e = views.table(spark, d, "events").select((F.col("value") / 100).alias("score"))
+    q = quantiles.exact_percentiles(e, "score", {"median_score": 0.5, "p95_score": 0.95})
+    return q.crossJoin(e.agg(F.avg("score").alias("mean_score"))).select("n", *(_r(c).alias(c) for c in ("mean_score", "median_score", "p95_score")))
+
+
+@_query("""select event_type, count(*) n, round(quantile_cont("value", 0.25), 6) q1, round(quantile_cont("value", 0.5), 6) median, round(quantile_cont("value", 0.95), 6) p95 from events group by 1""", plain=True)
+def percentiles_by_key(spark, d):
+    q = quantiles.exact_percentiles(views.table(spark, d, "events"), "value", {"q1": 0.25, "median": 0.5, "p95": 0.95}, ("event_type",))
+    return q.select("event_type", "n", *(_r(c).alias(c) for c in ("q1", "median", "p95")))
+
+
+@_query("""+ sl0 as (select clip_id, ln(greatest(score, 0.005) / (1.005 - score)) score, y from clips where y is not null),
+  rk as (select *, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 r from sl0)
+  select round((sum(r) filter (where y = 1) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * (count(*) - sum(y)), 0), 6) auc_roc from rk""")
+def auc_of_logits(spark, d):
+    """Scores without bounds, most of them outside 0 to 1."""
+    p = _pairs(spark, d).withColumn("score", F.log(F.greatest("score", F.lit(0.005)) / (1.005 - F.col("score")))).withColumn("tags", F.create_map().cast("map<string,string>"))
+    return clf.ranking(clf.by_slice(p)).select(_r("auc_roc").alias("auc_roc"))
 
 
 # --- registry, data set of windows, artefacts ---------------------------------------------------------------------------
@@ -593,9 +709,11 @@ def clip_names(spark, d):
     return views.table(spark, d, "orders").select("o_orderkey", sequence.alias("sequence"), scalars.clip_type(sequence).alias("clip_type"), member.alias("member"), scalars.folder_of_url(url).alias("folder"))
 
 
-@_query("""+ w as (select o_orderkey sequence, 3 frame_number from orders) select w.sequence, w.frame_number, f.label from w left join frames f on w.sequence = f.sequence and w.frame_number = f.frame_number""")
+@_query("""+ w as (select o_orderkey sequence, unnest(range(1, 2 + o_orderkey % 9))::int frame_number from orders) select w.sequence, w.frame_number, f.label from w left join frames f on w.sequence = f.sequence and w.frame_number = f.frame_number""")
 def label_lookup(spark, d):
-    wanted = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("sequence"), F.lit(3).alias("frame_number"))
+    """Frames 1 to at most 9 of every order's series; some it has not."""
+    upto = F.sequence(F.lit(1), (F.col("o_orderkey") % 9 + 1).cast("int"))
+    wanted = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("sequence"), F.explode(upto).alias("frame_number"))
     return labels.lookup(wanted, views.frames(spark, d))
 
 
@@ -692,25 +810,105 @@ def payload_errors(spark, d):
     return store.parse_payload(_spark_view(spark, d, _PAYLOAD, "orders")).select("o_orderkey", "error")
 
 
-@_query("""select 'r' run_id, m.* from orders, (values ('f1', 0.5::double, null), ('auc', null, 'one class')) m("name", "value", na_reason) where o_orderkey % 8 > 5""", plain=True)
+@_query("""select o_orderkey, 'r' run_id, m.* from orders, (values ('f1', 0.5::double, null), ('auc', null, 'one class')) m("name", "value", na_reason) where o_orderkey % 8 > 5
+  union all select o_orderkey, null, null, null, null from orders where o_orderkey % 8 <= 5""", plain=True)
 def payload_metrics(spark, d):
-    good = _spark_view(spark, d, _PAYLOAD, "orders").where("o_orderkey % 8 > 5")
-    return store.payload_metrics(good).select("run_id", "name", "value", "na_reason")
+    """Metrics of the payloads that can be read; the others stay as rows without any."""
+    return store.readable_metrics(_spark_view(spark, d, _PAYLOAD, "orders")).select("o_orderkey", "run_id", "name", "value", "na_reason")
 
 
-@_query("""select 'v/clip' || p_partkey || '.avi' path, case when p_partkey % 3 = 0 then 'a/clip' || p_partkey || '.txt' when p_partkey % 3 = 1 then 'a/clip' || p_partkey || '/clip' || p_partkey || '.txt' end annotation,
-  case when p_partkey % 3 < 2 then 2 end as start, case when p_partkey % 3 < 2 then 2 + p_size end as "end", case when p_partkey % 3 < 2 then 'outside' end as box_error,
-  case when p_partkey % 4 <> 0 then 25.0::double end as fps from part""", plain=True)
+@_query("""with t as (select p_partkey k, p_size s, p_partkey % 3 place, p_partkey % 5 kind from part)
+  select 'v/clip' || k || '.avi' path, case when place = 0 then 'a/clip' || k || '.txt' when place = 1 then 'a/clip' || k || '/clip' || k || '.txt' end annotation,
+  case when place < 2 and kind in (0, 3) then 2 end as start, case when place < 2 and kind in (0, 3) then 2 + s end as "end", case when place < 2 and kind = 2 then 'inverted' when place < 2 and kind = 4 then 'not an integer' end event_error,
+  place < 2 and kind in (0, 3) has_fall, case when place < 2 then case kind when 0 then 'outside' when 1 then null when 2 then 'box' when 3 then 'columns' else 'frame' end end as box_error,
+  case when k % 4 <> 0 then 25.0::double end as fps from t""", plain=True)
 def annotation_pairs(spark, d):
-    """Videos with the annotation in either place, the event in it and the error of its one box; some have none."""
+    """Videos with the annotation in either place, the event in it and the error of its one box; some have none, some no event, some are malformed."""
     text = """select 'v/clip' || cast(p_partkey as string) || '.avi' as path, case when p_partkey % 4 <> 0 then 25.0D end as fps, p_partkey as k, p_size as s from part"""
     v = _spark_view(spark, d, text, "part")
     name = F.concat(F.lit("clip"), F.col("k").cast("string"))
     nested = F.concat(F.lit("a/"), name, F.lit("/"), name, F.lit(".txt"))
     at = F.when(F.col("k") % 3 == 0, F.array(F.concat(F.lit("a/"), name, F.lit(".txt")), nested)).when(F.col("k") % 3 == 1, F.array(nested)).otherwise(F.array(F.concat(F.lit("a/b/c/"), name, F.lit(".txt"))))
-    a = v.select(F.explode(at).alias("path"), F.concat(F.lit("2\n"), (F.col("s") + 2).cast("string"), F.lit("\n\n1,1,5,5,90,20\n")).alias("text"))
+    kind, end = F.col("k") % 5, (F.col("s") + 2).cast("string")
+    head = F.when(kind.isin(0, 3), F.concat(F.lit("2\n"), end)).when(kind == 1, "0\n0").when(kind == 2, F.concat(end, F.lit("\n2"))).otherwise("two\n3")
+    line = F.when(kind == 0, "1,1,5,5,90,20").when(kind == 1, "1,1,5,5,9,20").when(kind == 2, "1,1,9,5,9,20").when(kind == 3, "1,1,5").otherwise("0,1,5,5,9,20")
+    a = v.select(F.explode(at).alias("path"), F.concat(head, F.lit("\n\n"), line, F.lit("\n")).alias("text"))
     p = manifests.pair_annotations(v.select("path", "fps"), a, "a", frame_size=(64, 48))
-    return p.select("path", "annotation", "event.start", "event.end", F.get("detections", F.lit(0))["error"].alias("box_error"), "fps")
+    w = manifests.event_windows(p).select(F.concat(F.lit("v/"), "clip_id", F.lit(".avi")).alias("path"), "has_fall")
+    p = p.select("path", "annotation", "event.start", "event.end", F.col("event.error").alias("event_error"), F.get("detections", F.lit(0))["error"].alias("box_error"), "fps")
+    return p.join(w, "path")
+
+
+@_query("""+ e as (select vec_id, label, list_transform(embedding, lambda x: x::double) v from embeddings), m as (select *, len(v) n, list_min(v) least, list_max(v) most from e)
+  select vec_id, unnest(list_filter([case when n <> 64 then 'shape' end, case when least < -0.4 or most > 0.4 then 'range' end, case when not (least < -0.3 and most > 0.3) then 'scale' end], lambda x: x is not null)) "error" from m""")
+def tensor_contracts(spark, d):
+    """Vectors that break a contract of shape, range or scale."""
+    m = tensors.tensor_moments(views.table(spark, d, "embeddings"), "embedding", ("vec_id",))
+    return tensors.violations(m, (64,), -0.4, 0.4, (-0.3, 0.3)).select("vec_id", "error")
+
+
+@_query("""select label, count(distinct vec_id) tensors, count(*) n, 0::bigint non_finite, round(min(x), 6) least, round(max(x), 6) most, round(avg(x), 6) mean, round(stddev_pop(x), 6) std
+  from (select vec_id, label, unnest(embedding)::double x from embeddings) group by 1""", plain=True)
+def tensor_moments(spark, d):
+    m = tensors.merged(tensors.tensor_moments(views.table(spark, d, "embeddings"), "embedding", ("vec_id", "label")), "label")
+    return m.select("label", "tensors", "n", "non_finite", *(_r(c).alias(c) for c in ("least", "most", "mean", "std")))
+
+
+@_query(f"""with m as ({_RAW}), f as (select pos, clip_id, lower(trim(dataset)) dataset, lower(trim(role)) as role, lower(trim(label)) as label, source_path from m),
+  o as (select 'error' severity, 'role' as rule, clip_id as key, role as detail from f where role not in ({_quoted(fixed.ROLES)}) union all select 'error', 'label', clip_id, label from f where label not in ({_quoted(fixed.LABELS)})
+    union all select 'error', 'required_fields', clip_id, concat_ws(',', case when clip_id = '' then 'clip_id' end, case when dataset is null then 'dataset' end, case when source_path is null then 'source_path' end)
+      from f where clip_id = '' or dataset is null or source_path is null
+    union all select 'error', 'dataset', clip_id, null from f where dataset is null union all select 'error', 'duplicate_clip_id', clip_id, count(*)::varchar from f group by clip_id having count(*) > 1
+    union all select 'error', 'train_validate', clip_id, null from f group by clip_id having bool_or(role = 'train') and bool_or(role = 'validate')
+    union all (select 'warning', 'unknown_dataset', arg_min(clip_id, pos), dataset from f where coalesce(dataset not in ({_quoted(fixed.IN_SCOPE_DATASETS + fixed.VAULT_DATASETS)}), true) group by dataset)
+    union all select 'warning', 'cross_listed', x, null from (select unnest([{_quoted(fixed.CROSS_LISTED_DATASETS)}]) x) where x not in (select dataset from f where role = 'debug' and dataset is not null))
+  select severity, rule, key, detail from o""", plain=True)
+def manifest_findings(spark, d):
+    """A raw manifest's findings one by one; roles and labels that are unknown, and blank fields, among them."""
+    typed = manifest.normalise(_spark_view(spark, d, _RAW, "part")).drop("errors")
+    return manifest.validate(typed.withColumns({"dataset": scalars.normalised(F.col("dataset")), "subject_id": F.lit(None).cast("string")}))
+
+
+@_query("""with f as (select 'c' || (p_partkey % 60)::varchar clip, p_partkey // 60 % 4 folder, p_size > 2 frame from part where p_brand like '%1')
+  select clip, case when bool_or(folder = 0 and frame) then 'flat' when count(distinct nullif(folder, 0)) = 1 and bool_or(folder <> 0 and frame) then 'nested:d' || min(nullif(folder, 0))::varchar else 'missing' end layout from f group by 1""", plain=True)
+def frame_layouts(spark, d):
+    """Where each clip's frames lie: files of the parts, some in the clip's folder, some in children of it, some no frames."""
+    folder = F.floor(F.col("p_partkey") / 60) % 4
+    below = F.when(folder == 0, "/").otherwise(F.concat(F.lit("/d"), folder.cast("string"), F.lit("/")))
+    path = F.concat(F.lit("file:/data/c"), (F.col("p_partkey") % 60).cast("string"), below, F.lit("f"), F.col("p_partkey").cast("string"), F.when(F.col("p_size") > 2, ".png").otherwise(".txt"))
+    p = views.table(spark, d, "part").where(F.col("p_brand").endswith("1")).select(path.alias("path"))
+    return manifests.frame_layout(manifests.folder_entries(p, "file:/data")).select("clip", "layout")
+
+
+@_query("""select 'k' || (c_custkey + 100)::varchar as path from customer where c_custkey + 100 not in (select o_custkey from orders where o_custkey is not null)""", plain=True)
+def missing_files(spark, d):
+    """Expected files, one for each customer, of which a listing by order has none."""
+    name = lambda c: F.concat(F.lit("k"), c.cast("string")).alias("path")
+    return manifests.missing_files(views.table(spark, d, "customer").select(name(F.col("c_custkey") + 100)), views.table(spark, d, "orders").select(name(F.col("o_custkey"))))
+
+
+@_query("""select p_partkey, 'shard-' || lpad(p_partkey::varchar, greatest(length(p_partkey::varchar), w)::int, '0') || '.tar' as shard, w width
+  from (select *, greatest(4, length(greatest(1, p_size * 400)::varchar)) w from part)""", plain=True)
+def shard_names(spark, d):
+    width = scalars.shard_width(F.col("p_size") * 400)
+    return views.table(spark, d, "part").select("p_partkey", scalars.shard_name(F.col("p_partkey"), width).alias("shard"), width.alias("width"))
+
+
+@_query("""select pos, clip_id from (select p_partkey pos, 'c' || p_partkey::varchar clip_id, case p_partkey % 3 when 0 then 'sequence=1; camera=cam0' when 1 then 'camera=cam1' end notes, case when p_partkey % 4 = 0 then 'train' else 'debug' end r from part)
+  where contains(notes, 'camera=cam0') and r = 'train'""", plain=True)
+def camera_of_role(spark, d):
+    k = F.col("p_partkey")
+    notes = F.when(k % 3 == 0, "sequence=1; camera=cam0").when(k % 3 == 1, "camera=cam1")
+    c = views.table(spark, d, "part").select(k.alias("pos"), F.concat(F.lit("c"), k.cast("string")).alias("clip_id"), notes.alias("notes"), F.when(k % 4 == 0, "train").otherwise("debug").alias("role"))
+    return manifest.camera_filter(manifest.by_role(c, "train"), "cam0").select("pos", "clip_id")
+
+
+@_query("""select event_id, case when event_id % 5 = 0 then 'n/a (' || event_type || ')' else (event_id % 7)::varchar || '.0' end shown,
+  concat('NotAvailable(', case when event_id % 2 = 0 then concat(chr(39), 'auc', chr(39), ', ') end, 'reason=', chr(39), event_type, chr(39), ')') described from events""", plain=True)
+def unavailable_text(spark, d):
+    e = views.table(spark, d, "events")
+    value = F.when(F.col("event_id") % 5 != 0, (F.col("event_id") % 7).cast("double"))
+    return e.select("event_id", na.shown(value, F.col("event_type")).alias("shown"), na.described(F.col("event_type"), F.when(F.col("event_id") % 2 == 0, "auc")).alias("described"))
 
 
 @_query("select label, count(*) n from (select case when o_orderstatus = 'O' then 'fall' else 'no_fall' end as label from orders) group by 1", plain=True)

@@ -40,3 +40,10 @@ def decode(payload: Column) -> Column:
 def shown(value: Column, reason: Column) -> Column:
     """Text of a value: the number, or n/a and the reason in brackets."""
     return F.coalesce(value.cast("string"), F.concat(F.lit("n/a ("), reason, F.lit(")")))
+
+
+def described(reason: Column, name: Column) -> Column:
+    """A value that is not available, for logs: with its metric's name where it has one."""
+    quoted = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
+    named = F.when(F.coalesce(name, F.lit("")) != "", F.concat(quoted(name), F.lit(", "))).otherwise("")
+    return F.concat(F.lit("NotAvailable("), named, F.lit("reason="), quoted(reason), F.lit(")"))

@@ -122,8 +122,9 @@ def shard_name(index: Column, width: Column) -> Column:
     return F.concat(F.lit("shard-"), F.lpad(digits, F.greatest(width, F.length(digits)), F.lit("0")), F.lit(".tar"))
 
 
-def shard_width(most: int) -> int:
-    return max(4, len(str(most)))
+def shard_width(most: Column) -> Column:
+    """Digits of shard numbers where there are at most so many shards: four or more, the same for the same bound."""
+    return F.greatest(F.lit(4), F.length(F.greatest(F.lit(1), most).cast("string")))
 
 
 def member_key(source: Column, track: Column, window: Column) -> Column:

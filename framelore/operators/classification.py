@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from framelore.functions import fixed
 from framelore.functions.na import metric
 from framelore.functions.scalars import hard_label
+from framelore.operators.quantiles import RANGES, range_of, splitters
 
 
 def pairing_errors(predictions: DataFrame, labels: DataFrame) -> DataFrame:
@@ -24,10 +25,25 @@ def pairing_errors(predictions: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def pair(predictions: DataFrame, labels: DataFrame) -> DataFrame:
-    """predictions(clip_id, score, tags) and labels(clip_id, y, tags) as (clip_id, score, y, tags): a prediction's tag wins."""
-    both = predictions.withColumnRenamed("tags", "p").join(labels.withColumnRenamed("tags", "l"), "clip_id")
-    only = F.map_filter("l", lambda k, _: ~F.map_contains_key("p", k))
-    return both.select("clip_id", "score", "y", F.map_concat(only, "p").alias("tags"))
+    """predictions (clip_id, score, tags) and labels (clip_id, y, tags) as (clip_id, score, y, tags), checked as they are paired.
+
+    A prediction's tag wins over the label's; null tags are none.  Reading a clip that is null, that occurs twice on a side or only on one
+    raises and names it, as does a label other than 0 and 1; pairing_errors() lists them instead.  One shuffle by clip.
+    """
+    none = F.create_map().cast("map<string,string>")
+    tags = lambda df: F.coalesce(F.col("tags").cast("map<string,string>"), none) if "tags" in df.columns else none
+    score, y = F.lit(None).cast("double"), F.lit(None).cast("int")
+    p = predictions.select("clip_id", F.lit(1).alias("p"), F.lit(0).alias("l"), F.col("score").cast("double").alias("score"), y.alias("y"), tags(predictions).alias("tp"), none.alias("tl"))
+    t = labels.select("clip_id", F.lit(0).alias("p"), F.lit(1).alias("l"), score.alias("score"), F.col("y").cast("int").alias("y"), none.alias("tp"), tags(labels).alias("tl"))
+    side = lambda name, flag: F.max_by(name, flag)
+    g = p.unionAll(t).groupBy("clip_id").agg(F.sum("p").alias("p"), F.sum("l").alias("l"), F.max("score").alias("score"), F.max("y").alias("y"), side("tp", "p").alias("tp"), side("tl", "l").alias("tl"))
+    error = (
+        F.when(F.col("clip_id").isNull(), "no clip id").when(F.col("p") > 1, "duplicate prediction").when(F.col("l") > 1, "duplicate label")
+        .when(F.col("l") == 0, "unlabeled prediction").when(F.col("p") == 0, "unpredicted label").when(~F.coalesce(F.col("y").isin(0, 1), F.lit(False)), "label")
+    )
+    named = F.raise_error(F.concat(error, F.lit(": "), F.coalesce(F.col("clip_id").cast("string"), F.lit("null")))).cast("boolean")
+    only = F.map_filter("tl", lambda k, _: ~F.map_contains_key("tp", k))
+    return g.where(F.when(error.isNull(), True).otherwise(named)).select("clip_id", "score", "y", F.map_concat(only, "tp").alias("tags"))
 
 
 def by_slice(pairs: DataFrame) -> DataFrame:
@@ -46,16 +62,17 @@ def confusion(sliced: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
-def ranking(sliced: DataFrame, buckets: int = 4096) -> DataFrame:
-    """auc_roc and auprc by slice, exact; null where one class is absent.
+def ranking(sliced: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """auc_roc and auprc by slice, exact; null where one class is absent.  Scores may have any scale; null ones are left out.
 
-    Rows are first reduced to distinct scores; the counts of all higher scores come in two steps, over buckets of the
-    score and in a bucket, so no task sees a whole slice.
+    Rows are first reduced to distinct scores; the counts of all higher scores come in two steps, over ranges of the
+    score that a quantile sketch has cut, and in a range, so no task sees a whole slice.
     """
     keys = ["tag", "tag_value"]
     group = F.xxhash64(F.coalesce("tag", F.lit("\0")), F.coalesce("tag_value", F.lit("\0")))
+    sliced = sliced.where("score is not null")
     at = sliced.groupBy(*keys, "score").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
-    at = at.withColumn("g", group).withColumn("b", F.greatest(F.lit(-1), F.least(F.lit(buckets), F.floor(F.col("score") * buckets))))
+    at = at.withColumn("g", group).withColumn("b", range_of(F.col("score"), splitters(sliced, "score", ranges)))
     sums = at.groupBy("g", "b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     higher = W.partitionBy("g").orderBy(F.col("b").desc()).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("g")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW_LABELS = ("fall", "no_fall", "unlabeled")
+from framelore.functions.fixed import WINDOW_LABELS
+
 SIDECAR = "clip_id string, label string, frame_index int"
 
 
@@ -62,8 +63,17 @@ def split_distribution(windows: DataFrame) -> DataFrame:
     )
 
 
+def batches(windows: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """The windows of keys (pos, clip_key) with batch, pos // size; each batch lies in one task, in the order of pos.
+
+    Batches are dealt and sorted each alone; nothing is sorted over all.  A key may come several times; missing_keys() has those without a window.
+    """
+    rows = keys.join(windows, "clip_key").withColumn("batch", F.floor(F.col("pos") / size))
+    return rows.repartition("batch").sortWithinPartitions("batch", "pos")
+
+
 def batch(windows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The windows of keys (pos, clip_key) in the order of pos; a key may come several times; missing_keys() has the others."""
+    """The windows of keys (pos, clip_key), one batch, in the order of pos; for a batch that fits the reader, see batches()."""
     return keys.join(windows, "clip_key").orderBy("pos")
 
 

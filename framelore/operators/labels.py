@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelore.functions import fixed
@@ -64,6 +66,54 @@ def falling_only_rule(clip_type: Column, label: Column) -> tuple[Column, Column]
     return F.when(kind == "fall", F.when(hit, "fall").when(F.count(label) == 0, "unlabeled").otherwise("no_fall")).otherwise("no_fall"), (kind != "fall") & hit
 
 
+#: A rule in Python: from the clip type and the labels of a window's frames (NaN where a frame has none) to (label, is_confuser).
+PythonRule = Callable[[str, np.ndarray], tuple[str, bool]]
+
+
+def _checked(found: object) -> tuple[str, bool]:
+    if not (isinstance(found, tuple) and len(found) == 2 and found[0] in fixed.WINDOW_LABELS and isinstance(found[1], (bool, np.bool_))):
+        raise ValueError(f"a rule gives one of {fixed.WINDOW_LABELS} and whether it is a confuser, not {found!r}")
+    return found[0], bool(found[1])
+
+
+RULE_RESULT = "struct<label:string,is_confuser:boolean>"
+
+
+def _function(rule: PythonRule):
+    """A rule as a function of the clip type and the list of a window's labels: batches of windows go to it in Arrow."""
+
+    @F.arrow_udf(RULE_RESULT)
+    def apply(clip_type: pa.Array, found: pa.Array) -> pa.Array:
+        out = []
+        for kind, values in zip(clip_type, found):
+            label = values.values.to_numpy(zero_copy_only=False).astype(float) if values.is_valid else np.zeros(0)
+            out.append(dict(zip(("label", "is_confuser"), _checked(rule(kind.as_py(), label)))))
+        return pa.array(out, pa.struct([("label", pa.string()), ("is_confuser", pa.bool_())]))
+
+    return apply
+
+
+def python_rule(rule: PythonRule) -> Rule:
+    """A rule in Python for label_windows(): the labels of a window, which are few, are gathered, then the rule sees windows batch by batch."""
+    apply = _function(rule)
+
+    def columns(clip_type: Column, label: Column) -> tuple[Column, Column]:
+        result = apply(F.first(clip_type), F.collect_list(F.coalesce(label.cast("double"), F.lit(float("nan")))))
+        return result["label"], result["is_confuser"]
+
+    return columns
+
+
+def register_rule(spark: SparkSession, name: str, rule: PythonRule) -> None:
+    """Make a rule usable in SQL text: name(clip type, labels) is a struct of label and is_confuser.
+
+    labels is an array of doubles, as collect_list(coalesce(label, double('NaN'))) makes it of a group.  A result outside the rule's domain raises.
+    """
+    if not name.isidentifier():
+        raise ValueError(f"not a function name: {name!r}")
+    spark.udf.register(name, _function(rule))
+
+
 def label_windows(windows: DataFrame, frames: DataFrame, offset: int = 0, rule: Rule = default_rule) -> DataFrame:
     """(sequence, window_index, label, is_confuser) of windows (sequence, clip_type, window_index, frame_indices).
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +13,6 @@ class FrozenAccessError(RuntimeError):
     """Frozen rows were asked for in a context that may not see them."""
 
 
-def _row(df: DataFrame, severity: str, rule: str, key: Column, detail: Column) -> DataFrame:
-    return df.select(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), key.cast("string").alias("key"), detail.cast("string").alias("detail"))
-
-
 def missing_fields(clips: DataFrame, required: tuple[str, ...] = ("clip_id", "dataset", "role", "label", "source_path")) -> DataFrame:
     blank = [F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "", F.lit(c)) for c in required]
     return clips.withColumn("missing", F.array_compact(F.array(*blank))).where(F.size("missing") > 0)
@@ -73,34 +67,65 @@ def camera_filter(clips: DataFrame, camera: str) -> DataFrame:
     return clips.where(F.coalesce(F.col("notes").contains(f"camera={camera}"), F.lit(False))) if camera else clips
 
 
-def validate(clips: DataFrame, version: str = "1.1") -> DataFrame:
-    """All checks over a manifest as rows (severity, rule, key, detail); a manifest without error rows is valid."""
-    spark = clips.sparkSession
-    known = spark.createDataFrame([(d,) for d in fixed.IN_SCOPE_DATASETS + fixed.VAULT_DATASETS], "dataset string")
+FINDING = "array<struct<severity:string,rule:string,key:string,detail:string>>"
+
+
+def _finding(condition: Column, severity: str, rule: str, key: Column, detail: Column) -> Column:
+    """A struct of a finding where the condition holds, else null."""
+    return F.when(condition, F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), key.cast("string").alias("key"), detail.cast("string").alias("detail")))
+
+
+def _row_rules() -> list[Column]:
     key, none = F.col("clip_id"), F.lit(None)
-    found = [
-        _row(missing_fields(clips), "error", "required_fields", key, F.array_join("missing", ",")),
-        _row(outside_domain(clips, "role", fixed.ROLES), "error", "role", key, F.col("role")),
-        _row(outside_domain(clips, "label", fixed.LABELS), "error", "label", key, F.col("label")),
-        _row(clips.where(F.coalesce("dataset", F.lit("")) == ""), "error", "dataset", key, none),
-        _row(unknown_datasets(clips, known), "warning", "unknown_dataset", F.col("clip_id"), F.col("dataset")),
-        _row(duplicate_keys(clips, "clip_id"), "error", "duplicate_clip_id", key, F.col("n")),
-        _row(role_conflicts(clips, "clip_id"), "error", "train_validate", F.col("clip_id"), none),
-        _row(role_conflicts(clips, "source_path"), "error", "source_path_leak", F.col("source_path"), none),
-        _row(role_conflicts(clips, "subject_id"), "error", "subject_leak", F.col("subject_id"), none),
-        _row(vault_breaches(clips), "error", "vault", key, F.col("dataset")),
-        *(
-            _row(outside_domain(clips, c, d, nulls_pass=True), "warning", f"slice_{c}", key, F.col(c))
-            for c, d in (("lighting", fixed.LIGHTING), ("occlusion", fixed.OCCLUSION), ("action_confuser", fixed.CONFUSERS))
-        ),
+    inside = lambda c, domain: F.coalesce(F.col(c).isin(*domain), F.lit(False))
+    missing = F.array_compact(F.array(*(F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "", F.lit(c)) for c in ("clip_id", "dataset", "role", "label", "source_path"))))
+    tags = (("lighting", fixed.LIGHTING), ("occlusion", fixed.OCCLUSION), ("action_confuser", fixed.CONFUSERS))
+    return [
+        _finding(F.size(missing) > 0, "error", "required_fields", key, F.array_join(missing, ",")),
+        _finding(~inside("role", fixed.ROLES), "error", "role", key, F.col("role")),
+        _finding(~inside("label", fixed.LABELS), "error", "label", key, F.col("label")),
+        _finding(F.coalesce("dataset", F.lit("")) == "", "error", "dataset", key, none),
+        _finding(inside("dataset", fixed.VAULT_DATASETS) != F.coalesce(F.col("role") == fixed.FROZEN_ROLE, F.lit(False)), "error", "vault", key, F.col("dataset")),
+        *(_finding(F.col(c).isNotNull() & ~inside(c, d), "warning", f"slice_{c}", key, F.col(c)) for c, d in tags),
+    ]
+
+
+def validate(clips: DataFrame, version: str = "1.1") -> DataFrame:
+    """All checks over a manifest as rows (severity, rule, key, detail); a manifest without error rows is valid.
+
+    Two passes.  Rules of a row are an array of findings, exploded.  Rules of keys (repeated ids, keys under two roles,
+    unknown and absent datasets) are one unpivot to (rule, key, role) and one aggregation, which reduces hot keys before
+    they move.
+    """
+    spark, none = clips.sparkSession, F.lit(None)
+    rows = clips.select(F.inline(F.array_compact(F.array(*_row_rules())).cast(FINDING)))
+    known = F.coalesce(F.col("dataset").isin(*fixed.IN_SCOPE_DATASETS, *fixed.VAULT_DATASETS), F.lit(False))
+    listed = F.coalesce((F.col("role") == "debug") & F.col("dataset").isin(*fixed.CROSS_LISTED_DATASETS), F.lit(False))
+    unit = lambda rule, key: F.struct(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"))
+    units = F.array(
+        unit("clip_id", "clip_id"), F.when(F.col("source_path").isNotNull(), unit("source_path", "source_path")), F.when(F.col("subject_id").isNotNull(), unit("subject_id", "subject_id")),
+        F.when(~known, unit("unknown", "dataset")), F.when(listed, unit("listed", "dataset")),
+    )
+    keyed = clips.select(F.explode(F.array_compact(units)).alias("u"), "role", F.struct("pos", F.col("clip_id").cast("string").alias("clip_id")).alias("c"), F.lit(1).alias("n"))
+    keyed = keyed.select("u.rule", "u.key", "role", "c", "n")
+    expected = spark.createDataFrame([("listed", d) for d in fixed.CROSS_LISTED_DATASETS], "rule string, key string")
+    keyed = keyed.unionAll(expected.select("rule", "key", none.cast("string"), none.cast(keyed.schema["c"].dataType), F.lit(0)))
+    role = lambda r: F.coalesce(F.bool_or(F.col("role") == r), F.lit(False))
+    keys = keyed.groupBy("rule", "key").agg(F.sum("n").alias("n"), (role("train") & role("validate")).alias("both"), F.min("c").alias("first"))
+    is_ = lambda rule: F.col("rule") == rule
+    findings = [
+        _finding(is_("clip_id") & (F.col("n") > 1), "error", "duplicate_clip_id", F.col("key"), F.col("n")),
+        _finding(is_("clip_id") & F.col("both") & F.col("key").isNotNull(), "error", "train_validate", F.col("key"), none),
+        _finding(is_("source_path") & F.col("both"), "error", "source_path_leak", F.col("key"), none),
+        _finding(is_("subject_id") & F.col("both"), "error", "subject_leak", F.col("key"), none),
+        _finding(is_("unknown"), "warning", "unknown_dataset", F.col("first.clip_id"), F.col("key")),
+        _finding(is_("listed") & (F.col("n") == 0), "warning", "cross_listed", F.col("key"), none),
     ]
-    expected = spark.createDataFrame([(d,) for d in fixed.CROSS_LISTED_DATASETS], "dataset string")
-    absent = expected.join(clips.where(F.col("role") == "debug"), "dataset", "left_anti")
-    found.append(_row(absent, "warning", "cross_listed", F.col("dataset"), none))
+    found = rows.unionAll(keys.select(F.inline(F.array_compact(F.array(*findings)).cast(FINDING))))
     if version not in fixed.SCHEMA_VERSIONS:
         errors = [("error", "schema_version", None, version)] + [("error", "schema_version", None, "empty")] * (not version)
-        found.append(spark.createDataFrame(errors, "severity string, rule string, key string, detail string"))
-    return reduce(DataFrame.unionAll, found)
+        found = found.unionAll(spark.createDataFrame(errors, "severity string, rule string, key string, detail string"))
+    return found
 
 
 def by_role(clips: DataFrame, role: str) -> DataFrame:

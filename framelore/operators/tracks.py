@@ -70,10 +70,11 @@ def primary_track(timeline: DataFrame) -> DataFrame:
     return n.groupBy("clip_id").agg(F.max_by("dominant", F.struct(F.col("n"), -F.col("first"))).alias("primary_track"))
 
 
-def densify(rows: DataFrame, key: str, bucket: str, last: int) -> DataFrame:
-    """Rows per key and bucket 0..last, empty buckets with 0; rows outside are left out."""
-    n = rows.where(F.col(bucket).between(0, last)).groupBy(key, bucket).agg(F.count("*").alias("n"))
-    frame = rows.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias(bucket))
+def densify(rows: DataFrame, key: str, bucket: str, last: int | None = None) -> DataFrame:
+    """Rows per key and bucket 0..last, by default each key's own last one, empty buckets with 0; rows outside are left out."""
+    n = rows.where(F.col(bucket) >= 0).groupBy(key, bucket).agg(F.count("*").alias("n"))
+    end = F.max(bucket) if last is None else F.lit(last)
+    frame = rows.groupBy(key).agg(end.cast("long").alias("__end")).where("__end >= 0").select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__end"))).alias(bucket))
     return frame.join(n, [key, bucket], "left").select(key, bucket, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -88,3 +89,10 @@ def continuity_report(detections: DataFrame, runs: DataFrame) -> DataFrame:
     fps, ms = rate(F.col("frames"), F.col("elapsed_sec")), latency_ms(F.col("frames"), F.col("elapsed_sec"))
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_tracks", "switches")}
     return out.withColumns(zero | {"fps": fps, "latency_ms": ms})
+
+
+def report_json(report: DataFrame, fragments: DataFrame) -> DataFrame:
+    """(clip_id, value): continuity_report() rows as JSON, each with its tracks' fragmentation rows (clip_id, track_id, ...) by track."""
+    rows = fragments.groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct(*(c for c in fragments.columns if c != "clip_id")))).alias("fragmentation"))
+    both = report.join(rows, "clip_id", "left")
+    return both.select("clip_id", F.to_json(F.struct(*report.columns, F.coalesce("fragmentation", F.array().cast(rows.schema["fragmentation"].dataType)).alias("fragmentation")), {"ignoreNullFields": "false"}).alias("value"))

@@ -87,3 +87,9 @@ def run_summary(windows: DataFrame, keys: tuple[str, ...] = ("clip_id", "track_i
     return tracks.agg(
         F.count_distinct(keys[0]).alias("clips"), F.count("*").alias("tracks"), F.coalesce(F.sum("emitted"), F.lit(0)).alias("emitted"), F.coalesce(F.sum("skipped"), F.lit(0)).alias("skipped")
     )
+
+
+def completeness(dense: DataFrame) -> DataFrame:
+    """(clip_id, track_id, window_index, length, missing, is_complete) of dense_boxes(): a window without a filled frame is complete."""
+    missing = F.count_if("missing_frame")
+    return dense.groupBy("clip_id", "track_id", "window_index").agg(F.count("*").alias("length"), missing.alias("missing"), (missing == 0).alias("is_complete"))

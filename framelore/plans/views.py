@@ -46,7 +46,7 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.pmod("doc_id", F.lit(10))
     return d.join(l.select("doc_id", "quality", "toxic"), "doc_id", "left").select(
         F.col("doc_id").alias("clip_id"), F.col("source").alias("dataset"), F.col("lang").alias("lighting"), F.md5(F.col("text").cast("binary")).alias("source_path"),
-        F.when(F.col("source") != "src0", F.col("source")).alias("subject_id"), F.when(r <= 6, "train").when(r <= 8, "validate").otherwise("debug").alias("role"),
+        F.when(F.col("source") != "src0", F.concat(F.lit("p"), F.floor(F.col("doc_id") / 4).cast("string"))).alias("subject_id"), F.when(r <= 6, "train").when(r <= 8, "validate").otherwise("debug").alias("role"),
         F.col("quality").alias("y"), (F.pmod(F.col("n_chars") * 37, F.lit(101)) / 100.0).alias("score"), F.col("doc_id").alias("pos"),
     )
 
@@ -65,7 +65,7 @@ stream as (select user_id clip_id, row_number() over (partition by user_id order
 gt0 as (select clip_id, pos, pos - row_number() over (partition by clip_id order by pos) g from stream where event_type in ('error', 'purchase')),
 gt1 as (select clip_id, min(pos) start_frame, max(pos) end_frame from gt0 group by clip_id, g having count(*) >= 2),
 gt as (select clip_id, row_number() over (partition by clip_id order by start_frame) ord, start_frame, end_frame from gt1),
-clips as (select d.doc_id clip_id, source dataset, lang lighting, md5(text) source_path, nullif(source, 'src0') subject_id,
+clips as (select d.doc_id clip_id, source dataset, lang lighting, md5(text) source_path, case when source <> 'src0' then 'p' || (d.doc_id // 4) end subject_id,
   case when d.doc_id % 10 <= 6 then 'train' when d.doc_id % 10 <= 8 then 'validate' else 'debug' end as role, quality y, ((n_chars * 37) % 101) / 100.0 score, d.doc_id pos
   from documents d left join labels l on d.doc_id = l.doc_id),
 frames as (select l_orderkey sequence, l_linenumber frame_number, case l_returnflag when 'R' then 1 when 'A' then 0 else -1 end as label from lineitem)

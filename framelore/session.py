@@ -9,11 +9,14 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: The state store that streaming operators with state of their own need.
+PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 _shipped: set[str] = set()
 
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """A session with the settings that the library expects: adaptive execution, UTC, Arrow."""
+    """A session with the settings that the library expects: adaptive execution, UTC, RocksDB state."""
     builder = SparkSession.builder.master(master).appName("framelore")
     settings = {
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
@@ -21,6 +24,7 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        PROVIDER[0]: PROVIDER[1],
     }
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)

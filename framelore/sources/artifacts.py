@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("detections", "tracks", "report", "run_meta")
+#: Frames of a clip that a task writes.
+FRAMES = 1 << 17
 
 
 def flatten_detections(results: DataFrame, person: int = 0) -> DataFrame:
@@ -36,7 +38,8 @@ def flatten_detections(results: DataFrame, person: int = 0) -> DataFrame:
 def write_artifacts(path: str, **tables: DataFrame) -> dict[str, str]:
     """Write detections, tracks, report and run_meta as JSON, a folder for each clip_id; the path of each by name.
 
-    Tables are clustered by clip, a large clip over several files; what a run wrote before is replaced.
+    Tables are dealt by clip and, where they have frames, by stretches of FRAMES of them, so that a large clip is written by
+    several tasks, a file each; what a run wrote before is replaced.
     """
     unknown = set(tables) - set(KINDS)
     if unknown:
@@ -44,7 +47,8 @@ def write_artifacts(path: str, **tables: DataFrame) -> dict[str, str]:
     out = {}
     for name, table in tables.items():
         out[name] = f"{path.rstrip('/')}/{name}"
-        table.repartition("clip_id").write.mode("overwrite").option("maxRecordsPerFile", 1_000_000).partitionBy("clip_id").json(out[name])
+        dealt = [F.col("clip_id"), F.floor(F.col("frame_index") / FRAMES)] if "frame_index" in table.columns else [F.col("clip_id")]
+        table.repartition(*dealt).write.mode("overwrite").option("maxRecordsPerFile", 1_000_000).partitionBy("clip_id").json(out[name])
     return out
 
 

@@ -137,11 +137,34 @@ def order_frames(files: DataFrame, folder: str = "folder", name: str = "name") -
     return rows.withColumn("frame_index", F.row_number().over(order) - 1)
 
 
-def frame_layout(files: DataFrame) -> DataFrame:
-    """(clip, layout) of files (clip, depth, child): flat where frames lie in the folder, nested:<child> in an only child."""
-    g = files.groupBy("clip").agg(F.count_if(F.col("depth") == 0).alias("flat"), F.collect_set(F.when(F.col("depth") == 1, F.col("child"))).alias("c"))
-    layout = F.when(F.col("flat") > 0, "flat").when(F.size("c") == 1, F.concat(F.lit("nested:"), F.get("c", F.lit(0)))).otherwise("missing")
-    return g.select("clip", layout.alias("layout"))
+def folder_entries(files: DataFrame, root: str) -> DataFrame:
+    """(clip, depth, child, name) of files (path) below root/<clip>: depth 0 in the clip's folder, 1 in a child of it, and so on."""
+    below = F.regexp_replace(F.element_at(F.split("path", rf"\Q{root.rstrip('/')}/\E", 2), -1), "^/+", "")
+    rows = files.where(F.contains("path", F.lit(root.rstrip("/") + "/"))).withColumn("p", F.split(below, "/")).where(F.size("p") > 1)
+    return rows.select(F.get("p", F.lit(0)).alias("clip"), (F.size("p") - 2).alias("depth"), F.when(F.size("p") > 2, F.get("p", F.lit(1))).alias("child"), F.element_at("p", -1).alias("name"))
+
+
+def frame_layout(entries: DataFrame) -> DataFrame:
+    """(clip, layout, frames) of entries (clip, depth, child, name): where a clip's frames are read from, and how many there are.
+
+    flat: in its folder; nested:<child>: in the only child folder, if there are none in the folder itself; missing: nowhere, which
+    several children, or deeper frames only, are too.
+    """
+    frame = F.lower(F.substring_index("name", ".", -1)).isin(*fixed.FRAME_EXTENSIONS) & F.contains("name", F.lit("."))
+    g = entries.groupBy("clip").agg(
+        F.count_if((F.col("depth") == 0) & frame).alias("flat"), F.count_if((F.col("depth") == 1) & frame).alias("below"),
+        F.count_distinct("child").alias("children"), F.min("child").alias("c"),
+    )
+    nested = (F.col("children") == 1) & (F.col("below") > 0)
+    layout = F.when(F.col("flat") > 0, "flat").when(nested, F.concat(F.lit("nested:"), "c")).otherwise("missing")
+    return g.select("clip", layout.alias("layout"), F.when(F.col("flat") > 0, F.col("flat")).when(nested, F.col("below")).otherwise(0).alias("frames"))
+
+
+def label_files(files: DataFrame, folder: str) -> DataFrame:
+    """(name, path) of the CSV files (path) that lie in a folder itself, whatever the case of their ending."""
+    inside = F.substring_index("path", "/", -1)
+    rows = files.where((F.col("path") == F.concat(F.lit(folder.rstrip("/") + "/"), inside)) & F.lower("path").endswith(".csv"))
+    return rows.select(inside.alias("name"), "path")
 
 
 def clips_from_folders(folders: DataFrame, dataset: str = "urfd", role: str = "debug", root: str = "datasets/urfd/") -> DataFrame:
@@ -155,13 +178,12 @@ def clips_from_folders(folders: DataFrame, dataset: str = "urfd", role: str = "d
     )
 
 
-def pair_videos(videos: DataFrame, annotations: DataFrame, fallback_fps: float | None = None) -> DataFrame:
-    """Videos (path, fps) with the annotation (path) of the same stem, or null; fps from the file or the fallback."""
-    v = videos.where(F.lower(F.substring_index("path", ".", -1)).isin(*fixed.VIDEO_EXTENSIONS)).withColumn("stem", stem(F.col("path")))
-    a = annotations.select(stem(F.col("path")).alias("stem"), F.col("path").alias("annotation"))
-    fps = F.coalesce("fps", F.lit(fallback_fps).cast("double"))
-    reason = F.when(fps.isNull(), fixed.NO_FPS)
-    return v.join(a.groupBy("stem").agg(F.min("annotation").alias("annotation")), "stem", "left").select("path", "annotation", fps.alias("fps"), reason.alias("fps_reason"))
+def event_windows(pairs: DataFrame) -> DataFrame:
+    """(clip_id, has_fall, start_frame, end_frame, error) of pairs (path, event): the clip is the video's stem; without a fall both bounds are null."""
+    return pairs.select(
+        stem(F.col("path")).alias("clip_id"), F.coalesce(F.col("event.start").isNotNull(), F.lit(False)).alias("has_fall"),
+        F.col("event.start").alias("start_frame"), F.col("event.end").alias("end_frame"), F.col("event.error").alias("error"),
+    )
 
 
 def pair_annotations(videos: DataFrame, annotations: DataFrame, root: str, fallback_fps: float | None = None, frame_size: tuple[int, int] | None = None) -> DataFrame:
@@ -183,7 +205,13 @@ def pair_annotations(videos: DataFrame, annotations: DataFrame, root: str, fallb
     )
 
 
+def staged(expected: DataFrame, found: DataFrame) -> bool:
+    """Whether every expected file is there: a copy that lacks one is not staged."""
+    return missing_files(expected, found).isEmpty()
+
+
 def missing_files(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of expected (path) that no file of found (path) is."""
     return expected.join(found.select("path"), "path", "left_anti")
 
 

@@ -1,115 +1,43 @@
-"""Tar shards of window frames: archives are read through Spark's binary file reader and written by the tasks that pack them."""
+"""Tar shards of window frames: images with their sidecars, window keys and checks of sidecars."""
 
 from __future__ import annotations
 
-import io
-import json
-import tarfile
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelore.functions.scalars import shard_name
+from framelore.sources.archives import MANIFEST, directory, images, read_index, read_members, write_shards
 
-MEMBER = "shard string, member string, stem string, data binary, sidecar string"
-MANIFEST = "_manifest.json"
+__all__ = ["clip_keys", "missing_keys", "missing_sidecars", "read_index", "read_shards", "window_frames", "write_shards"]
 
 
-def _members(name: str, data: bytes) -> pd.DataFrame:
-    files: dict[str, bytes] = {}
-    with tarfile.open(fileobj=io.BytesIO(data)) as tar:
-        for m in tar:
-            if m.isfile():
-                files[m.name] = tar.extractfile(m).read()
-    sidecars = {k[: -len(".json")]: v.decode() for k, v in files.items() if k.endswith(".json") and k != MANIFEST}
-    rows = [(name, k, k.rpartition(".")[0], v, sidecars.get(k.rpartition(".")[0])) for k, v in files.items() if not k.endswith(".json")]
-    return pd.DataFrame(rows, columns=["shard", "member", "stem", "data", "sidecar"])
+def _read(places: DataFrame) -> DataFrame:
+    return read_members(places).withColumn("shard", F.substring_index("path", "/", -1))
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, member, stem, data, sidecar) of the images of tar archives, each with its JSON sidecar, null where it has none."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").option("recursiveFileLookup", "true").load(path)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, data in zip(pdf["path"], pdf["content"]):
-                yield _members(name.rpartition("/")[2], data)
-
-    return files.select("path", "content").mapInPandas(run, MEMBER)
-
-
-def clip_keys(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, clip_key) from the archives' own manifests."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").option("recursiveFileLookup", "true").load(path)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, data in zip(pdf["path"], pdf["content"]):
-                with tarfile.open(fileobj=io.BytesIO(data)) as tar:
-                    found = json.load(tar.extractfile(MANIFEST))
-                yield pd.DataFrame({"shard": name.rpartition("/")[2], "clip_key": found["clip_keys"]})
-
-    return files.select("path", "content").mapInPandas(run, "shard string, clip_key string")
-
+    """(shard, member, stem, data, sidecar) of the images of tar archives, each with its JSON sidecar, null where it has none.
 
-def pack_shards(members: DataFrame, width: int = 4) -> DataFrame:
-    """(shard, data): tar archives of members (shard_index, clip_key, frame_offset, data, sidecar JSON).
-
-    Members go in order of key and offset with fixed times and modes, so equal input gives equal bytes.  A shard is
-    one file and has to fit a task.
+    Headers are read first; the bytes of images and sidecars are then fetched by ranges, so no archive is held.
     """
-
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out, pdf = io.BytesIO(), pdf.sort_values(["clip_key", "frame_offset"])
-        with tarfile.open(fileobj=out, mode="w") as tar:
-            def add(name: str, data: bytes) -> None:
-                info = tarfile.TarInfo(name)
-                info.size, info.mtime, info.mode = len(data), 0, 0o644
-                tar.addfile(info, io.BytesIO(data))
-
-            for row in pdf.itertuples():
-                name = f"{row.clip_key}_{row.frame_offset:04d}"
-                add(f"{name}.jpg", row.data)
-                add(f"{name}.json", row.sidecar.encode())
-            add(MANIFEST, json.dumps({"clip_keys": list(dict.fromkeys(pdf["clip_key"])), "members": len(pdf)}, sort_keys=True).encode())
-        keys = list(dict.fromkeys(pdf["clip_key"]))
-        return pd.DataFrame({"shard_index": [key[0]], "data": [out.getvalue()], "clip_keys": [keys], "members": [len(pdf)]})
-
-    packed = members.select(F.col("shard_index").cast("long"), "clip_key", F.col("frame_offset").cast("int"), "data", "sidecar").groupBy("shard_index").applyInPandas(pack, "shard_index long, data binary, clip_keys array<string>, members long")
-    return packed.select(shard_name(F.col("shard_index"), F.lit(width)).alias("shard"), "data", "clip_keys", "members")
+    return _read(images(directory(spark, path))).select("shard", "member", "stem", "data", "sidecar")
 
 
-def write_shards(members: DataFrame, path: str, width: int = 4) -> DataFrame:
-    """Write pack_shards() as files below path, each by the task that packed it; the index (shard, clip_keys, members, bytes).
+def window_frames(members: DataFrame, keys: DataFrame) -> DataFrame:
+    """(clip_key, frame_offset, shard, member, data, sidecar, fetched) of the windows keys (clip_key) only.
 
-    A file appears under its name only when it is whole, so a task that is run again does no harm.  The index is kept as JSON
-    in path/_index; only names and counts leave the tasks.
+    members: a directory of archives, whose images' stems are key_NNNN.  Windows are found by key in the directory, then
+    only their ranges of bytes are read.
     """
-    root = path.rstrip("/")
+    found = images(members).withColumns({"clip_key": F.regexp_replace("stem", r"_\d+$", ""), "frame_offset": F.regexp_extract("stem", r"_(\d+)$", 1).try_cast("int")})
+    wanted = found.join(keys.select("clip_key").distinct(), "clip_key", "left_semi")
+    return _read(wanted).select("clip_key", "frame_offset", "shard", "member", "data", "sidecar", "fetched")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
 
-        store, folder = fs.FileSystem.from_uri(root)
-        store.create_dir(folder, recursive=True)
-        for pdf in batches:
-            for name, data in zip(pdf["shard"], pdf["data"]):
-                part = f"{folder}/_{name}.{uuid.uuid4().hex}"
-                with store.open_output_stream(part) as out:
-                    out.write(data)
-                store.move(part, f"{folder}/{name}")
-            yield pdf.assign(bytes=pdf["data"].map(len)).drop(columns="data")
-
-    index = pack_shards(members, width).mapInPandas(write, "shard string, clip_keys array<string>, members long, bytes long")
-    index.write.mode("overwrite").json(f"{root}/_index")
-    return read_index(members.sparkSession, path)
-
-
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("shard string, clip_keys array<string>, members long, bytes long").json(f"{path.rstrip('/')}/_index")
+def clip_keys(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, clip_key) from the archives' own manifests; nothing else of an archive is read but its headers."""
+    manifests = _read(directory(spark, path).where(F.col("member") == MANIFEST).select("path", "offset", "size"))
+    text = F.from_json(F.col("data").cast("string"), "clip_keys array<string>")["clip_keys"]
+    return manifests.select("shard", F.explode(text).alias("clip_key"))
 
 
 def missing_sidecars(members: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
-"""A store of metric rows by run: one Parquet folder per run, never overwritten by accident."""
+"""A store of metric rows by run: versions in Parquet, each published by one manifest, never overwritten by accident."""
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,25 +17,87 @@ from framelore.functions.scalars import context as coerced
 METRIC = "name string, value double, na_reason string, higher_is_better boolean, tag string, tag_value string, level string"
 
 
+class RunConflict(RuntimeError):
+    """A run exists already, or another writer has published its next version first."""
+
+
 def run_path(root: str, run_id: str) -> str:
     if not run_id or run_id in (".", "..") or re.search(r"[/\\]", run_id):
         raise ValueError(f"not a run id: {run_id!r}")
     return f"{root.rstrip('/')}/run_id={run_id}"
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def versions(spark: SparkSession, root: str, run_id: str) -> list[int]:
+    """Versions of a run that have been published, ascending."""
+    store, folder = _files(spark, f"{run_path(root, run_id)}/_versions")
+    names = [s.getPath().getName() for s in store.listStatus(folder)] if store.exists(folder) else []
+    return sorted(int(n[:-5]) for n in names if re.fullmatch(r"\d{8}\.json", n))
+
+
+def _publish(spark: SparkSession, root: str, run_id: str, version: int, text: str) -> None:
+    """Put a version's manifest in place if there is none yet: one of several writers wins, and it appears whole.
+
+    On a local file system by a hard link, elsewhere by an exclusive create, which the store has to offer (HDFS does).
+    """
+    store, target = _files(spark, f"{run_path(root, run_id)}/_versions/{version:08d}.json")
+    store.mkdirs(target.getParent())
+    if store.getScheme() == "file":
+        name = target.toUri().getPath()
+        part = f"{name}.{uuid.uuid4().hex}.part"
+        with open(part, "x") as out:
+            out.write(text)
+        try:
+            os.link(part, name)
+        except FileExistsError:
+            raise RunConflict(f"version {version} of run {run_id!r} has been published by another writer") from None
+        finally:
+            os.unlink(part)
+        return
+    try:
+        out = store.create(target, False)
+    except Exception as error:
+        raise RunConflict(f"version {version} of run {run_id!r} could not be published: {error}") from error
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def save_run(metrics: DataFrame, root: str, run_id: str, model_id: str, context: str = "unknown", overwrite: bool = False) -> str:
-    """Write metric rows; a run that exists is an error unless overwrite.  A row needs exactly one of value and na_reason."""
+    """Write metric rows as a run's next version, and return where they lie; a run that exists is an error unless overwrite.
+
+    Rows are written under a fresh name and become the run when a small manifest is put in place, so a run can be
+    read at every moment, and earlier versions stay readable.  If writing fails, or another writer publishes this version
+    first (RunConflict), the rows go and the run is as before.  A row needs exactly one of value and na_reason.
+    """
+    spark, path = metrics.sparkSession, run_path(root, run_id)
+    known = versions(spark, root, run_id)
+    if known and not overwrite:
+        raise RunConflict(f"run {run_id!r} exists")
     ok = F.col("name").isNotNull() & (F.col("name") != "") & (F.col("value").isNull() != F.col("na_reason").isNull())
     checked = metrics.where(F.when(ok, True).otherwise(F.raise_error(F.concat(F.lit("malformed metric: "), F.coalesce("name", F.lit("null")))).cast("boolean")))
     rows = checked.select(F.lit(FORMAT_VERSION).alias("format_version"), F.lit(model_id).alias("model_id"), F.lit(context).alias("context"), F.current_timestamp().alias("created_at"), "*")
-    path = run_path(root, run_id)
-    rows.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
-    return path
-
-
-def load_run(spark: SparkSession, root: str, run_id: str) -> DataFrame:
-    """Metric rows of a run; another format version is an error."""
-    rows = spark.read.parquet(run_path(root, run_id))
+    version, name = (known[-1] if known else 0) + 1, f"data-{uuid.uuid4().hex}"
+    try:
+        rows.write.parquet(f"{path}/{name}")
+        _publish(spark, root, run_id, version, json.dumps({"format_version": FORMAT_VERSION, "version": version, "data": name, "model_id": model_id}))
+    except BaseException:
+        store, where = _files(spark, f"{path}/{name}")
+        store.delete(where, True)
+        raise
+    return f"{path}/{name}"
+
+
+def load_run(spark: SparkSession, root: str, run_id: str, version: int | None = None) -> DataFrame:
+    """Metric rows of a run's latest version, or of an earlier one; another format version is an error."""
+    known = versions(spark, root, run_id)
+    if not known or (version is not None and version not in known):
+        raise FileNotFoundError(f"no run {run_id!r}" + (f" of version {version}" if version else ""))
+    manifest = spark.read.text(f"{run_path(root, run_id)}/_versions/{version or known[-1]:08d}.json", wholetext=True).first()["value"]
+    rows = spark.read.parquet(f"{run_path(root, run_id)}/{json.loads(manifest)['data']}")
     bad = F.raise_error(F.concat(F.lit("format version "), F.coalesce("format_version", F.lit("null")))).cast("boolean")
     return rows.where(F.when(F.col("format_version") == FORMAT_VERSION, True).otherwise(bad))
 
@@ -64,6 +129,18 @@ def parse_payload(payloads: DataFrame, column: str = "payload") -> DataFrame:
     return payloads.select("*", p.alias("p"), error.alias("error"))
 
 
+def readable_metrics(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """payload_metrics() of the payloads that can be read, with the payloads' other columns; parse_payload() says why the rest can't.
+
+    A payload without metrics, or that can't be read, is one row with nulls.
+    """
+    rows = parse_payload(payloads, column)
+    others = [c for c in payloads.columns if c != column]
+    rows = rows.select(*others, F.when(F.col("error").isNull(), F.col("p")).alias("p"))
+    rows = rows.select(*others, "p.metadata.run_id", "p.metadata.model_id", F.explode_outer("p.metrics").alias("m"))
+    return rows.select(*others, "run_id", "model_id", "m.name", decode(F.col("m.value")).alias("v"), "m.higher_is_better").select(*others, "run_id", "model_id", "name", "v.*", "higher_is_better")
+
+
 def payload_metrics(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Metric rows (run_id, model_id, name, value, na_reason, higher_is_better) of payloads; one that can't be read is an error."""
     rows = parse_payload(payloads, column)
