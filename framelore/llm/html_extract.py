@@ -1,7 +1,7 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags.  Pass one decides blocks by where they stand (menus, headers, footers,
-sidebars, notices, adverts, forms, comments), by length, link density and stop-word density.  Pass two gives each
+sidebars, notices, adverts, forms, comments; wrappers of the page that are only named like them don't count), by length, link density and stop-word density.  Pass two gives each
 ambiguous block the label of its nearest decided neighbour in the same part of the page.
 """
 
@@ -38,15 +38,21 @@ OUTSIDE = frozenset("nav footer aside form dialog menu fieldset".split())
 ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status note".split()
 )
-#: Words of class and id names that mark boilerplate and content.
+#: Parts of class and id names that mark boilerplate and content.
 BAD_NAME = re.compile(
-    r"(?:^|[-_ ])(?:ads?|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|comments?|commentlist|disqus|respond|replies|reply|"
+    r"(?:^|[-_])(?:ads?|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|comments?|commentlist|disqus|respond|replies|reply|"
     r"nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|sidebar|side|aside|widget\w*|related|recommend\w*|more-stories|"
     r"footer|foot|header|masthead|topbar|toolbar|cookie\w*|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|"
     r"subscription|signup|login|social|share|sharing|follow|tags?|tagcloud|author-bio|byline-links|copyright|legal|"
-    r"disclaimer|skip|search|form|toc|hidden|print-only|outbrain|taboola)(?:$|[-_ ])",
+    r"disclaimer|skip|search|form|toc|hidden|print-only|outbrain|taboola)(?:$|[-_])",
     re.I,
 )
+#: Names that say how an element looks, what state it is in or where its content is filed, not what it is.
+NEUTRAL_NAME = re.compile(r"(?:has|no|with|without|is|not|tag|tags|category|cat|type|status|format|layout|js|u)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled|active|inactive|visible|loaded|ready)", re.I)
+#: Parts of compound names that page layouts have too: such an element may hold the whole page.
+LAYOUT_NAME = re.compile(r"sidebar|side|aside|header|footer|nav|navbar|menu|form|toolbar|topbar|banner|overlay|modal|search|widget\w*|share|social|notice", re.I)
+#: A header of these is an article's own.
+OWN_HEADER = re.compile(r"(?:entry|post|article|story|page|content|section)[-_]?header|header", re.I)
 GOOD_NAME = re.compile(
     r"(?:^|[-_ ])(?:article|article-?body|post|post-?body|post-?content|entry|entry-?content|content|main|main-?content|"
     r"story|story-?body|maincontent|body-?text|text)(?:$|[-_ ])",
@@ -64,6 +70,10 @@ HOLDS_SAME = "ul ol dl table select".split()
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 GOOD, BAD, UNSURE = 1, -1, 0
+#: Boilerplate unless it holds the page's article or most of its long text.
+WEAK = -2
+#: That much of the long text makes a wrapper, half where there is marked content in it; blocks of so many characters are long text.
+WRAPPER, LONG = 0.75, 70
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -75,12 +85,17 @@ def _kind(tag: str, attrs: dict[str, str], inside: bool) -> int:
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
     role = attrs.get("role", "").lower()
     style = attrs.get("style", "").replace(" ", "").lower()
-    if tag in OUTSIDE or role in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style:
+    if tag in OUTSIDE and tag != "form" or role in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style:
         return BAD
     if tag == "header" and not inside:
         return BAD
-    if names.strip() and tag not in ("html", "body") and BAD_NAME.search(names) and not (tag in ("article", "main") and GOOD_NAME.search(names)):
-        return BAD
+    tokens = [t for t in names.split() if not NEUTRAL_NAME.fullmatch(t)] if tag not in ("html", "body") else []
+    bad = [t for t in tokens if BAD_NAME.search(t) and not (inside and OWN_HEADER.fullmatch(t))]
+    if bad and not (tag in ("article", "main") and any(GOOD_NAME.search(t) for t in tokens)):
+        compound = all(re.search(r"[-_]", t) and all(LAYOUT_NAME.fullmatch(x) for x in re.split(r"[-_]", t) if BAD_NAME.fullmatch(x)) for t in bad)
+        return WEAK if tag in BLOCK and (compound or tag == "form") else BAD
+    if tag == "form":
+        return WEAK
     if tag in ("article", "main") or role in ("main", "article") or attrs.get("itemprop") == "articleBody":
         return GOOD
     if tag in ("div", "section", "td") and names.strip() and GOOD_NAME.search(names):
@@ -100,6 +115,10 @@ class _Blocks:
         self.places: dict[str, list[int]] = {}
         self.block_places: list[int] = []
         self.bad = self.good = self.heading = 0
+        self.weak: list[int] = []  # open weak elements; the parent of each, what it holds (1: content, 3: the article)
+        self.parent: list[int] = []
+        self.holds: list[int] = []
+        self.under: list[int] = []  # innermost weak element of each block, -1: none
         self.parts: list[str] = []
         self.linked = 0
         self.pending: list[tuple[int, int]] = []  # block and characters in the open link, counted once it is closed
@@ -109,6 +128,7 @@ class _Blocks:
         text = " ".join(unescape("".join(self.parts)).split())
         if text:
             self.done.append([text, self.linked, BAD if self.bad else GOOD if self.good else UNSURE, self.heading > 0])
+            self.under.append(self.weak[-1] if self.weak else -1)
         self.parts, self.linked = [], 0
 
     def text(self, raw: str) -> None:
@@ -116,7 +136,13 @@ class _Blocks:
         if self.places.get("a"):
             self.pending.append((len(self.done), len(raw.strip())))
 
-    def push(self, tag: str, kind: int) -> None:
+    def push(self, tag: str, kind: int, article: bool = False) -> None:
+        if kind == GOOD and self.weak and not self.bad:
+            self.holds[self.weak[-1]] |= 3 if article else 1
+        if kind == WEAK:
+            self.parent.append(self.weak[-1] if self.weak else -1)
+            self.weak.append(len(self.holds))
+            self.holds.append(0)
         self.places.setdefault(tag, []).append(len(self.open))
         if tag in BLOCK:
             self.block_places.append(len(self.open))
@@ -137,6 +163,8 @@ class _Blocks:
                 self.bad -= kind == BAD
                 self.good -= kind == GOOD
                 self.heading -= tag in HEADING
+                if kind == WEAK:
+                    self.weak.pop()
             elif tag == "a" and not self.places["a"]:
                 self.pending = []
 
@@ -162,7 +190,11 @@ class _Blocks:
             self.close("a", ())
         if tag in VOID or raw.endswith("/") and tag not in BLOCK:
             return
-        self.push(tag, _kind(tag, _attributes(raw), self.good > 0))
+        attrs = _attributes(raw)
+        kind = _kind(tag, attrs, self.good > 0)
+        main = tag == "main" or attrs.get("role", "").lower() == "main" or attrs.get("itemprop") == "articleBody"
+        form = bool(self.weak) and self.places.get("form")  # a form around the page holds its article under any of its names
+        self.push(tag, kind, main or bool(form))
 
     def end(self, tag: str) -> None:
         if tag in BLOCK:
@@ -201,12 +233,32 @@ class _Blocks:
             if first < end:
                 depth[first] += 1
                 depth[end] -= 1
+        bad = self._boilerplate()
         out, inside = [], 0
-        for (text, linked, standing, heading), change in zip(self.done, depth):
+        for (text, linked, standing, heading), change, weak in zip(self.done, depth, self.under):
             inside += change
-            out.append((text, linked, BAD if inside else standing, heading))
+            out.append((text, linked, BAD if inside or weak >= 0 and bad[weak] else standing, heading))
         return out
 
+    def _boilerplate(self) -> list[bool]:
+        """Of each weak element whether it, or one that holds it, is boilerplate after all.  Parents come before what they hold."""
+        own = [0] * len(self.parent)
+        every = 0
+        for (text, _, standing, _), weak in zip(self.done, self.under):
+            if standing != BAD and len(text) >= LONG:
+                every += len(text)
+                if weak >= 0:
+                    own[weak] += len(text)
+        for i in range(len(own) - 1, -1, -1):
+            if self.parent[i] >= 0:
+                own[self.parent[i]] += own[i]
+                self.holds[self.parent[i]] |= self.holds[i]
+        bad: list[bool] = []
+        for i, parent in enumerate(self.parent):
+            wrapper = self.holds[i] > 1 or every and own[i] >= (WRAPPER if not self.holds[i] else 0.5) * every
+            bad.append(not wrapper or parent >= 0 and bad[parent])
+        return bad
+
 
 def _tag_end(html: str, at: int) -> int:
     """Where the tag whose name ends at ``at`` ends: at the first > that no quoted value holds; -1: nowhere."""
