@@ -441,10 +441,10 @@ def event_metrics_pooled_rows(spark, d):
     return rows.select("dataset", "name", _r("value").alias("value"), "na_reason")
 
 
-@_query("""select * from (values ('map_50', null::double, 'no detection ground truth'), ('map_50_95', null, 'no detection ground truth'), ('idf1', null, 'component metric integration pending'),
-  ('mota', null, 'component metric integration pending'), ('hota', null, 'component metric integration pending'), ('pck', null, 'no pose ground truth')) t(name, "value", na_reason)""", plain=True)
+@_query("""+ m as (select * from (values ('map_50', null::double, 'no detection ground truth'), ('map_50_95', null, 'no detection ground truth'), ('idf1', null, 'component metric integration pending'),
+  ('mota', null, 'component metric integration pending'), ('hota', null, 'component metric integration pending'), ('pck', null, 'no pose ground truth')) t(name, "value", na_reason)) select distinct dataset, m.* from clips, m""")
 def component_metrics(spark, d):
-    return events.component_rows(spark, tracking=True)
+    return events.component_rows(views.clips(spark, d).select("dataset").distinct(), tracking=True)
 
 
 # --- classification ----------------------------------------------------------------------------------------------------
@@ -613,9 +613,21 @@ def count_guard(spark, d):
     return examples.count_guard(views.clips(spark, d), {"clips": (F.count("*"), 100, 100_000_000), "datasets": (F.count_distinct("dataset"), 1, 10)})
 
 
-@_query()
+@_query("""with l as (select doc_id id, quality y from labels where quality is not null), u as (select id, y, (('0x' || substr(md5('12345:1:' || id), 1, 13))::bigint::double + 1) / 4503599627370497.0::double a,
+    (('0x' || substr(md5('12345:2:' || id), 1, 13))::bigint::double + 1) / 4503599627370497.0::double b from l),
+  s as (select id, y, round(greatest(0.0, least(1.0, 0.2::double + 0.6::double * y + 0.1::double * (sqrt(-2 * ln(a)) * cos(2 * pi() * b)))), 9) score from u),
+  k as (select unnest(range(1001, 1009)) seed), p as (select seed, id, y, score, row_number() over (partition by seed order by md5(seed || ':' || id), id) i, row_number() over (partition by seed order by md5((-seed) || ':' || id), id) j from s, k),
+  w as (select 0 seed, y, score from s union all select t.seed, p.y, t.score from p t join p on t.seed = p.seed and t.j = p.i),
+  r as (select *, rank() over (partition by seed order by score) + (count(*) over (partition by seed, score) - 1) / 2.0 r from w),
+  a as (select seed, (sum(r) filter (where y = 1) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * (count(*) - sum(y)), 0) auc from r group by 1),
+  g as (select max(auc) filter (where seed = 0) baseline, avg(auc) filter (where seed <> 0) shuffled from a)
+  select round(baseline, 6) baseline, round(shuffled, 6) shuffled, baseline >= 0.85 and baseline < 1.001 baseline_ok, shuffled between 0.4 and 0.6 shuffled_ok, baseline - shuffled >= 0.3 margin_ok,
+  baseline >= 0.85 and baseline < 1.001 and shuffled between 0.4 and 0.6 and baseline - shuffled >= 0.3 passed from g""", plain=True)
 def selftest_auc(spark, d):
-    return selftest.run(selftest.synthetic(spark))
+    """The self-test over every labelled document: synthetic scores for its label, and the labels shuffled eight times."""
+    known = views.table(spark, d, "labels").where("quality is not null").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
+    out = selftest.run(selftest.scored(known))
+    return out.withColumns({c: _r(c) for c in ("baseline", "shuffled")})
 
 
 @_query("""select count(*) n, round(avg(score), 6) mean_score, round(quantile_cont(score, 0.5), 6) median_score, round(quantile_cont(score, 0.95), 6) p95_score from (select value / 100 score from events)""", plain=True)

@@ -208,10 +208,10 @@ def pooled_rows(counts: DataFrame) -> DataFrame:
     return c.select("dataset", F.inline(F.array(*rows)))
 
 
-def component_rows(spark, detection: bool = False, tracking: bool = False, pose: bool = False) -> DataFrame:
-    """Rows for component metrics that aren't integrated: never a value, the reason depends on the ground truth given."""
+def component_rows(slices: DataFrame, detection: bool = False, tracking: bool = False, pose: bool = False) -> DataFrame:
+    """Six rows (name, value, na_reason) per row of slices for component metrics that aren't integrated: never a value, the reason
+    depends on the ground truth given."""
     why = fixed.COMPONENT_REASONS
-    rows = [("map_50", None, why["pending" if detection else "detection"]), ("map_50_95", None, why["pending" if detection else "detection"])]
-    rows += [(n, None, why["pending" if tracking else "tracking"]) for n in ("idf1", "mota", "hota")]
-    rows += [("pck", None, why["pending" if pose else "pose"])]
-    return spark.createDataFrame(rows, "name string, value double, na_reason string")
+    given = {"map_50": (detection, "detection"), "map_50_95": (detection, "detection")} | {n: (tracking, "tracking") for n in ("idf1", "mota", "hota")} | {"pck": (pose, "pose")}
+    row = lambda n, has, kind: F.struct(F.lit(n).alias("name"), F.lit(None).cast("double").alias("value"), F.lit(why["pending" if has else kind]).alias("na_reason"))
+    return slices.select("*", F.inline(F.array(*(row(n, *g) for n, g in given.items()))))
