@@ -120,3 +120,48 @@ def test_levels_and_batches(spark):
     assert [(r.pos, r.v) for r in datasets.batch(w, keys).collect()] == [(0, 2), (1, 1), (2, 2)]
     assert [r.pos for r in datasets.missing_keys(w, keys).collect()] == [3]
     assert sorted(r.level for r in datasets.both_levels(w, w).collect()) == ["clip", "clip", "window", "window"]
+
+
+def test_folders_are_staged_laid_out_and_listed(spark, tmp_path):
+    for name in ("a/x_1.png", "a/notes.txt", "b/b/y_1.PNG", "b/b/y_2.png", "c/1/z.png", "c/2/z.png", "d/deep/er/z.png", "e/only.txt", "labels/falls.csv", "labels/ADLS.CSV", "labels/old/falls.csv", "labels/x.json"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1")
+    root = f"file:{tmp_path}"
+    files = manifests.list_files(spark, root)
+    got = {r.clip: (r.layout, r.frames) for r in manifests.frame_layout(manifests.folder_entries(files, root)).collect()}
+    assert {k: got[k] for k in "abcde"} == {"a": ("flat", 1), "b": ("nested:b", 2), "c": ("missing", 0), "d": ("missing", 0), "e": ("missing", 0)}
+    assert sorted(r.name for r in manifests.label_files(files, f"{root}/labels/").collect()) == ["ADLS.CSV", "falls.csv"]
+    expected = spark.createDataFrame([(f"{root}/a/x_1.png",), (f"{root}/labels/falls.csv",)], "path string")
+    assert manifests.staged(expected, files)
+    more = expected.unionAll(spark.createDataFrame([(f"{root}/gone",)], "path string"))
+    assert not manifests.staged(more, files) and [r.path for r in manifests.missing_files(more, files).collect()] == [f"{root}/gone"]
+    assert manifests.frame_layout(manifests.folder_entries(files.limit(0), root)).count() == 0
+
+
+def test_batches_are_sorted_each_alone(spark):
+    w = spark.createDataFrame([(f"k{i}", i) for i in range(20)], "clip_key string, v int")
+    keys = spark.createDataFrame([(p, f"k{(p * 7) % 23}") for p in range(60)], "pos long, clip_key string")
+    out = datasets.batches(w, keys, 16).mapInPandas(lambda it: (p.assign(part=__import__("pyspark").TaskContext.get().partitionId()) for p in it), "clip_key string, pos long, v int, batch long, part int").collect()
+    parts = {}
+    for r in out:
+        parts.setdefault((r.batch, r.part), []).append(r.pos)
+    assert len({b for b, _ in parts}) == len(parts) == 4 and all(p == sorted(p) for p in parts.values())
+    assert sorted(r.pos for r in out) == [p for p in range(60) if (p * 7) % 23 < 20]
+
+
+def test_readable_payloads_and_the_rest(spark):
+    good = '{"format_version":"1.0","metadata":{"run_id":"r","model_id":"m"},"metrics":[{"name":"f1","value":0.5}]}'
+    rows = spark.createDataFrame([(1, good), (2, "x"), (3, None), (4, '{"format_version":"1.0","metadata":{"run_id":"r"},"metrics":[]}')], "id int, payload string")
+    got = sorted((r.id, r.run_id, r.name, r.value) for r in store.readable_metrics(rows).collect())
+    assert got == [(1, "r", "f1", 0.5), (2, None, None, None), (3, None, None, None), (4, "r", None, None)]
+
+
+def test_large_clips_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(artifacts, "FRAMES", 50)
+    d = spark.range(400).select(F.lit("a").alias("clip_id"), F.col("id").cast("int").alias("frame_index"), F.lit(1).alias("track_id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together
+    try:
+        path = artifacts.write_artifacts(f"file://{tmp_path}/out", detections=d)["detections"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "out" / "detections" / "clip_id=a").glob("part-*"))) > 1 and manifests.read_detections(spark, path).count() == 400
