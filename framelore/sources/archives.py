@@ -37,7 +37,8 @@ INDEX = "shard string, clip_keys array<string>, members long, bytes long"
 SPLIT, BATCH, GAP, RANGE = 1 << 26, 1 << 24, 1 << 16, 1 << 23
 
 
-def _open(path: str):
+def store_of(path: str):
+    """(file system, path in it) of a path as Spark names it."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path) if ":" in path else f"file://{path}")
@@ -59,7 +60,7 @@ def directory(spark: SparkSession, path: str, pattern: str = "*.tar") -> DataFra
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name in pdf["path"]:
-                store, where = _open(name)
+                store, where = store_of(name)
                 with store.open_input_file(where) as file:
                     rows = []
                     for _, m in _headers(file):
@@ -105,7 +106,7 @@ def _fetch(rows: list[dict]) -> tuple[list[tuple[bytes, bytes | None]], int]:
             ranges[-1][1] = max(ranges[-1][1], offset + size)
         else:
             ranges.append([offset, offset + size])
-    store, where = _open(rows[0]["path"])
+    store, where = store_of(rows[0]["path"])
     parts, at, fetched = {}, 0, 0
     with store.open_input_file(where) as file:
         for begin, end in ranges:
@@ -180,10 +181,10 @@ class TarReader(DataSourceReader):
         from pyarrow import dataset, fs
 
         if self.directory:
-            store, where = _open(self.directory)
+            store, where = store_of(self.directory)
             rows = dataset.dataset(f"{where}/splits", filesystem=store, format="parquet").to_table(columns=["path", "start", "stop"]).to_pylist()
             return [Piece(r["path"], r["start"], r["stop"]) for r in rows]
-        store, where = _open(self.path)
+        store, where = store_of(self.path)
         info = store.get_file_info(where)
         found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(where, recursive=True))
         prefix = self.path[: len(self.path) - len(where)] if self.path.endswith(where) else ""
@@ -192,7 +193,7 @@ class TarReader(DataSourceReader):
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         """Members as they are read, in batches of about BATCH bytes."""
-        store, where = _open(partition.path)
+        store, where = store_of(partition.path)
         shard, rows, held = partition.path.rpartition("/")[2], [], 0
         kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
         names = ["shard", "member", "stem", "offset", "size", "data"]
@@ -216,7 +217,7 @@ class TarWriter(DataSourceWriter):
         self.path, self.width, self.overwrite, self.run = options["path"].rstrip("/"), int(options.get("width", 4)), overwrite, uuid.uuid4().hex
 
     def write(self, rows: Iterator[Row]) -> Written:
-        store, folder = _open(self.path)
+        store, folder = store_of(self.path)
         store.create_dir(folder, recursive=True)
         files, now, tar, out, part = [], None, None, None, None
         keys: list[str] = []
@@ -260,7 +261,7 @@ class TarWriter(DataSourceWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         """All tasks have succeeded: files get their names, then the index is put beside them."""
-        store, folder = _open(self.path)
+        store, folder = store_of(self.path)
         store.create_dir(folder, recursive=True)
         files = sorted((f for m in messages if m for f in m.files), key=lambda f: f[1])
         if len({f[1] for f in files}) < len(files):
@@ -277,7 +278,7 @@ class TarWriter(DataSourceWriter):
         store.move(f"{name}.part", name)
 
     def abort(self, messages: list[Written | None]) -> None:
-        store, folder = _open(self.path)
+        store, folder = store_of(self.path)
         for m in messages:
             for part, *_ in m.files if m else ():
                 if store.get_file_info(part).type.name == "File":
