@@ -10,8 +10,10 @@ from __future__ import annotations
 import gzip
 import io
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +21,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framelore.llm.common import drop, save
+from framelore.sources.archives import store_of
 
 RANGE, FAN = 1 << 16, 16
+#: Bytes that are read of an archive at once, and of the records that are handed over together.
+SLICE, BATCH = 1 << 16, 1 << 24
 RECORDS = "archive string, offset long, length long, headers map<string,string>, record binary"
 
 
@@ -44,73 +49,115 @@ def lay_out(rows: DataFrame, order: str) -> DataFrame:
     return rows.withColumn("offset", F.sum("length").over(upto) - F.col("length"))
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+def parse_warc(data: bytes | BinaryIO) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """(offset, length, headers, record with its head) of each record; gzip members are records of their own.
 
-    Offsets and lengths are those of the file's bytes.  Broken tails end the archive with a record of what is left.
+    data: bytes, or a file that is read in slices of SLICE bytes, of which one record is held at a time.  Offsets and lengths
+    are those of the file's bytes.  Broken tails end the archive with a record of what is left.  No bytes: no records.
     """
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == b"\x1f\x8b":
-            unpacker = zlib.decompressobj(31)
+    file = io.BytesIO(data) if isinstance(data, (bytes, bytearray)) else data
+    at, held, more = 0, bytearray(), True
+
+    def fill() -> bool:
+        nonlocal more
+        part = file.read(SLICE) if more else b""
+        more = bool(part)
+        held.extend(part)
+        return more
+
+    while held or fill():
+        while len(held) < 2 and fill():
+            pass
+        if held[:2] == b"\x1f\x8b":
+            unpacker, parts, used = zlib.decompressobj(31), [], 0
             try:
-                record = unpacker.decompress(data[at:])
+                while not unpacker.eof and (used < len(held) or fill()):
+                    parts.append(unpacker.decompress(bytes(held[used : used + SLICE])))
+                    used = min(len(held), used + SLICE)
+                record, length = b"".join(parts), used - len(unpacker.unused_data)
             except zlib.error:
-                yield at, len(data) - at, {}, data[at:]
+                while fill():
+                    pass
+                yield at, len(held), {}, bytes(held)
                 return
-            length = len(data) - at - len(unpacker.unused_data)
         else:
-            end = data.find(b"\r\n\r\n", at)
-            size = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", data[at:end].replace(b"\r\n", b"\n")) if end >= 0 else None
-            length = min(len(data) - at, end - at + 4 + int(size[1]) + 4) if size else len(data) - at
-            record = data[at : at + length]
+            end = held.find(b"\r\n\r\n")
+            while end < 0 and fill():
+                end = held.find(b"\r\n\r\n", max(0, len(held) - SLICE - 3))
+            size = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", bytes(held[:end]).replace(b"\r\n", b"\n")) if end >= 0 else None
+            while (size is None or len(held) < end + 8 + int(size[1])) and fill():
+                pass
+            length = min(len(held), end + 8 + int(size[1])) if size else len(held)
+            record = bytes(held[:length])
         head = record.partition(b"\r\n\r\n")[0].decode("utf-8", "replace").split("\r\n")
         yield at, length, dict(x.split(": ", 1) for x in head[1:] if ": " in x), record
         at += length
+        del held[:length]
 
 
-def read_warc(spark: SparkSession, path: str, most_bytes: int = 1 << 30) -> DataFrame:
-    """Records of WARC files, plain or gzip by record: archive, offset, length, headers, record.  Larger files are an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.select("path", F.when(F.col("length") <= most_bytes, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("too large: "), F.col("path")))).alias("content"))
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of WARC files below a path, plain or gzip by record: archive, offset, length, headers, record.
+
+    Archives may be of any size: a task goes through a file in slices and holds the records of a batch, about BATCH bytes;
+    a record has to fit a task.  Repeated and empty records are records; an empty file has none.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    names = ["archive", "offset", "length", "headers", "record"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, data in zip(pdf["path"], pdf["content"]):
+            for name in pdf["path"]:
+                store, where = store_of(name)
                 rows: list[tuple] = []
-                for x in parse_warc(data):
-                    rows.append((name.rpartition("/")[2], *x))
-                    if len(rows) == 256:
-                        yield pd.DataFrame(rows, columns=["archive", "offset", "length", "headers", "record"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["archive", "offset", "length", "headers", "record"])
+                with store.open_input_file(where) as file:
+                    held = 0
+                    for x in parse_warc(file):
+                        rows.append((name.rpartition("/")[2], *x))
+                        held += len(x[3])
+                        if held >= BATCH:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows, held = [], 0
+                yield pd.DataFrame(rows, columns=names)
 
-    return files.mapInPandas(run, RECORDS)
+    return files.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, RECORDS)
 
 
 def write_warc(records: DataFrame, path: str, compress: bool = True) -> DataFrame:
-    """Write records (archive, offset, record), one file per archive, through Spark's file system; rows (archive, bytes).
+    """Write records (archive, offset, record), a file per archive in the order of offsets; rows (archive, records, bytes).
 
-    An archive is a file and has to fit a task; archives are tasks of their own.
+    A task writes an archive record by record, so that only records have to fit it; the file gets its name when it is
+    whole, and a task that runs again does no harm.  Only names and counts leave the tasks.  Null records are empty and are not written;
+    repeated ones are written as they come; rows with null archive are left out; no rows: no files.
     """
-    spark = records.sparkSession
-
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        for record in pdf.sort_values("offset")["record"]:
-            out.write(gzip.compress(record, mtime=0) if compress else record)
-        return pd.DataFrame({"archive": [key[0]], "data": [out.getvalue()]})
-
-    packed = save(records.select("archive", "offset", "record").groupBy("archive").applyInPandas(pack, "archive string, data binary"), "warc")
-    spark._jvm.org.apache.hadoop.fs.Path(path)
-    for archive in packed.select("archive").toLocalIterator():
-        row = packed.where(F.col("archive") == archive[0]).first()
-        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{row['archive']}")
-        stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
-        stream.write(bytearray(row["data"]))
-        stream.close()
-    out = packed.select("archive", F.octet_length("data").cast("long").alias("bytes"))
-    return out
+    root = path.rstrip("/")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, folder = store_of(root)
+        store.create_dir(folder, recursive=True)
+        now = out = part = None
+        count = 0
+
+        def close() -> pd.DataFrame:
+            size = out.tell()
+            out.close()
+            store.move(part, f"{folder}/{now}")
+            return pd.DataFrame({"archive": [now], "records": [count], "bytes": [size]})
+
+        for pdf in batches:
+            for archive, record in zip(pdf["archive"], pdf["record"]):
+                if archive != now:
+                    if out is not None:
+                        yield close()
+                    now, count, part = archive, 0, f"{folder}/_{archive}.{uuid.uuid4().hex}"
+                    out = store.open_output_stream(part)
+                if record is not None:
+                    out.write(gzip.compress(record, mtime=0) if compress else record)
+                    count += 1
+        if out is not None:
+            yield close()
+
+    rows = records.where("archive is not null").select("archive", "offset", "record").repartition("archive").sortWithinPartitions("archive", "offset", "record")
+    return save(rows.mapInPandas(write, "archive string, records long, bytes long"), "warc")
 
 
 def record_hashes(records: DataFrame) -> DataFrame:

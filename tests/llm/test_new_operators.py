@@ -1,10 +1,13 @@
 """Spelling variants, clusters and secrets against brute force, and on hard inputs; pages of real skeletons."""
 
 import base64
+import gzip
 import hashlib
+import io
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter
 
@@ -14,7 +17,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from framelore.llm import centroids, oracles, queries, secrets, spelling
+from framelore.llm import centroids, oracles, queries, secrets, spelling, warc
 from framelore.llm.html_extract import main_text
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -310,3 +313,52 @@ SKELETONS = {
 @pytest.mark.parametrize("name", SKELETONS)
 def test_pages_give_their_article(name):
     assert main_text(f"<html><body class='home sidebar'>{SKELETONS[name]}</body></html>") == f"Title\n\n{LONG}\n\n{LONG} Two."
+
+
+# --- 3: archives of any size -------------------------------------------------------------------------------------------
+
+
+class Sliced(io.BytesIO):
+    """A file that remembers how much was asked of it at once."""
+
+    most = 0
+
+    def read(self, n=-1):
+        assert n > 0
+        self.most = max(self.most, n)
+        return super().read(n)
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_archives_are_read_in_slices(compress, monkeypatch):
+    rng = random.Random(3)
+    body = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    records = [b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % len(b) + b + b"\r\n\r\n" for b in (body(rng.choice([0, 3, 700, 5000])) for _ in range(60))]
+    parts = [gzip.compress(r, mtime=0) if compress else r for r in records]
+    whole = b"".join(parts)
+    for size in (1, 7, 4096, 1 << 20):
+        monkeypatch.setattr(warc, "SLICE", size)
+        file = Sliced(whole)
+        got = list(warc.parse_warc(file))
+        assert [r for *_, r in got] == records and [n for _, n, _, _ in got] == list(map(len, parts)) and [o for o, *_ in got] == [sum(map(len, parts[:k])) for k in range(60)]
+        assert file.most == size
+    cut = list(warc.parse_warc(whole[: -len(parts[-1]) // 2 - 1]))
+    assert sum(n for _, n, _, _ in cut) == len(whole[: -len(parts[-1]) // 2 - 1])
+
+
+def test_reading_time_grows_with_the_archive():
+    parts = [gzip.compress(b"WARC/1.1\r\nContent-Length: 2000\r\n\r\n" + random.Random(k).randbytes(2000) + b"\r\n\r\n", mtime=0) for k in range(8000)]
+    began = time.time()
+    assert sum(1 for _ in warc.parse_warc(io.BytesIO(b"".join(parts)))) == 8000  # 16 MB
+    assert time.time() - began < 5
+
+
+def test_archives_are_written_by_tasks(spark, tmp_path):
+    rows = [(f"a{k % 3}.warc.gz", k, b"WARC/1.1\r\nContent-Length: 1\r\n\r\nx\r\n\r\n") for k in range(30)] + [("a0.warc.gz", 99, None), (None, 1, b"x")]
+    d = spark.createDataFrame(rows, "archive string, offset long, record binary")
+    for _ in range(2):
+        out = sorted(tuple(r)[:2] for r in warc.write_warc(d, f"file://{tmp_path}/w").collect())
+        assert out == [(f"a{k}.warc.gz", 10) for k in range(3)] and sorted(p.name for p in (tmp_path / "w").iterdir() if p.suffix == ".gz") == [f"a{k}.warc.gz" for k in range(3)]
+        assert not [p for p in (tmp_path / "w").iterdir() if p.name.startswith("_")]
+    assert warc.read_warc(spark, f"file://{tmp_path}/w").count() == 30
+    assert warc.write_warc(d.limit(0), f"file://{tmp_path}/none").count() == 0
