@@ -74,7 +74,7 @@ def _placed(found: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (clip_id, piece, at, ord, start_frame, hi) sorted by piece and place, windows (ord not null) before alerts, to outcomes.
+    """Rows (clip_id, piece, at, ord, start_frame, hi) sorted by piece and place, windows (ord not null) before alerts, to outcomes; a piece below zero is no window's.
 
     Open windows lie in a heap by ord; one whose end has gone by can't match any more.  What is held is the open windows.
     """
@@ -84,6 +84,9 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         kind = kind or batch.schema.field("clip_id").type
         for clip, number, at, order, start, hi in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            if number < 0:
+                out.append((clip, at, None, None, "false_alarm"))
+                continue
             if (clip, number) != piece:
                 out += [(piece[0], None, o, s, "missed") for o, _, s in heap]
                 piece, heap = (clip, number), []
@@ -119,13 +122,12 @@ def matching(found: DataFrame, events: DataFrame, tolerance: int = 0) -> DataFra
     w = _windows(events, tolerance)
     a = _placed(found, w)
     none = F.lit(None).cast("long")
-    both = w.select("clip_id", "piece", F.col("lo").alias("at"), "ord", "start_frame", "hi").unionAll(
-        a.where("piece is not null").select("clip_id", "piece", F.col("alert"), none, none, none)
-    )
+    # alerts outside all windows go through the sweep too, so that alerts are read once; by buckets below zero they spread
+    piece = F.coalesce("piece", -1 - F.abs(F.floor(F.col("alert") / BUCKET)))
+    both = w.select("clip_id", "piece", F.col("lo").alias("at"), "ord", "start_frame", "hi").unionAll(a.select("clip_id", piece, F.col("alert"), none, none, none))
     both = both.repartition("clip_id", "piece").sortWithinPartitions("clip_id", "piece", "at", F.col("ord").asc_nulls_last())
     kind = dict(both.dtypes)["clip_id"]
-    swept = both.mapInArrow(_sweep, f"clip_id {kind}, alert long, ord long, start_frame long, outcome string")
-    return swept.unionAll(a.where("piece is null").select("clip_id", "alert", none, none, F.lit("false_alarm")))
+    return both.mapInArrow(_sweep, f"clip_id {kind}, alert long, ord long, start_frame long, outcome string")
 
 
 def match(found: DataFrame, events: DataFrame, tolerance: int = 0) -> DataFrame:
