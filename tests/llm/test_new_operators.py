@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import math
 import random
 import re
 import string
@@ -17,7 +18,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from framelore.llm import centroids, oracles, queries, secrets, spelling, warc
+from framelore.llm import centroids, oracles, quality, queries, secrets, spelling, warc
 from framelore.llm.html_extract import main_text
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -362,3 +363,60 @@ def test_archives_are_written_by_tasks(spark, tmp_path):
         assert not [p for p in (tmp_path / "w").iterdir() if p.name.startswith("_")]
     assert warc.read_warc(spark, f"file://{tmp_path}/w").count() == 30
     assert warc.write_warc(d.limit(0), f"file://{tmp_path}/none").count() == 0
+
+
+# --- 9: the updates, plainly -------------------------------------------------------------------------------------------
+
+
+def plain_features(text, bits):
+    tokens = re.findall(rb"[A-Za-z0-9\x80-\xff]+|[^\sA-Za-z0-9\x80-\xff]+", (text or "").encode())
+    if not tokens:
+        return {0: 1.0}
+    h, n = [zlib.crc32(t) for t in tokens], Counter()
+    for x in h:
+        n[x % 2**bits] += 1
+    for a, b in zip(h, h[1:]):
+        p = (a * 0x9E3779B1 + b * 0x85EBCA77) % 2**64
+        n[(p ^ p >> 29) % 2**bits] += 1
+    norm = math.sqrt(sum(n.values()))
+    return {i: float(np.float32(math.sqrt(c) / norm)) for i, c in n.items()}
+
+
+def plain_ftrl(rows, bits, epochs, shards, alpha=2.0, beta=1.0):
+    """rows (id, text, y).  Every coordinate for itself: z and n by bucket, -1 is the intercept; no penalties."""
+    z, n = Counter(), Counter()
+    weight = lambda z, n, i: -z[i] * alpha / (beta + math.sqrt(n[i]))
+    for epoch in range(epochs):
+        states = []
+        for shard in range(shards):
+            mine = sorted((r for r in rows if zlib.crc32(str(r[0]).encode()) % shards == shard), key=lambda r: (r[0], r[2]))
+            if not mine:
+                continue
+            zs, ns = z.copy(), n.copy()
+            for k in np.random.default_rng([epoch, shard]).permutation(len(mine)):
+                x = plain_features(mine[k][1], bits) | {-1: 1.0}
+                w = {i: weight(zs, ns, i) for i in x}
+                p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+                for i, v in x.items():
+                    g = (p - mine[k][2]) * v
+                    zs[i] += g - (math.sqrt(ns[i] + g * g) - math.sqrt(ns[i])) / alpha * w[i]
+                    ns[i] += g * g
+            states.append((zs, ns))
+        z, n = (Counter({i: sum(s[k][i] for s in states) / len(states) for i in {i for s in states for i in s[k]}}) for k in (0, 1))
+    return {i: weight(z, n, i) for i in z}
+
+
+def test_quality_weights_and_scores_against_plain_updates(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(60)] + ["é!", "%%%"]
+    docs = [(i, " ".join(rng.choice(words[:40] if i % 2 else words[20:]) for _ in range(rng.randrange(0, 40)))) for i in range(90)] + [(200, None), (201, ""), (202, "w1 w2 " * 20_000)]
+    labels = [(i, i % 2) for i, _ in docs[:70]] + [(200, 0), (202, 1), (71, None), (72, 7), (None, 1), (999, 1)]
+    d = spark.createDataFrame([(i, t) for i, t in docs], "doc_id long, text string")
+    w = quality.train(d, spark.createDataFrame(labels, "doc_id long, quality int"), bits=10)
+    known = {i: y for i, y in labels if i is not None and y in (0, 1)}
+    want = plain_ftrl([(i, t, known[i]) for i, t in docs if i in known], 10, quality.EPOCHS, quality.SHARDS)
+    assert len(w) == 1025 and np.allclose(w, [want.get(i, 0.0) for i in range(1024)] + [want[-1]], rtol=1e-6, atol=1e-9)
+    got = {r.doc_id: r.score for r in quality.score(d, w).collect()}
+    for i, t in docs:
+        x = plain_features(t, 10) | {-1: 1.0}
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-sum(want.get(k, 0.0) * v for k, v in x.items()))), rel=1e-5)
