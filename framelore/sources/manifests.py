@@ -54,11 +54,25 @@ def manifest_json(clips: DataFrame) -> DataFrame:
 
 
 def write_manifest(clips: DataFrame, path: str) -> str:
-    """Write the manifest of validated clips as text that is JSON and YAML both; clips in the order of pos."""
+    """Write the manifest of validated clips as text that is JSON and YAML both; clips in the order of pos.
+
+    One document is one row, which has to fit a task; for registries that do not, write_clips() writes lines.
+    """
     manifest_json(clips).coalesce(1).write.mode("overwrite").text(path)
     return path
 
 
+def write_clips(clips: DataFrame, path: str) -> str:
+    """Write clips as JSON lines, each task its own, null fields included; what lay there is replaced."""
+    clips.select("schema_version", "pos", *(c.split()[0] for c in CLIP.split(", "))).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return path
+
+
+def read_clips(spark: SparkSession, path: str) -> DataFrame:
+    """Clips that write_clips() wrote, as read_manifest() gives them; their place is pos."""
+    return spark.read.schema(f"schema_version string, pos string, {CLIP}").json(path)
+
+
 def build_manifest(folders: DataFrame, version: str = "1.1", **how) -> DataFrame:
     """The manifest's rows of clip folders, validated: no clip at all, or an error of validate(), raises."""
     clips = clips_from_folders(folders, **how)

@@ -26,6 +26,8 @@ def test_manifest_from_folders_written_and_read(spark, tmp_path):
             (0, "urfd-debug-adl-11-cam0-rgb", "no_fall", "1.1"), (1, "urfd-debug-fall-02-cam0-rgb", "fall", "1.1"),
         ]
     assert not manifest.frozen_present(m)
+    lines = manifests.read_clips(spark, manifests.write_clips(m, f"file://{tmp_path}/lines"))
+    assert sorted(map(repr, lines.collect())) == sorted(map(repr, m.select(lines.columns).collect()))
 
 
 @pytest.mark.parametrize("names", [(), ("notes", "walk-01")])
