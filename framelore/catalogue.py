@@ -12,7 +12,7 @@ from framelore.functions import fixed, na, scalars, slices
 from framelore.operators import classification as clf
 from framelore.operators import datasets, events, examples, labels, manifest, quantiles, selftest, tensors, tracks, windows
 from framelore.plans import views
-from framelore.sources import artifacts, frames, manifests, store
+from framelore.sources import artifacts, frames, manifests, shards, store
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -928,6 +928,137 @@ def label_counts(spark, d):
     return manifest.label_counts(views.table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "O", "fall").otherwise("no_fall").alias("label")))
 
 
+# --- parts of runs and records --------------------------------------------------------------------------------------------
+
+
+@_query("""+ r as (select clip_id, track_id, list(frame_index order by ord) f, sum(confidence) c from det group by all)
+  select clip_id, track_id, f[1] first_frame, f[-1] last_frame, len(f) as length, array_to_string(f, ',') frames, round(c, 6) confidence from r""")
+def track_summaries(spark, d):
+    s = tracks.track_summaries(views.detections(spark, d))
+    total = F.aggregate("confidences", F.lit(0.0), lambda a, x: a + x)
+    return s.select("clip_id", "track_id", "first_frame", "last_frame", "length", F.array_join(F.col("frame_indices").cast("array<string>"), ",").alias("frames"), _r(total).alias("confidence"))
+
+
+@_query("""+ n as (select clip_id, max(frame_index) + 1 frame_count, count(*) detection_count, count(distinct track_id) track_count from det group by 1)
+  select clip_id, frame_count, detection_count, track_count, 20.0::double fps, 50.0::double latency_ms_per_frame from n""")
+def run_counts(spark, d):
+    det = views.detections(spark, d)
+    runs = det.groupBy("clip_id").agg((F.max("frame_index") + 1).alias("frame_count")).withColumn("elapsed_seconds", F.col("frame_count") / 20.0)
+    m = artifacts.run_meta(det, runs)
+    return m.select("clip_id", "frame_count", "detection_count", "track_count", _r("fps").alias("fps"), _r("latency_ms_per_frame").alias("latency_ms_per_frame"))
+
+
+@_query("""with t as (select event_id, user_id, (user_id * 47) % 360 / 60.0::double h from events), c as (select event_id, user_id, floor(h)::int k, 0.95::double v, 0.95::double * (1 - 0.85::double) p, 0.95::double * (1 - 0.85::double * (h - floor(h))) q,
+    0.95::double * (1 - 0.85::double * (1 - (h - floor(h)))) t from t), x as (select event_id, user_id, [v, q, p, p, t, v][k + 1] r, [t, v, v, q, p, p][k + 1] g, [p, p, t, v, v, q][k + 1] b from c)
+  select event_id, floor(r * 255)::int r, floor(g * 255)::int g, floor(b * 255)::int b, case when event_id % 4 = 0 then printf('%.2f', (event_id % 8) / 8.0::double) else printf('track %d %.2f', user_id, (event_id % 8) / 8.0::double) end as label from x""", plain=True)
+def track_marks(spark, d):
+    """The colour and the text that a box is drawn with."""
+    e = views.table(spark, d, "events").withColumn("c", scalars.track_colour(F.col("user_id")))
+    text = scalars.box_label(F.when(F.col("event_id") % 4 != 0, F.col("user_id")), F.col("event_id") % 8 / 8.0)
+    return e.select("event_id", "c.r", "c.g", "c.b", text.alias("label"))
+
+
+@_query(r"""select p_partkey, coalesce(nullif(regexp_replace(case p_partkey % 3 when 0 then p_name when 1 then p_name || '/x y.z' else '' end, '[^A-Za-z0-9_-]', '_', 'g'), ''), 'unnamed') safe from part""", plain=True)
+def safe_names(spark, d):
+    name = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit("/x y.z"))).otherwise("")
+    return views.table(spark, d, "part").select("p_partkey", scalars.safe_name(name).alias("safe"))
+
+
+@_query("""select p_partkey, nullif(concat_ws(', ', case when p_partkey % 2 = 0 then 'track_low_thresh=0.1' end, case when p_partkey % 3 = 0 then 'tracker=' || p_brand end,
+  case when p_partkey % 5 = 0 then 'end2end=true (manual intervention required)' end), '') fallback from part""", plain=True)
+def fallback_levers(spark, d):
+    k = F.col("p_partkey")
+    text = artifacts.fallback_used(F.when(k % 2 == 0, F.lit(0.1)), F.when(k % 3 == 0, F.col("p_brand")), F.when(k % 5 == 0, F.lit(True)))
+    return views.table(spark, d, "part").select("p_partkey", text.alias("fallback"))
+
+
+@_query("""select event_id, 'c' || user_id as clip_id, event_id % 16 frame_offset, 224 output_size, case when event_id % 3 = 0 then 'x.tar' end shard_filename, 15 fields from events""", plain=True)
+def frame_sidecars(spark, d):
+    """Sidecars of frames written as JSON and read back; fields that aren't known are there, as null."""
+    known = {"clip_id": F.concat(F.lit("c"), F.col("user_id").cast("string")), "frame_offset": F.col("event_id") % 16, "shard_filename": F.when(F.col("event_id") % 3 == 0, "x.tar")}
+    frame = {n: known.get(n, F.lit(None).cast("string")) for n in (*fixed.SIDECAR_FIELDS, *fixed.SIDECAR_LAST)}
+    text = scalars.sidecar(frame, {"output_size": F.lit(224), "margin": F.lit(0.2), "clip_length": F.lit(16)})
+    e = views.table(spark, d, "events").select("event_id", text.alias("j"))
+    get = lambda path: F.get_json_object("j", f"$.{path}")
+    fields = F.size(F.json_object_keys("j")) + F.size(F.json_object_keys(get("crop_config"))) - 1
+    return e.select("event_id", get("clip_id").alias("clip_id"), get("frame_offset").cast("long").alias("frame_offset"), get("crop_config.output_size").cast("int").alias("output_size"), get("shard_filename").alias("shard_filename"), fields.alias("fields"))
+
+
+@_query("""select 'm' || event_id member, concat_ws(',', case when event_id % 3 = 0 then 'label' end, case when event_id % 5 = 0 then 'track_id' end, case when event_id % 7 = 0 then 'frame_offset' end) missing
+  from events where event_id % 3 = 0 or event_id % 5 = 0 or event_id % 7 = 0""", plain=True)
+def sidecar_gaps(spark, d):
+    """Members whose sidecars lack a required field, absent or null."""
+    k = F.col("event_id")
+    known = {"clip_id": F.lit("c"), "dataset": F.lit("urfd"), "source_path": F.lit("p"), "frame_index": k, "label": F.when(k % 3 != 0, "fall"), "track_id": F.when(k % 5 != 0, k), "frame_offset": F.when(k % 7 != 0, k)}
+    side = F.to_json(F.struct(*(c.alias(n) for n, c in known.items())), {"ignoreNullFields": "false"})
+    m = shards.missing_keys(views.table(spark, d, "events").select(F.concat(F.lit("m"), k.cast("string")).alias("member"), side.alias("sidecar")))
+    return m.select("member", F.array_join("missing", ",").alias("missing"))
+
+
+@_query("""with m as (select 'c' || user_id || '_t1_w' || lpad((event_id // 200)::varchar, 3, '0') k, event_id, user_id from events)
+  select k clip_key, 'c' || user_id clip_id, case when user_id % 2 = 0 then 'fall' else 'no_fall' end source_label, array_to_string(list((event_id % 500)::int order by (event_id % 500)::int), ',') frames from m group by all""", plain=True)
+def window_index(spark, d):
+    """Windows of shard members: the key is the member's name without its offset, frames come from the sidecars."""
+    e = views.table(spark, d, "events")
+    clip = F.concat(F.lit("c"), F.col("user_id").cast("string"))
+    key = scalars.member_key(clip, F.lit(1), F.floor(F.col("event_id") / 200))
+    side = F.to_json(F.struct(clip.alias("clip_id"), F.when(F.col("user_id") % 2 == 0, "fall").otherwise("no_fall").alias("label"), (F.col("event_id") % 500).cast("int").alias("frame_index")))
+    members = e.select(F.concat(key, F.lit("_"), F.lpad((F.col("event_id") % 200).cast("string"), 4, "0")).alias("stem"), side.alias("sidecar"))
+    w = datasets.window_rows(members)
+    return w.select("clip_key", "clip_id", "source_label", F.array_join(F.col("frame_indices").cast("array<string>"), ",").alias("frames"))
+
+
+@_query("""with m as (select l_orderkey window_key, l_linenumber o, l_partkey f, l_linestatus = 'F' miss, case when l_returnflag = 'R' then l_discount end cov from lineitem)
+  select window_key, array_to_string(list(f order by o, f), ',') frames, count_if(miss) n_missing, round(avg(coalesce(cov, 1)), 6) coverage from m group by 1""", plain=True)
+def assembled_windows(spark, d):
+    """Frames of windows put together: an order is a window, its lines are frames."""
+    m = views.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("window_key"), F.col("l_linenumber").alias("frame_offset"), F.col("l_partkey").alias("frame_index"), (F.col("l_linestatus") == "F").alias("missing_frame"),
+        F.when(F.col("l_returnflag") == "R", F.col("l_discount").cast("double")).alias("coverage"),
+    )
+    a = examples.assemble(m)
+    return a.select("window_key", F.array_join(F.col("frame_indices").cast("array<string>"), ",").alias("frames"), F.col("n_missing").cast("long").alias("n_missing"), _r("coverage").alias("coverage"))
+
+
+@_query("""with l as (select l_orderkey * 10 + l_linenumber line_number, case l_partkey % 9 when 0 then 'a,1' when 1 then ' ,1,1' when 2 then 's,x,1' when 3 then 's,0,1' when 4 then 's,5,2' when 5 then 'same,7,1' end bad from lineitem),
+  e as (select line_number, case bad when 'a,1' then 'columns' when ' ,1,1' then 'sequence' when 's,x,1' then 'not an integer' when 's,0,1' then 'frame' when 's,5,2' then 'label' end e from l)
+  select line_number, e "error" from e where e is not null union all select max(line_number), 'duplicate' from l where bad = 'same,7,1' having count(*) > 1
+  union all select line_number, 'duplicate' from l where bad is null group by line_number having count(*) > 1""", plain=True)
+def label_line_rejects(spark, d):
+    """Malformed lines of label files, each with its first error, and frames that come twice."""
+    k = F.col("l_partkey") % 9
+    number = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    text = F.lit("same,7,1")
+    for value, line in ((0, "a,1"), (1, " ,1,1"), (2, "s,x,1"), (3, "s,0,1"), (4, "s,5,2")):
+        text = F.when(k == value, line).otherwise(text)
+    text = F.when(k > 5, F.concat(F.lit("n"), number.cast("string"), F.lit(",3,0"))).otherwise(text)
+    return labels.rejects(views.table(spark, d, "lineitem").select(number.alias("line_number"), F.split(text, ",").alias("fields")))
+
+
+@_query("""+ w as (select o_orderkey + 5 sequence from orders), s as (select sequence, count(*) n, min(frame_number)::int a, max(frame_number)::int b from frames group by 1)
+  select sequence, coalesce(n, 0) frame_count, coalesce(a, 0) first_frame, coalesce(b, 0) last_frame from w left join s using (sequence)""")
+def series_lookup(spark, d):
+    wanted = views.table(spark, d, "orders").select((F.col("o_orderkey") + 5).alias("sequence"))
+    return labels.lookup_stats(wanted, views.frames(spark, d))
+
+
+@_query(f"""+ v as (select clip_id, dataset from clips where dataset in ({_quoted(FROZEN)})) select 'frozen' part, count(*) n, count(distinct dataset) datasets from v
+  union all select 'visible', count(*), count(distinct dataset) from clips where dataset not in ({_quoted(FROZEN)})""")
+def frozen_rows(spark, d):
+    """Rows of the frozen role, which the final judgement alone may read, and the rest, whose reading is checked."""
+    c = _with_vault(views.clips(spark, d))
+    part = lambda rows, name: rows.agg(F.count("*").alias("n"), F.count_distinct("dataset").alias("datasets")).select(F.lit(name).alias("part"), "n", "datasets")
+    seen = manifest.assert_no_frozen(manifest.visible(c, "training"), "training")
+    return part(manifest.frozen_only(c, "final_judgement"), "frozen").unionAll(part(seen, "visible"))
+
+
+@_query(f"""with w as ({_WINDOWS}) select 'window' as level, 'windows' as name, count(*)::double as value from w union all select 'clip', 'clips', count(distinct clip_id)::double from w""", plain=True)
+def metric_levels(spark, d):
+    w = _windows(spark, d)
+    row = lambda n, name: w.agg(n.cast("double").alias("value")).select(F.lit(name).alias("name"), "value")
+    return datasets.both_levels(row(F.count("*"), "windows"), row(F.count_distinct("clip_id"), "clips")).select("level", "name", "value")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

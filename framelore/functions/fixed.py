@@ -30,3 +30,8 @@ COMPONENT_REASONS = {
     "pending": "component metric integration pending",
 }
 PROVENANCE = ("clip_id", "dataset", "label", "source_path", "track_id")
+# The colour of a track: degrees of hue from one id to the next, saturation and value.
+TRACK_HUE_STEP, TRACK_SATURATION, TRACK_VALUE = 47, 0.85, 0.95
+# Fields of a frame's sidecar, in order; those of how it was cropped are one object between the others.
+SIDECAR_FIELDS = ("clip_id", "dataset", "label", "source_path", "track_id", "frame_index", "frame_offset", "window_index", "missing_frame", "coverage")
+SIDECAR_CROP, SIDECAR_LAST = ("output_size", "margin", "clip_length"), ("margin_used", "shard_filename")

@@ -91,10 +91,9 @@ def folder_of_url(url: Column) -> Column:
 
 def sidecar(frame: dict[str, Column], crop: dict[str, Column]) -> Column:
     """The JSON sidecar of a frame: fields that aren't known as null, how it was cropped as one object."""
-    names = ("clip_id", "dataset", "label", "source_path", "track_id", "frame_index", "frame_offset", "window_index", "missing_frame", "coverage")
-    cropped = F.struct(*(crop[n].alias(n) for n in ("output_size", "margin", "clip_length"))).alias("crop_config")
-    rest = (frame[n].alias(n) for n in ("margin_used", "shard_filename"))
-    return F.to_json(F.struct(*(frame[n].alias(n) for n in names), cropped, *rest), {"ignoreNullFields": "false"})
+    cropped = F.struct(*(crop[n].alias(n) for n in fixed.SIDECAR_CROP)).alias("crop_config")
+    rest = (frame[n].alias(n) for n in fixed.SIDECAR_LAST)
+    return F.to_json(F.struct(*(frame[n].alias(n) for n in fixed.SIDECAR_FIELDS), cropped, *rest), {"ignoreNullFields": "false"})
 
 
 def trailing_number(stem: Column) -> Column:
@@ -181,9 +180,9 @@ def latency_ms(frames: Column, seconds: Column) -> Column:
 
 def track_colour(track: Column) -> Column:
     """(r, g, b) of a track: hue 47 degrees on for each id, saturation 0.85, value 0.95."""
-    hue = F.pmod(track * 47, F.lit(360)) / 60.0
+    hue = F.pmod(track * fixed.TRACK_HUE_STEP, F.lit(360)) / 60.0
     sector = F.floor(hue).cast("int")
-    part, v, s = hue - F.floor(hue), 0.95, 0.85
+    part, v, s = hue - F.floor(hue), fixed.TRACK_VALUE, fixed.TRACK_SATURATION
     p, q, t = F.lit(v * (1 - s)), F.lit(v) * (1 - F.lit(s) * part), F.lit(v) * (1 - F.lit(s) * (1 - part))
     full = F.lit(v)
 
@@ -197,7 +196,9 @@ def track_colour(track: Column) -> Column:
 
 
 def box_label(track: Column, confidence: Column) -> Column:
-    return F.when(track.isNull(), F.format_string("%.2f", confidence)).otherwise(F.format_string("track %d %.2f", track, confidence))
+    """The track, if there is one, and the confidence with two digits, an exact half to the even one."""
+    shown = F.when(confidence * 8 == F.floor(confidence * 8), F.bround(confidence, 2)).otherwise(confidence)  # only eighths lie exactly between
+    return F.when(track.isNull(), F.format_string("%.2f", shown)).otherwise(F.format_string("track %d %.2f", track, shown))
 
 
 def subsample(items: Column, count: int) -> Column:
