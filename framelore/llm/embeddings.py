@@ -1,7 +1,7 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Every vector is described by the permutation of its nearest reference points: its ``prefix`` nearest pivots.  Vectors that
-share at least ``shared`` pivots are candidates.  The inverted lists are those of sets of ``shared`` pivots: a vector is in
+Every vector is described by the permutation of its nearest reference points: its ``prefix`` nearest pivots, by directions
+from the mean of the sample, so that vectors of a narrow cone are told apart.  Vectors that share at least ``shared`` pivots are candidates.  The inverted lists are those of sets of ``shared`` pivots: a vector is in
 the list of each such set of its prefix, so that the vectors of a list share enough pivots, and lists are short.  A pair is
 verified by cosine in the list of the first pivots that both have, and only there.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
-from math import isqrt
+from math import comb, isqrt
 
 import numpy as np
 import pandas as pd
@@ -23,26 +23,37 @@ from framelore.llm.common import Scratch, connected_components, save
 COSINE, PREFIX, SHARED, LEAST_PIVOTS, MOST_PIVOTS = 0.95, 6, 2, 512, 8192
 #: Vectors of a list that a task compares with as many others; about how many vectors of short lists a task's group has.
 BLOCK, GROUP = 2048, 16384
+#: Least recall of trial pairs; how many vectors of the sample are tried; lists of a vector; how many comparisons its copy in a list costs.
+RECALL, TRIALS, MOST_LISTS, MOVE = 0.97, 2048, 560, 300
 #: Long lists are joined by sending them, up to so many.
 FEW_LISTS = 100_000
 
 
-def choose_pivots(sample: np.ndarray, count: int, spread: float = 0.7) -> np.ndarray:
-    """Pivots from a sample of unit vectors, none nearer than ``spread`` to another, so that a dense group has one."""
+def choose_pivots(sample: np.ndarray, count: int, spreads: tuple[float, ...] = (0.7, 0.9)) -> np.ndarray:
+    """Pivots from a sample of unit vectors: first those that lie apart, none nearer than the first spread to another, so that
+    a dense group has one; where these are fewer than ``count``, nearer ones after them, as far as the last spread."""
     chosen = np.zeros((0, sample.shape[1]))
-    for start in range(0, len(sample), 256):
-        part = sample[start : start + 256]
-        part = part[(part @ chosen.T).max(axis=1, initial=-2.0) < spread]
-        fresh: list[np.ndarray] = []
-        for v in part:
-            if not fresh or (np.array(fresh) @ v).max() < spread:
-                fresh.append(v)
-        chosen = np.concatenate([chosen, np.array(fresh).reshape(-1, sample.shape[1])])[:count]
-        if len(chosen) == count:
-            break
+    for spread in spreads:
+        for start in range(0, len(sample), 256):
+            if len(chosen) == count:
+                return chosen
+            part = sample[start : start + 256]
+            part = part[(part @ chosen.T).max(axis=1, initial=-2.0) < spread]
+            fresh: list[np.ndarray] = []
+            for v in part:
+                if not fresh or (np.array(fresh) @ v).max() < spread:
+                    fresh.append(v)
+            chosen = np.concatenate([chosen, np.array(fresh).reshape(-1, sample.shape[1])])[:count]
     return chosen
 
 
+def centred(unit: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Directions of unit vectors from the mean, which tell vectors of a narrow cone apart; a vector at the mean stays."""
+    away = unit - mean
+    length = np.linalg.norm(away, axis=1, keepdims=True)
+    return np.where(length > 1e-9, away / np.maximum(length, 1e-9), unit)
+
+
 def nearest(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """Row by row the numbers of the ``prefix`` nearest pivots, ascending; fewer columns where there are fewer pivots."""
     out = np.zeros((len(vectors), min(prefix, len(pivots))), np.int32)
@@ -65,6 +76,54 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def trial_pairs(unit: np.ndarray, mean: np.ndarray, cosine: float, most: int = TRIALS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that an index of these vectors has to find: those among the first ``most`` vectors, and each of them beside one
+    that lies ``cosine`` from it and as far from the mean, in the direction of another vector."""
+    v = unit[:most]
+    a, b = np.nonzero(np.triu(v @ v.T >= cosine, 1))
+    some = np.linspace(0, max(len(a) - 1, 0), min(len(a), 4 * most)).astype(int)
+    away = v - mean
+    square = np.maximum((away * away).sum(1, keepdims=True), 1e-18)
+    kept = 1 - (1 - cosine) / square
+    other = np.roll(away, 1, axis=0)
+    across = other - (away * other).sum(1, keepdims=True) / square * away
+    length = np.linalg.norm(across, axis=1, keepdims=True)
+    apart = ((kept > 0) & (length > 1e-9))[:, 0]
+    moved = mean + kept * away + np.sqrt(np.maximum((1 - kept**2) * square, 0)) * across / np.maximum(length, 1e-9)
+    return [(v[a[some]], v[b[some]]), (v[apart], _unit(moved[apart]))]
+
+
+def fit_index(unit: np.ndarray, wanted: int, count: int, cosine: float, prefix: int, shared: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Mean, pivots, prefix and shared count from a sample of unit vectors, so that trial pairs are found with recall ``RECALL``.
+
+    What is given is taken if it finds them.  Else longer prefixes, three shared pivots and fewer pivots are tried, and the
+    cheapest index that finds them is taken: by the comparisons of ``count`` vectors in the lists, and by the lists of each.
+    Where none is cheaper than a single list, all vectors are in that, and everything is found.
+    """
+    mean = unit.mean(axis=0)
+    points = choose_pivots(centred(unit, mean), wanted)
+    trials = [(centred(a, mean), centred(b, mean)) for a, b in trial_pairs(unit, mean, cosine) if len(a)]
+    some = centred(unit[:TRIALS], mean)
+
+    def found(points: np.ndarray, p: int, s: int) -> bool:
+        return all(((nearest(a, points, p)[:, :, None] == nearest(b, points, p)[:, None, :]).any(2).sum(1) >= s).mean() >= RECALL for a, b in trials)
+
+    if len(points) <= prefix or shared > 3 or found(points, prefix, shared):
+        return mean, points, prefix, shared
+    best = (float(count), points[:1], 1, 1)  # all vectors in one list
+    while len(points) > prefix:
+        for p in (prefix, 8, 12, 16, 24):
+            if p < prefix or p > len(points) // 2:
+                continue
+            for s in (2, 3):
+                if comb(p, s) <= MOST_LISTS and found(points, p, s):
+                    n = np.unique(list_keys(nearest(some, points, p), s), return_counts=True)[1].astype(float)
+                    cost = count * (n * (n - 1)).sum() / max(len(some) * (len(some) - 1), 1) + MOVE * comb(p, s)
+                    best = min(best, (cost, points, p, s), key=lambda x: x[0])
+        points = points[: len(points) // 2]
+    return mean, *best[1:]
+
+
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, prefix: int = PREFIX,
     shared: int = SHARED, pivots: int | None = None,
@@ -76,7 +135,8 @@ def near_duplicates(
     or hold null or non-finite components link with nothing; nor do vectors of different lengths.  A null id is never a
     component's smallest unless there is no other, and such a row is not kept.  Links are counted where they are found and never
     written out as pairs.  ``pivots``: by default the square root of the number of distinct vectors, doubled,
-    512 to 8192, from a sample of four times as many vectors, the first by a hash; every vector is indexed.  Only these
+    512 to 8192, from a sample of four times as many vectors, the first by a hash; every vector is indexed.  ``prefix``
+    and ``shared`` are kept if pairs made from the sample are found with recall 0.97, else fitted (``fit_index``).  Only these
     columns are read, so others may have any names.  An empty table gives an empty result.
     """
     v, single = F.col("v"), dict(vectors.dtypes)[vector_col] == "array<float>"
@@ -109,15 +169,16 @@ def _search(classes: DataFrame, count: int, cosine: float, prefix: int, shared:
     spark, kind = classes.sparkSession, np.float32 if single else np.float64
     wanted = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, 2 * isqrt(count)))
     sample = classes.orderBy(F.xxhash64("v"), "v").limit(4 * wanted).select("v").toPandas()
-    points = choose_pivots(_unit(np.array(sample["v"].tolist())), wanted)
+    mean, points, prefix, shared = fit_index(_unit(np.array(sample["v"].tolist())), wanted, count, cosine, prefix, shared)
     shared = min(shared, len(points), prefix)
-    sent = spark.sparkContext.broadcast(points)
+    sent = spark.sparkContext.broadcast((mean, points))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 v = np.array(pdf["v"].tolist(), kind)
-                near = nearest(_unit(v), sent.value, prefix)
+                mean, points = sent.value
+                near = nearest(centred(_unit(v), mean), points, prefix)
                 yield pd.DataFrame({"uid": pdf["uid"], "copies": pdf["copies"], "vector": [x.tobytes() for x in v], "near": list(near), "keys": list(list_keys(near, shared))})
 
     described = classes.select("uid", "copies", "v").mapInPandas(describe, "uid long, copies long, vector binary, near array<int>, keys array<long>")
@@ -133,7 +194,7 @@ def _search(classes: DataFrame, count: int, cosine: float, prefix: int, shared:
     dealt = described.withColumn("lists", mine).select("uid", "copies", "vector", "near", F.explode("keys").alias("key"), "lists")
     dealt = dealt.withColumn("many", many).withColumn("mine", F.pmod(F.xxhash64("uid"), F.col("many")).cast("int")).drop("lists")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-    groups = max(64, count * 15 // GROUP)
+    groups = max(64, count * comb(prefix, shared) // GROUP)
     group = F.when(F.col("many") > 1, F.col("key") + (1 << 62)).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups)))
     dealt = dealt.select(group.alias("group"), F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "key", "mine", "uid", "copies", "vector", "near")
 

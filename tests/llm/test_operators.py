@@ -623,6 +623,39 @@ def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
     assert sorted(embeddings.near_duplicates(d).collect()) == whole and max(r.n_links for r in whole) >= 80
 
 
+def cone(rng, n, dim, mean):
+    """Unit vectors with this mean cosine between them, and for each another one a bit above cosine 0.95 from it."""
+    axis, r, z = np.eye(dim)[0], rng.normal(size=(n, dim)), rng.normal(size=(n, dim))
+    r[:, 0] = z[:, 0] = 0
+    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    z -= (z * r).sum(1, keepdims=True) * r
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = (0.951 - mean) / (1 - mean)
+    return np.sqrt(mean) * axis + np.sqrt(1 - mean) * r, np.sqrt(mean) * axis + np.sqrt(1 - mean) * (c * r + np.sqrt(1 - c * c) * z)
+
+
+@pytest.mark.parametrize("dim", [64, 384])
+@pytest.mark.parametrize("wanted, mean", [(512, 0.0), (2048, 0.0), (8192, 0.0), (512, 0.8), (2048, 0.9)])
+def test_index_finds_pairs_at_the_threshold(dim, wanted, mean):
+    rng = np.random.default_rng(wanted)
+    middle, points, prefix, shared = embeddings.fit_index(cone(rng, 4 * wanted, dim, mean)[0], wanted, (wanted // 2) ** 2, 0.95, 6, 2)
+    near = [embeddings.nearest(embeddings.centred(x, middle), points, prefix) for x in cone(rng, 2000, dim, mean)]
+    assert ((near[0][:, :, None] == near[1][:, None, :]).any(2).sum(1) >= shared).mean() >= 0.95
+    lists = np.unique(embeddings.list_keys(near[0], shared))
+    assert len(lists) >= 1000
+
+
+def test_concentrated_embeddings_against_brute_force(spark):
+    x = np.concatenate(cone(np.random.default_rng(8), 700, 32, 0.8))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(d).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.95 * want.sum() >= 1000
+    same = spark.createDataFrame([(i, [1.0, 1e-9 * i, 0.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    assert {r.n_links for r in embeddings.near_duplicates(same).collect()} == {39}
+
+
 # --- 6: lines ----------------------------------------------------------------------------------------------------------
 
 
