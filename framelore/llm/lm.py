@@ -1,11 +1,12 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) P(word | class).  The class softmax has hashed features of the history: the word
-before (bigram), the one before that (skip) and both (trigram), besides an intercept; its weights are trained by
-gradient updates that tasks make on their shares of the training rows and that are averaged after each round.
-P(word | class) is by add-one counts.  Classes: the most frequent words one by one, the end of text, the other words of
-the head vocabulary by their last bytes, all further words by their last bytes.  Each class of further words also holds
-its unknown words, as one.
+P(word | history) = P(class | history) P(slot | class, history) P(word | slot).  Both softmaxes have hashed features of the
+history: the word before (bigram), the one before that (skip) and both (trigram), besides an intercept; those of the
+second are hashed with the class, too.  Weights are trained by gradient updates that tasks make on their shares of the
+training rows and that are averaged after each round.  P(word | slot) is by add-one counts.  Classes: the most frequent
+words one by one, the end of text, the other words of the head vocabulary by their last bytes, all further words by
+their last bytes.  Each class of further words also holds its unknown words, as one.  Classes of head words have slots:
+one for each of their most frequent words, the others by rank.
 """
 
 from __future__ import annotations
@@ -30,10 +31,13 @@ CLASSES = SINGLE + 1 + HEAD_ENDINGS + TAIL_ENDINGS
 HEAD, LONGEST = 1 << 17, 48
 #: Histories: the most frequent words, then classes of endings, then the beginning of the text.
 KNOWN_HISTORY = 4096
-BUCKETS, ROUNDS, RATE, TASKS = 1 << 13, 3, 0.15, 1024
+BUCKETS, ROUNDS, RATE = 1 << 13, 3, 0.15
+#: Slots of a class of head words, those that hold one word, and buckets of the second softmax.
+SLOTS, OWN, INNER = 32, 24, 1 << 14
 #: Tokens of one update: their scores by class fit a core's cache.
 STEP = 1 << 12
 END = b""
+LOW = (1 << 48) - 1
 
 
 def _ending(word: bytes) -> int:
@@ -52,8 +56,16 @@ class Vocabulary:
         self.cls = np.append(cls, SINGLE).astype(np.int64)
         self.log_count = np.log10(self.counts + 1.0)
         mass = np.bincount(self.cls, weights=self.counts + 1.0, minlength=CLASSES)
-        self.log_in_class = self.log_count - np.log10(np.maximum(mass[self.cls], 1.0))
         self.mass = mass
+        order = np.argsort(self.cls, kind="stable")
+        first = np.searchsorted(self.cls[order], np.arange(CLASSES))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order)) - first[self.cls[order]]
+        self.slot = np.where(rank < OWN, rank, OWN + rank % (SLOTS - OWN))
+        at = self.cls * SLOTS + self.slot
+        slots = np.bincount(at, weights=self.counts + 1.0, minlength=CLASSES * SLOTS)
+        self.log_in_slot = self.log_count - np.log10(np.maximum(slots[at], 1.0))
+        self.slot_bias = np.log(np.maximum(slots.reshape(CLASSES, SLOTS), 1e-6) / np.maximum(mass, 1.0)[:, None]).astype(np.float32)
 
     def read(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
         """Ids of the words and of the end; further words get -1 - their ending class, and are listed."""
@@ -68,7 +80,7 @@ class Vocabulary:
         return np.where(ids >= 0, self.cls[np.maximum(ids, 0)], SINGLE + HEAD_ENDINGS - ids)
 
     def histories(self, ids: np.ndarray, cls: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Buckets of the three features of each token; ends: where texts end in ids."""
+        """Hashes of the three features of each token, 48 bits; ends: where texts end in ids."""
         code = np.where((ids >= 0) & (ids < KNOWN_HISTORY), ids, KNOWN_HISTORY + cls)
         begin, first = KNOWN_HISTORY + CLASSES, np.concatenate(([0], ends[:-1] + 1))
         one, two = np.empty_like(code), np.empty_like(code)
@@ -77,8 +89,21 @@ class Vocabulary:
         second = first + 1
         second = second[second <= ends]
         two[second] = begin
-        mix = lambda x, k: ((x * k & 0xFFFFFFFFFFFF) >> 23) % BUCKETS
-        return np.stack([mix(one + 1, 0x9E3779B97), mix(two + 1, 0xC2B2AE3D27), mix((one + 1) * 8191 + two, 0x165667B19E)])
+        return np.stack([(one + 1) * 0x9E3779B97 & LOW, (two + 1) * 0xC2B2AE3D27 & LOW, ((one + 1) * 8191 + two) * 0x165667B19E & LOW])
+
+    def inside(self, cls: np.ndarray) -> np.ndarray:
+        """Where tokens are of classes that have slots."""
+        return np.flatnonzero((cls > SINGLE) & (cls <= SINGLE + HEAD_ENDINGS))
+
+
+def outer_buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> 23) % BUCKETS
+
+
+def inner_buckets(hashes: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Buckets of the features in a class."""
+    mixed = ((hashes >> 11) ^ cls * 0x2545F491) * 0x9E3779B97
+    return ((mixed & LOW) >> 23) % INNER
 
 
 def _batches(vocabulary: Vocabulary, texts, most: int = 1 << 18):
@@ -106,17 +131,82 @@ def _softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> tuple[np.n
     return x, own, own @ np.ones(own.shape[1], np.float32)
 
 
-def gradient_pass(weights: np.ndarray, bias: np.ndarray, squares: np.ndarray, f: np.ndarray, cls: np.ndarray, rate: float) -> None:
-    """One update (AdaGrad) in place on a batch of tokens with features f and classes cls."""
-    _, p, total = _softmax(weights, bias, f)
-    p /= total[:, None]
-    p[np.arange(len(cls)), cls] -= 1.0
+def gradient_pass(
+    weights: np.ndarray, bias: np.ndarray, squares: np.ndarray, f: np.ndarray, want: np.ndarray, rate: float, room: np.ndarray | None = None
+) -> None:
+    """One update (AdaGrad) in place on a batch of tokens with features f and outcomes want.
+
+    ``room``: three tables of a row for each token, used again from batch to batch.
+    """
+    n, width = len(want), weights.shape[1]
+    p, y, z = np.empty((3, n, width), np.float32) if room is None else room[:, :n]
+    np.take(weights, f[0], axis=0, out=p, mode="clip")
+    for row in f[1:]:
+        p += np.take(weights, row, axis=0, out=y, mode="clip")
+    p += bias
+    np.exp(np.minimum(p, 60.0, out=p), out=p)
+    p /= (p @ np.ones(width, np.float32))[:, None]
+    p[np.arange(n), want] -= 1.0
     for row in f:
         order = np.argsort(row.astype(np.uint16), kind="stable")
-        at, start = np.unique(row[order], return_index=True)
-        g = np.add.reduceat(p[order], start, axis=0)
-        squares[at] += g * g
-        weights[at] -= rate * g / np.sqrt(squares[at] + 1.0)
+        row = row[order]
+        start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        at = row[start]
+        g = np.add.reduceat(np.take(p, order, axis=0, out=y, mode="clip"), start, axis=0)
+        total = np.multiply(g, g, out=z[: len(at)])
+        total += squares[at]
+        squares[at] = total
+        total += 1.0
+        g /= np.sqrt(total, out=total)
+        g *= np.float32(rate)
+        weights[at] -= g
+
+
+class Weights:
+    """Both softmaxes: a row for each bucket, and intercepts (by class for the second)."""
+
+    def __init__(self, outer: np.ndarray, inner: np.ndarray, bias: np.ndarray, slot_bias: np.ndarray) -> None:
+        self.outer, self.inner, self.bias, self.slot_bias = outer, inner, bias, slot_bias
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.outer.ravel(), self.inner.ravel()])
+
+    def moved(self, change: np.ndarray) -> Weights:
+        n = self.outer.size
+        return Weights(self.outer + change[:n].reshape(self.outer.shape), self.inner + change[n:].reshape(self.inner.shape), self.bias, self.slot_bias)
+
+    def rooms(self) -> tuple[np.ndarray, np.ndarray]:
+        """What updates need of memory."""
+        return np.empty((3, STEP, CLASSES), np.float32), np.empty((3, STEP, SLOTS), np.float32)
+
+    def learn(self, squares: tuple[np.ndarray, np.ndarray], rooms: tuple[np.ndarray, np.ndarray], v: Vocabulary, ids: np.ndarray, ends: np.ndarray, rates: tuple[float, float]) -> None:
+        """Updates in place from texts: by the classes of their tokens, and by the slots of those in classes of head words."""
+        cls = v.classes(ids)
+        hashes = v.histories(ids, cls, ends)
+        f = outer_buckets(hashes)
+        for i in range(0, len(ids), STEP):
+            gradient_pass(self.outer, self.bias, squares[0], f[:, i : i + STEP], cls[i : i + STEP], rates[0], rooms[0])
+        at = v.inside(cls)
+        f, cls, slot = inner_buckets(hashes[:, at], cls[at]), cls[at], v.slot[ids[at]]
+        for i in range(0, len(at), STEP):
+            gradient_pass(self.inner, self.slot_bias[cls[i : i + STEP]], squares[1], f[:, i : i + STEP], slot[i : i + STEP], rates[1], rooms[1])
+
+    def logs(self, v: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Log10 probabilities of head words and ends, and of the classes of further words."""
+        cls = v.classes(ids)
+        hashes = v.histories(ids, cls, ends)
+        log = _log_of(self.outer, self.bias, outer_buckets(hashes), cls)
+        at = v.inside(cls)
+        log[at] += _log_of(self.inner, self.slot_bias[cls[at]], inner_buckets(hashes[:, at], cls[at]), v.slot[ids[at]])
+        return log / np.log(10.0) + np.where(ids >= 0, v.log_in_slot[np.maximum(ids, 0)], 0.0)
+
+
+def _log_of(weights: np.ndarray, bias: np.ndarray, f: np.ndarray, want: np.ndarray) -> np.ndarray:
+    log = np.empty(len(want))
+    for i in range(0, len(want), STEP):
+        x, _, total = _softmax(weights, bias if bias.ndim == 1 else bias[i : i + STEP], f[:, i : i + STEP])
+        log[i : i + STEP] = x[np.arange(len(x)), want[i : i + STEP]] - np.log(total)
+    return log
 
 
 def count_words(docs: DataFrame, text_col: str = "text", most: int = 400_000) -> DataFrame:
@@ -154,12 +244,16 @@ class Model:
         prior = vocabulary.mass.copy()
         prior[SINGLE + 1 + HEAD_ENDINGS :] = tail_mass + 1.0
         prior = np.maximum(prior, 0.5)
-        self.bias = np.log(prior / prior.sum()).astype(np.float32)
-        self.weights = np.zeros((BUCKETS, CLASSES), np.float32)
+        bias = np.log(prior / prior.sum()).astype(np.float32)
+        self.weights = Weights(np.zeros((BUCKETS, CLASSES), np.float32), np.zeros((INNER, SLOTS), np.float32), bias, vocabulary.slot_bias)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, rate: float = RATE, head: int = HEAD) -> Model:
-    """A model of all rows of docs.  Each row is in one of ``rounds`` rounds; null text is an empty text."""
+    """A model of all rows of docs.  Each row is in one of ``rounds`` rounds; null text is an empty text.
+
+    Ids may be null or repeat: each row counts.  Of an empty table the model knows no word: all texts get the intercepts.
+    Texts may be of any length, their words too: words of more than ``LONGEST`` bytes are further words.
+    """
     spark = docs.sparkSession
     counts = save(count_words(docs, text_col), "counts")
     tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -183,33 +277,36 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     model = Model(tail, vocabulary, mass, tokens, types, cut)
     words = spark.sparkContext.broadcast(vocabulary)
     part = docs.select(F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(7 * rounds)).alias("k"), F.col(text_col).alias("t"))
-    chunks = 16
+    chunks, adders = 16, 64
     for k in range(rounds):
-        sent = spark.sparkContext.broadcast((model.weights, model.bias))
+        sent = spark.sparkContext.broadcast(model.weights)
 
         def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            start, bias = sent.value
-            w, squares, n, v = start.copy(), np.zeros_like(start), 0, words.value
+            start, v, n = sent.value, words.value, 0
+            mine = Weights(start.outer.copy(), start.inner.copy(), start.bias, start.slot_bias)
+            squares, rooms = (np.zeros_like(start.outer), np.zeros_like(start.inner)), start.rooms()
             for pdf in batches:
                 for _, ids, ends, _ in _batches(v, pdf["t"]):
-                    cls = v.classes(ids)
-                    f = v.histories(ids, cls, ends)
-                    for i in range(0, len(ids), STEP):
-                        gradient_pass(w, bias, squares, f[:, i : i + STEP], cls[i : i + STEP], rate)
+                    mine.learn(squares, rooms, v, ids, ends, (rate, rate))
                     n += len(ids)
             if n:
-                change = (w - start).reshape(chunks, -1) * np.float32(n)
-                yield pd.DataFrame({"chunk": range(chunks), "n": n, "change": [c.tobytes() for c in change]})
+                change = ((mine.flat() - start.flat()) * np.float32(n)).reshape(chunks, -1)
+                adder = TaskContext.get().partitionId() % adders
+                yield pd.DataFrame({"chunk": range(chunks), "adder": adder, "n": n, "change": [c.tobytes() for c in change]})
 
         def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(c, np.float32).astype(float) for c in pdf["change"])
-            return pd.DataFrame({"chunk": [key[0]], "change": [(total / pdf["n"].sum()).astype(np.float32).tobytes()]})
-
-        mine = part.where(F.floor(F.col("k") / 7) == k).select("t").coalesce(TASKS)
-        changes = mine.mapInPandas(learn, "chunk int, n long, change binary").groupBy("chunk").applyInPandas(add, "chunk int, change binary")
-        got = dict(changes.collect())
+            total = np.zeros(len(pdf["change"].iloc[0]) // 4)
+            for c in pdf["change"]:
+                total += np.frombuffer(c, np.float32)
+            return pd.DataFrame({"chunk": [key[0]], "n": [pdf["n"].sum()], "change": [total.astype(np.float32).tobytes()]})
+
+        mine = part.where(F.floor(F.col("k") / 7) == k).select("t")
+        changes = mine.mapInPandas(learn, "chunk int, adder int, n long, change binary")
+        # added in two steps, so that no adder gets what all tasks learned
+        some = changes.groupBy("chunk", "adder").applyInPandas(add, "chunk int, n long, change binary")
+        got = {r["chunk"]: np.frombuffer(r["change"], np.float32) / np.float32(r["n"]) for r in some.groupBy("chunk").applyInPandas(add, "chunk int, n long, change binary").collect()}
         if got:
-            model.weights = model.weights + np.concatenate([np.frombuffer(got[c], np.float32) for c in range(chunks)]).reshape(BUCKETS, CLASSES)
+            model.weights = model.weights.moved(np.concatenate([got[c] for c in range(chunks)]))
     return model
 
 
@@ -218,27 +315,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     base_score: log10 probability by add-one word counts; score: by the model.  Null text is empty: its end alone.
     Head words are scored in the tasks that read the texts; further words are joined with the counts, each once for a
-    text.  Ids may be null or repeat.
+    text.  Ids may be null or repeat.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     v, tail_mass = model.vocabulary, model.log_tail_mass
-    sent = spark.sparkContext.broadcast((v, model.weights, model.bias, tail_mass))
+    sent = spark.sparkContext.broadcast((v, model.weights, tail_mass))
     kind = dict(docs.dtypes)[id_col]  # ids go as text: pandas would make floating point numbers of them beside a null
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v, weights, bias, tail_mass = sent.value
+        v, weights, tail_mass = sent.value
         task, seq = TaskContext.get().partitionId(), 0
         for pdf in batches:
             for first, ids, ends, tails in _batches(v, pdf["t"]):
-                cls = v.classes(ids)
-                f = v.histories(ids, cls, ends)
-                log = np.empty(len(ids))
-                for i in range(0, len(ids), STEP):
-                    x, _, total = _softmax(weights, bias, f[:, i : i + STEP])
-                    log[i : i + STEP] = x[np.arange(x.shape[0]), cls[i : i + STEP]] - np.log(total)
-                log /= np.log(10.0)
-                head, at = ids >= 0, np.maximum(ids, 0)
-                log += np.where(head, v.log_in_class[at], -tail_mass[np.minimum(-1 - ids, TAIL_ENDINGS - 1) * ~head])
+                log, head, at = weights.logs(v, ids, ends), ids >= 0, np.maximum(ids, 0)
+                log -= np.where(head, 0.0, tail_mass[np.minimum(-1 - ids, TAIL_ENDINGS - 1) * ~head])
                 begin = np.concatenate(([0], ends[:-1] + 1))
                 add = lambda x: np.add.reduceat(x, begin)
                 n = len(ends)

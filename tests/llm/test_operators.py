@@ -716,16 +716,62 @@ def test_language_model_is_a_distribution(spark):
     m = lm.train(d, head=100)
     assert m.counts.count() > 0
     v = m.vocabulary
-    f = v.histories(np.array([3, v.words]), v.classes(np.array([3, v.words])), np.array([1]))
-    x, _, total = lm._softmax(m.weights, m.bias, f)
-    p = np.exp(x[1]) / total[1]
-    inside = np.bincount(v.cls, weights=10**v.log_in_class, minlength=lm.CLASSES)
-    first = lm.SINGLE + 1 + lm.HEAD_ENDINGS
+    # after the head word 3: all head words and the end, and the classes of further words
+    ids = np.array([*range(v.words + 1), *(-1 - k for k in range(lm.TAIL_ENDINGS))])
+    p = np.array([10 ** m.weights.logs(v, np.array([3, i]), np.array([1]))[1] for i in ids])
+    head, tail = p[: v.words + 1], p[v.words + 1 :]
+    inside = np.zeros(lm.TAIL_ENDINGS)
     for r in m.counts.collect():
         k = lm._ending(bytes(r.word)) % lm.TAIL_ENDINGS
-        inside[first + k] += (r.c + 1) / 10 ** m.log_tail_mass[k]
-    inside[first:] += 1 / 10**m.log_tail_mass
-    assert (p[inside == 0] < 1e-3).all() and inside[inside > 0] == pytest.approx(1.0) and p[inside > 0].sum() == pytest.approx(1.0, abs=1e-3)
+        inside[k] += (r.c + 1) / 10 ** m.log_tail_mass[k]
+    inside += 1 / 10**m.log_tail_mass
+    assert inside == pytest.approx(1.0) and head.sum() + tail.sum() == pytest.approx(1.0, abs=2e-3)
+    # a class's probability is that of its words
+    cls = v.classes(ids)
+    f = lm.outer_buckets(v.histories(np.array([3, v.words]), v.classes(np.array([3, v.words])), np.array([1])))[:, 1:]
+    x, _, total = lm._softmax(m.weights.outer, m.weights.bias, f)
+    for k in set(cls.tolist()):
+        assert p[cls == k].sum() == pytest.approx(float(np.exp(x[0, k]) / total[0]), rel=1e-3)
+
+
+@pytest.mark.parametrize("by_row", [False, True])
+def test_gradient_step_against_plain_loops(by_row):
+    rng = np.random.default_rng(3)
+    w, sq = rng.normal(size=(40, 6)).astype(np.float32), rng.random((40, 6)).astype(np.float32)
+    f, want = rng.integers(0, 40, (3, 50)), rng.integers(0, 6, 50)
+    bias = rng.normal(size=(50, 6) if by_row else 6).astype(np.float32)
+    left, squares = w.astype(float), sq.astype(float)
+    p = np.zeros((50, 6))
+    for t in range(50):
+        x = sum(left[f[j, t]] for j in range(3)) + (bias[t] if by_row else bias)
+        p[t] = np.exp(x) / np.exp(x).sum()
+        p[t, want[t]] -= 1
+    for j in range(3):
+        for b in set(f[j].tolist()):
+            g = p[f[j] == b].sum(axis=0)
+            squares[b] += g * g
+            left[b] -= 0.15 * g / np.sqrt(squares[b] + 1)
+    before = w.copy()
+    lm.gradient_pass(w, bias, sq, f, want, 0.15, np.empty((3, 64, 6), np.float32))
+    assert w == pytest.approx(left, abs=1e-4) and sq == pytest.approx(squares, abs=1e-3) and not np.allclose(w, before)
+
+
+def test_second_softmax_learns_what_follows():
+    """Words of one class that follow different words: slots tell them apart after training, counts can't."""
+    words = [b"w%03d" % i for i in range(lm.SINGLE)] + [b"one-xyz", b"two-xyz"]
+    v = lm.Vocabulary(words, [1000] * len(words), 10)
+    a, b = lm.SINGLE, lm.SINGLE + 1
+    assert v.cls[a] == v.cls[b] and v.slot[a] != v.slot[b]
+    ids = np.array([0, a, 1, b] * 300 + [v.words])
+    m = lm.Model(None, v, np.zeros(lm.TAIL_ENDINGS), 10_000, len(words), 1)
+    untrained = m.weights.logs(v, ids, np.array([len(ids) - 1]))
+    zeros = np.zeros_like(m.weights.outer), np.zeros_like(m.weights.inner)
+    for _ in range(20):
+        m.weights.learn(zeros, m.weights.rooms(), v, ids, np.array([len(ids) - 1]), (0.15, 0.15))
+    trained = m.weights.logs(v, ids, np.array([len(ids) - 1]))
+    assert trained.mean() > untrained.mean() / 3
+    flat = lm.Weights(m.weights.outer, np.zeros_like(m.weights.inner), m.weights.bias, m.weights.slot_bias).logs(v, ids, np.array([len(ids) - 1]))
+    assert trained.mean() - flat.mean() > 0.5 * np.log10(2) * 0.8
 
 
 def test_language_model_of_hard_rows(hard, empty):
