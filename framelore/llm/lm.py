@@ -277,7 +277,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     model = Model(tail, vocabulary, mass, tokens, types, cut)
     words = spark.sparkContext.broadcast(vocabulary)
     part = docs.select(F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(7 * rounds)).alias("k"), F.col(text_col).alias("t"))
-    chunks, adders = 16, 64
+    chunks, adders = 64, 8
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(model.weights)
 
@@ -290,21 +290,24 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
                     mine.learn(squares, rooms, v, ids, ends, (rate, rate))
                     n += len(ids)
             if n:
-                change = ((mine.flat() - start.flat()) * np.float32(n)).reshape(chunks, -1)
+                change = (mine.flat() - start.flat()).astype(np.float16).reshape(chunks, -1)
                 adder = TaskContext.get().partitionId() % adders
                 yield pd.DataFrame({"chunk": range(chunks), "adder": adder, "n": n, "change": [c.tobytes() for c in change]})
 
-        def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            total = np.zeros(len(pdf["change"].iloc[0]) // 4)
-            for c in pdf["change"]:
-                total += np.frombuffer(c, np.float32)
-            return pd.DataFrame({"chunk": [key[0]], "n": [pdf["n"].sum()], "change": [total.astype(np.float32).tobytes()]})
+        def mean(key: tuple, pdf: pd.DataFrame, kind: type) -> pd.DataFrame:
+            total = np.zeros(len(pdf["change"].iloc[0]) // np.dtype(kind).itemsize)
+            for n, c in zip(pdf["n"], pdf["change"]):
+                total += np.frombuffer(c, kind) * float(n)
+            n = int(pdf["n"].sum())
+            return pd.DataFrame({"chunk": [key[0]], "n": [n], "change": [(total / n).astype(np.float32).tobytes()]})
 
         mine = part.where(F.floor(F.col("k") / 7) == k).select("t")
         changes = mine.mapInPandas(learn, "chunk int, adder int, n long, change binary")
-        # added in two steps, so that no adder gets what all tasks learned
-        some = changes.groupBy("chunk", "adder").applyInPandas(add, "chunk int, n long, change binary")
-        got = {r["chunk"]: np.frombuffer(r["change"], np.float32) / np.float32(r["n"]) for r in some.groupBy("chunk").applyInPandas(add, "chunk int, n long, change binary").collect()}
+        # averaged in two steps, so that nobody gets what all tasks learned; tasks send half precision
+        sums = "chunk int, n long, change binary"
+        some = changes.groupBy("chunk", "adder").applyInPandas(lambda key, pdf: mean(key, pdf, np.float16), sums)
+        whole = some.groupBy("chunk").applyInPandas(lambda key, pdf: mean(key, pdf, np.float32), sums)
+        got = {r["chunk"]: np.frombuffer(r["change"], np.float32) for r in whole.collect()}
         if got:
             model.weights = model.weights.moved(np.concatenate([got[c] for c in range(chunks)]))
     return model
