@@ -248,6 +248,14 @@ class Model:
         self.weights = Weights(np.zeros((BUCKETS, CLASSES), np.float32), np.zeros((INNER, SLOTS), np.float32), bias, vocabulary.slot_bias)
 
 
+def mean_change(tokens: pd.Series, changes: pd.Series, kind: type) -> np.ndarray:
+    """Mean of changes, numbers of a kind as bytes, weighed by the tokens they come from; summed in double precision, as sums are far beyond half's range."""
+    total = np.zeros(len(changes.iloc[0]) // np.dtype(kind).itemsize)
+    for n, c in zip(tokens, changes):
+        total += np.frombuffer(c, kind).astype(np.float64) * n
+    return (total / tokens.sum()).astype(np.float32)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, rate: float = RATE, head: int = HEAD) -> Model:
     """A model of all rows of docs.  Each row is in one of ``rounds`` rounds; null text is an empty text.
 
@@ -295,11 +303,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
                 yield pd.DataFrame({"chunk": range(chunks), "adder": adder, "n": n, "change": [c.tobytes() for c in change]})
 
         def mean(key: tuple, pdf: pd.DataFrame, kind: type) -> pd.DataFrame:
-            total = np.zeros(len(pdf["change"].iloc[0]) // np.dtype(kind).itemsize)
-            for n, c in zip(pdf["n"], pdf["change"]):
-                total += np.frombuffer(c, kind) * float(n)
-            n = int(pdf["n"].sum())
-            return pd.DataFrame({"chunk": [key[0]], "n": [n], "change": [(total / n).astype(np.float32).tobytes()]})
+            return pd.DataFrame({"chunk": [key[0]], "n": [int(pdf["n"].sum())], "change": [mean_change(pdf["n"], pdf["change"], kind).tobytes()]})
 
         mine = part.where(F.floor(F.col("k") / 7) == k).select("t")
         changes = mine.mapInPandas(learn, "chunk int, adder int, n long, change binary")

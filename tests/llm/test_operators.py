@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -774,6 +775,24 @@ def test_second_softmax_learns_what_follows():
     assert trained.mean() - flat.mean() > 0.5 * np.log10(2) * 0.8
 
 
+def test_mean_of_changes_of_many_tokens():
+    """A task's tokens times its change are far beyond what half precision holds."""
+    changes = [np.array(c, np.float16).tobytes() for c in ([0.5, -1.0], [1.5, 2.0])]
+    got = lm.mean_change(pd.Series([3_000_000, 1_000_000]), pd.Series(changes), np.float16)
+    assert got.dtype == np.float32 and got == pytest.approx([0.75, -0.25])
+
+
+def test_language_model_of_large_shares(spark):
+    """Tasks that learn from more than 65,504 tokens, each word one of two that follow the word before."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{k % 400}" for k in accumulate(rng.choices((1, 2), k=1_000))) for _ in range(300)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    m = lm.train(d.where("doc_id >= 15"))
+    assert np.isfinite(m.weights.flat()).all() and np.abs(m.weights.flat()).max() > 0.7
+    got = lm.score(d.where("doc_id < 15"), m).collect()
+    assert all(np.isfinite(r.score) for r in got) and sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
 def test_language_model_of_hard_rows(hard, empty):
     m = lm.train(hard)
     got = lm.score(hard, m).collect()
