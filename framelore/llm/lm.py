@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -70,7 +71,7 @@ class Vocabulary:
     def read(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
         """Ids of the words and of the end; further words get -1 - their ending class, and are listed."""
         words, get = words_of(text), self.ids.get
-        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        ids = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         tail = [words[i] for i in np.flatnonzero(ids < 0).tolist()]
         if tail:
             ids[ids < 0] = [-1 - _ending(w) % TAIL_ENDINGS for w in tail]
@@ -121,16 +122,56 @@ def _batches(vocabulary: Vocabulary, texts, most: int = 1 << 18):
         yield first, np.concatenate(parts), np.cumsum([len(p) for p in parts]) - 1, tails
 
 
-def _softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = weights[f[0]]
-    x += weights[f[1]]
-    x += weights[f[2]]
-    x += bias
-    np.minimum(x, 60.0, out=x)  # far above what the weights add up to, far below overflow
-    own = np.exp(x)
+def _scores(weights: np.ndarray, bias: np.ndarray, f: np.ndarray, out: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Sums of the weights of each token's features and its bias, made in ``out``."""
+    np.take(weights, f[0], axis=0, out=out, mode="clip")
+    for row in f[1:]:
+        out += np.take(weights, row, axis=0, out=spare, mode="clip")
+    out += bias
+    if out.size and not out.max() <= 60.0:  # far above what the weights add up to, far below overflow
+        np.minimum(out, 60.0, out=out)
+    return out
+
+
+def _softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x, own = np.empty((2, f.shape[1], weights.shape[1]), np.float32) if room is None else room[:2, : f.shape[1]]
+    own = np.exp(_scores(weights, bias, f, x, own), out=own)
     return x, own, own @ np.ones(own.shape[1], np.float32)
 
 
+#: Runs of so many rows or more are added up one by one, shorter ones all at once.
+LONG_RUN = 12
+
+
+def sums_of_runs(rows: np.ndarray, order: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs, longest first, and their sums of rows[order]; start: where runs begin.  np.add.reduceat is slow by this axis."""
+    size = np.diff(np.append(start, len(order)))
+    by = np.argsort(-size, kind="stable")
+    first, size = start[by], size[by]
+    # at_least[k]: how many runs have k rows or more
+    at_least = np.searchsorted(-size, -np.arange(LONG_RUN + 1), side="right").tolist()
+    long = at_least[LONG_RUN]
+    total = rows.take(order[first], axis=0)
+    for k in range(1, LONG_RUN - 1):
+        if at_least[k + 1] == long:
+            break
+        total[long : at_least[k + 1]] += rows.take(order[first[long : at_least[k + 1]] + k], axis=0)
+    if long:
+        n = size[:long]
+        end = np.cumsum(n)
+        long_rows = rows.take(order[np.repeat(first[:long] - end + n, n) + np.arange(end[-1])], axis=0)
+        one = np.ones(n[0], np.float32)
+        for i, (at, k) in enumerate(zip((end - n).tolist(), n.tolist())):
+            np.dot(one[:k], long_rows[at : at + k], out=total[i])
+    return by, total
+
+
+def _put(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """table[at] = rows, each row as one item."""
+    item = np.dtype((np.void, table.shape[1] * table.itemsize))
+    table.view(item)[:, 0][at] = rows.view(item)[:, 0]
+
+
 def gradient_pass(
     weights: np.ndarray, bias: np.ndarray, squares: np.ndarray, f: np.ndarray, want: np.ndarray, rate: float, room: np.ndarray | None = None
 ) -> None:
@@ -140,26 +181,24 @@ def gradient_pass(
     """
     n, width = len(want), weights.shape[1]
     p, y, z = np.empty((3, n, width), np.float32) if room is None else room[:, :n]
-    np.take(weights, f[0], axis=0, out=p, mode="clip")
-    for row in f[1:]:
-        p += np.take(weights, row, axis=0, out=y, mode="clip")
-    p += bias
-    np.exp(np.minimum(p, 60.0, out=p), out=p)
-    p /= (p @ np.ones(width, np.float32))[:, None]
+    np.exp(_scores(weights, bias, f, p, y), out=p)
+    p *= (1.0 / (p @ np.ones(width, np.float32)))[:, None]
     p[np.arange(n), want] -= 1.0
     for row in f:
         order = np.argsort(row.astype(np.uint16), kind="stable")
         row = row[order]
         start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-        at = row[start]
-        g = np.add.reduceat(np.take(p, order, axis=0, out=y, mode="clip"), start, axis=0)
-        total = np.multiply(g, g, out=z[: len(at)])
-        total += squares[at]
-        squares[at] = total
+        by, g = sums_of_runs(p, order, start)
+        at = row[start[by]]
+        total = np.take(squares, at, axis=0, out=z[: len(at)], mode="clip")
+        total += np.multiply(g, g, out=y[: len(at)])
+        _put(squares, at, total)
         total += 1.0
         g /= np.sqrt(total, out=total)
         g *= np.float32(rate)
-        weights[at] -= g
+        moved = np.take(weights, at, axis=0, out=y[: len(at)], mode="clip")
+        moved -= g
+        _put(weights, at, moved)
 
 
 class Weights:
@@ -202,9 +241,9 @@ class Weights:
 
 
 def _log_of(weights: np.ndarray, bias: np.ndarray, f: np.ndarray, want: np.ndarray) -> np.ndarray:
-    log = np.empty(len(want))
+    log, room = np.empty(len(want)), np.empty((2, min(STEP, len(want)), weights.shape[1]), np.float32)
     for i in range(0, len(want), STEP):
-        x, _, total = _softmax(weights, bias if bias.ndim == 1 else bias[i : i + STEP], f[:, i : i + STEP])
+        x, _, total = _softmax(weights, bias if bias.ndim == 1 else bias[i : i + STEP], f[:, i : i + STEP], room)
         log[i : i + STEP] = x[np.arange(len(x)), want[i : i + STEP]] - np.log(total)
     return log
 

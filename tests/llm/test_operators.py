@@ -757,6 +757,16 @@ def test_gradient_step_against_plain_loops(by_row):
     assert w == pytest.approx(left, abs=1e-4) and sq == pytest.approx(squares, abs=1e-3) and not np.allclose(w, before)
 
 
+@pytest.mark.parametrize("kinds", [1, 3, 200, 4000])
+def test_sums_of_runs(kinds):
+    """Runs of any length, one to all rows, against reduceat."""
+    rng = np.random.default_rng(kinds)
+    rows, keys = rng.normal(size=(3000, 5)).astype(np.float32), np.sort(np.minimum(rng.integers(0, kinds, 3000), rng.integers(0, kinds, 3000)))
+    order, start = rng.permutation(3000), np.flatnonzero(np.diff(keys, prepend=-1))
+    by, got = lm.sums_of_runs(rows, order, start)
+    assert sorted(by) == list(range(len(start))) and got == pytest.approx(np.add.reduceat(rows[order], start, axis=0)[by], abs=1e-3)
+
+
 def test_second_softmax_learns_what_follows():
     """Words of one class that follow different words: slots tell them apart after training, counts can't."""
     words = [b"w%03d" % i for i in range(lm.SINGLE)] + [b"one-xyz", b"two-xyz"]
