@@ -114,14 +114,31 @@ def register_rule(spark: SparkSession, name: str, rule: PythonRule) -> None:
     spark.udf.register(name, _function(rule))
 
 
-def label_windows(windows: DataFrame, frames: DataFrame, offset: int = 0, rule: Rule = default_rule) -> DataFrame:
+#: Rows of frame labels for each task where windows meet them.
+ROWS_PER_TASK = 500_000
+
+
+def partitions_for(frames: DataFrame) -> int:
+    """How many partitions hold about ``ROWS_PER_TASK`` rows each, at least one for each core; counts the rows."""
+    return max(frames.sparkSession.sparkContext.defaultParallelism, -(-frames.count() // ROWS_PER_TASK))
+
+
+def frame_labels(frames: DataFrame, partitions: int) -> DataFrame:
+    """(sequence, frame_number, label) with the largest label of each frame, dealt over so many partitions by frame."""
+    rows = frames.select("sequence", "frame_number", "label").repartition(partitions, "sequence", "frame_number")
+    return rows.groupBy("sequence", "frame_number").agg(F.max("label").alias("label"))
+
+
+def label_windows(windows: DataFrame, frames: DataFrame, offset: int = 0, rule: Rule = default_rule, partitions: int | None = None) -> DataFrame:
     """(sequence, window_index, label, is_confuser) of windows (sequence, clip_type, window_index, frame_indices).
 
     A left join of the windows' frames, moved by offset, with the labels: frames without a label count as none.
+    ``partitions`` (from partitions_for()) bounds what a task holds whatever the input; without it the session decides.
     """
+    dealt = lambda df, *by: df if partitions is None else df.repartition(partitions, *by)
     at = windows.select("sequence", "clip_type", "window_index", F.explode_outer("frame_indices").alias("f"))
-    at = at.select("sequence", "clip_type", "window_index", (F.col("f") + offset).alias("frame_number"))
+    at = dealt(at.select("sequence", "clip_type", "window_index", (F.col("f") + offset).alias("frame_number")), "sequence", "frame_number")
     text, confuser = rule(F.col("clip_type"), F.col("label"))
-    return at.join(frames.select("sequence", "frame_number", "label"), ["sequence", "frame_number"], "left").groupBy("sequence", "window_index").agg(
-        text.alias("label"), confuser.alias("is_confuser")
-    )
+    found = at.join(frames.select("sequence", "frame_number", "label"), ["sequence", "frame_number"], "left")
+    found = dealt(found.select("sequence", "window_index", "clip_type", "label"), "sequence", "window_index")
+    return found.groupBy("sequence", "window_index").agg(text.alias("label"), confuser.alias("is_confuser"))
