@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,9 @@ TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^\sA-Za-z0-9\x80-\xff]+")
 BITS, ALPHA, BETA, L1, L2, EPOCHS, SHARDS = 18, 2.0, 1.0, 0.0, 0.0, 3, 4
 #: At most so many labelled rows are used to fit, the first by a hash of their ids.
 MOST_LABELLED = 20_000
+#: Buckets in a piece: states move between tasks, and weights to the driver, piece by piece.
+PIECE = 1 << 12
+STATE = "piece int, z binary, n binary"
 
 
 def features(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +68,9 @@ def train(
     """Weights (2^bits buckets and the intercept) fitted on the labelled rows, at most ``most`` of them.
 
     Each epoch runs the updates on ``shards`` shards of the sample in parallel, from a common state, and averages the
-    states.  Labels that are null or neither 0 nor 1, and labels without a document, are not used; rows that repeat are
-    used as often.  Without any, all weights are zero and every score is a half.
+    states.  States go from task to task as tables of pieces; only the weights come to the driver, once.  Labels that are
+    null or neither 0 nor 1, and labels without a document, are not used; rows that repeat are used as often.  Without
+    any, all weights are zero and every score is a half.
     """
     spark, size = docs.sparkSession, (1 << bits) + 1
     picked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__i"), F.col(label_col).cast("int").alias("y"))
@@ -81,24 +85,55 @@ def train(
 
     kind = dict(docs.dtypes)[id_col]
     sample = save(rows.mapInPandas(sparse, f"shard int, id {kind}, y int, i binary, v binary"), "sample")
-    z, n = np.zeros(size), np.zeros(size)
-    for epoch in range(epochs):
-        sent = spark.sparkContext.broadcast((z, n))
+    state = spark.createDataFrame([], STATE)
 
-        def learn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            model = FTRL(*(x.copy() for x in sent.value))
+    def learn_in(epoch: int):
+        def learn(key: tuple, pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+            if pdf.empty:  # a shard without rows has no state
+                return pd.DataFrame({"piece": [], "shard": [], "z": [], "n": []})
+            model = FTRL(_joined(state["piece"], state["z"], size), _joined(state["piece"], state["n"], size))
             pdf = pdf.sort_values(["id", "y"])
             for k in np.random.default_rng([epoch, key[0]]).permutation(len(pdf)):
                 row = pdf.iloc[k]
                 index = np.append(np.frombuffer(row["i"], np.int32), size - 1)
                 model.update(index, np.append(np.frombuffer(row["v"], np.float32).astype(float), 1.0), int(row["y"]))
-            return pd.DataFrame({"z": [model.z.tobytes()], "n": [model.n.tobytes()]})
+            cut = range(0, size, PIECE)
+            z, n = ([x[i : i + PIECE].tobytes() for i in cut] for x in (model.z, model.n))
+            return pd.DataFrame({"piece": range(len(cut)), "shard": key[0], "z": z, "n": n})
+
+        return learn
+
+    for epoch in range(epochs):
+        common = state.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        states = sample.groupBy("shard").cogroup(common.groupBy("shard")).applyInPandas(learn_in(epoch), f"shard int, {STATE}")
+        after = save(states.groupBy("piece").applyInPandas(_mean_state, STATE), "state")
+        drop(state)
+        state = after
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            w = [FTRL(np.frombuffer(z), np.frombuffer(n)).weights().tobytes() for z, n in zip(pdf["z"], pdf["n"])]
+            yield pd.DataFrame({"piece": pdf["piece"], "w": w})
 
-        states = sample.groupBy("shard").applyInPandas(learn, "z binary, n binary").collect()
-        if states:
-            z, n = (np.mean([np.frombuffer(s[k], float) for s in states], axis=0) for k in ("z", "n"))
+    found = state.mapInPandas(weigh, "piece int, w binary").collect()
+    drop(state)
     drop(sample)
-    return FTRL(z, n).weights()
+    return _joined([r["piece"] for r in found], [r["w"] for r in found], size)
+
+
+def _joined(pieces: Iterable[int], values: Iterable[bytes], size: int) -> np.ndarray:
+    """The whole array of these pieces; zero where there is none."""
+    out = np.zeros(size)
+    for k, x in zip(pieces, values):
+        out[k * PIECE : (k + 1) * PIECE] = np.frombuffer(x)
+    return out
+
+
+def _mean_state(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The mean of the shards' states of a piece, added in the order of the shards."""
+    pdf = pdf.sort_values("shard")
+    z, n = (np.mean([np.frombuffer(x) for x in pdf[k]], axis=0).tobytes() for k in ("z", "n"))
+    return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "z": [z], "n": [n]})
 
 
 def scored(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> Column:

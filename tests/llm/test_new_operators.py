@@ -420,3 +420,25 @@ def test_quality_weights_and_scores_against_plain_updates(spark):
     for i, t in docs:
         x = plain_features(t, 10) | {-1: 1.0}
         assert got[i] == pytest.approx(1 / (1 + math.exp(-sum(want.get(k, 0.0) * v for k, v in x.items()))), rel=1e-5)
+
+
+def test_quality_sends_the_driver_weights_only(spark, monkeypatch):
+    """States of the epochs stay with the tasks: one copy of the weights comes to the driver, in pieces, and it sends none out."""
+    rng = random.Random(4)
+    docs = [(i, " ".join(f"w{rng.randrange(900) + 300 * (i % 2)}" for _ in range(60))) for i in range(60)]
+    d, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, quality int")
+    came, sent, kind, context = [], [], type(d), type(spark.sparkContext)
+    collect, broadcast = kind.collect, context.broadcast
+
+    def measured(self):
+        rows = collect(self)
+        came.extend(len(x) for r in rows for x in r if isinstance(x, (bytes, bytearray)))
+        return rows
+
+    monkeypatch.setattr(kind, "collect", measured)
+    monkeypatch.setattr(context, "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    w = quality.train(d, labels, bits=14)
+    monkeypatch.undo()
+    assert sum(came) == 8 * (2**14 + 1) and max(came) <= 8 * quality.PIECE and not sent
+    want = plain_ftrl([(i, t, i % 2) for i, t in docs], 14, quality.EPOCHS, quality.SHARDS)
+    assert np.allclose(w, [want.get(i, 0.0) for i in range(2**14)] + [want[-1]], rtol=1e-6, atol=1e-9)
